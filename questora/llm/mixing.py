@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import WORD, cut, word_count
 
 #: Bins that the documents of a source are dealt into by hash; one of them is cut to fit.
 BINS = 1024
@@ -66,6 +66,35 @@ def water_fill(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.when(cap <= share, cap.cast("double")).otherwise(share))
 
 
+def _planned(docs: DataFrame, weights: tuple[float, ...], epochs: int, seed: int, size: Column | None) -> DataFrame:
+    """``docs`` with ``__size, __source_size, __target, __whole, __part, __cut``."""
+    size = word_count(F.col("text")) if size is None else size
+    base = docs.select("*", size.alias("__size"), hash_bin(F.col("doc_id"), seed).alias("__bin"))
+    bins = cut(base.groupBy("source", "__bin").agg(F.sum("__size").alias("bin_size")))
+    sources = ranked(bins.groupBy("source").agg(F.sum("bin_size").alias("size")))
+    listed = F.array(*[F.lit(float(w)) for w in weights])
+    targets = water_fill(cut(sources.withColumn("weight", F.get(listed, (F.col("pos") % len(weights)).cast("int")))), epochs)
+    size_of = F.col("size")
+    t = targets.select(
+        F.col("source").alias("__s"), size_of.alias("__source_size"), F.col("target").alias("__target"),
+        F.when(size_of > 0, F.least(F.floor(F.col("target") / size_of), F.lit(epochs))).otherwise(0).cast("long").alias("__times"),
+    )
+    # How far the fractional repetition reaches: all of the bins before, a part of one, none after.
+    before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.col("__target") - F.col("__times") * F.col("__source_size")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rest - F.col("before")) / F.col("bin_size")))
+    reach = F.when((F.col("bin_size") > 0) & (F.col("__times") < epochs), share).otherwise(F.lit(0.0))
+    plan = bins.withColumn("before", before).join(t, F.col("source").eqNullSafe(F.col("__s"))).select(
+        "__s", F.col("__bin").alias("__b"), "__source_size", "__target", "__times", reach.alias("__reach")
+    )
+    joined = base.join(plan, base["source"].eqNullSafe(plan["__s"]) & (base["__bin"] == plan["__b"]))
+    part = F.when(F.col("__reach") < 1, F.col("__reach")).otherwise(F.lit(0.0))
+    return joined.withColumns({
+        "__whole": (F.col("__times") + F.when(F.col("__reach") >= 1, 1).otherwise(0)).cast("long"), "__part": part,
+        "__cut": F.floor(part * F.col("__size") + F.lit(0.5)).cast("long"),
+    }).drop("__s", "__b", "__times", "__reach", "__bin")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7, size: Column | None = None) -> DataFrame:
     """``docs`` with ``size, source_size, target, taken, whole, part``.
 
@@ -79,29 +108,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     Columns of these names in ``docs`` are replaced.
     """
     own = ("size", "source_size", "target", "taken", "whole", "part")
-    size = word_count(F.col("text")) if size is None else size
-    base = docs.select(*[c for c in docs.columns if c not in own], size.alias("size"), hash_bin(F.col("doc_id"), seed).alias("__bin"))
-    bins = cut(base.groupBy("source", "__bin").agg(F.sum("size").alias("bin_size")))
-    sources = ranked(bins.groupBy("source").agg(F.sum("bin_size").alias("size")))
-    listed = F.array(*[F.lit(float(w)) for w in weights])
-    targets = water_fill(cut(sources.withColumn("weight", F.get(listed, (F.col("pos") % len(weights)).cast("int")))), epochs)
-    t = targets.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target").withColumn(
-        "times", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(F.lit(0)).cast("long")
-    )
-    # How far the fractional repetition reaches: all of the bins before, a part of one, none after.
-    rest = F.col("target") - F.col("times") * F.col("source_size")
-    before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reach = F.when(F.col("bin_size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rest - F.col("before")) / F.col("bin_size")))).otherwise(F.lit(0.0))
-    plan = bins.join(t, F.col("source").eqNullSafe(F.col("s"))).withColumn("before", before).select(
-        F.col("s"), F.col("__bin").alias("b"), "source_size", "target", "times", reach.alias("reach")
-    )
-    joined = base.join(plan, base["source"].eqNullSafe(plan["s"]) & (base["__bin"] == plan["b"]))
-    extra = F.when(F.col("times") < epochs, F.col("reach")).otherwise(F.lit(0.0))
-    whole = F.col("times") + F.when(extra >= 1, 1).otherwise(0)
-    part = F.when(extra < 1, extra).otherwise(F.lit(0.0))
-    out = joined.withColumns({"whole": whole.cast("long"), "part": part})
-    taken = F.col("whole") * F.col("size") + F.floor(F.col("part") * F.col("size") + F.lit(0.5))
-    return out.withColumn("taken", taken.cast("long")).drop("s", "b", "times", "reach", "__bin")
+    taken = (F.col("__whole") * F.col("__size") + F.col("__cut")).alias("taken")
+    named = [taken if c == "taken" else F.col(f"__{c}").alias(c) for c in own]
+    return _planned(docs, weights, epochs, seed, size).select(*[c for c in docs.columns if c not in own], *named)
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
@@ -109,12 +118,17 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int
 
     The columns are those of ``docs``; ``n_chars``, if there is one, follows the text.
     """
-    mixed = mix(docs, weights, epochs, seed)
-    cut_words = F.floor(F.col("part") * F.col("size") + F.lit(0.5)).cast("int")
-    copies = F.array_repeat(F.lit(True), F.col("whole").cast("int"))
-    rows = mixed.withColumn("__n", cut_words).withColumn("__whole", F.explode(F.concat(copies, F.when(F.col("__n") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest("__n", F.lit(1))), " ")
-    out = rows.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(head))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    copies = F.array_repeat(F.lit(False), F.col("__whole").cast("int"))
+    partly = F.when(F.col("__cut") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    rows = _planned(docs, weights, epochs, seed, None).withColumn("__partly", F.explode(F.concat(copies, partly)))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__cut").cast("int"), F.lit(1))), " ")
+    text = F.when(F.col("__partly"), head).otherwise(F.col("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars":
+            return F.when(F.col("__partly"), F.length(head)).otherwise(F.col(name)).cast(docs.schema[name].dataType).alias(name)
+        return F.col(name)
+
+    return rows.select(*[column(c) for c in docs.columns])

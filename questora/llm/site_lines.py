@@ -41,30 +41,48 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return over.groupBy(counts["host"]).agg(F.collect_list("line").alias("drop"))
 
 
+def _filtered(docs: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int) -> DataFrame:
+    """``docs`` with ``__lines`` and ``__kept``, the lines of the text before and after."""
+    src = docs.withColumn("__host", host)
+    drop = boilerplate(src.select(F.col("__host").alias("host"), F.col(text_col).alias("text")), ratio, min_pages)
+    drop = drop.select(F.col("host").alias("__h"), F.col("drop").alias("__drop"))
+    joined = src.join(drop, F.col("__host").eqNullSafe(F.col("__h")), "left")
+
+    def stays(line: Column) -> Column:
+        n = normal_line(line)
+        return (n == "") | ~F.array_contains(F.col("__drop"), F.xxhash64(n))
+
+    lines = F.split(F.col(text_col), "\n", -1)
+    return joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, stays)))
+
+
 def dedup_lines(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with its text rid of boilerplate lines, and ``n_lines``, ``n_dropped``.
 
     A line goes if it is on more than ``ratio`` of its host's pages and on at least
     ``min_pages`` of them; every occurrence goes. Lines without a word are never dropped. Rows
     count as pages each for itself; null hosts form one site; a null text stays null and has no
-    lines. Columns of these two names in ``docs`` are replaced.
+    lines; an empty one has one line. Columns of these two names in ``docs`` are replaced. An
+    empty table gives no rows.
     """
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    src = docs.select(*rest, host.alias("__host"))
-    drop = boilerplate(src.select(F.col("__host").alias("host"), F.col(text_col).alias("text")), ratio, min_pages)
-    joined = src.join(drop.withColumnRenamed("host", "__h"), F.col("__host").eqNullSafe(F.col("__h")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    rest = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines"))
+    n_kept = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__kept"))
+    return _filtered(docs, host, text_col, ratio, min_pages).select(*rest, n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped"))
 
-    def stays(line: Column) -> Column:
-        n = normal_line(line)
-        return (n == "") | ~F.array_contains(F.col("drop"), F.xxhash64(n))
-
-    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, stays))
-    parts = joined.withColumn("__kept", kept)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-    return parts.withColumns({
-        "n_lines": n_lines.cast("long"), "n_dropped": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines - F.size("__kept")).cast("long"), text_col: F.array_join("__kept", "\n"),
-    }).select(*rest, "n_lines", "n_dropped")
+
+def dedup_texts(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """As ``dedup_lines``, with the columns of ``docs`` alone; ``n_chars`` follows the text."""
+    text = F.array_join("__kept", "\n")
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return text.alias(name)
+        if name == "n_chars":
+            return F.length(text).cast(docs.schema[name].dataType).alias(name)
+        return F.col(name)
+
+    return _filtered(docs, host, text_col, ratio, min_pages).select(*[column(c) for c in docs.columns])
 
 
 def page_text(html: Column) -> Column:

@@ -82,3 +82,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
             n[r.y] += 1
             out.append((r.text, r.y))
     return out
+
+
+#: Items up to which lists per key are broadcast, some 8 MB of hashes; beyond it they join by salted key.
+BROADCAST_ITEMS = 1_000_000
+SALTS = 32
+
+
+def with_lists(rows: DataFrame, key: str, lists: DataFrame, name: str, most: int = BROADCAST_ITEMS) -> DataFrame:
+    """``rows`` with column ``name``: the array of its key in ``lists(key, items)``, null where there is none.
+
+    The lists are materialised and counted first. Few enough, they are broadcast and no row
+    moves. Otherwise each list is repeated for ``SALTS`` salts and rows join by key and salt, so
+    a key with a third of the rows is spread over as many tasks. Null keys match.
+    """
+    known = cut(lists.select(F.col(key).alias("__key"), F.col("items").alias(name)))
+    n = known.agg(F.sum(F.size(name) + 1)).first()[0] or 0
+    if n <= most:
+        return rows.join(F.broadcast(known), rows[key].eqNullSafe(F.col("__key")), "left").drop("__key")
+    salted = known.select("__key", name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt2"))
+    dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    same = dealt[key].eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__salt2"))
+    return dealt.join(salted, same, "left").drop("__key", "__salt", "__salt2")

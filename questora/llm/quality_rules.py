@@ -16,6 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_lists
 from .site_lines import line_keys, normal_line
 
 WINDOW = 5
@@ -111,12 +112,12 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
-    """(host, lines): hashes of the lines above both limits; ``docs(host, text)``."""
+    """(host, items): hashes of the lines above both limits; ``docs(host, text)``."""
     each = docs.select("host", F.explode(F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: k.isNotNull()))).alias("line"))
     counts = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
     totals = docs.groupBy("host").agg(F.count("*").alias("docs"))
     over = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).where(F.col("n") > F.col("docs") * F.lit(share))
-    return over.groupBy(counts["host"]).agg(F.collect_list("line").alias("lines"))
+    return over.groupBy(counts["host"]).agg(F.collect_list("line").alias("items"))
 
 
 def apply_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
@@ -129,11 +130,11 @@ def apply_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DO
     itself, null sources form one host, a null text has no words.
     """
     src = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
-    often = frequent_lines(src.select(F.col("source").alias("host"), "text"), share, least)
+    often = frequent_lines(src.select(F.col("source").alias("host"), "text"), share, least).withColumnRenamed("host", "source")
     lines = F.split(F.col("text"), "\n", -1)
     gone = F.filter(lines, lambda x: F.array_contains(F.col("lines"), F.xxhash64(normal_line(x))))
     # Nothing is removed where the host has no frequent line, so most texts are not split again.
-    marked = src.join(often, src["source"].eqNullSafe(often["host"]), "left").withColumn("__gone", F.when(F.col("lines").isNotNull() & F.col("text").isNotNull(), gone))
+    marked = with_lists(src, "source", often, "lines").withColumn("__gone", F.when(F.col("lines").isNotNull() & F.col("text").isNotNull(), gone))
     slim = marked.select(
         "doc_id", "text", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_lines_removed"),
         F.when(F.size("__gone") > 0, F.regexp_count(F.array_join("__gone", "\n"), F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(0).cast("long").alias("__removed"),

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_lists
+
 #: Share of a host's pages beyond which a line is boilerplate there.
 RATIO = 0.2
 #: Pages that must share a line before a share means anything.
@@ -33,20 +35,19 @@ def line_keys(text: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, drop): the hashes of each host's boilerplate lines; ``pages(host, text)``."""
+    """(host, items): the hashes of each host's boilerplate lines; ``pages(host, text)``."""
     each = pages.select("host", F.explode(F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: k.isNotNull()))).alias("line"))
     counts = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     over = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).where(F.col("n") > F.col("pages") * F.lit(ratio))
-    return over.groupBy(counts["host"]).agg(F.collect_list("line").alias("drop"))
+    return over.groupBy(counts["host"]).agg(F.collect_list("line").alias("items"))
 
 
 def _filtered(docs: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int) -> DataFrame:
     """``docs`` with ``__lines`` and ``__kept``, the lines of the text before and after."""
     src = docs.withColumn("__host", host)
     drop = boilerplate(src.select(F.col("__host").alias("host"), F.col(text_col).alias("text")), ratio, min_pages)
-    drop = drop.select(F.col("host").alias("__h"), F.col("drop").alias("__drop"))
-    joined = src.join(drop, F.col("__host").eqNullSafe(F.col("__h")), "left")
+    joined = with_lists(src, "__host", drop.withColumnRenamed("host", "__host"), "__drop")
 
     def stays(line: Column) -> Column:
         n = normal_line(line)
@@ -91,11 +92,12 @@ def page_text(html: Column) -> Column:
         (r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", ""),
         (r"(?i)<(/?(p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|table|tr|title|head|body|html)|br|!doctype)[^>]*>", "\n"),
         (r"<[^>]*>", ""),
-        (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&amp;", "&"),
-        (r"[\x20\x09\x0D]*\n[\x20\x09\x0D\n]*", "\n"), (r"^\n|\n$", ""),
     ):
         html = F.regexp_replace(html, pattern, new)
-    return html
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        html = F.replace(html, F.lit(entity), F.lit(char))
+    html = F.regexp_replace(html, r"[\x20\x09\x0D]*\n[\x20\x09\x0D\n]*", "\n")
+    return F.regexp_replace(html, r"^\n|\n$", "")
 
 
 def page_host(url: Column) -> Column:

@@ -15,9 +15,8 @@ from questora.llm.common import stored, table
 
 #: A line on more than this share of a source's documents is boilerplate.
 LINE_RATIO = 0.1
-#: Near copies: five-word shingles; fingerprints at most this many bits apart. On texts whose shingle
-#: sets have similarity 0.8 or more the distance has a median near 8, and it is what joins a group.
-WORDS, BITS, BLOCKS = 5, 7, 9
+#: Near copies: five-word shingles, fingerprints at the distance of a similarity of 0.8.
+WORDS, BITS = 5, simhash.WIDE_BITS
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest doc_id, of each group of near copies."""
-    return simhash.keep_one(docs, words=WORDS, bits=BITS, blocks=BLOCKS)
+    return simhash.keep_one(docs, words=WORDS, bits=BITS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 1. ``fingerprints`` reads every whole text once and keeps 8 bytes of it.
 2. Documents of equal fingerprint fold into one node before anything is compared, so a
    group of exact copies costs one row however large it is.
-3. The upper nodes of the index are *shared masked bit patterns*. The 64 bits are cut into
-   ``blocks`` blocks; two fingerprints that differ in at most ``bits`` bits agree on at
-   least ``blocks - bits`` whole blocks, so each fingerprint hangs below every mask of that
-   many blocks, at the node (mask, its bits under the mask). That loses no link.
+3. The upper nodes of the index are *shared masked bit patterns*: each fingerprint hangs
+   below every mask, at the node (mask, its bits under the mask). ``block_masks`` cuts 64 bits
+   into blocks; two fingerprints that differ in at most ``bits`` bits agree on at least
+   ``blocks - bits`` whole blocks, so those masks lose no link. For the far larger distances
+   of a similarity of 0.8, ``drawn_masks`` draws bits of a fingerprint of several 64-bit lanes.
 4. Below an upper node the fingerprints lie in Gray-rank order, in leaves. A leaf knows the
    bits that all its members share; the differences of two leaves' shared bits add up
    on the way down, and a pair of leaves beyond ``bits`` is pruned as a whole.
@@ -52,6 +53,29 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
+def lane_hashes(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes for another lane of the fingerprint, from those of lane 0."""
+    if not lane:
+        return hashes
+    h = hashes * np.uint64((2 * lane * 0x5851F42D4C957F2D + 1) & (2**64 - 1))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", *[f"fp{n}" for n in range(1, lanes)]]
+
+
+def node_ids(f: np.ndarray) -> np.ndarray:
+    """One number for each row of lanes; the fingerprint itself if it has one lane."""
+    out = f[:, 0]
+    for n in range(1, f.shape[1]):
+        out = out * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ (out >> np.uint64(31))) + f[:, n]
+    return out
+
+
 def bit_majorities(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each run of hashes that starts at an offset, the bits set in over half of it."""
     # Runs are summed in steps of at most 255 so that eight counters fit into one word.
@@ -69,21 +93,23 @@ def bit_majorities(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
+def fingerprint_batch(texts: list[str | None], words: int, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """Fingerprints (texts, lanes); ``distinct`` counts a repeated shingle once."""
+    out = np.zeros((len(texts), lanes), np.uint64)
     hashes, who, n = [], [], 0
 
     def flush() -> None:
         if who:
-            offsets = np.cumsum([0] + [len(h) for h in hashes[:-1]])
-            out[who] = bit_majorities(np.concatenate(hashes), offsets)
+            offsets, every = np.cumsum([0] + [len(h) for h in hashes[:-1]]), np.concatenate(hashes)
+            for lane in range(lanes):
+                out[who, lane] = bit_majorities(lane_hashes(every, lane), offsets)
             hashes.clear()
             who.clear()
 
     for i, text in enumerate(texts):
         h = shingle_hashes(text, words)
         if len(h):
-            hashes.append(h)
+            hashes.append(np.unique(h) if distinct else h)
             who.append(i)
             n += len(h)
             if n > 50_000:
@@ -93,20 +119,23 @@ def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each whole text, as a long.
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp): the 64-bit SimHash of each whole text, as a long; with ``lanes`` over 1
+    also fp1, fp2, ... and ``node``, a number for all lanes together.
 
     A text without words, or null, has fingerprint zero; a text of fewer words than a
     shingle is one shingle. Only the two named columns are read.
     """
+    names = ["doc_id", *lane_names(lanes), *(["node"] if lanes > 1 else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprint_batch(b.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = fingerprint_batch(b.column(1).to_pylist(), words, lanes, distinct)
+            cols = [*fp.T, *([node_ids(fp)] if lanes > 1 else [])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]], names=names)
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(run, ", ".join([f"doc_id {src.schema['doc_id'].dataType.simpleString()}", *[f"{n} long" for n in names[1:]]]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -116,12 +145,25 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(2**63)))
 
 
-def masks(bits: int, blocks: int) -> list[int]:
+def _signed(m: int) -> int:
+    return m - 2**64 if m >= 2**63 else m
+
+
+def block_masks(bits: int, blocks: int) -> list[tuple[int, ...]]:
     """The masks of ``blocks - bits`` of the ``blocks`` blocks of 64 bits, as signed longs."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    out = [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - bits)]
-    return [m - 2**64 if m >= 2**63 else m for m in out]
+    return [(_signed(sum(block[i] for i in c)),) for c in combinations(range(blocks), blocks - bits)]
+
+
+def drawn_masks(count: int, width: int, lanes: int, seed: int = 1) -> list[tuple[int, ...]]:
+    """``count`` masks of ``width`` bits drawn from all lanes. Fingerprints that differ in a share d
+    of their bits meet below at least one with probability 1 - (1 - (1 - d) ** width) ** count."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(count):
+        bits = rng.choice(64 * lanes, width, replace=False).tolist()
+        out.append(tuple(_signed(sum(1 << (b % 64) for b in bits if b // 64 == n)) for n in range(lanes)))
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +190,16 @@ def _twigs(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, low, ~(low ^ high)
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits, summed lane by lane."""
+    out = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int32)
+    for n in range(1, x.shape[-1]):
+        out += np.bitwise_count(x[..., n] ^ y[..., n])
+    return out
+
+
 def near_links(f: np.ndarray, g: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of at most ``bits`` bits within Gray-ordered ``f``, or between ``f`` and ``g``."""
+    """Links of at most ``bits`` bits, as row numbers, within Gray-ordered ``f`` (rows, lanes), or between ``f`` and ``g``."""
     same = g is None
     g = f if same else g
     fa, fv, fm = _twigs(f)
@@ -157,21 +207,19 @@ def near_links(f: np.ndarray, g: np.ndarray | None, bits: int) -> tuple[np.ndarr
     out_a, out_b = [], []
     for i, at in enumerate(fa):
         # Differences in the bits that all members of both leaves share bound every pair below.
-        near = np.bitwise_count((fv[i] ^ gv) & fm[i] & gm) <= bits
+        near = np.bitwise_count((fv[i] ^ gv) & fm[i] & gm).sum(1) <= bits
         if same:
             near[:i] = False
-        rows = f[at: at + TWIG]
+        rows = f[at: at + TWIG, None]
         for j in ga[near]:
-            d = np.bitwise_count(rows[:, None] ^ g[None, j: j + TWIG]) <= bits
-            x, y = np.nonzero(d)
-            out_a.append(rows[x])
-            out_b.append(g[j + y])
-    a, b = (np.concatenate(o) if o else np.empty(0, np.uint64) for o in (out_a, out_b))
-    return a[a != b], b[a != b]
+            x, y = np.nonzero(_distance(rows, g[None, j: j + TWIG]) <= bits)
+            out_a.append(at + x)
+            out_b.append(j + y)
+    return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
 
 
 def _small_links(node: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``node``, all runs at once; for short runs."""
+    """Links, as row numbers, within runs of equal ``node``, all runs at once; for short runs."""
     out_a, out_b, d = [], [], 1
     rows = np.arange(len(node))
     while True:
@@ -179,15 +227,15 @@ def _small_links(node: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray
         rows = rows[node[rows] == node[rows + d]]
         if not len(rows):
             break
-        hit = rows[np.bitwise_count(f[rows] ^ f[rows + d]) <= bits]
-        out_a.append(f[hit])
-        out_b.append(f[hit + d])
+        hit = rows[_distance(f[rows], f[rows + d]) <= bits]
+        out_a.append(hit)
+        out_b.append(hit + d)
         d += 1
-    return tuple(np.concatenate(o) if o else np.empty(0, np.uint64) for o in (out_a, out_b))
+    return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
 
 
 def _links_of_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask number, pattern, fp) sorted by node and Gray rank -> a forest of links."""
+    """Rows (mask number, pattern, lanes) sorted by node and Gray rank -> a forest of links."""
     held_a, held_b, held = [], [], 0
     rest: tuple | None = None
 
@@ -206,16 +254,17 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
         size = np.diff(np.append(at, len(f)))
         short = (size > 1) & (size <= TWIG)
         pick = np.repeat(short, size)
-        parts = [_small_links(node[pick], f[pick], bits)]
-        parts += [near_links(f[s: s + n], None, bits) for s, n in zip(at[size > TWIG], size[size > TWIG])]
-        for a, b in parts:
+        groups = [f[pick], *[f[s: s + n] for s, n in zip(at[size > TWIG], size[size > TWIG])]]
+        for i, g in enumerate(groups):
+            a, b = near_links(g, None, bits) if i else _small_links(node[pick], g, bits)
             if len(a):
-                held_a.append(a)
-                held_b.append(b)
-                held += len(a)
+                a, b = node_ids(g[a]), node_ids(g[b])
+                held_a.append(a[a != b])
+                held_b.append(b[a != b])
+                held += len(held_a[-1])
 
     for batch in batches:
-        cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+        cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], 1)]
         if rest is not None:
             cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
         mask, pat, f = cols
@@ -232,11 +281,16 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
     yield from emit()
 
 
-def links(nodes: DataFrame, bits: int, blocks: int, leaf: int = LEAF) -> DataFrame:
-    """(src, dst): forests that join the distinct fingerprints ``nodes(fp)`` within ``bits`` bits."""
-    below = nodes.select(
-        F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for i, m in enumerate(masks(bits, blocks))])).alias("node"), "fp"
-    ).select("node.mask", "node.pattern", "fp")
+def links(nodes: DataFrame, bits: int, masks: list[tuple[int, ...]], leaf: int = LEAF) -> DataFrame:
+    """(src, dst): forests that join the distinct fingerprints ``nodes`` (columns ``lane_names``) within ``bits`` bits."""
+    lanes = lane_names(len(masks[0]))
+
+    def pattern(mask: tuple[int, ...]) -> Column:
+        under = [F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(lanes, mask)]
+        return under[0] if len(under) == 1 else F.xxhash64(*under)
+
+    uppers = F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), pattern(m).alias("pattern")) for i, m in enumerate(masks)])
+    below = nodes.select(F.explode(uppers).alias("node"), *lanes).select("node.mask", "node.pattern", *lanes)
     large = cut(below.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("mask", "pattern"))
     has_large = not large.isEmpty()
     small = below.join(large, ["mask", "pattern"], "left_anti") if has_large else below
@@ -244,10 +298,10 @@ def links(nodes: DataFrame, bits: int, blocks: int, leaf: int = LEAF) -> DataFra
     found = runs.mapInArrow(lambda it: _links_of_runs(it, bits), "src long, dst long")
     if not has_large:
         return found
-    return found.unionByName(_links_of_large(below.join(large, ["mask", "pattern"], "left_semi"), bits, leaf))
+    return found.unionByName(_links_of_large(below.join(large, ["mask", "pattern"], "left_semi"), lanes, bits, leaf))
 
 
-def _links_of_large(members: DataFrame, bits: int, leaf: int) -> DataFrame:
+def _links_of_large(members: DataFrame, lanes: list[str], bits: int, leaf: int) -> DataFrame:
     """Links below large upper nodes, by pairs of Gray-ordered leaves."""
 
     def into_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,29 +315,34 @@ def _links_of_large(members: DataFrame, bits: int, leaf: int) -> DataFrame:
                     n, seen, before = n + 1, 0, key
                 seen += 1
                 ids.append((part << 32) | n)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.int64())], names=["mask", "pattern", "fp", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: 2 + len(lanes)], pa.array(ids, pa.int64())], names=["mask", "pattern", *lanes, "leaf"])
 
     ordered = members.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange("mask", "pattern", "rank").sortWithinPartitions("mask", "pattern", "rank")
-    rows = cut(ordered.mapInArrow(into_leaves, "mask short, pattern long, fp long, leaf long"))
-    leaves = cut(
-        rows.groupBy("mask", "pattern", "leaf").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
-        .select("mask", "pattern", "leaf", "low", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("shared"))
-    )
-    other = leaves.select("mask", "pattern", *[F.col(c).alias(f"{c}2") for c in ("leaf", "low", "shared")])
-    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low2")).bitwiseAND(F.col("shared")).bitwiseAND(F.col("shared2")))
-    pairs = leaves.join(other, ["mask", "pattern"]).where((F.col("leaf") <= F.col("leaf2")) & (apart <= bits)).select("leaf", "leaf2")
-    sides = pairs.select("leaf", "leaf2", F.explode(F.array_distinct(F.array("leaf", "leaf2"))).alias("side"))
-    work = sides.join(rows.select(F.col("leaf").alias("side"), "fp"), "side")
+    rows = cut(ordered.mapInArrow(into_leaves, ", ".join(["mask short, pattern long", *[f"{c} long" for c in lanes], "leaf long"])))
+    shared = [F.bitwise_not(F.bit_and(c).bitwiseXOR(F.bit_or(c))).alias(f"shared_{c}") for c in lanes]
+    leaves = cut(rows.groupBy("mask", "pattern", "leaf").agg(*[F.bit_and(c).alias(f"low_{c}") for c in lanes], *shared))
+    other = leaves.select("mask", "pattern", *[F.col(c).alias(f"{c}_2") for c in leaves.columns[2:]])
+    apart = F.lit(0)
+    for c in lanes:
+        differ = F.col(f"low_{c}").bitwiseXOR(F.col(f"low_{c}_2"))
+        apart = apart + F.bit_count(differ.bitwiseAND(F.col(f"shared_{c}")).bitwiseAND(F.col(f"shared_{c}_2")))
+    pairs = leaves.join(other, ["mask", "pattern"]).where((F.col("leaf") <= F.col("leaf_2")) & (apart <= bits)).select("leaf", "leaf_2")
+    sides = pairs.select("leaf", "leaf_2", F.explode(F.array_distinct(F.array("leaf", "leaf_2"))).alias("side"))
+    work = sides.join(rows.select(F.col("leaf").alias("side"), *lanes), "side")
 
     def compare(key, pdf):
         import pandas as pd
 
-        f = {s: np.sort(g["fp"].to_numpy().view(np.uint64)) for s, g in pdf.groupby("side")}
-        a, b = near_links(f[key[0]], None if key[0] == key[1] else f[key[1]], bits)
-        a, b = forest(a, b) if len(a) else (a, b)
+        f = {}
+        for s, part in pdf.sort_values("fp").groupby("side"):
+            f[s] = np.ascontiguousarray(part[lanes].to_numpy()).view(np.uint64)
+        left, right = f[key[0]], f[key[1]]
+        a, b = near_links(left, None if key[0] == key[1] else right, bits)
+        a, b = node_ids(left[a]), node_ids(right[b])
+        a, b = forest(a[a != b], b[a != b]) if (a != b).any() else (a[:0], b[:0])
         return pd.DataFrame({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
-    return work.groupBy("leaf", "leaf2").applyInPandas(compare, "src long, dst long")
+    return work.groupBy("leaf", "leaf_2").applyInPandas(compare, "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,29 +372,43 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = 4, bits: int = 4, masks: list[tuple[int, ...]] | None = None, distinct: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF,
+) -> DataFrame:
     """(doc_id, fp, component_id): one row per document with the group it belongs to.
 
     Documents link when their fingerprints differ in at most ``bits`` bits; the group's id is
-    the smallest doc_id that links reach. Repeated rows stay repeated. Null and blank texts
-    share fingerprint zero and link like any other. A null doc_id takes part but is never
-    the group's id unless all ids of the group are null. An empty table gives no rows.
+    the smallest doc_id that links reach. ``masks`` are the index's, and their length is the
+    number of lanes; by default one lane, and masks that lose no link. Repeated rows stay
+    repeated. Null and blank texts share fingerprint zero and link like any other. A null
+    doc_id takes part but is never the group's id unless all ids of the group are null. An
+    empty table gives no rows.
     """
-    fps = cut(fingerprints(docs, words, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes.select("fp"), bits, blocks or bits + 2, leaf))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    masks = masks or block_masks(bits, bits + 2)
+    lanes = lane_names(len(masks[0]))
+    node = "node" if len(lanes) > 1 else "fp"
+    fps = cut(fingerprints(docs, words, id_col, text_col, len(lanes), distinct))
+    nodes = cut(fps.groupBy(*dict.fromkeys([node, *lanes])).agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(nodes.select(*lanes), bits, masks, leaf))
+    named = nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     group = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(named.join(group, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.join(group, "root").select(node, "component_id"), node).select("doc_id", "fp", "component_id")
+
+
+#: For a similarity of 0.8: shingle sets that similar differ in 39 of 256 bits on average, and the
+#: drawn masks bring 92 of 100 such pairs together, nearly all of those above 0.85.
+WIDE_BITS, WIDE_LANES, WIDE_MASKS, WIDE_WIDTH = 42, 4, 32, 16
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, blocks: int | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of smallest doc_id.
 
-    All columns stay as they are. Rows that repeat a doc_id are that document again, so one
-    of them stays. A row whose doc_id is null cannot be told apart and stays.
+    Fingerprints of 256 bits over distinct shingles tell a similarity of 0.8 from the rest far
+    better than 64 bits do. All columns stay as they are. Rows that repeat a doc_id are that
+    document again, so one of them stays. A row whose doc_id is null cannot be told apart and stays.
     """
-    groups = near_duplicates(docs, words, bits, blocks)
+    groups = near_duplicates(docs, words, bits, masks or drawn_masks(WIDE_MASKS, WIDE_WIDTH, WIDE_LANES), distinct=True)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))

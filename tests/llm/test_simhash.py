@@ -71,7 +71,7 @@ def test_large_nodes_are_dealt_out_without_losing_links(spark):
         fps[i] = x
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     nodes = spark.createDataFrame([(signed(x),) for x in set(fps.values())], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, 6, leaf=16)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, simhash.block_masks(4, 6), leaf=16)).collect()}
     want = plain_groups(fps, 4)
     mine = defaultdict(set)
     for i, x in fps.items():
@@ -103,3 +103,33 @@ def test_bit_majorities_over_many_hashes():
     h = np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > 1000)
     assert int(simhash.bit_majorities(np.concatenate([h, h[:3]]), np.array([0, 1000]))[0]) == want
+
+
+def similar_texts():
+    """Pairs whose shingle sets are 0.85 to 0.9 similar, and texts that share nothing."""
+    rng, rows = random.Random(3), []
+    for g in range(40):
+        base = [f"a{g}x{rng.randrange(10**6)}" for _ in range(300)]
+        near = list(base)
+        for at in (50, 120, 180, 250):
+            near[at] = f"new{g}at{at}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+    return rows + [(1000 + i, " ".join(f"q{i}w{k}" for k in range(200))) for i in range(40)]
+
+
+def test_keep_one_finds_copies_at_the_similarity_asked_for(spark):
+    rows = [(i, t, "s") for i, t in similar_texts()]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {2 * g for g in range(40)} <= kept and {1000 + i for i in range(40)} <= kept
+    assert len(kept & {2 * g + 1 for g in range(40)}) <= 2
+
+
+def test_wide_large_nodes_give_the_same_groups(spark):
+    df = spark.createDataFrame(similar_texts(), "doc_id long, text string")
+    masks = simhash.drawn_masks(8, 2, 4)
+    groups = [{r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 42, masks, distinct=True, leaf=n).collect()} for n in (4096, 8)]
+    assert groups[0] == groups[1]
+    f = simhash.fingerprint_batch([t for _, t in similar_texts()], 5, 4, True)
+    near = {(i, j) for i in range(len(f)) for j in range(i) if int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 42}
+    ids = [i for i, _ in similar_texts()]
+    assert all(groups[0][ids[i]] == groups[0][ids[j]] for i, j in near) and len(near) >= 36

@@ -34,36 +34,42 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def nra(queries: np.ndarray, rows: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its k best rows: (row numbers, scores), by score, then id. ``own`` ids are left out."""
+    """For each query its k best rows: (row numbers, scores), by score, then id. ``own`` ids are left out.
+
+    All queries stand at the same depth, so the bounds of a step are four matrix products: positive
+    weights read lists from the top, negative ones from the bottom.
+    """
     n, dims = rows.shape
     order = np.argsort(rows, axis=0, kind="stable")
     lists = np.take_along_axis(rows, order, axis=0)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
-    out = []
-    for q, mine in zip(queries, own):
-        live = np.flatnonzero(ids != mine)
-        depth = min(n, max(4 * k, n // 8))
-        up = q >= 0
-        # Worth of the worst end of each list, of which a row that was not read there is sure.
-        worst = np.where(up, lists[0], lists[-1]) * q
-        while True:
-            stand = np.where(up, lists[n - depth], lists[depth - 1]) * q
-            read = np.where(up, place[live] >= n - depth, place[live] < depth)
-            worth = rows[live] * q
-            low = np.where(read, worth, worst).sum(1)
-            high = np.where(read, worth, stand).sum(1)
-            if len(live) <= k or depth == n:
-                break
-            kth = np.partition(low, len(low) - k)[len(low) - k]
+    # Doubles hold these sums exactly unless components are huge.
+    exact = dims * int(np.abs(rows).max()) * int(np.abs(queries).max()) < 2**53
+    kind, never = (np.float64, -np.inf) if exact else (np.int64, np.iinfo(np.int64).min)
+    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+    values, best, worst = rows.astype(kind), lists[-1].astype(kind), lists[0].astype(kind)
+    still, live = np.arange(len(queries)), ids[None] != own[:, None]
+    out: list = [None] * len(queries)
+    depth = min(n, max(4 * k, n // 4))
+    while len(still):
+        top, bottom = place >= n - depth, place < depth
+        u, d = up[still], down[still]
+        # What was not read of a row is at its worst for the lower bound, where the list stands for the upper one.
+        low = u @ np.where(top, values, worst).T + d @ np.where(bottom, values, best).T
+        high = u @ np.where(top, values, lists[n - depth].astype(kind)).T + d @ np.where(bottom, values, lists[depth - 1].astype(kind)).T
+        low[~live] = never
+        if n > k:
             # A row whose upper bound is below the k-th lower bound is out for good.
-            live = live[high >= kth]
-            if len(live) <= 4 * k:
-                break
-            depth = min(n, depth * 2)
-        score = rows[live] @ q
-        best = np.lexsort((ids[live], -score))[:k]
-        out.append((live[best], score[best]))
+            live &= high >= np.partition(low, n - k, axis=1)[:, n - k][:, None]
+        done = (live.sum(1) <= 4 * k) | (depth == n)
+        for i in np.flatnonzero(done):
+            left, q = np.flatnonzero(live[i]), still[i]
+            score = rows[left] @ queries[q]
+            first = np.lexsort((ids[left], -score))[:k]
+            out[q] = (left[first], score[first])
+        still, live = still[~done], live[~done]
+        depth = min(n, depth * 2)
     return out
 
 

@@ -37,17 +37,30 @@ LEXICON_DOCS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _f(kind: str, s: str) -> int:
-    return zlib.crc32((kind + s).encode("utf-8", "replace")) % FEATURES
+class Hashed(dict):
+    """Feature numbers of one kind of string, each string hashed once; forgotten when there are too many."""
+
+    def __init__(self, kind: str) -> None:
+        super().__init__()
+        self.seed = zlib.crc32(kind.encode())
+
+    def __missing__(self, s: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        f = self[s] = zlib.crc32(s.encode("utf-8", "replace"), self.seed) % FEATURES
+        return f
+
+
+_three, _one, _prefix, _suffix, _whole = (Hashed(kind) for kind in "31psw")
 
 
 def word_features(w: str, lexicon: frozenset) -> list[int]:
     marked = f"^{w}$"
-    out = [_f("3", marked[i: i + 3]) for i in range(min(len(marked) - 2, 24))]
-    out += [_f("1", c) for c in set(w[:24])]
-    out += [_f("p", w[:2]), _f("p", w[:3]), _f("s", w[-2:]), _f("s", w[-3:])]
+    out = [_three[marked[i: i + 3]] for i in range(min(len(marked) - 2, 24))]
+    out += [_one[c] for c in dict.fromkeys(w[:24])]
+    out += [_prefix[w[:2]], _prefix[w[:3]], _suffix[w[-2:]], _suffix[w[-3:]]]
     if w in lexicon:
-        out.append(_f("w", w))
+        out.append(_whole[w])
     return out
 
 

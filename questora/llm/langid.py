@@ -214,14 +214,13 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1) -> Crf | None:
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= MAX_CHARS) & (fold_remainder(F.col("doc_id"), folds) != held)
     ).select("doc_id", "lang")
     often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
-    # The lowest hashes per language: a few rows of each (language, bucket) group are ranked apart before they meet.
+    # The lowest hashes per language: a hash below a share that leaves more than PER_LANG rows of any language, then the rank.
     h = F.xxhash64("doc_id", F.lit(17))
-    bucket = known.withColumn("h", h).withColumn("b", F.pmod(F.shiftright(F.col("h"), 8), F.lit(64)))
-    inner = F.row_number().over(Window.partitionBy("lang", "b").orderBy("h", "doc_id"))
-    outer = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    low = h.cast("double") / 2.0**64 + 0.5 <= (1.5 * PER_LANG + 50) / F.col("n")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     picked = (
-        bucket.withColumn("r", inner).where(F.col("r") <= PER_LANG).withColumn("r", outer).where(F.col("r") <= PER_LANG)
-        .join(F.broadcast(often.select("lang")), "lang").select("doc_id").distinct()
+        known.join(F.broadcast(often), "lang").where(low).select("lang", "doc_id", h.alias("h"))
+        .withColumn("r", rank).where(F.col("r") <= PER_LANG).select("doc_id").distinct()
     )
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS)).join(F.broadcast(picked), "doc_id")
     got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in rows.collect()))

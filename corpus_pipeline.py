@@ -15,8 +15,8 @@ from questora.llm.common import stored, table
 
 #: A line on more than this share of a source's documents is boilerplate.
 LINE_RATIO = 0.1
-#: Near copies: five-word shingles, fingerprints at the distance of a similarity of 0.8.
-WORDS, BITS = 5, simhash.WIDE_BITS
+#: Near copies: sets of five-word shingles that are so similar.
+WORDS, SIMILARITY = 5, simhash.SIMILARITY
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest doc_id, of each group of near copies."""
-    return simhash.keep_one(docs, words=WORDS, bits=BITS)
+    return simhash.keep_one(docs, words=WORDS, least=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

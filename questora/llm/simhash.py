@@ -7,7 +7,9 @@
    below every mask, at the node (mask, its bits under the mask). ``block_masks`` cuts 64 bits
    into blocks; two fingerprints that differ in at most ``bits`` bits agree on at least
    ``blocks - bits`` whole blocks, so those masks lose no link. For the far larger distances
-   of a similarity of 0.8, ``drawn_masks`` draws bits of a fingerprint of several 64-bit lanes.
+   of a similarity of 0.8, ``drawn_masks`` draws bits of a fingerprint of several 64-bit lanes;
+   ``similar_groups`` loses none of those either, with shared shingles for upper nodes, and
+   confirms the links by the shingle sets.
 4. Below an upper node the fingerprints lie in Gray-rank order, in leaves. A leaf knows the
    bits that all its members share; the differences of two leaves' shared bits add up
    on the way down, and a pair of leaves beyond ``bits`` is pruned as a whole.
@@ -119,6 +121,17 @@ def fingerprint_batch(texts: list[str | None], words: int, lanes: int = 1, disti
     return out
 
 
+def set_fingerprints(sets: list[np.ndarray], lanes: int) -> np.ndarray:
+    """Fingerprints (sets, lanes) of sets of shingle hashes; zero for an empty set."""
+    out = np.zeros((len(sets), lanes), np.uint64)
+    who = [i for i, h in enumerate(sets) if len(h)]
+    if who:
+        offsets, every = np.cumsum([0, *[len(sets[i]) for i in who[:-1]]]), np.concatenate([sets[i] for i in who])
+        for lane in range(lanes):
+            out[who, lane] = bit_majorities(lane_hashes(every, lane), offsets)
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", lanes: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of each whole text, as a long; with ``lanes`` over 1
     also fp1, fp2, ... and ``node``, a number for all lanes together.
@@ -291,6 +304,11 @@ def links(nodes: DataFrame, bits: int, masks: list[tuple[int, ...]], leaf: int =
 
     uppers = F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), pattern(m).alias("pattern")) for i, m in enumerate(masks)])
     below = nodes.select(F.explode(uppers).alias("node"), *lanes).select("node.mask", "node.pattern", *lanes)
+    return links_below(below, lanes, bits, leaf)
+
+
+def links_below(below: DataFrame, lanes: list[str], bits: int, leaf: int = LEAF) -> DataFrame:
+    """(src, dst): forests that join the fingerprints that hang below one upper node of ``below(mask, pattern, *lanes)`` within ``bits`` bits."""
     large = cut(below.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("mask", "pattern"))
     has_large = not large.isEmpty()
     small = below.join(large, ["mask", "pattern"], "left_anti") if has_large else below
@@ -396,19 +414,163 @@ def near_duplicates(
     return fps.join(named.join(group, "root").select(node, "component_id"), node).select("doc_id", "fp", "component_id")
 
 
-#: For a similarity of 0.8: shingle sets that similar differ in 39 of 256 bits on average, and the
-#: drawn masks bring 92 of 100 such pairs together, nearly all of those above 0.85.
-WIDE_BITS, WIDE_LANES, WIDE_MASKS, WIDE_WIDTH = 42, 4, 32, 16
+#: Least similarity (Jaccard, of the sets of five-word shingles) of near copies.
+SIMILARITY = 0.8
+#: Lanes and differing bits of a candidate. Sets of similarity 0.8 differ in 39 of 256 bits on average, 48 where they are smallest
+#: (4 and 5 shingles), with a deviation of 6: 84 bits lie over five deviations away, so the limit only saves work.
+WIDE_LANES, WIDE_BITS = 4, 84
+#: A shingle in so many of the documents looked at (one in ``HOT_SHARE``) is hot; at most ``HOT_MOST`` are kept. Hot shingles come
+#: last in the order of all shingles, which any order may be, so these numbers decide about work and not about results.
+HOT, HOT_SHARE, HOT_MOST = 64, 16, 500_000
+#: Shingle sets that one task compares exactly; larger candidate groups are dealt out by pairs of parts.
+PART = 1024
+
+
+def set_prefix(h: np.ndarray, least: float, hot: np.ndarray) -> np.ndarray:
+    """The first shingles of the set ``h`` (sorted), hot ones last: two sets at least ``least`` similar share one of these."""
+    n = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+    if len(hot) and len(h):
+        known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        h = np.concatenate([h[~known], h[known]])
+    return h[:n]
+
+
+def hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of many documents, sorted, from a part of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                found = [np.unique(shingle_hashes(t, words)) for t in b.column(0).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["t"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(HOT_SHARE)) == 0).select(F.col("text").cast("string").alias("text"))
+    often = some.mapInArrow(run, "t long").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "t").limit(HOT_MOST)
+    return np.sort(np.array([r.t for r in often.collect()], np.int64).view(np.uint64))
+
+
+def shingle_sets(docs: DataFrame, words: int, least: float, hot: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, set_id, n, lanes, node, prefix) of every row: a number for its set of shingles, the set's size,
+    its fingerprint and the first of its shingles."""
+    lanes = lane_names(WIDE_LANES)
+    names = ["doc_id", "text_key", "set_id", "n", *lanes, "node", "prefix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t, words)) for t in b.column(2).to_pylist()]
+                fp = set_fingerprints(sets, WIDE_LANES)
+                firsts = [set_prefix(h, least, hot) for h in sets]
+                ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                cols = [np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64), *fp.T, node_ids(fp)]
+                cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cols[0], pa.array([len(h) for h in sets], pa.int64()), *cols[1:], prefix], names=names)
+
+    src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    kinds = [src.schema["doc_id"].dataType.simpleString(), *["long"] * (len(names) - 2), "array<long>"]
+    return src.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+def similar_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as positions, that join all sets whose similarity is ``least`` or more, by exact counts.
+
+    A search from set to set: what it reached once is not looked for again, so alike sets cost one comparison each.
+    """
+    size = np.array([len(h) for h in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ids = np.split(number, np.cumsum(size)[:-1])
+    mark = np.zeros(len(number), bool)
+    out_a, out_b, todo = [], [], []
+    left = np.arange(len(sets))
+    flat = None
+    while len(left):
+        if not todo:
+            todo.append(left[0])
+            left, flat = left[1:], None
+            continue
+        if flat is None:
+            flat, starts = np.concatenate([ids[j] for j in left]), np.cumsum(size[left]) - size[left]
+        i = todo.pop()
+        mark[ids[i]] = True
+        common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[ids[i]] = False
+        hit = common >= least * (size[i] + size[left] - common)
+        if hit.any():
+            out_a.append(np.full(hit.sum(), i))
+            out_b.append(left[hit])
+            todo += left[hit].tolist()
+            left, flat = left[~hit], None
+    return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
+
+
+def confirmed_links(docs: DataFrame, members: DataFrame, words: int, least: float, part: int = PART) -> DataFrame:
+    """(src, dst): links of set_ids that are truly similar, within the candidate groups ``members(set_id, text_key, root)``.
+
+    Each set's shingles are made again from a text that has them. A group of more than ``part`` sets is
+    dealt into parts, and each pair of parts is one unit of work, so no task holds a large group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                fresh = []
+                for i, s in enumerate(b.column("set_id").to_pylist()):
+                    if s not in seen:
+                        seen.add(s)
+                        fresh.append(i)
+                b = b.take(pa.array(fresh, pa.int64()))
+                sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("root"), b.column("size"), b.column("set_id"), pa.array(sets, pa.binary())], names=["root", "size", "set_id", "shingles"])
+
+    sizes = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    wanted = members.join(sizes, "root")
+    texts = docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = texts.join(wanted, "text_key").select("root", "size", "set_id", "text").mapInArrow(run, "root long, size long, set_id long, shingles binary")
+    parts = F.ceil(F.col("size") / F.lit(part)).cast("int")
+    mine = F.pmod(F.xxhash64("set_id", F.lit(7)), parts).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
+    dealt = rows.withColumns({"part": mine, "parts": parts}).withColumn("other", F.explode(others))
+    units = dealt.select("root", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "set_id", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(table.column("set_id").to_numpy(), return_index=True)
+        every = table.column("shingles").to_pylist()
+        a, b = similar_links([np.frombuffer(every[i], np.uint64) for i in at], least)
+        return pa.table({"src": pa.array(ids[a], pa.int64()), "dst": pa.array(ids[b], pa.int64())})
+
+    return units.groupBy("root", "one", "two").applyInArrow(compare, "src long, dst long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = SIMILARITY, part: int = PART) -> DataFrame:
+    """(doc_id, component_id) of every row: groups that links of an exact similarity of ``least`` or more reach, named by the smallest doc_id.
+
+    Upper nodes of the index are shingles: of each set the first in one order of all shingles, so many that
+    two sets that similar share one. Fingerprints below one node within ``WIDE_BITS`` bits make candidate
+    groups, and inside these every link is confirmed by the shingle sets themselves.
+    """
+    lanes = lane_names(WIDE_LANES)
+    rows = cut(shingle_sets(docs, words, least, hot_shingles(docs, words)))
+    below = rows.select("set_id", *lanes, "prefix").dropDuplicates(["set_id"]).select(F.lit(0).cast("short").alias("mask"), F.explode("prefix").alias("pattern"), *lanes)
+    near = components(links_below(below, lanes, WIDE_BITS))
+    sets = cut(rows.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n")))
+    members = cut(sets.where("n > 0").join(near, "node", "left").select("set_id", "text_key", F.coalesce("root", "node").alias("root")))
+    roots = components(confirmed_links(docs, members, words, least, part))
+    named = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    group = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "set_id").join(named.join(group, "root").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of smallest doc_id.
 
-    Fingerprints of 256 bits over distinct shingles tell a similarity of 0.8 from the rest far
-    better than 64 bits do. All columns stay as they are. Rows that repeat a doc_id are that
+    Documents link if the sets of their shingles are at least ``least`` similar. All columns stay as they are. Rows that repeat a doc_id are that
     document again, so one of them stays. A row whose doc_id is null cannot be told apart and stays.
     """
-    groups = near_duplicates(docs, words, bits, masks or drawn_masks(WIDE_MASKS, WIDE_WIDTH, WIDE_LANES), distinct=True)
+    groups = similar_groups(docs, words, least)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))

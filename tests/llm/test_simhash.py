@@ -133,3 +133,52 @@ def test_wide_large_nodes_give_the_same_groups(spark):
     near = {(i, j) for i in range(len(f)) for j in range(i) if int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 42}
     ids = [i for i, _ in similar_texts()]
     assert all(groups[0][ids[i]] == groups[0][ids[j]] for i, j in near) and len(near) >= 36
+
+
+def around_the_limit():
+    """Texts on both sides of a similarity of 0.8, many of them near it, and chains of such."""
+    rng, rows = random.Random(8), []
+    for g in range(60):
+        text = [f"b{g}x{rng.randrange(10**6)}" for _ in range(rng.choice([6, 9, 12, 40, 200, 300]))]
+        for _ in range(rng.randint(2, 5)):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            for _ in range(max(1, round(len(text) * rng.choice([0.012, 0.02, 0.022, 0.025, 0.04])))):
+                text[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+            text += [f"t{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 1, 2]))]
+    common = " ".join(f"common{i}" for i in range(60))
+    return rows + [(len(rows) + i, f"{common} " + " ".join(f"own{i}w{k}" for k in range(i % 30))) for i in range(90)]
+
+
+def test_groups_are_those_of_exact_similarity(spark):
+    rows = around_the_limit()
+    words = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), s in like.items():
+        if s >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert sum(0.8 <= s < 0.83 for s in like.values()) > 10 and sum(0.6 < s < 0.8 for s in like.values()) > 20
+    df = spark.createDataFrame([*rows, (9000, ""), (9001, None)], "doc_id long, text string")
+    want = {**{i: find(i) for i in sets}, 9000: 9000, 9001: 9000}
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(want.values())
+    for part in (simhash.PART, 16):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, part=part).collect()} == want
+
+
+def test_hot_shingles_come_last_and_lose_nothing():
+    rng = np.random.default_rng(5)
+    for n in range(1, 60):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.permutation(n)[: int(np.ceil(0.9 * n))]], rng.integers(0, 2**63, n // 10, dtype=np.uint64)]))
+        hot = np.sort(a[rng.random(n) < 0.5])
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.set_prefix(a, 0.8, hot), simhash.set_prefix(b, 0.8, hot)))

@@ -52,8 +52,8 @@ def smallest_by_hash(df: DataFrame, key: str, bound: int, seed: int = 11) -> Dat
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(bound)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, max_chars: int) -> list:
-    """A bounded sample of labelled documents, as rows (text, y) ordered by a seeded hash.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, max_chars: int, extra: tuple[str, ...] = ()) -> list:
+    """A bounded sample of labelled documents, as rows (text, y, *extra) ordered by a seeded hash.
 
     At most ``per_class`` rows of each class (0 and 1), none longer than ``max_chars`` and
     none of the held-out fold, so the driver receives at most
@@ -70,17 +70,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
         part = smallest_by_hash(known.where(F.col("y") == y), "doc_id", per_class + per_class // 4)
         picked = part if picked is None else picked.unionByName(part)
     texts = (
-        docs.select("doc_id", "text")
+        docs.select(*dict.fromkeys(["doc_id", "text", *extra]))
         .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
         .join(F.broadcast(picked), "doc_id")
-        .select("text", "y", F.xxhash64("doc_id", F.lit(5)).alias("o"), "doc_id")
+        .select(*dict.fromkeys(["text", "y", "doc_id", *extra]), F.xxhash64("doc_id", F.lit(5)).alias("o"))
     )
     rows = sorted(texts.collect(), key=lambda r: (r.o, r.doc_id, r.text))
     out, n = [], {0: 0, 1: 0}
     for r in rows:
         if n[r.y] < per_class:
             n[r.y] += 1
-            out.append((r.text, r.y))
+            out.append((r.text, r.y, *(r[c] for c in extra)))
     return out
 
 

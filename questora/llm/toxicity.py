@@ -3,12 +3,13 @@
 A word is the sum of two rows of one hashed embedding table, its own and its stem's (first
 letters), so inflected forms of a known stem are known. Filters of several widths slide over the whole text, the best
 place of each filter counts (max pooling), and a logistic layer scores the pooled values.
-Verdicts use a threshold per language, calibrated on part of the training rows; scores
-never see the language.
+Verdicts use a threshold per language, calibrated on all labelled rows outside the held-out fold,
+each scored by a network that did not learn from it; scores never see the language.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, training_rows
@@ -32,8 +33,10 @@ MAX_CHARS = 20_000
 EPOCHS = 8
 #: A word or stem is learnt if so many training texts have it.
 MIN_TEXTS = 3
-#: Labelled rows per language and class that calibrate a threshold.
-CALIBRATION = 200
+#: Parts of the training sample; each is scored for calibration by a network that learnt from the others.
+PARTS = 3
+#: Bins of calibration scores to one unit of the logit, which lies within 30 of 0.
+BINS = 50
 _WORD = re.compile(r"\w+")
 
 
@@ -201,41 +204,74 @@ def score_batch(net: Cnn, texts: list[str | None], key: int = 0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Cnn | None:
     """A network from a bounded sample of the labelled rows outside the held-out fold, with
     thresholds per language; None if no row is labelled."""
-    rows = training_rows(docs, labels, "toxic", folds, held, PER_CLASS, MAX_CHARS)
+    rows = training_rows(docs, labels, "toxic", folds, held, PER_CLASS, MAX_CHARS, ("doc_id", "lang"))
     if not rows:
         return None
-    net = train(rows)
-    net.thresholds = calibrate(net, docs, labels, folds, held)
+    net = train([r[:2] for r in rows])
+    net.thresholds = calibrate(net, rows, docs, labels, folds, held)
     return net
 
 
-def calibrate(net: Cnn, docs: DataFrame, labels: DataFrame, folds: int, held: int) -> dict[str, float]:
-    """Threshold per language: of the midpoints between scores, the one of least balanced error.
+def calibrate(net: Cnn, sample: list[tuple], docs: DataFrame, labels: DataFrame, folds: int, held: int) -> dict[str, float]:
+    """Threshold per language: of the cuts between bins of scores, the one of least balanced error.
 
-    At most ``CALIBRATION`` rows per language and class, by hash, are scored; a language
-    without rows of both classes keeps 0.5.
+    All labelled rows outside the held-out fold count. Those outside the training ``sample`` (text, y, doc_id, lang) are
+    scored by ``net``, those of the sample by networks that learnt from its other parts. Only
+    counts per language, class and bin reach the driver. A language without rows of both classes keeps 0.5.
     """
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    learnt = F.broadcast(spark.createDataFrame([(i,) for i in sorted({r[2] for r in sample})], f"doc_id {kind}"))
     known = (
-        labels.where(F.col("toxic").isin(0, 1) & (fold_remainder(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_remainder(F.col("doc_id"), folds) != held))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).join(learnt, "doc_id", "left_anti")
     )
-    found = score(docs.where(F.length("text") <= MAX_CHARS).join(known.where(F.xxhash64("doc_id", F.lit(23)) % 8 == 0), "doc_id"), net, extra=("lang", "y"))
-    rank = F.row_number().over(Window.partitionBy("lang", "y").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id"))
-    rows = found.where("lang IS NOT NULL").withColumn("r", rank).where(F.col("r") <= CALIBRATION).select("lang", "y", "score").collect()
-    by: dict[str, list[tuple[float, int]]] = {}
-    for r in rows:
-        by.setdefault(r["lang"], []).append((r["score"], r["y"]))
+    # Scored where they lie, so that no text moves to meet its label.
+    found = score(docs.where("lang IS NOT NULL"), net, extra=("lang",)).select("doc_id", "lang", score_bin(F.col("score")).alias("bin"))
+    counts = found.join(known, "doc_id").groupBy("lang", "y", "bin").agg(F.count("*").alias("n"))
+    by: dict[str, dict[int, list[int]]] = {}
+
+    def add(lang: str, y: int, at: int, n: int) -> None:
+        by.setdefault(lang, {}).setdefault(at, [0, 0])[y] += n
+
+    for r in counts.collect():
+        add(r["lang"], r["y"], r["bin"], r["n"])
+    for r, p in zip(*crossed(sample)):
+        if r[3] is not None:
+            add(r[3], r[1], math.floor(math.log(p / (1 - p)) * BINS), 1)
     return {lang: best_threshold(v) for lang, v in by.items()}
 
 
-def best_threshold(scored: list[tuple[float, int]]) -> float:
-    """The cut with the least sum of both error rates; among equals, the one nearest to 0.5."""
-    pos, neg = sorted(s for s, y in scored if y), sorted(s for s, y in scored if not y)
-    if not pos or not neg:
+def score_bin(p: Column) -> Column:
+    return F.floor(F.log(p / (1 - p)) * BINS).cast("int")
+
+
+def crossed(sample: list[tuple], parts: int = PARTS) -> tuple[list[tuple], list[float]]:
+    """The rows of the sample, and each one's score by a network that learnt from the other parts; a document lies in one part."""
+    part = [zlib.crc32(f"part {r[2]}".encode()) % parts for r in sample]
+    rows, scores = [], []
+    for k in range(parts):
+        own, rest = [r for r, x in zip(sample, part) if x == k], [r[:2] for r, x in zip(sample, part) if x != k]
+        if own and rest:
+            net = train(rest)
+            rows += own
+            scores += score_batch(net, [r[0] for r in own], zlib.crc32(net.out.tobytes())).tolist()
+    return rows, scores
+
+
+def best_threshold(bins: dict[int, list[int]]) -> float:
+    """The cut with the least sum of both error rates, from (clean, toxic) counts per bin; among equals, the one nearest to 0.5."""
+    at = sorted(bins)
+    clean, toxic = np.array([bins[b] for b in at], np.int64).T
+    if not clean.sum() or not toxic.sum():
         return 0.5
-    s = sorted({0.0, 1.0, *pos, *neg})
-    cuts = [0.5] + [(a + b) / 2 for a, b in zip(s, s[1:])]
-    p, n = np.array(pos), np.array(neg)
-    return min(cuts, key=lambda c: (round(float((p < c).mean() + (n >= c).mean()), 6), abs(c - 0.5)))
+    # A cut below each bin and one above all, halfway through the gap to the bin before; and 0.5 itself.
+    edges = np.array([at[0], *[(a + 1 + b) / 2 for a, b in zip(at, at[1:])], at[-1] + 1, 0.0])
+    below = np.searchsorted(at, edges)
+    miss = np.append(0, np.cumsum(toxic))[below] / toxic.sum()
+    false = 1 - np.append(0, np.cumsum(clean))[below] / clean.sum()
+    cuts = 1 / (1 + np.exp(-edges / BINS))
+    return float(min(zip(np.round(miss + false, 6), np.abs(cuts - 0.5), cuts))[2])
 
 
 def score(docs: DataFrame, net: Cnn | None, extra: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -368,7 +368,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node points at the neighbour (or itself) of least random priority and
     the edges are redrawn between the targets, which shrinks any graph, a path too, by a
-    constant share a round. Nothing but whether edges remain reaches the driver.
+    constant share a round. Nothing but whether edges remain reaches the driver, which builds no
+    broadcast tables either.
     """
     edges = cut(edges.where("src <> dst").distinct())
     roots, rnd = None, 0
@@ -381,9 +382,9 @@ def components(edges: DataFrame) -> DataFrame:
             roots = step.select("node", F.col("to").alias("root"))
         else:
             moved = step.select(F.col("node").alias("root"), "to")
-            roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            roots = cut(roots.join(moved.hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         a, b = step.select(F.col("node").alias("src"), F.col("to").alias("a")), step.select(F.col("node").alias("dst"), F.col("to").alias("b"))
-        edges = cut(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        edges = cut(edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         rnd += 1
     if roots is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
@@ -557,11 +558,11 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = SIMILARITY, p
     below = rows.select("set_id", *lanes, "prefix").dropDuplicates(["set_id"]).select(F.lit(0).cast("short").alias("mask"), F.explode("prefix").alias("pattern"), *lanes)
     near = components(links_below(below, lanes, WIDE_BITS))
     sets = cut(rows.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n")))
-    members = cut(sets.where("n > 0").join(near, "node", "left").select("set_id", "text_key", F.coalesce("root", "node").alias("root")))
+    members = cut(sets.where("n > 0").join(near.hint("merge"), "node", "left").select("set_id", "text_key", F.coalesce("root", "node").alias("root")))
     roots = components(confirmed_links(docs, members, words, least, part))
-    named = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = sets.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     group = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "set_id").join(named.join(group, "root").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+    return rows.select("doc_id", "set_id").join(named.join(group.hint("merge"), "root").select("set_id", "component_id").hint("merge"), "set_id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY) -> DataFrame:

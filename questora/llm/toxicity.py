@@ -256,6 +256,7 @@ def crossed(sample: list[tuple], parts: int = PARTS) -> tuple[list[tuple], list[
             net = train(rest)
             rows += own
             scores += score_batch(net, [r[0] for r in own], zlib.crc32(net.out.tobytes())).tolist()
+    _cache.clear()
     return rows, scores
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is made up only where the session names none, as in local tests."""
+    """The session's checkpoint folder.
+
+    One is made up only where the session names none and runs on one machine, as in tests; on a
+    cluster executors could not read it, so there an unset ``spark.checkpoint.dir`` is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="questora-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="questora-"))
     return sc.getCheckpointDir()
 
 
@@ -56,8 +64,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     """A bounded sample of labelled documents, as rows (text, y, *extra) ordered by a seeded hash.
 
     At most ``per_class`` rows of each class (0 and 1), none longer than ``max_chars`` and
-    none of the held-out fold, so the driver receives at most
-    ``2 * per_class * max_chars`` characters whatever the size of the corpus.
+    none of the held-out fold. The driver receives one row of each document drawn, a quarter
+    more than are used: at most ``2.5 * per_class * max_chars`` characters whatever the size of
+    the corpus and however often a document is repeated.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -73,9 +82,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
         docs.select(*dict.fromkeys(["doc_id", "text", *extra]))
         .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
         .join(F.broadcast(picked), "doc_id")
-        .select(*dict.fromkeys(["text", "y", "doc_id", *extra]), F.xxhash64("doc_id", F.lit(5)).alias("o"))
+        .groupBy("doc_id").agg(F.min(F.struct(*dict.fromkeys(["text", "y", *[c for c in extra if c != "doc_id"]]))).alias("r"))
+        .select("doc_id", "r.*", F.xxhash64("doc_id", F.lit(5)).alias("o"))
     )
-    rows = sorted(texts.collect(), key=lambda r: (r.o, r.doc_id, r.text))
+    rows = sorted(texts.collect(), key=lambda r: (r.o, r.doc_id))
     out, n = [], {0: 0, 1: 0}
     for r in rows:
         if n[r.y] < per_class:
@@ -84,6 +94,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     return out
 
 
+def by_size(texts: list, most: int) -> Iterator[list]:
+    """``texts`` in successive parts of about ``most`` characters; a longer text is a part of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "") + 16
+    if part:
+        yield part
+
+
+#: A key with this share of the rows is hot; so few keys can be that a table of them is small whatever the data.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, key: str, found: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``found(key, n, ...)``, where ``n`` says how many rows have the key; rows without a match go.
+
+    Keys of at least one in ``HOT_SHARE`` of the ``total`` rows, of which there are at most
+    ``HOT_SHARE``, meet their rows by broadcast, so that no task gets all rows of a hot key; the others join by key.
+    """
+    found = cut(found)
+    hot = found.where(F.col("n") * HOT_SHARE >= F.lit(total))
+    cold = found.where(F.col("n") * HOT_SHARE < F.lit(total)).drop("n").hint("merge")
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    few = F.broadcast(hot.drop("n"))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 #: Items up to which lists per key are broadcast, some 8 MB of hashes; beyond it they join by salted key.
 BROADCAST_ITEMS = 1_000_000
 SALTS = 32

@@ -6,6 +6,9 @@ between neighbouring languages; forward-backward gives every word's chance of ea
 so text that switches language is labelled where it switches. A document's language is the
 one with the largest mean chance over its words.
 
+A run of letters of over ``PIECE`` characters, as in scripts written without spaces, counts as
+several words, so every character of a text has its say.
+
 Training labels are those of whole documents. Chains are sewn together from stretches of
 different documents, so that the transitions learn what a switch costs.
 """
@@ -22,19 +25,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_remainder
+from .common import by_size, cut, fold_remainder
 
 FEATURES = 1 << 17
 #: Words of a chain; a text is a row of chains, none of it left out.
 CHAIN = 64
-#: Bound of the training sample: so many documents per language of the LANGS most frequent ones, none longer than so many characters.
-PER_LANG = 300
-LANGS = 64
+#: Letters of a word; a longer run is cut into successive words.
+PIECE = 24
+#: Bound of the training sample: so many documents per language, fewer if there are so many languages that ``SAMPLE`` documents
+#: would not do, but ``LEAST`` at any rate; none longer than so many characters. Every language is learnt.
+PER_LANG, SAMPLE, LEAST = 300, 20_000, 20
 MAX_CHARS = 6_000
 EPOCHS = 3
 #: A word is in the lexicon if so many training documents have it.
 LEXICON_DOCS = 5
-_WORD = re.compile(r"[^\W\d_]+")
+#: Languages up to which a table of their counts is broadcast.
+MANY = 10_000
+#: Numbers in a table of chances that is worked on at once.
+ROOM = 4_000_000
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % PIECE)
 
 
 class Hashed(dict):
@@ -56,8 +65,8 @@ _three, _one, _prefix, _suffix, _whole = (Hashed(kind) for kind in "31psw")
 
 def word_features(w: str, lexicon: frozenset) -> list[int]:
     marked = f"^{w}$"
-    out = [_three[marked[i: i + 3]] for i in range(min(len(marked) - 2, 24))]
-    out += [_one[c] for c in dict.fromkeys(w[:24])]
+    out = [_three[marked[i: i + 3]] for i in range(len(marked) - 2)]
+    out += [_one[c] for c in dict.fromkeys(w)]
     out += [_prefix[w[:2]], _prefix[w[:3]], _suffix[w[-2:]], _suffix[w[-3:]]]
     if w in lexicon:
         out.append(_whole[w])
@@ -135,9 +144,9 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> C
     stay = np.lexsort((rng.random(len(own)), home))
     ids = np.concatenate([pieces[i][0] for i in stay])
     gold = np.concatenate([np.full(len(pieces[i][0]), pieces[i][1]) for i in stay])
-    n_chains = max(1, len(ids) // CHAIN)
-    ids, gold = ids[: n_chains * CHAIN] if len(ids) >= CHAIN else ids, gold[: n_chains * CHAIN] if len(gold) >= CHAIN else gold
-    ids, gold = ids.reshape(n_chains, -1), gold.reshape(n_chains, -1)
+    # The last chain is filled up from the front, so no word is left out.
+    n_chains = -(-len(ids) // CHAIN)
+    ids, gold = np.resize(ids, (n_chains, CHAIN)), np.resize(gold, (n_chains, CHAIN))
     w, moves = np.zeros((FEATURES, k), np.float32), np.zeros((k, k))
     w2, m2 = np.full((FEATURES, k), 1e-3, np.float32), np.full((k, k), 1e-2)
     for _ in range(epochs):
@@ -196,36 +205,46 @@ def label_words(crf: Crf, texts: list[str | None], key: int = 0) -> list[np.ndar
     if not total:
         return [np.empty((0, len(crf.langs))) for _ in lists]
     flat = np.fromiter((i for ids in lists for i in ids), np.int64, total)
-    # Chains: each text cut every CHAIN words.
+    # Chains: each text cut every CHAIN words. Those of like length are worked on together, so many at a time that a table of chances stays small.
+    starts = np.array([begin + at for begin, n in zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes) for at in range(0, n, CHAIN)])
     lengths = np.array([min(CHAIN, n - at) for n in sizes for at in range(0, n, CHAIN)])
-    slot = np.arange(CHAIN)[None] < lengths[:, None]
-    e = np.zeros((len(lengths), CHAIN, len(crf.langs)))
-    e[slot] = _cache["table"][flat]
-    post = chances(e, lengths, crf.moves)[0]
-    return np.split(post[slot], np.cumsum(sizes)[:-1])
+    order, k = np.argsort(lengths, kind="stable"), len(crf.langs)
+    out, at = np.empty((total, k)), 0
+    while at < len(order):
+        some = order[at: at + max(1, ROOM // (CHAIN * k))]
+        at += len(some)
+        width = int(lengths[some].max())
+        slot = np.arange(width)[None] < lengths[some][:, None]
+        words = (starts[some][:, None] + np.arange(width)[None])[slot]
+        e = np.zeros((len(some), width, k))
+        e[slot] = _cache["table"][flat[words]]
+        out[words] = chances(e, lengths[some], crf.moves)[0][slot]
+    return np.split(out, np.cumsum(sizes)[:-1])
 
 
 def fit(docs: DataFrame, folds: int = 3, held: int = 1) -> Crf | None:
     """A model from a bounded sample of the rows with a language outside the held-out fold.
 
-    At most ``PER_LANG`` rows of each of the ``LANGS`` most frequent languages, chosen by a hash of doc_id.
+    At most ``PER_LANG`` documents of each language, those whose ids hash lowest; every language is learnt.
+    Rows that repeat a doc_id are one document.
     """
     known = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= MAX_CHARS) & (fold_remainder(F.col("doc_id"), folds) != held)
-    ).select("doc_id", "lang")
-    often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
-    # The lowest hashes per language: a few rows of each (language, bucket) group are ranked apart before they meet.
-    h = F.xxhash64("doc_id", F.lit(17))
-    bucket = known.withColumn("h", h).withColumn("b", F.pmod(F.shiftright(F.col("h"), 8), F.lit(64)))
-    inner = F.row_number().over(Window.partitionBy("lang", "b").orderBy("h", "doc_id"))
-    outer = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = (
-        bucket.withColumn("r", inner).where(F.col("r") <= PER_LANG).withColumn("r", outer).where(F.col("r") <= PER_LANG)
-        .join(F.broadcast(often.select("lang")), "lang").select("doc_id").distinct()
-    )
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS)).join(F.broadcast(picked), "doc_id")
-    got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in rows.collect()))
-    return train([(t, lang) for _, t, lang in got])
+    ).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(17)).alias("h"))
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")))
+    k = counts.count()
+    if not k:
+        return None
+    most = max(LEAST, min(PER_LANG, SAMPLE // k))
+    # Some four times as many as are wanted are let through by the hash alone, so that ranking a language, however large, sees few rows.
+    among = F.col("n") * (F.col("h") / F.lit(float(2**64)) + 0.5)
+    few = known.join(F.broadcast(counts) if k <= MANY else counts, "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = few.where(among < 4 * most + 100).select("doc_id", "lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= most).select("doc_id", "lang").withColumnRenamed("lang", "__lang")
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS)).join(F.broadcast(picked), "doc_id").where("lang = __lang")
+    one = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = sorted((r["doc_id"], r["lang"], r["text"]) for r in one.collect())
+    return train([(t, lang) for _, lang, t in got])
 
 
 def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,21 +259,10 @@ def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
         return src.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switches"))
     key = zlib.crc32(crf.moves.tobytes())
 
-    def groups(texts: list) -> Iterator[list]:
-        part, size = [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t or "")
-            if size > 500_000:
-                yield part
-                part, size = [], 0
-        if part:
-            yield part
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score, n, switches = [], [], [], []
-            for part in groups(b.column(1).to_pylist()):
+            for part in by_size(b.column(1).to_pylist(), 500_000):
                 for p in label_words(crf, part, key):
                     if len(p):
                         mean, best = p.mean(0), p.argmax(1)

@@ -114,14 +114,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
-    """The mix itself: each document once per whole repetition, and its first words for a part.
+    """The mix itself: each document once per whole repetition, and for a part its text up to the last word taken.
 
-    The columns are those of ``docs``; ``n_chars``, if there is one, follows the text.
+    The columns are those of ``docs``; ``n_chars``, if there is one, follows the text. A null
+    text has no words and is repeated as it stands; an empty table gives no rows.
     """
     copies = F.array_repeat(F.lit(False), F.col("__whole").cast("int"))
     partly = F.when(F.col("__cut") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
     rows = _planned(docs, weights, epochs, seed, None).withColumn("__partly", F.explode(F.concat(copies, partly)))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__cut").cast("int"), F.lit(1))), " ")
+    # Each word with the white space before it, so that lines stay lines.
+    spaced = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    head = F.array_join(F.slice(spaced, F.lit(1), F.greatest(F.col("__cut").cast("int"), F.lit(1))), "")
     text = F.when(F.col("__partly"), head).otherwise(F.col("text"))
 
     def column(name: str) -> Column:

@@ -56,10 +56,10 @@ def sequences(docs: DataFrame, max_len: int = MAX_LEN, n_tokens: Column | None =
     """(doc_id, seq, start, n_tokens): every document in pieces of at most ``max_len`` tokens.
 
     A document longer than the model's context is cut into full pieces and a rest, none of it
-    dropped; one without tokens is a piece of none. Tokens are words unless counted otherwise.
+    dropped; one without tokens, or of a null count, is a piece of none. Tokens are words unless counted otherwise.
     """
     total = word_count(F.col("text")) if n_tokens is None else n_tokens
-    base = docs.select("doc_id", total.alias("n_all"))
+    base = docs.select("doc_id", F.coalesce(total, F.lit(0)).alias("n_all"))
     pieces = F.greatest(F.ceil(F.col("n_all") / max_len), F.lit(1)).cast("int")
     each = base.select("doc_id", "n_all", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("seq"))
     start = F.col("seq").cast("long") * max_len

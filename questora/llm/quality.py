@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_rows
+from .common import by_size, training_rows
 
 DIMS = 1 << 18
 #: Bound of the training sample: so many rows of each class, none longer than so many characters.
@@ -119,7 +119,7 @@ def score(docs: DataFrame, w: np.ndarray | None, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [score_batch(b.column(1).slice(i, 256).to_pylist(), w) for i in range(0, b.num_rows, 256)]
+            out = [score_batch(part, w) for part in by_size(b.column(1).to_pylist(), 500_000)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], names=["doc_id", "score"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")

@@ -16,8 +16,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_lists
-from .site_lines import line_keys, normal_line
+from .common import by_size, with_lists
+from .site_lines import frequent_lines, line_keys
 
 WINDOW = 5
 #: A line is removed if more documents of its host have it than this share, and than this number.
@@ -95,15 +95,7 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, group, size = [], [], 0
-            for text in b.column(0).to_pylist():
-                group.append(text)
-                size += len(text or "")
-                if size > 1_000_000:
-                    found += _stats(group)
-                    group, size = [], 0
-            if group:
-                found += _stats(group)
+            found = [r for group in by_size(b.column(0).to_pylist(), 1_000_000) for r in _stats(group)]
             cols = [pa.array([r[i] for r in found], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*rest, *names])
 
@@ -111,15 +103,6 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return src.mapInArrow(run, out)
 
 
-def frequent_lines(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
-    """(host, items): hashes of the lines above both limits; ``docs(host, text)``."""
-    each = docs.select("host", F.explode(F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: k.isNotNull()))).alias("line"))
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    totals = docs.groupBy("host").agg(F.count("*").alias("docs"))
-    over = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).where(F.col("n") > F.col("docs") * F.lit(share))
-    return over.groupBy(counts["host"]).agg(F.collect_list("line").alias("items"))
-
-
 def apply_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
     """(doc_id, the counts, n_lines_removed, n_words_left, base_failed, kept).
 
@@ -130,11 +113,12 @@ def apply_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DO
     itself, null sources form one host, a null text has no words.
     """
     src = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
-    often = frequent_lines(src.select(F.col("source").alias("host"), "text"), share, least).withColumnRenamed("host", "source")
-    lines = F.split(F.col("text"), "\n", -1)
-    gone = F.filter(lines, lambda x: F.array_contains(F.col("lines"), F.xxhash64(normal_line(x))))
-    # Nothing is removed where the host has no frequent line, so most texts are not split again.
-    marked = with_lists(src, "source", often, "lines").withColumn("__gone", F.when(F.col("lines").isNotNull() & F.col("text").isNotNull(), gone))
+    often = frequent_lines(src.select(F.col("source").alias("host"), line_keys(F.col("text")).alias("keys")), share, least).withColumnRenamed("host", "source")
+    joined = with_lists(src, "source", often, "lines").withColumn("__keys", F.when(F.col("lines").isNotNull(), line_keys(F.col("text"))))
+    own = joined.withColumn("__own", F.array_intersect("__keys", "lines"))
+    gone = F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: F.coalesce(F.array_contains("__own", F.get("__keys", i)), F.lit(False)))
+    # Nothing is removed where the text has no frequent line, so most texts are not split again.
+    marked = own.withColumn("__gone", F.when(F.size("__own") > 0, gone))
     slim = marked.select(
         "doc_id", "text", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_lines_removed"),
         F.when(F.size("__gone") > 0, F.regexp_count(F.array_join("__gone", "\n"), F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(0).cast("long").alias("__removed"),

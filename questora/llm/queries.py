@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, packing, quality, quality_rules, secrets, simhash, site_lines, topk, toxicity
-from .common import fold_remainder, table
+from .common import cut, fold_remainder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    found = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,18 +42,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", site_lines.page_host(F.col("url")).alias("host"), site_lines.page_text(F.col("html")).alias("text"))
-    out = site_lines.dedup_lines(pages, F.col("host"))
+    out = site_lines.dedup_lines(pages, F.col("host"), write=True)
     return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
-    scored = toxicity.score(docs, net, extra=("lang",))
+    labels = table(spark, sf_dir, "labels")
+    net, sample = toxicity.learnt(docs, labels, folds=5, held=0)
+    scored = cut(toxicity.score(docs, net, extra=("lang",)))
+    limits = toxicity.calibrate(sample, scored, labels, folds=5, held=0) if net is not None else {}
     held = fold_remainder(F.col("doc_id"), 5) == 0
     return scored.select(
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        (F.col("score") >= toxicity.threshold(net, F.col("lang"))).alias("rejected"),
+        (F.col("score") >= toxicity.threshold(limits, F.col("lang"))).alias("rejected"),
     )
 
 

@@ -10,11 +10,14 @@
    of a similarity of 0.8, ``drawn_masks`` draws bits of a fingerprint of several 64-bit lanes;
    ``similar_groups`` loses none of those either, with shared shingles for upper nodes, and
    confirms the links by the shingle sets.
-4. Below an upper node the fingerprints lie in Gray-rank order, in leaves. A leaf knows the
-   bits that all its members share; the differences of two leaves' shared bits add up
-   on the way down, and a pair of leaves beyond ``bits`` is pruned as a whole.
-5. An upper node of more than ``LEAF`` fingerprints is dealt out: its range-sorted leaves
-   become rows of their own and each surviving pair of leaves is one unit of work, so
+4. Below an upper node the fingerprints lie in Gray-rank order, in twigs, and twigs in
+   branches. A branch or twig knows the bits that all its members share. On the way down the
+   differences accumulate: what two branches' shared bits differ in, then what their twigs'
+   further shared bits add, then the rest of the bits of the fingerprints themselves; a pair
+   of groups beyond ``bits`` is pruned as a whole at the level where it gets there.
+5. An upper node of more than ``LEAF`` fingerprints is dealt out: its Gray-ordered leaves
+   become rows of their own, leaves meet groups of leaves (limbs) first and single leaves only
+   below a limb that is near enough, and each surviving pair of leaves is one unit of work, so
    no task holds a large node and none is capped.
 6. A unit of work returns a spanning forest of its links, never all pairs. Random-priority
    contraction, a few joins per round, turns the forests into components.
@@ -31,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SALTS, by_size, cut, looked_up
 
 #: Fingerprints that one task compares below an upper node; larger nodes are dealt out by leaf.
 LEAF = 4096
-#: Fingerprints in a leaf inside a task.
-TWIG = 64
+#: Fingerprints of a twig, and twigs of a branch.
+TWIG, BRANCH = 64, 8
+#: A limb of a dealt-out node has 2 ** LIMB_BITS leaves.
+LIMB_BITS = 6
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LANES = np.uint64(0x0101010101010101)
 
@@ -158,6 +163,14 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(2**63)))
 
 
+def gray_order(f: np.ndarray) -> np.ndarray:
+    """Row numbers of fingerprints (rows, lanes) in the order of the Gray rank, lane by lane."""
+    ranks = f.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        ranks ^= ranks >> np.uint64(shift)
+    return np.lexsort(ranks.T[::-1])
+
+
 def _signed(m: int) -> int:
     return m - 2**64 if m >= 2**63 else m
 
@@ -197,10 +210,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], ids[lab[keep]]
 
 
-def _twigs(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.arange(0, len(f), TWIG)
+def _shared(f: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of ``size`` rows the bits' values (members' AND) and a mask of the bits that all members share."""
+    at = np.arange(0, len(f), size)
     low, high = np.bitwise_and.reduceat(f, at), np.bitwise_or.reduceat(f, at)
-    return at, low, ~(low ^ high)
+    return low, ~(low ^ high)
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -212,23 +226,41 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def near_links(f: np.ndarray, g: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of at most ``bits`` bits, as row numbers, within Gray-ordered ``f`` (rows, lanes), or between ``f`` and ``g``."""
+    """Links of at most ``bits`` bits, as row numbers, within Gray-ordered ``f`` (rows, lanes), or between ``f`` and ``g``.
+
+    Branches, twigs and rows are the levels. Each level adds the differences in the bits that
+    its groups share and the level above did not, and keeps the pairs within ``bits``.
+    """
     same = g is None
     g = f if same else g
-    fa, fv, fm = _twigs(f)
-    ga, gv, gm = _twigs(g)
-    out_a, out_b = [], []
-    for i, at in enumerate(fa):
-        # Differences in the bits that all members of both leaves share bound every pair below.
-        near = np.bitwise_count((fv[i] ^ gv) & fm[i] & gm).sum(1) <= bits
-        if same:
-            near[:i] = False
-        rows = f[at: at + TWIG, None]
-        for j in ga[near]:
-            x, y = np.nonzero(_distance(rows, g[None, j: j + TWIG]) <= bits)
-            out_a.append(at + x)
-            out_b.append(j + y)
-    return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
+    levels = [TWIG * BRANCH, TWIG, 1]
+    # Pairs of groups that are left, and the differences counted for them so far in the bits of ``done``.
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(-(-len(f) // levels[0])), np.arange(-(-len(g) // levels[0])), indexing="ij"))
+    so_far, done = np.zeros(len(i), np.int32), None
+    for n, size in enumerate(levels):
+        (fv, fm), (gv, gm) = _shared(f, size), _shared(g, size)
+        fan = 1 if n == 0 else levels[n - 1] // size
+        kids, out = np.arange(fan), []
+        # Some pairs at a time: each has fan * fan pairs of children.
+        step = max(1, 1_000_000 // (fan * fan))
+        for at in range(0, len(i), step):
+            a = (i[at: at + step, None, None] * fan + kids[:, None]).repeat(fan, 2)
+            b = (j[at: at + step, None, None] * fan + kids[None, :]).repeat(fan, 1)
+            ok = (a < len(fv)) & (b < len(gv))
+            if same:
+                ok &= a <= b if n < len(levels) - 1 else a < b
+            which = np.nonzero(ok)
+            a, b, up = a[which], b[which], at + which[0]
+            both = fm[a] & gm[b]
+            fresh = both if done is None else both & ~done[up]
+            d = so_far[up] + np.bitwise_count((fv[a] ^ gv[b]) & fresh).sum(1).astype(np.int32)
+            near = d <= bits
+            out.append((a[near], b[near], d[near], both[near] if n < len(levels) - 1 else None))
+        if not out:
+            break
+        i, j, so_far = (np.concatenate([o[k] for o in out]) for k in range(3))
+        done = np.concatenate([o[3] for o in out]) if n < len(levels) - 1 else None
+    return i, j
 
 
 def _small_links(node: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -320,31 +352,42 @@ def links_below(below: DataFrame, lanes: list[str], bits: int, leaf: int = LEAF)
 
 
 def _links_of_large(members: DataFrame, lanes: list[str], bits: int, leaf: int) -> DataFrame:
-    """Links below large upper nodes, by pairs of Gray-ordered leaves."""
+    """Links below large upper nodes, by pairs of Gray-ordered leaves.
+
+    Each leaf meets the limbs of its node, dealt by leaf so that no task gets a node whole, and
+    then the leaves of those limbs whose shared bits leave a link possible.
+    """
 
     def into_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n, seen, before = TaskContext.get().partitionId(), 0, 0, None
+        # Rows of the node before this batch, its key, and the number of the leaf that is open.
+        carry, key, n = 0, None, TaskContext.get().partitionId() << 32
         for b in batches:
-            ids = []
-            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if key != before or seen == leaf:
-                    n, seen, before = n + 1, 0, key
-                seen += 1
-                ids.append((part << 32) | n)
+            if not b.num_rows:
+                continue
+            node = np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()], 1)
+            new = np.concatenate([[key is None or (node[0] != key).any()], (node[1:] != node[:-1]).any(1)])
+            rows = np.arange(len(node))
+            start = np.maximum.accumulate(np.where(new, rows, -carry))
+            ids = n + np.cumsum((rows - start) % leaf == 0)
+            carry, key, n = int(len(node) - start[-1]), node[-1], int(ids[-1])
             yield pa.RecordBatch.from_arrays([*b.columns[: 2 + len(lanes)], pa.array(ids, pa.int64())], names=["mask", "pattern", *lanes, "leaf"])
 
     ordered = members.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange("mask", "pattern", "rank").sortWithinPartitions("mask", "pattern", "rank")
     rows = cut(ordered.mapInArrow(into_leaves, ", ".join(["mask short, pattern long", *[f"{c} long" for c in lanes], "leaf long"])))
-    shared = [F.bitwise_not(F.bit_and(c).bitwiseXOR(F.bit_or(c))).alias(f"shared_{c}") for c in lanes]
-    leaves = cut(rows.groupBy("mask", "pattern", "leaf").agg(*[F.bit_and(c).alias(f"low_{c}") for c in lanes], *shared))
-    other = leaves.select("mask", "pattern", *[F.col(c).alias(f"{c}_2") for c in leaves.columns[2:]])
-    apart = F.lit(0)
-    for c in lanes:
-        differ = F.col(f"low_{c}").bitwiseXOR(F.col(f"low_{c}_2"))
-        apart = apart + F.bit_count(differ.bitwiseAND(F.col(f"shared_{c}")).bitwiseAND(F.col(f"shared_{c}_2")))
-    pairs = leaves.join(other, ["mask", "pattern"]).where((F.col("leaf") <= F.col("leaf_2")) & (apart <= bits)).select("leaf", "leaf_2")
+    leaves = cut(_shared_bits(rows, lanes, "leaf", "").withColumn("limb", F.shiftright("leaf", LIMB_BITS)))
+    limbs = _shared_bits(rows.withColumn("limb", F.shiftright("leaf", LIMB_BITS)), lanes, "limb", "_up").withColumnRenamed("limb", "limb_up")
+    salt = F.pmod(F.xxhash64("leaf"), F.lit(SALTS))
+    dealt = limbs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    above = leaves.withColumn("salt", salt.cast("int")).join(dealt, ["mask", "pattern", "salt"]).where(F.col("limb") <= F.col("limb_up"))
+    counted = [F.col(f"shared_{c}").bitwiseAND(F.col(f"shared_{c}_up")) for c in lanes]
+    far = lambda other, among: sum((F.bit_count(F.col(f"low_{c}").bitwiseXOR(F.col(f"low_{c}{other}")).bitwiseAND(x)) for c, x in zip(lanes, among)), F.lit(0))
+    near = above.withColumn("so_far", far("_up", counted)).where(F.col("so_far") <= bits)
+    lower = leaves.select("mask", "pattern", F.col("limb").alias("limb_up"), F.col("leaf").alias("leaf_2"), *[F.col(f"{p}_{c}").alias(f"{p}_{c}_2") for c in lanes for p in ("low", "shared")])
+    fresh = [F.col(f"shared_{c}").bitwiseAND(F.col(f"shared_{c}_2")).bitwiseAND(F.bitwise_not(x)) for c, x in zip(lanes, counted)]
+    both = near.withColumn("salt", F.pmod(F.xxhash64("leaf", F.lit(1)), F.lit(SALTS)).cast("int")).join(lower.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["mask", "pattern", "limb_up", "salt"])
+    pairs = both.where((F.col("leaf") <= F.col("leaf_2")) & (F.col("so_far") + far("_2", fresh) <= bits)).select("leaf", "leaf_2")
     sides = pairs.select("leaf", "leaf_2", F.explode(F.array_distinct(F.array("leaf", "leaf_2"))).alias("side"))
     work = sides.join(rows.select(F.col("leaf").alias("side"), *lanes), "side")
 
@@ -352,8 +395,9 @@ def _links_of_large(members: DataFrame, lanes: list[str], bits: int, leaf: int)
         import pandas as pd
 
         f = {}
-        for s, part in pdf.sort_values("fp").groupby("side"):
-            f[s] = np.ascontiguousarray(part[lanes].to_numpy()).view(np.uint64)
+        for s, part in pdf.groupby("side"):
+            x = np.ascontiguousarray(part[lanes].to_numpy()).view(np.uint64)
+            f[s] = x[gray_order(x)]
         left, right = f[key[0]], f[key[1]]
         a, b = near_links(left, None if key[0] == key[1] else right, bits)
         a, b = node_ids(left[a]), node_ids(right[b])
@@ -363,6 +407,12 @@ def _links_of_large(members: DataFrame, lanes: list[str], bits: int, leaf: int)
     return work.groupBy("leaf", "leaf_2").applyInPandas(compare, "src long, dst long")
 
 
+def _shared_bits(rows: DataFrame, lanes: list[str], group: str, suffix: str) -> DataFrame:
+    """Per ``group`` of a node the lanes' AND, and a mask of the bits that all its fingerprints share."""
+    shared = [F.bitwise_not(F.bit_and(c).bitwiseXOR(F.bit_or(c))).alias(f"shared_{c}{suffix}") for c in lanes]
+    return rows.groupBy("mask", "pattern", group).agg(*[F.bit_and(c).alias(f"low_{c}{suffix}") for c in lanes], *shared)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(src, dst)``; equal roots mark one component.
 
@@ -408,11 +458,22 @@ def near_duplicates(
     lanes = lane_names(len(masks[0]))
     node = "node" if len(lanes) > 1 else "fp"
     fps = cut(fingerprints(docs, words, id_col, text_col, len(lanes), distinct))
-    nodes = cut(fps.groupBy(*dict.fromkeys([node, *lanes])).agg(F.min("doc_id").alias("first_id")))
+    nodes = cut(fps.groupBy(*dict.fromkeys([node, *lanes])).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(links(nodes.select(*lanes), bits, masks, leaf))
-    named = nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
-    group = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(named.join(group, "root").select(node, "component_id"), node).select("doc_id", "fp", "component_id")
+    return named(fps, nodes, roots, node).select("doc_id", "fp", "component_id")
+
+
+def named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``rows`` with ``component_id``: the smallest first_id of the nodes with the same root.
+
+    ``nodes(node, first_id, n)`` says how many rows a node has, ``roots(node, root)`` has the
+    linked nodes alone. Neither the nodes of a giant group nor the rows of a giant node meet in one task.
+    """
+    linked = cut(nodes.select(node, "first_id").join(roots.withColumnRenamed("node", node).hint("merge"), node))
+    group = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    of_node = looked_up(linked.select(node, "root"), "root", group, linked.count()).select(node, "component_id")
+    whole = nodes.select(node, "first_id", "n").join(of_node.hint("merge"), node, "left")
+    return looked_up(rows, node, whole.select(node, "n", F.coalesce("component_id", "first_id").alias("component_id")), rows.count())
 
 
 #: Least similarity (Jaccard, of the sets of five-word shingles) of near copies.
@@ -441,13 +502,13 @@ def hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                found = [np.unique(shingle_hashes(t, words)) for t in b.column(0).slice(at, 256).to_pylist()]
+            for texts in by_size(b.column(0).to_pylist(), 500_000):
+                found = [np.unique(shingle_hashes(t, words)) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["t"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(HOT_SHARE)) == 0).select(F.col("text").cast("string").alias("text"))
     often = some.mapInArrow(run, "t long").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "t").limit(HOT_MOST)
-    return np.sort(np.array([r.t for r in often.collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("t").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def shingle_sets(docs: DataFrame, words: int, least: float, hot: np.ndarray) -> DataFrame:
@@ -507,30 +568,30 @@ def similar_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.
 
 
 def confirmed_links(docs: DataFrame, members: DataFrame, words: int, least: float, part: int = PART) -> DataFrame:
-    """(src, dst): links of set_ids that are truly similar, within the candidate groups ``members(set_id, text_key, root)``.
+    """(src, dst): links of set_ids that are truly similar, within the candidate groups ``members(set_id, first_id, text_key, root)``.
 
-    Each set's shingles are made again from a text that has them. A group of more than ``part`` sets is
+    Each set's shingles are made again from one document that has them. A group of more than ``part`` sets is
     dealt into parts, and each pair of parts is one unit of work, so no task holds a large group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                fresh = []
-                for i, s in enumerate(b.column("set_id").to_pylist()):
-                    if s not in seen:
-                        seen.add(s)
-                        fresh.append(i)
-                b = b.take(pa.array(fresh, pa.int64()))
-                sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column("text").to_pylist()]
+            # A document that is repeated brings its set once.
+            fresh = [i for i, s in enumerate(whole.column("set_id").to_pylist()) if not (s in seen or seen.add(s))]
+            whole, at = whole.take(pa.array(fresh, pa.int64())), 0
+            for texts in by_size(whole.column("text").to_pylist(), 500_000):
+                b = whole.slice(at, len(texts))
+                at += len(texts)
+                sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column("root"), b.column("size"), b.column("set_id"), pa.array(sets, pa.binary())], names=["root", "size", "set_id", "shingles"])
 
-    sizes = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    wanted = members.join(sizes, "root")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(wanted, "text_key").select("root", "size", "set_id", "text").mapInArrow(run, "root long, size long, set_id long, shingles binary")
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    total = members.count()
+    wanted = looked_up(members, "root", sizes.where("size > 1").withColumn("n", F.col("size")), total).select(F.col("first_id").alias("__id"), F.col("text_key").alias("__key"), "root", "size", "set_id")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    mine_of = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["text_key"] == F.col("__key")))
+    rows = mine_of.select("root", "size", "set_id", "text").mapInArrow(run, "root long, size long, set_id long, shingles binary")
     parts = F.ceil(F.col("size") / F.lit(part)).cast("int")
     mine = F.pmod(F.xxhash64("set_id", F.lit(7)), parts).cast("int")
     others = F.filter(F.sequence(F.lit(0), parts - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
@@ -551,18 +612,20 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = SIMILARITY, p
 
     Upper nodes of the index are shingles: of each set the first in one order of all shingles, so many that
     two sets that similar share one. Fingerprints below one node within ``WIDE_BITS`` bits make candidate
-    groups, and inside these every link is confirmed by the shingle sets themselves.
+    groups, and inside these every link is confirmed by the shingle sets themselves. Texts without a word
+    are one group of exact copies.
     """
     lanes = lane_names(WIDE_LANES)
     rows = cut(shingle_sets(docs, words, least, hot_shingles(docs, words)))
+    slim = rows.select("doc_id", "text_key", "set_id", "n", "node")
     below = rows.select("set_id", *lanes, "prefix").dropDuplicates(["set_id"]).select(F.lit(0).cast("short").alias("mask"), F.explode("prefix").alias("pattern"), *lanes)
     near = components(links_below(below, lanes, WIDE_BITS))
-    sets = cut(rows.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n")))
-    members = cut(sets.where("n > 0").join(near.hint("merge"), "node", "left").select("set_id", "text_key", F.coalesce("root", "node").alias("root")))
+    sets = cut(slim.groupBy("set_id", "node").agg(F.min(F.struct("doc_id", "text_key")).alias("f"), F.max("n").alias("size"), F.count("*").alias("n")).select("set_id", "node", "f.*", "size", "n").withColumnRenamed("doc_id", "first_id"))
+    members = cut(sets.where("size > 0").join(near.hint("merge"), "node", "left").select("set_id", "first_id", "text_key", F.coalesce("root", "node").alias("root")))
     roots = components(confirmed_links(docs, members, words, least, part))
-    named = sets.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    group = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "set_id").join(named.join(group.hint("merge"), "root").select("set_id", "component_id").hint("merge"), "set_id").select("doc_id", "component_id")
+    # The smallest doc_id that is not null names a group; a struct's minimum may be that of a row without one.
+    smallest = slim.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    return named(slim.select("doc_id", "set_id"), smallest, roots, "set_id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY) -> DataFrame:

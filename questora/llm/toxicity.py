@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, training_rows
+from .common import fold_remainder, stored, training_rows
 
 ROWS = 1 << 16
 DIM = 16
@@ -204,31 +204,34 @@ def score_batch(net: Cnn, texts: list[str | None], key: int = 0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Cnn | None:
     """A network from a bounded sample of the labelled rows outside the held-out fold, with
     thresholds per language; None if no row is labelled."""
-    rows = training_rows(docs, labels, "toxic", folds, held, PER_CLASS, MAX_CHARS, ("doc_id", "lang"))
-    if not rows:
-        return None
-    net = train([r[:2] for r in rows])
-    net.thresholds = calibrate(net, rows, docs, labels, folds, held)
+    net, sample = learnt(docs, labels, folds, held)
+    if net is not None:
+        net.thresholds = calibrate(sample, score(docs.where("lang IS NOT NULL"), net, extra=("lang",)), labels, folds, held)
     return net
 
 
-def calibrate(net: Cnn, sample: list[tuple], docs: DataFrame, labels: DataFrame, folds: int, held: int) -> dict[str, float]:
+def learnt(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> tuple[Cnn | None, list[tuple]]:
+    """A network without thresholds, and the sample (text, y, doc_id, lang) it learnt from; None if no row is labelled."""
+    rows = training_rows(docs, labels, "toxic", folds, held, PER_CLASS, MAX_CHARS, ("doc_id", "lang"))
+    return (train([r[:2] for r in rows]) if rows else None), rows
+
+
+def calibrate(sample: list[tuple], scored: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> dict[str, float]:
     """Threshold per language: of the cuts between bins of scores, the one of least balanced error.
 
-    All labelled rows outside the held-out fold count. Those outside the training ``sample`` (text, y, doc_id, lang) are
-    scored by ``net``, those of the sample by networks that learnt from its other parts. Only
-    counts per language, class and bin reach the driver. A language without rows of both classes keeps 0.5.
+    All labelled rows outside the held-out fold count. Those outside the training ``sample`` count with their
+    score in ``scored(doc_id, lang, score)``, those of the sample with that of a network that learnt from its
+    other parts, so no row is judged by a network that saw it. Only counts per language, class and bin reach
+    the driver. A language without rows of both classes keeps 0.5.
     """
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    learnt = F.broadcast(spark.createDataFrame([(i,) for i in sorted({r[2] for r in sample})], f"doc_id {kind}"))
+    kind = scored.schema["doc_id"].dataType.simpleString()
+    seen = F.broadcast(scored.sparkSession.createDataFrame([(i,) for i in sorted({r[2] for r in sample})], f"doc_id {kind}"))
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_remainder(F.col("doc_id"), folds) != held))
-        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).join(learnt, "doc_id", "left_anti")
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).join(seen, "doc_id", "left_anti")
     )
-    # Scored where they lie, so that no text moves to meet its label.
-    found = score(docs.where("lang IS NOT NULL"), net, extra=("lang",)).select("doc_id", "lang", score_bin(F.col("score")).alias("bin"))
-    counts = found.join(known, "doc_id").groupBy("lang", "y", "bin").agg(F.count("*").alias("n"))
+    found = scored.where("lang IS NOT NULL").select("doc_id", "lang", score_bin(F.col("score")).alias("bin"))
+    counts = found.join(known.hint("merge"), "doc_id").groupBy("lang", "y", "bin").agg(F.count("*").alias("n"))
     by: dict[str, dict[int, list[int]]] = {}
 
     def add(lang: str, y: int, at: int, n: int) -> None:
@@ -293,14 +296,41 @@ def score(docs: DataFrame, net: Cnn | None, extra: tuple[str, ...] = (), id_col:
     return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[1:]) + ", score double")
 
 
-def threshold(net: Cnn | None, lang: Column) -> Column:
-    """The calibrated threshold of a language; 0.5 for one that had none."""
-    if net is None or not net.thresholds:
+def threshold(limits: dict[str, float], lang: Column) -> Column:
+    """The calibrated threshold of a language; 0.5 for one that had none, and for null."""
+    if not limits:
         return F.lit(0.5)
-    pairs = [x for k, v in sorted(net.thresholds.items()) for x in (F.lit(k), F.lit(float(v)))]
+    pairs = [x for k, v in sorted(limits.items()) for x in (F.lit(k), F.lit(float(v)))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), lang), F.lit(0.5))
 
 
+def clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """``docs`` without the rows that a network learnt from ``labels`` rejects; columns stay.
+
+    Every text is scored once: the scores are written with the rows, calibrate the thresholds and decide.
+    Without labelled rows every row stays.
+    """
+    net, sample = learnt(docs, labels, folds, held)
+    if net is None:
+        return docs
+    scored = stored(with_score(docs, net), "scored")
+    limits = calibrate(sample, scored.select("doc_id", "lang", F.col("__score").alias("score")), labels, folds, held)
+    return scored.where(F.col("__score") < threshold(limits, F.col("lang"))).drop("__score")
+
+
+def with_score(docs: DataFrame, net: Cnn) -> DataFrame:
+    """``docs`` with ``__score``, the chance of its ``text`` to be toxic; a null or empty text is one gap."""
+    key = zlib.crc32(net.out.tobytes())
+    schema = docs.select("*", F.lit(0.0).alias("__score")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [score_batch(net, b.column("text").slice(i, 512).to_pylist(), key) for i in range(0, b.num_rows, 512)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*b.schema.names, "__score"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def drop_toxic(docs: DataFrame, net: Cnn | None) -> DataFrame:
     """``docs`` without the rows whose score reaches their language's threshold; columns stay.
 

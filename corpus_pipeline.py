@@ -21,7 +21,7 @@ WORDS, SIMILARITY = 5, simhash.SIMILARITY
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labelled documents."""
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash", near_copies), ("mixing", mix), ("packing", batches)]
 
-#: SQL cannot express the trained classifier or the hash-based groups; the tests hold the stages against brute force.
+#: SQL cannot express the trained classifier or the hash-based groups; tests/llm/test_pipeline.py holds each stage against a plain loop.
 ORACLE_SQL = None
 
 

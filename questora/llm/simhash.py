@@ -19,8 +19,8 @@
    become rows of their own, leaves meet groups of leaves (limbs) first and single leaves only
    below a limb that is near enough, and each surviving pair of leaves is one unit of work, so
    no task holds a large node and none is capped.
-6. A unit of work returns a spanning forest of its links, never all pairs. Random-priority
-   contraction, a few joins per round, turns the forests into components.
+6. A unit of work returns a spanning forest of its links, never all pairs. Rounds of stars,
+   two joins each, turn the forests into components.
 """
 
 from __future__ import annotations
@@ -414,31 +414,27 @@ def _shared_bits(rows: DataFrame, lanes: list[str], group: str, suffix: str) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges(src, dst)``; equal roots mark one component.
+    """(node, root) for every node of ``edges(src, dst)``, where the root is the smallest node of its component.
 
-    Each round every node points at the neighbour (or itself) of least random priority and
-    the edges are redrawn between the targets, which shrinks any graph, a path too, by a
-    constant share a round. Nothing but whether edges remain reaches the driver, which builds no
-    broadcast tables either.
+    Stars in turn: every node links its larger neighbours to the least of its neighbours and itself, and then
+    its smaller ones and itself to the least of those. A group that hangs on one node is done in one round and
+    long paths shrink by a constant share. The rounds end when no link changes; the driver sees a count and a
+    checksum of each. A node with very many links meets them by broadcast of its one row.
     """
-    edges = cut(edges.where("src <> dst").distinct())
-    roots, rnd = None, 0
-    while not edges.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(rnd)).alias("p"), F.col(c).alias("n"))
-        ends = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = ends.groupBy("src").agg(F.min(order("dst")).alias("m"))
-        step = cut(least.select(F.col("src").alias("node"), F.when(F.col("m") < order("src"), F.col("m.n")).otherwise(F.col("src")).alias("to")))
-        if roots is None:
-            roots = step.select("node", F.col("to").alias("root"))
-        else:
-            moved = step.select(F.col("node").alias("root"), "to")
-            roots = cut(roots.join(moved.hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        a, b = step.select(F.col("node").alias("src"), F.col("to").alias("a")), step.select(F.col("node").alias("dst"), F.col("to").alias("b"))
-        edges = cut(edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-        rnd += 1
-    if roots is None:
-        return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-    return roots
+    down = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = lambda links: tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    now = mark(down)
+    while now[0]:
+        both = down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = cut(looked_up(both.where("b > a"), "a", least, 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        tied = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        down = cut(looked_up(large, "a", least, now[0]).select(tied.alias("l")).select("l.*").where("a <> b").distinct())
+        before, now = now, mark(down)
+        if now == before:
+            break
+    return down.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(down.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicates(

@@ -40,6 +40,10 @@ from .common import SALTS, by_size, cut, looked_up
 LEAF = 4096
 #: Fingerprints of a twig, and twigs of a branch.
 TWIG, BRANCH = 64, 8
+#: One in so many fingerprints is counted to find the large nodes.
+SEEN = 16
+#: Pairs that are looked at in one step.
+PAIRS = 1 << 17
 #: A limb of a dealt-out node has 2 ** LIMB_BITS leaves.
 LIMB_BITS = 6
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -225,42 +229,64 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tie(lab: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins, in place, the components that the links (x, y) connect; each node's label is the least node of its component."""
+    while True:
+        lx, ly = lab[x], lab[y]
+        apart = lx != ly
+        if not apart.any():
+            return
+        low = np.minimum(lx, ly)[apart]
+        np.minimum.at(lab, lx[apart], low)
+        np.minimum.at(lab, ly[apart], low)
+        while (lab[lab] != lab).any():
+            lab[:] = lab[lab]
+
+
 def near_links(f: np.ndarray, g: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of at most ``bits`` bits, as row numbers, within Gray-ordered ``f`` (rows, lanes), or between ``f`` and ``g``.
+    """A forest with the components of the links of at most ``bits`` bits within Gray-ordered ``f`` (rows, lanes), or
+    between ``f`` and ``g``; as row numbers, those of ``g`` after those of ``f``.
 
     Branches, twigs and rows are the levels. Each level adds the differences in the bits that
-    its groups share and the level above did not, and keeps the pairs within ``bits``.
+    its groups share and the level above did not, and keeps the pairs within ``bits``. Rows that
+    are tied already are not compared.
     """
     same = g is None
-    g = f if same else g
+    g, offset = (f, 0) if same else (g, len(f))
     levels = [TWIG * BRANCH, TWIG, 1]
+    lab = np.arange(len(f) + (0 if same else len(g)))
     # Pairs of groups that are left, and the differences counted for them so far in the bits of ``done``.
     i, j = (x.ravel() for x in np.meshgrid(np.arange(-(-len(f) // levels[0])), np.arange(-(-len(g) // levels[0])), indexing="ij"))
     so_far, done = np.zeros(len(i), np.int32), None
     for n, size in enumerate(levels):
         (fv, fm), (gv, gm) = _shared(f, size), _shared(g, size)
         fan = 1 if n == 0 else levels[n - 1] // size
-        kids, out = np.arange(fan), []
+        kids, out, last = np.arange(fan), [], n == len(levels) - 1
         # Some pairs at a time: each has fan * fan pairs of children.
-        step = max(1, 1_000_000 // (fan * fan))
+        step = max(1, PAIRS // (fan * fan))
         for at in range(0, len(i), step):
             a = (i[at: at + step, None, None] * fan + kids[:, None]).repeat(fan, 2)
             b = (j[at: at + step, None, None] * fan + kids[None, :]).repeat(fan, 1)
             ok = (a < len(fv)) & (b < len(gv))
             if same:
-                ok &= a <= b if n < len(levels) - 1 else a < b
+                ok &= a < b if last else a <= b
             which = np.nonzero(ok)
             a, b, up = a[which], b[which], at + which[0]
+            if last:
+                new = lab[a] != lab[offset + b]
+                a, b, up = a[new], b[new], up[new]
             both = fm[a] & gm[b]
             fresh = both if done is None else both & ~done[up]
             d = so_far[up] + np.bitwise_count((fv[a] ^ gv[b]) & fresh).sum(1).astype(np.int32)
             near = d <= bits
-            out.append((a[near], b[near], d[near], both[near] if n < len(levels) - 1 else None))
-        if not out:
-            break
-        i, j, so_far = (np.concatenate([o[k] for o in out]) for k in range(3))
-        done = np.concatenate([o[3] for o in out]) if n < len(levels) - 1 else None
-    return i, j
+            if last:
+                _tie(lab, a[near], offset + b[near])
+            else:
+                out.append((a[near], b[near], d[near], both[near]))
+        if not last:
+            i, j, so_far, done = (np.concatenate([o[k] for o in out]) for k in range(4)) if out else (i[:0], j[:0], so_far[:0], np.zeros((0, f.shape[1]), np.uint64))
+    rows = np.flatnonzero(lab != np.arange(len(lab)))
+    return rows, lab[rows]
 
 
 def _small_links(node: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,8 +366,13 @@ def links(nodes: DataFrame, bits: int, masks: list[tuple[int, ...]], leaf: int =
 
 
 def links_below(below: DataFrame, lanes: list[str], bits: int, leaf: int = LEAF) -> DataFrame:
-    """(src, dst): forests that join the fingerprints that hang below one upper node of ``below(mask, pattern, *lanes)`` within ``bits`` bits."""
-    large = cut(below.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("mask", "pattern"))
+    """(src, dst): forests that join the fingerprints that hang below one upper node of ``below(mask, pattern, *lanes)`` within ``bits`` bits.
+
+    Which nodes are large is told from one in ``SEEN`` of the fingerprints: it decides how a node is worked on, not what comes out.
+    """
+    share = SEEN if leaf >= 64 * SEEN else 1
+    some = below.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(share)) == 0)
+    large = cut(some.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") * share > leaf).select("mask", "pattern"))
     has_large = not large.isEmpty()
     small = below.join(large, ["mask", "pattern"], "left_anti") if has_large else below
     runs = small.repartition(F.col("mask"), F.col("pattern")).sortWithinPartitions("mask", "pattern", gray_rank(F.col("fp")))
@@ -399,9 +430,9 @@ def _links_of_large(members: DataFrame, lanes: list[str], bits: int, leaf: int)
             x = np.ascontiguousarray(part[lanes].to_numpy()).view(np.uint64)
             f[s] = x[gray_order(x)]
         left, right = f[key[0]], f[key[1]]
-        a, b = near_links(left, None if key[0] == key[1] else right, bits)
-        a, b = node_ids(left[a]), node_ids(right[b])
-        a, b = forest(a[a != b], b[a != b]) if (a != b).any() else (a[:0], b[:0])
+        one = key[0] == key[1]
+        ids = node_ids(left if one else np.concatenate([left, right]))
+        a, b = (ids[x] for x in near_links(left, None if one else right, bits))
         return pd.DataFrame({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
     return work.groupBy("leaf", "leaf_2").applyInPandas(compare, "src long, dst long")
@@ -480,8 +511,8 @@ WIDE_LANES, WIDE_BITS = 4, 84
 #: A shingle in so many of the documents looked at (one in ``HOT_SHARE``) is hot; at most ``HOT_MOST`` are kept. Hot shingles come
 #: last in the order of all shingles, which any order may be, so these numbers decide about work and not about results.
 HOT, HOT_SHARE, HOT_MOST = 64, 16, 500_000
-#: Shingle sets that one task compares exactly; larger candidate groups are dealt out by pairs of parts.
-PART = 1024
+#: Shingles of the sets that one part of a candidate group holds; a task compares two parts exactly, larger groups are dealt out by pairs of parts.
+PART = 1_000_000
 
 
 def set_prefix(h: np.ndarray, least: float, hot: np.ndarray) -> np.ndarray:
@@ -564,10 +595,10 @@ def similar_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.
 
 
 def confirmed_links(docs: DataFrame, members: DataFrame, words: int, least: float, part: int = PART) -> DataFrame:
-    """(src, dst): links of set_ids that are truly similar, within the candidate groups ``members(set_id, first_id, text_key, root)``.
+    """(src, dst): links of set_ids that are truly similar, within the candidate groups ``members(set_id, first_id, text_key, size, root)``.
 
-    Each set's shingles are made again from one document that has them. A group of more than ``part`` sets is
-    dealt into parts, and each pair of parts is one unit of work, so no task holds a large group.
+    Each set's shingles are made again from one document that has them. A group of more than ``part`` shingles, set
+    by set, is dealt into parts, and each pair of parts is one unit of work, so no task holds a large group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -582,9 +613,9 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, least: floa
                 sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column("root"), b.column("size"), b.column("set_id"), pa.array(sets, pa.binary())], names=["root", "size", "set_id", "shingles"])
 
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     total = members.count()
-    wanted = looked_up(members, "root", sizes.where("size > 1").withColumn("n", F.col("size")), total).select(F.col("first_id").alias("__id"), F.col("text_key").alias("__key"), "root", "size", "set_id")
+    wanted = looked_up(members.drop("size"), "root", sizes.withColumnRenamed("shingles", "size"), total).select(F.col("first_id").alias("__id"), F.col("text_key").alias("__key"), "root", "size", "set_id")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     mine_of = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["text_key"] == F.col("__key")))
     rows = mine_of.select("root", "size", "set_id", "text").mapInArrow(run, "root long, size long, set_id long, shingles binary")
@@ -614,10 +645,10 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = SIMILARITY, p
     lanes = lane_names(WIDE_LANES)
     rows = cut(shingle_sets(docs, words, least, hot_shingles(docs, words)))
     slim = rows.select("doc_id", "text_key", "set_id", "n", "node")
-    below = rows.select("set_id", *lanes, "prefix").dropDuplicates(["set_id"]).select(F.lit(0).cast("short").alias("mask"), F.explode("prefix").alias("pattern"), *lanes)
+    below = rows.groupBy("set_id", *lanes).agg(F.first("prefix").alias("prefix")).select(F.lit(0).cast("short").alias("mask"), F.explode("prefix").alias("pattern"), *lanes)
     near = components(links_below(below, lanes, WIDE_BITS))
     sets = cut(slim.groupBy("set_id", "node").agg(F.min(F.struct("doc_id", "text_key")).alias("f"), F.max("n").alias("size"), F.count("*").alias("n")).select("set_id", "node", "f.*", "size", "n").withColumnRenamed("doc_id", "first_id"))
-    members = cut(sets.where("size > 0").join(near.hint("merge"), "node", "left").select("set_id", "first_id", "text_key", F.coalesce("root", "node").alias("root")))
+    members = cut(sets.where("size > 0").join(near.hint("merge"), "node", "left").select("set_id", "first_id", "text_key", "size", F.coalesce("root", "node").alias("root")))
     roots = components(confirmed_links(docs, members, words, least, part))
     # The smallest doc_id that is not null names a group; a struct's minimum may be that of a row without one.
     smallest = slim.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))

@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a search.
-STOP_WORDS = (
-    "the a an of to in on for and or is are was were be been being by with as at from this that it its their his her "
-    "they them he she we you i which what who whom whose when where why how name named called known used also only not "
-    "no than into over under after before during about more most new first world which these those there here had has "
-    "have has does did do your my our"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "is", "are", "was", "were", "be", "been", "being", "by", "with", "as", "at", "from",
+    "this", "that", "it", "its", "their", "his", "her", "they", "them", "he", "she", "we", "you", "i", "which", "what", "who", "whom", "whose",
+    "when", "where", "why", "how", "name", "named", "called", "known", "used", "also", "only", "not", "no", "than", "into", "over", "under", "after",
+    "before", "during", "about", "more", "most", "new", "first", "world", "which", "these", "those", "there", "here", "had", "has", "have", "has",
+    "does", "did", "do", "your", "my", "our",
+]
 
 # Numbers as words in a request.
 WORD_NUMBERS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,18 @@ from ..functions import vectors
 
 
 def exact_repeats(batch: DataFrame, key: Column, order: str, vault: DataFrame | None = None) -> DataFrame:
-    """``batch`` with ``key_hash``, ``first_id`` and ``is_repeat``: a repeat has an equal key before it or in the vault."""
+    """``batch`` with ``key_hash``, ``first_id`` and ``is_repeat``: a repeat has an equal key before it or in the vault.
+
+    First ids are aggregated map-side. Keys of one in a thousand rows or more - a thousand at most - come back by
+    broadcast, so the rows of a hot key, such as all empty texts, stay where they are.
+    """
     h = batch.withColumn("key_hash", key)
-    out = h.withColumn("first_id", F.min(order).over(Window.partitionBy("key_hash")))
+    firsts = h.groupBy("key_hash").agg(F.min(order).alias("first_id"), F.count("*").alias("__n"))
+    shared = firsts.where("__n > 1").join(F.broadcast(h.agg(F.count("*").alias("__all"))))
+    hot = shared.where("__n * 1000 >= __all").select("key_hash", F.col("first_id").alias("__hot"))
+    cold = shared.where("__n * 1000 < __all").select("key_hash", F.col("first_id").alias("__cold"))
+    out = h.join(F.broadcast(hot), "key_hash", "left").join(cold, "key_hash", "left")
+    out = out.withColumn("first_id", F.coalesce("__hot", "__cold", F.col(order))).drop("__hot", "__cold")
     repeat = F.col("first_id") != F.col(order)
     if vault is not None:
         seen = vault.select(F.col("key_hash"), F.lit(True).alias("__seen")).distinct()
@@ -20,18 +31,42 @@ def exact_repeats(batch: DataFrame, key: Column, order: str, vault: DataFrame |
     return out.withColumn("is_repeat", repeat).drop("__seen")
 
 
-def neighbours(queries: DataFrame, base: DataFrame, threshold: float, top: int, earlier_only: bool = False) -> DataFrame:
-    """(id, other, sim, rank): the ``top`` nearest base vectors of each query at ``threshold`` or more.
+#: Rows of a block and queries of a chunk of a vector search, on average.
+BLOCK, CHUNK = 4096, 1024
+
 
-    The query set is stated and meets all rows in blocks: it is broadcast where the optimiser
-    sees it as small. ``earlier_only`` compares within a batch, a row with those before it.
+def neighbours(queries: DataFrame, base: DataFrame, threshold: float, top: int | None, earlier_only: bool = False) -> DataFrame:
+    """(id, other, sim, rank): the ``top`` nearest base vectors of each query, or all of them, at a cosine of ``threshold`` or more.
+
+    The query set is stated and meets all rows in blocks: each pair of a chunk of queries and a block of rows is one
+    unit of work, one matrix product, of which the ``top`` of each query go on. ``earlier_only`` compares a row
+    with those of smaller id. Vectors that are null, empty, zero or of another length take no part.
     """
-    q = queries.select(F.col("id"), F.col("embedding").alias("a"))
-    b = base.select(F.col("id").alias("other"), F.col("embedding").alias("b"))
-    pair = (F.col("other") < F.col("id")) if earlier_only else (F.col("other") != F.col("id"))
-    sim = q.join(b, pair).select("id", "other", vectors.cosine(F.col("a"), F.col("b")).alias("sim")).where(F.col("sim") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
-    return sim.withColumn("rank", rank).where(F.col("rank") <= top)
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & (vectors.norm(F.col("embedding")) > 0)).select("id", "embedding", F.size("embedding").alias("dims"))
+    q, r = usable(queries), usable(base)
+    blocks, chunks = max(1, round(r.count() / BLOCK)), max(1, round(q.count() / CHUNK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    asks = q.select("*", F.lit(True).alias("asks"), deal(chunks).alias("c"), numbers(blocks).alias("b"))
+    rows = r.select("*", F.lit(False).alias("asks"), numbers(chunks).alias("c"), deal(blocks).alias("b"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "other": [], "sim": []}).astype({"id": "int64", "other": "int64", "sim": "float64"})
+        x, y = (np.stack(s["embedding"].to_numpy()).astype(np.float64) for s in (a, b))
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+        sim, ids, others = x @ y.T, a["id"].to_numpy(), b["id"].to_numpy()
+        ok = (sim >= threshold) & ((others[None] < ids[:, None]) if earlier_only else (others[None] != ids[:, None]))
+        if top is not None and len(others) > top:
+            kth = np.partition(np.where(ok, sim, -np.inf), -top, axis=1)[:, -top]
+            ok &= sim >= kth[:, None]
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"id": ids[i], "other": others[j], "sim": sim[i, j]})
+
+    found = asks.unionByName(rows).groupBy("dims", "b", "c").applyInPandas(work, "id long, other long, sim double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other")))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRESHOLD, top: int = 5) -> DataFrame:
@@ -42,7 +77,7 @@ def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRES
     stay comparable. Both sides have id, question, answer, embedding.
     """
     def best(base: DataFrame, earlier: bool, name: str) -> DataFrame:
-        near = neighbours(batch, base, threshold, top if not earlier else 2**31 - 1, earlier)
+        near = neighbours(batch, base, threshold, None if earlier else top, earlier)
         q = batch.select("id", F.col("question").alias("q"), F.col("answer").alias("a"))
         o = base.select(F.col("id").alias("other"), F.col("question").alias("oq"), F.col("answer").alias("oa"))
         ok = near.join(q, "id").join(o, "other").where(vectors.plausible(F.col("q"), F.col("a"), F.col("oq"), F.col("oa"), F.col("sim"), threshold))
@@ -53,23 +88,25 @@ def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRES
     return out.select("id", F.when(hit.isNotNull(), "POSSIBLE_DUPLICATE").otherwise("UNIQUE").alias("duplicate_status"), hit["other"].alias("duplicate_of_id"), F.round(hit["sim"], 4).alias("duplicate_similarity"))
 
 
-def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float, max_share: float = 1.0) -> DataFrame:
-    """Pairs of rows whose token sets have a Jaccard similarity above ``threshold``, by prefix filtering.
+def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
+    """(a, b, sim): links of rows whose token sets have a Jaccard similarity above ``threshold``, by prefix filtering.
 
-    Tokens are ordered from rare to frequent. Sets above the threshold must share one of the
-    first |x| - ceil(t |x|) + 1 tokens, so only those few rare tokens are joined on.
+    Equal sets fold into one class first, named by its smallest key: links run between classes, and from each class
+    to its further rows with similarity 1, so n copies are n - 1 rows. Tokens are ordered from rare to frequent. Sets
+    above the threshold must share one of the first |x| - ceil(t |x|) + 1 tokens, so only keys and sizes join on those
+    few rare tokens, and the sets come in afterwards to be compared.
     """
-    sets = docs.select(F.col(key), F.array_distinct(tokens).alias("toks")).where(F.size("toks") > 0)
+    rows = docs.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("toks")).where(F.size("toks") > 0)
+    known = rows.select(key, F.xxhash64("toks").alias("h1"), F.xxhash64("toks", F.lit(1)).alias("h2"), "toks")
+    sets = known.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("toks").alias("toks"), F.count("*").alias("n"))
     df = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ordered = sets.select(key, F.explode("toks").alias("t")).join(df, "t").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-    ordered = ordered.select(key, F.transform("s", lambda x: x["t"]).alias("toks"))
-    n = F.size("toks")
-    prefix = ordered.withColumn("t", F.explode(F.slice("toks", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)))
-    a = prefix.select("t", F.col(key).alias("a"), F.col("toks").alias("ta"))
-    b = prefix.select("t", F.col(key).alias("b"), F.col("toks").alias("tb"))
-    size = F.size("ta") >= F.size("tb") * threshold
-    size2 = F.size("tb") >= F.size("ta") * threshold
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & size & size2).dropDuplicates(["a", "b"])
+    ordered = sets.select("id", F.explode("toks").alias("t")).join(df, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    n = F.size("s")
+    prefix = ordered.select("id", n.alias("n"), F.explode(F.transform(F.slice("s", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1), lambda x: x["t"])).alias("t"))
+    a, b = (prefix.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
     inter = F.size(F.array_intersect("ta", "tb"))
-    sim = inter / (F.size("ta") + F.size("tb") - inter)
-    return pairs.select("a", "b", sim.alias("sim")).where(F.col("sim") > threshold)
+    near = both.select("a", "b", (inter / (F.size("ta") + F.size("tb") - inter)).alias("sim")).where(F.col("sim") > threshold)
+    copies = known.select(F.col(key).alias("b"), "h1", "h2").join(sets.where("n > 1").select("h1", "h2", F.col("id").alias("a")), ["h1", "h2"]).where("a <> b")
+    return near.unionByName(copies.select("a", "b", F.lit(1.0).alias("sim")))

@@ -163,7 +163,9 @@ def quotas(df: DataFrame, tier: str, order: list, wanted: dict[str, int]) -> Dat
 
 def stratified(df: DataFrame, stratum: str, key: str, each: int, small: int, seed: int = 7) -> DataFrame:
     """``each`` rows of a stratum by seeded hash, ``small`` of one that has fewer rows than ``each``."""
-    w = Window.partitionBy(stratum)
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)))
-    ranked = df.withColumn("__n", F.count("*").over(w)).withColumn("pos", F.row_number().over(w.orderBy(h, key)))
-    return ranked.where(F.col("pos") <= F.when(F.col("__n") >= each, each).otherwise(small)).drop("__n")
+    # A literal limit on the rank lets each partition pass on only its first rows.
+    few = df.withColumn("pos", F.row_number().over(Window.partitionBy(stratum).orderBy(h, key))).where(F.col("pos") <= max(each, small))
+    counts = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
+    ranked = few.join(counts, F.col(stratum).eqNullSafe(F.col("__s")))
+    return ranked.where(F.col("pos") <= F.when(F.col("__n") >= each, each).otherwise(small)).drop("__n", "__s")

@@ -46,6 +46,28 @@ def bm25(index: Index, query: dict[str, float], k1: float = K1, b: float = B) ->
     return hits.groupBy("doc").agg(F.sum(part).alias("score"))
 
 
+def scores(docs: DataFrame, key: str, bag: Column, query: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
+    """(key, score) as ``bm25`` has it, without an index: for one query over a table that has none.
+
+    Each row keeps its length and the counts of the query's words alone; only one row of sums is shuffled, and
+    it comes back by broadcast. Rows that share no word are left out.
+    """
+    words = list(query)
+    if not words:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    each = docs.select(key, bag.alias("__bag"))
+    counts = F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.size(F.filter("__hits", lambda t: t == w)))
+    slim = each.select(key, F.size("__bag").alias("__dl"), F.filter("__bag", lambda t: t.isin(words)).alias("__hits")).select(key, "__dl", counts.alias("__tf"))
+    sums = slim.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(words))])
+    rows = slim.where(F.exists("__tf", lambda n: n > 0)).join(F.broadcast(sums))
+    score = F.lit(0.0)
+    for i, (w, weight) in enumerate(query.items()):
+        tf, df = F.col("__tf")[i], F.col(f"__df{i}")
+        idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
+        score = score + F.lit(float(weight)) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__dl") / F.col("__avg")))
+    return rows.select(key, score.alias("score"))
+
+
 def expand(tokens: list[str], synonyms: dict[str, list[str]], weight: float = 0.4) -> dict[str, float]:
     """A query bag: words of the query weigh 1 each time, synonyms' words at most ``weight``."""
     bag: dict[str, float] = {}

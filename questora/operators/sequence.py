@@ -54,35 +54,55 @@ def slide_kind(scores: dict[str, Column]) -> Column:
     return F.array_max(ranked)["k"]
 
 
+#: Wordings of a slide between a round of questions and their answers.
+DIVIDER = (
+    r"(?i)\b(please\s+hand\s+in\s+your\s+sheets|answers\s+follow|let['’]?s\s+discuss\s+(the\s+)?answers|preliminary\s+round\s+answers|prelim\s+answers"
+    r"|time\s+for\s+(the\s+)?answers|now\s+for\s+(the\s+)?answers)\b|^\s*(answers|solutions)\s*$"
+)
+
+
 def classify_decks(slides: DataFrame) -> DataFrame:
     """``slides`` with ``slide_type``: own kind, then one pass in order that sees the kinds already settled.
 
-    The pass depends on its own results, so it is a fold per deck; a deck is a bounded group.
+    In a deck of two sections, questions before the divider are QUESTION_PREVIEW. The pass depends on the
+    kind it gave the slide before, so it is a fold over a deck's slides as one ordered array; a deck is a bounded
+    group. Rows whose document or number repeats stay rows of their own; slides without a number come first.
     """
+    title, text = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "extracted_text"))
     s = slide_scores(F.col("title"), F.col("extracted_text"), F.col("speaker_notes"), F.col("slide_number"))
-    src = slides.withColumns({"__kind": slide_kind(s), "__section": s["SECTION_MARKER"], "__board": s["SCOREBOARD"], "__question": s["QUESTION"]})
-    columns = list(slides.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slides.schema) + ", slide_type string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slide_number", kind="stable").reset_index(drop=True)
-        kinds = list(pdf["__kind"])
-        for i, row in enumerate(pdf.itertuples(index=False, name=None)):
-            r = dict(zip(pdf.columns, row))
-            before, after = (kinds[i - 1] if i else None), (kinds[i + 1] if i + 1 < len(kinds) else None)
-            here = kinds[i]
-            if after == "ANSWER_TRANSITION" and here != "SECTION_MARKER":
-                kinds[i] = "QUESTION"
-                continue
-            if before == "ANSWER_TRANSITION" and here in ("CONTENT", "TITLE", "QUESTION") and r["__section"] < 0.6:
-                kinds[i] = "ANSWER"
-            elif before == "QUESTION" and here in ("CONTENT", "TITLE") and r["__section"] < 0.5 and r["__board"] < 0.5:
-                kinds[i] = "ANSWER"
-            if here == "ANSWER" and "?" in (r["extracted_text"] or "") and r["__question"] >= 0.5:
-                kinds[i] = "QUESTION"
-        return pdf[columns].assign(slide_type=kinds)
-
-    return src.groupBy("document_id").applyInPandas(fold, schema)
+    asks = F.concat(text, title).rlike(r"^\s*\d+[.)]|\?")
+    own = slides.withColumns({
+        "__kind": slide_kind(s), "__section": s["SECTION_MARKER"], "__board": s["SCOREBOARD"], "__question": s["QUESTION"], "__asks": asks,
+        "__divides": F.concat_ws(" ", title, text).rlike(DIVIDER), "__bare": text.rlike(TRANSITION),
+    })
+    payload = F.struct(F.col("slide_number").alias("__at"), *[F.col(c) for c in slides.columns if c != "document_id"], *[F.col(c) for c in own.columns if c.startswith("__")])
+    decks = own.groupBy("document_id").agg(F.sort_array(F.collect_list(payload)).alias("deck"))
+    n, at = F.size("deck"), lambda f: F.transform("deck", f)
+    # The first divider in the middle of the deck, with two questions on either side of it.
+    places = F.filter(F.transform("deck", lambda x, i: F.when(x["__divides"] & (i >= 4) & (i < F.least(n - 2, F.floor(n * 0.85))), i)), lambda i: i.isNotNull())
+    start = F.when(n >= 6, F.get(places, 0))
+    asked = F.col("asked")
+    count = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x)
+    marked = decks.withColumns({"start": start, "asked": at(lambda x: x["__asks"].cast("int"))})
+    two = F.col("start").isNotNull() & (count(F.slice(asked, F.lit(1), F.greatest(F.col("start"), F.lit(0)))) >= 2) & (count(F.slice(asked, F.col("start") + 1, n)) >= 2)
+    preview = lambda x, i: F.when(two & (i < F.col("start")) & (x["__kind"] == "QUESTION"), "QUESTION_PREVIEW").otherwise(x["__kind"])
+    first = marked.withColumn("first", F.transform("deck", preview))
+
+    def settle(state: Column, i: Column) -> Column:
+        x, here, before = F.get("deck", i), F.get("first", i), state["last"]
+        after = F.get("first", i + 1)
+        shown = (after == "ANSWER_TRANSITION") | F.coalesce(F.get("deck", i + 1)["__bare"], F.lit(False))
+        answer = ((before == "ANSWER_TRANSITION") & here.isin("CONTENT", "TITLE", "QUESTION") & (x["__section"] < 0.6)) | (
+            (before == "QUESTION") & here.isin("CONTENT", "TITLE") & (x["__section"] < 0.5) & (x["__board"] < 0.5)
+        )
+        recheck = (here == "ANSWER") & F.coalesce(x["extracted_text"].contains("?"), F.lit(False)) & (x["__question"] >= 0.5)
+        kind = F.when(F.coalesce(shown, F.lit(False)) & (here != "SECTION_MARKER"), "QUESTION").when(recheck, "QUESTION").when(F.coalesce(answer, F.lit(False)), "ANSWER").otherwise(here)
+        return F.struct(kind.alias("last"), F.array_append(state["kinds"], kind).alias("kinds"))
+
+    begin = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("kinds"))
+    kinds = F.aggregate(F.sequence(F.lit(0), n - 1), begin, settle, lambda state: state["kinds"])
+    each = first.select("document_id", F.explode(F.arrays_zip("deck", kinds.alias("kinds"))).alias("s"))
+    return each.select(*[F.col("document_id") if c == "document_id" else F.col(f"s.deck.{c}").alias(c) for c in slides.columns], F.col("s.kinds").alias("slide_type"))
 
 
 def layout(slides: DataFrame, deck: str, at: str, kind: str, divider: Column) -> DataFrame:

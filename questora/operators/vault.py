@@ -121,7 +121,7 @@ def reviewed_gold(gold: DataFrame, decisions: DataFrame, parents: DataFrame, key
     ``parents`` gives l1 of each l2. ``changed_from`` is the old label of a row that a decision touched, else null.
     """
     d = decisions.select(key, F.upper(F.trim("decision")).alias("__d"), F.col("predicted").alias("__p"))
-    g = gold.join(d, key, "left").join(F.broadcast(parents.select(F.col("l2").alias("__p"), F.col("l1").alias("__l1"))), "__p", "left")
+    g = gold.join(d, key, "left").join(parents.select(F.col("l2").alias("__p"), F.col("l1").alias("__l1")), "__p", "left")
     known = F.coalesce(F.col("__d").isin("UPDATE_GOLD", "ADD_ALT", "KEEP_GOLD"), F.lit(False))
     update, add = F.coalesce(F.col("__d") == "UPDATE_GOLD", F.lit(False)), F.coalesce(F.col("__d") == "ADD_ALT", F.lit(False))
     alts = F.filter(F.transform(F.split(F.coalesce("alt_l2", F.lit("")), r"\|"), F.trim), lambda a: a != "")

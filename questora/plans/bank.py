@@ -41,9 +41,9 @@ def topic_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("parts", F.array_join("parts", "|"))
 
 
-@query(f"SELECT tag, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), '|') AS topics FROM (SELECT DISTINCT doc_id, source, unnest(list_distinct(({TOKS})[:8])) AS tag FROM documents) GROUP BY tag HAVING count(*) > 2")
+@query(f"SELECT tag, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), '|') AS topics FROM (SELECT DISTINCT doc_id, source, unnest(list_distinct({TOKS})) AS tag FROM documents) GROUP BY tag HAVING count(*) > 2")
 def tag_index(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "documents").select("doc_id", "source", F.explode(text.fingerprint(F.col("text"), 8)).alias("tag"))
+    t = table(spark, sf, "documents").select("doc_id", "source", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("tag"))
     return t.groupBy("tag").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("source")), "|").alias("topics")).where("n > 2")
 
 
@@ -73,8 +73,8 @@ def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
     s AS (SELECT doc_id, sum(w * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))) AS score FROM tf JOIN idf USING (term) JOIN {SEARCH_SQL} USING (term) GROUP BY doc_id)
     SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 50""")
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    index = search.build(table(spark, sf, "documents"), "doc_id", text.tokens(F.col("text")))
-    return search.bm25(index, SEARCH).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    found = search.scores(table(spark, sf, "documents"), "doc_id", text.tokens(F.col("text")), SEARCH)
+    return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 _QV = "(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 7)"
@@ -96,11 +96,11 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
 _PAIR = "list_dot_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)))"
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, {_PAIR} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+@query(f"""WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, {_PAIR} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
     r AS (SELECT id, other, round(sim, 4) AS sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def knn_top5(spark: SparkSession, sf: str) -> DataFrame:
     vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return dedup.neighbours(vec.where("id % 100 = 0"), vec, -2.0, 5).withColumn("sim", F.round("sim", 4))
+    return dedup.neighbours(vec.where("id % 20 = 0"), vec, -2.0, 5).withColumn("sim", F.round("sim", 4))
 
 
 @query("""SELECT doc_id, sha256(c) AS key_hash, min(doc_id) OVER (PARTITION BY c) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY c) AS is_repeat
@@ -110,10 +110,11 @@ def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact_repeats(d, F.col("k"), "doc_id").select("doc_id", "key_hash", "first_id", "is_repeat")
 
 
-@query(f"""WITH s AS (SELECT doc_id, list_distinct(({TOKS})[:14]) AS t FROM documents), e AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM s WHERE len(t) > 0),
+@query(f"""WITH s AS (SELECT doc_id, list_sort(list_distinct(({TOKS})[:14])) AS t FROM documents), c AS (SELECT min(doc_id) AS doc_id, t FROM s WHERE len(t) > 0 GROUP BY t), e AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM c),
     i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-    SELECT a, b, round(c / CAST(na + nb - c AS DOUBLE), 6) AS sim FROM i WHERE c / CAST(na + nb - c AS DOUBLE) > 0.7""")
+    SELECT a, b, round(c / CAST(na + nb - c AS DOUBLE), 6) AS sim FROM i WHERE c / CAST(na + nb - c AS DOUBLE) > 0.7 UNION ALL SELECT c.doc_id, s.doc_id, 1.0 FROM s JOIN c ON s.t = c.t AND s.doc_id <> c.doc_id""")
 def near_dup_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between the first rows of equal token sets, and of each further row to the first of its set."""
     return dedup.near_pairs(table(spark, sf, "documents"), "doc_id", text.fingerprint(F.col("text")), 0.7).withColumn("sim", F.round("sim", 6))
 
 
@@ -140,9 +141,13 @@ def priority_union(spark: SparkSession, sf: str) -> DataFrame:
     return relational.priority_union([a, d.where("lang = 'fr'").select("doc_id", "source")], "doc_id", "doc_id", 40)
 
 
-@query("""SELECT doc_id, lang FROM documents WHERE lang = 'xx' OR NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'xx')""")
+@query("""SELECT 'none' AS wish, doc_id, lang FROM documents WHERE lang = 'xx' OR NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'xx')
+    UNION ALL SELECT 'some', doc_id, lang FROM documents WHERE lang = 'fr' OR NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'fr')""")
 def relax_if_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.relaxed(table(spark, sf, "documents").select("doc_id", "lang"), F.col("lang") == "xx")
+    """A wish that no row meets, which all rows answer, and one that some meet."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    wish = lambda name, lang: relational.relaxed(d, F.col("lang") == lang).select(F.lit(name).alias("wish"), "doc_id", "lang")
+    return wish("none", "xx").unionByName(wish("some", "fr"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)_{3,}|\\bblanked?\\b|fill in the blank') THEN 'FILL_BLANK' WHEN regexp_matches(text, '(?i)odd one out|does ?n.?t belong|which does not') THEN 'ODD_ONE_OUT'
@@ -224,17 +229,24 @@ def confusion_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, avg(n_chars) AS mean_chars, median(n_chars) AS median_chars, list_sort(list(n_chars))[CAST(floor(0.95::DOUBLE * (count(*) - 1)) AS BIGINT) + 1] AS p95_chars FROM documents GROUP BY source")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("source").agg(F.avg("n_chars").alias("mean_chars"), F.median("n_chars").alias("median_chars"), evaluate.p95(F.col("n_chars")).alias("p95_chars"))
+    d = table(spark, sf, "documents")
+    means = d.groupBy("source").agg(F.avg("n_chars").alias("mean_chars"), F.median("n_chars").alias("median_chars"))
+    high = evaluate.p95(d, "source", "n_chars").select(F.col("source").alias("__s"), F.col("p95").alias("p95_chars"))
+    return means.join(high, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+
+
+_GRAMS = "list_concat(bag, list_transform(range(1, len(bag)), lambda i: bag[i] || ' ' || bag[i + 1]))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, {TOKS} AS bag FROM documents WHERE n_chars < 400), tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(bag) AS w FROM d) GROUP BY 1, 2),
+@query(f"""WITH d AS (SELECT doc_id, lang, {_GRAMS} AS bag FROM (SELECT doc_id, lang, {TOKS} AS bag FROM documents)), tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(bag) AS w FROM d) GROUP BY 1, 2),
     i AS (SELECT w, ln((SELECT count(*) FROM d) / CAST(count(*) AS DOUBLE)) AS idf FROM tf GROUP BY w HAVING count(*) < (SELECT count(*) FROM d)), x AS (SELECT doc_id, w, tf * idf AS v FROM tf JOIN i USING (w)),
-    u AS (SELECT doc_id, w, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM x), s AS (SELECT a.doc_id, b.doc_id AS other, round(sum(a.v * b.v), 9) AS sim FROM u a JOIN u b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    u AS (SELECT doc_id, w, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM x), s AS (SELECT a.doc_id, b.doc_id AS other, round(sum(a.v * b.v), 9) AS sim FROM u a JOIN u b ON a.w = b.w AND a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, other) AS k FROM s) SELECT r.doc_id, other, round(sim, 6) AS sim, d.lang FROM r JOIN d ON d.doc_id = r.other WHERE k = 1""")
 def tfidf_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest other short text: texts under 400 characters stand for questions."""
-    d = table(spark, sf, "documents").where("n_chars < 400")
-    return evaluate.nearest_text(d, "doc_id", text.tokens(F.col("text")), ["lang"]).withColumn("sim", F.round("sim", 6)).select("doc_id", "other", "sim", "lang")
+    """The nearest other text by uni- and bigrams; rows whose id is divisible by 20 ask, all rows answer."""
+    grams = evaluate.with_bigrams(text.tokens(F.col("text")))
+    found = evaluate.nearest_text(table(spark, sf, "documents"), "doc_id", grams, ["lang"], F.col("doc_id") % 20 == 0)
+    return found.withColumn("sim", F.round("sim", 6)).select("doc_id", "other", "sim", "lang")
 
 
 @query("SELECT trim(lang) AS l1, array_to_string(list_sort(list(DISTINCT trim(source))), '|') AS l2s FROM documents WHERE trim(lang) <> '' AND trim(source) <> '' GROUP BY 1")
@@ -268,18 +280,16 @@ def draft_quiz(spark: SparkSession, sf: str) -> DataFrame:
     """A request over the bank, end to end: BM25 pool, hard rules, rank, guard, editor."""
     brief = curate.parse_prompt("ten hard questions about erandst thtion")
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    index = search.build(docs, "doc_id", text.tokens(F.col("text")))
-    hits = search.bm25(index, search.expand(brief.query.split(), {"thtion": ["rerer oren"]})).withColumnRenamed("doc", "doc_id")
+    hits = search.scores(docs, "doc_id", text.tokens(F.col("text")), search.expand(brief.query.split(), {"thtion": ["rerer oren"]}))
     none = F.array().cast("array<string>")
     bank = docs.join(hits, "doc_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("question_text"), F.lit("").alias("answer"), F.col("lang").alias("topic_l1"), F.col("source").alias("subtopic_l2"), F.lit("").alias("geo_region"), F.lit(None).cast("string").alias("geography"),
         none.alias("question_images"), none.alias("answer_images"), F.lit("STANDARD_QA").alias("question_format"), F.col("toxic").isNotNull().alias("tagged"), F.when(F.col("toxic") == 0, "NONE").alias("sensitivity"),
         F.lit("").alias("shelf_life"), F.lit("Medium").alias("difficulty"), (F.least("n_chars", F.lit(10000)) / 10000.0).alias("difficulty_score"), "score",
     )
-    pool = curate.split_pools(bank, brief).where("pool = 'on'").orderBy(F.desc("rank_score"), "id").limit(300)
-    rows = [{**r.asDict(), "fp": set(r["fp"])} for r in pool.select("id", "subtopic_l2", "difficulty_score", "rank_score", text.fingerprint(F.col("question_text")).alias("fp")).collect()]  # at most 300
-    picked = curate.edit(curate.guard(rows), brief.count)
-    return spark.createDataFrame([(r["id"], r["subtopic_l2"], float(r["rank_score"]), i) for i, r in enumerate(picked, 1)], "doc_id long, subtopic_l2 string, rank_score double, position int")
+    pool = curate.split_pools(bank, brief).where("pool = 'on'").withColumn("fp", text.fingerprint(F.col("question_text")))
+    picked = curate.compiled(pool.select("id", "subtopic_l2", "difficulty_score", "rank_score", "fp"), brief.count)
+    return spark.createDataFrame([(r["id"], r["subtopic_l2"], float(r["rank_score"]), i) for i, r in enumerate(picked, 1)], "id long, subtopic_l2 string, rank_score double, position int")
 
 
 @query(None)
@@ -295,7 +305,8 @@ def paginate_sorted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) SELECT source, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (pos <= 3) AS samples FROM k GROUP BY source""")
 def topic_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the first three ids of a source leave a partition."""
+    d = table(spark, sf, "documents").select("source", "doc_id")
     r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = table(spark, sf, "documents").select("source", "doc_id").withColumn("pos", r)
-    first = F.sort_array(F.collect_list(F.when(F.col("pos") <= 3, F.col("doc_id"))))
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.array_join(first, ",").alias("samples"))
+    few = d.withColumn("pos", r).where("pos <= 3").groupBy(F.col("source").alias("__s")).agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("samples"))
+    return d.groupBy("source").agg(F.count("*").alias("n")).join(few, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")

@@ -168,9 +168,9 @@ def left_join_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", "n_name", n.alias("n_orders"), F.array_join(F.transform("o", lambda s: s["o_orderkey"]), ",").alias("orders"))
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def untagged_anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_acctbal")
 
 

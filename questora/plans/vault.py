@@ -44,10 +44,23 @@ def audience_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Keywords of the test tables' invented words, in place of real topics.
-_TOPICS = {"Latin": "le,la,de,en,el,os", "Germanic": "the,in,on,der,an,er", "Legal": "license,terms,rights,use", "Trade": "email,contact,phone,price"}
+_TOPICS = {"Latin": ["le", "la", "de", "en", "el", "os"], "Germanic": ["the", "in", "on", "der", "an", "er"], "Legal": ["license", "terms", "rights", "use"], "Trade": ["email", "contact", "phone", "price"]}
 
 
-@query(None)
+def _topic_score(words: list[str]) -> str:
+    has = lambda c, w: f"CASE WHEN regexp_matches(lower(coalesce({c}, '')), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{w})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN 1 ELSE 0 END"
+    count = lambda c: "(" + " + ".join(has(c, w) for w in words) + ")"
+    return f"CAST({count('text')} * {keywords.POINTS['question']} + {count('source')} * {keywords.POINTS['title']} AS DOUBLE)"
+
+
+_TOPIC_ROWS = " UNION ALL ".join(f"SELECT rid, {n} AS n, '{t}' AS topic, {_topic_score(w)} AS score FROM d" for n, (t, w) in enumerate(_TOPICS.items()))
+
+
+@query(f"""WITH d AS (SELECT row_number() OVER () AS rid, * FROM documents), s AS ({_TOPIC_ROWS}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, n) AS k, max(score) OVER (PARTITION BY rid) AS best FROM s WHERE score > 0),
+    g AS (SELECT rid, max(topic) FILTER (k = 1) AS prim, string_agg(topic, '|' ORDER BY k) FILTER (score >= {keywords.KEEP} OR score >= best * {keywords.KEEP_SHARE}::DOUBLE) AS topics, max(topic) FILTER (k = 2 AND score >= {keywords.SECOND}) AS subtopic,
+        max(best) >= 5 AND coalesce(max(score) FILTER (k = 2) / max(best) <= 0.65::DOUBLE, true) AS confident FROM r GROUP BY rid)
+    SELECT doc_id, coalesce(prim, 'General Knowledge') AS "primary", coalesce(topics, 'General Knowledge') AS topics, subtopic, coalesce(confident, false) AS confident FROM d LEFT JOIN g USING (rid)""")
 def keyword_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Topics, subtopic and sureness by weighted keywords."""
     s = table(spark, sf, "documents").select("doc_id", keywords.topic_scores({"question": F.col("text"), "title": F.col("source")}, _TOPICS).alias("s"))
@@ -93,14 +106,14 @@ def tag_review_ids(spark: SparkSession, sf: str) -> DataFrame:
     return vault.to_review(table(spark, sf, "customer").select("c_custkey"), e, "c_custkey", good)
 
 
-@query(f"""WITH r AS (SELECT coalesce(contains(lower(source), 'src1'), false) AS t, len(list_filter(list_distinct(({TOKS})[:8]), lambda w: contains(w, 'tion') OR contains('tion', w) OR contains(w, 'eru') OR contains('eru', w))) > 0 AS g,
+@query(f"""WITH r AS (SELECT coalesce(contains(lower(source), 'src1'), false) AS t, len(list_filter(list_distinct({TOKS}), lambda w: contains(w, 'tion') OR contains('tion', w) OR contains(w, 'eru') OR contains('eru', w))) > 0 AS g,
     CASE WHEN n_chars > 3000 THEN 'Hard' WHEN n_chars < 1000 THEN 'Easy' ELSE 'Medium' END AS d FROM documents)
     SELECT count(*) FILTER (t AND g) AS exact, count(*) FILTER (g AND NOT t) AS cross_topic, count(*) FILTER (t AND NOT g) AS topic_only, count(*) FILTER (g) AS total, count(*) FILTER (g AND d = 'Easy') AS n_easy,
     count(*) FILTER (g AND d = 'Medium') AS n_medium, count(*) FILTER (g AND d = 'Hard') AS n_hard, CASE WHEN count(*) FILTER (g) >= 5 THEN 'HISTORICAL' ELSE 'NEW' END AS mode
     FROM (SELECT r.t, coalesce(g, false) AS g, d FROM r)""")
 def tag_preview(spark: SparkSession, sf: str) -> DataFrame:
     level = F.when(F.col("n_chars") > 3000, "Hard").when(F.col("n_chars") < 1000, "Easy")
-    return vault.tag_preview(table(spark, sf, "documents"), F.col("source"), text.fingerprint(F.col("text"), 8), level, "src1", ["#tion", " Eru "])
+    return vault.tag_preview(table(spark, sf, "documents"), F.col("source"), F.array_distinct(text.tokens(F.col("text"))), level, "src1", ["#tion", " Eru "])
 
 
 _PATHS_SQL = """WITH p AS (SELECT p_size AS q, p_partkey AS pos, p_type AS l1, CASE WHEN p_partkey % 3 > 0 THEN substr(p_brand, 1, 7) END AS l2, p_name FROM part),

@@ -56,8 +56,10 @@ def scores(docs: DataFrame, key: str, bag: Column, query: dict[str, float], k1:
     if not words:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     each = docs.select(key, bag.alias("__bag"))
-    counts = F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.size(F.filter("__hits", lambda t: t == w)))
-    slim = each.select(key, F.size("__bag").alias("__dl"), F.filter("__bag", lambda t: t.isin(words)).alias("__hits")).select(key, "__dl", counts.alias("__tf"))
+    # The hits are bound once, so that no optimiser works them out anew for each word.
+    hits = F.filter("__bag", lambda t: t.isin(words))
+    counts = F.transform(F.array(hits), lambda h: F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.size(F.filter(h, lambda t: t == w))))[0]
+    slim = each.select(key, F.size("__bag").alias("__dl"), counts.alias("__tf"))
     sums = slim.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(words))])
     rows = slim.where(F.exists("__tf", lambda n: n > 0)).join(F.broadcast(sums))
     score = F.lit(0.0)

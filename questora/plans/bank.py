@@ -176,7 +176,31 @@ def taxonomy_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", rules.taxonomy(F.col("text")).alias("t")).select("doc_id", "t.*")
 
 
-@query(None)
+def _edged(pattern: str) -> str:
+    """A pattern between word boundaries, for an engine whose boundaries know ASCII alone."""
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    return r"(?:^|[^\p{L}\p{N}_])(?:" + inner + r")(?:$|[^\p{L}\p{N}_])"
+
+
+#: Rounds a decimal to two places, ties to even.
+_HALF_EVEN = "lambda v: CAST(floor(v * 100) + CASE WHEN v * 100 - floor(v * 100) > 0.5 OR (v * 100 - floor(v * 100) = 0.5 AND floor(v * 100) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100"
+_NAMES = r"len(regexp_extract_all(q, '(?:^|[^\p{L}\p{N}_])[A-Z][a-z]+'))"
+_WORDS = r"regexp_extract_all(q, '[^\t\n\x0B\f\r ]+')"
+_UNITS = r"\b(\d+(\.\d+)?\s*(km|miles|meters|percent|%|feet|years|light-years))\b"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS q, lower(coalesce(text, '')) AS l, lower(trim(coalesce(source, ''))) AS a FROM documents),
+    t AS (SELECT *, regexp_extract_all(regexp_replace(a, '[^\\w\\s]', '', 'g'), '\\S+') AS toks, {_NAMES} AS names, {_WORDS} AS ws FROM d),
+    o AS (SELECT *, len(list_filter(toks, lambda x: x IN ({', '.join(f"'{x}'" for x in rules.ANCHORS)}))) AS hits, len(regexp_extract_all(array_to_string(toks, ' '), '[aeiouy]+')) / greatest(len(toks), 1)::DOUBLE AS syl FROM t),
+    s AS (SELECT doc_id, CASE WHEN regexp_matches(l, '{_edged(rules.LATERAL)}') THEN 0.85 WHEN regexp_matches(l, '{_edged(rules.MULTI_STEP)}') AND names >= 2 THEN 0.80 WHEN regexp_matches(l, '{_edged(rules.INFERENCE)}') THEN 0.58 ELSE 0.25 END::DOUBLE AS cognitive,
+        CASE WHEN len(toks) = 0 THEN 0.40 WHEN hits > 0 THEN list_transform([CAST(CAST(greatest(0.12::DOUBLE, 0.35::DOUBLE - hits / len(toks)::DOUBLE * 0.20::DOUBLE) AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1]
+            ELSE greatest(0.10::DOUBLE, least(0.95::DOUBLE, list_transform([CAST(CAST(0.45::DOUBLE + CASE WHEN syl >= 3 THEN 0.22::DOUBLE WHEN syl <= 1.5 THEN -0.12::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(a, '{_edged(rules.OBSCURE_ANSWER)}') THEN 0.18::DOUBLE ELSE 0 END AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1])) END::DOUBLE AS obscurity,
+        least(1.0::DOUBLE, list_transform([CAST(CAST(0.28::DOUBLE + (regexp_matches(q, '{_edged(r"(1[0-9]{3}|20[0-9]{2})")}')::INT + (names >= 3)::INT + regexp_matches(q, '[''"][^''"]+[''"]')::INT + regexp_matches(q, '(?i){_UNITS}')::INT) * 0.18::DOUBLE AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1]) AS specificity,
+        CASE WHEN len(ws) = 0 THEN 0.30 ELSE greatest(0.10::DOUBLE, least(1.0::DOUBLE, list_transform([CAST(CAST(least(len(ws), 40) / 40.0::DOUBLE * 0.5 + len(list_filter(ws, lambda w: length(w) > 7)) / len(ws)::DOUBLE * 0.5 AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1])) END::DOUBLE AS readability,
+        least(1.0::DOUBLE, list_transform([CAST(CAST(CASE WHEN regexp_matches(l, '{_edged("(clue|hint|note|tip)")}') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(l, '\\(also known as|famously called|popularly known|nickname\\)') THEN 0.3::DOUBLE ELSE 0 END AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1]) AS scaffolding FROM o),
+    r AS (SELECT doc_id, greatest(0.08::DOUBLE, least(0.96::DOUBLE, list_transform([CAST(CAST(0.35::DOUBLE * cognitive + 0.25::DOUBLE * obscurity + 0.15::DOUBLE * specificity + 0.15::DOUBLE * readability + -0.10::DOUBLE * scaffolding AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1])) AS score FROM s)
+    SELECT doc_id, score, CASE WHEN score < 0.35::DOUBLE THEN 'Easy' WHEN score <= 0.65::DOUBLE THEN 'Medium' ELSE 'Hard' END AS band, CASE WHEN score < 0.35::DOUBLE THEN 1 WHEN score <= 0.65::DOUBLE THEN 5 ELSE 9 END AS grade_min,
+    CASE WHEN score < 0.35::DOUBLE THEN 4 WHEN score <= 0.65::DOUBLE THEN 8 ELSE 12 END AS grade_max FROM r""")
 def difficulty_index(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", rules.difficulty(t, F.col("source"), F.lit(""), F.lit("")).alias("d")).select("doc_id", "d.*")

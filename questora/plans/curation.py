@@ -232,3 +232,18 @@ def ranked_pool(spark: SparkSession, sf: str) -> DataFrame:
     )
     brief = curate.Brief("x", filters={"india_focused": True}, hard_bias="easy", audience="school")
     return curate.split_pools(b, brief).select("id", F.round("rank_score", 6).alias("rank_score"), "pool")
+
+
+@query("""SELECT p_partkey, p_name AS quiz_name, 'Brand ' || p_size AS college, CASE p_partkey % 3 WHEN 0 THEN 'Bengaluru' WHEN 1 THEN 'New Delhi' END AS city, CASE WHEN p_partkey % 2 = 0 THEN 'Prelims' ELSE 'Finals' END AS round_stage,
+    CASE WHEN p_partkey % 4 = 0 THEN DATE '2024-03-15' END AS deck_date, CASE WHEN p_partkey % 4 = 0 THEN 2024 END AS deck_year, 'Hindi' AS language, NULL::VARCHAR AS primary_audience, false AS is_varsity, true AS parsed_ok
+    FROM part WHERE p_partkey % 3 < 2""")
+def deck_names(spark: SparkSession, sf: str) -> DataFrame:
+    """File names made of parts' names, taken apart again."""
+    from ..functions import decks
+
+    k = F.col("p_partkey")
+    city = F.when(k % 3 == 0, "Bangalore").when(k % 3 == 1, "new delhi").otherwise("")
+    day = F.when(k % 8 == 0, "15-03-2024 ").when(k % 4 == 0, "15th March, 2024 ").otherwise("")
+    name = F.concat(F.lit("decks/Brand_"), F.col("p_size"), F.lit(" "), city, F.lit(" "), F.when(k % 2 == 0, "Prelims").otherwise("final"), F.lit(" - "), F.col("p_name"), F.lit(" "), day, F.lit("[Hindi] w answers (1).pptx"))
+    p = table(spark, sf, "part").where(k % 3 < 2)
+    return p.select("p_partkey", decks.deck_info(name).alias("d")).select("p_partkey", "d.*")

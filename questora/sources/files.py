@@ -61,7 +61,8 @@ def _rows(parse: Callable[[bytes], list[dict]]) -> Callable:
                     found = parse(content)
                 except Exception as e:  # a broken file becomes a row that says so
                     found = [{"slide_number": None, "error": f"{type(e).__name__}: {e}"[:300]}]
-                yield pd.DataFrame([{"path": path, "sha256": sha, **r} for r in found], columns=names)
+                made = [{**dict.fromkeys(names), "path": path, "sha256": sha, **r} for r in found]
+                yield pd.DataFrame({n: pd.Series([r[n] for r in made], dtype=object) for n in names})
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,22 +92,47 @@ def quiet_workers(beats: DataFrame, key: str, at: str, timeout: str = "8 minutes
     return beats.withWatermark(at, "1 minute").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, beats long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def latest_into(table_path: str, key: str, at: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the newest row per key, each batch as a new version of the table.
+#: Parts of a table of newest rows; a batch rewrites those that it touches.
+PARTS = 64
 
-    A batch that runs again writes the same version, so restarts change nothing.
+
+def latest_into(table_path: str, key: str, at: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the newest row per key; read it with ``newest_of``.
+
+    Keys are dealt into ``parts``. A batch writes a new version of the parts that it touches and of no others. A batch
+    that runs again starts from the versions before it and writes the same one, so restarts change nothing.
     """
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        before = f"{table_path}/v={n - 1}"
-        rows = batch
-        try:
-            rows = spark.read.parquet(before).unionByName(batch, allowMissingColumns=True)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        cols = [c for c in rows.columns if c != key]
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), at).alias("r")).select(key, "r.*")
-        newest.write.mode("overwrite").parquet(f"{table_path}/v={n}")
+        rows = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # at most ``parts``
+        if not touched:
+            return
+        before = _versions(spark, table_path)
+        if before is not None:
+            rows = _latest(before.where((F.col("v") < n) & F.col("part").isin(touched))).drop("v").unionByName(rows, allowMissingColumns=True)
+        cols = [c for c in rows.columns if c not in (key, "part")]
+        newest = rows.groupBy("part", key).agg(F.max_by(F.struct(*cols), at).alias("r")).select("part", key, "r.*")
+        newest.write.mode("overwrite").partitionBy("part").parquet(f"{table_path}/v={n}")
 
     return write
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/v=*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def _latest(versions: DataFrame) -> DataFrame:
+    """The rows of each part's last version; the table of versions has a row per part and version."""
+    last = versions.groupBy("part").agg(F.max("v").alias("v"))
+    return versions.join(F.broadcast(last), ["part", "v"])
+
+
+def newest_of(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest row per key that ``latest_into`` has kept."""
+    return _latest(_versions(spark, table_path)).drop("part", "v")

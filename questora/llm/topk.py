@@ -48,9 +48,10 @@ def nra(queries: np.ndarray, rows: np.ndarray, k: int, ids: np.ndarray, own: np.
     lists = np.take_along_axis(rows, order, axis=0)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
-    # Doubles hold these sums exactly unless components are huge.
-    exact = dims * int(np.abs(rows).max()) * int(np.abs(queries).max()) < 2**53
-    kind, never = (np.float64, -np.inf) if exact else (np.int64, np.iinfo(np.int64).min // 2)
+    # The narrowest type that holds these sums exactly.
+    most = 2 * dims * int(np.abs(rows).max()) * int(np.abs(queries).max())
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    never = np.iinfo(np.int64).min // 2 if kind is np.int64 else -np.inf
     values, best, worst = rows.astype(kind), lists[-1].astype(kind), lists[0].astype(kind)
     weight = np.abs(queries).sum(0) * (lists[-1] - lists[0])
     weight = weight / max(weight.max(), 1)
@@ -85,7 +86,7 @@ def nra(queries: np.ndarray, rows: np.ndarray, k: int, ids: np.ndarray, own: np.
         still, up, down = still[stay], up[stay], down[stay]
         wanted = live[stay].any(0)
         live, known, low, rest = live[stay][:, wanted], known[stay][:, wanted], low[stay][:, wanted], rest[wanted]
-        base *= 2
+        base *= 4
     return out
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import first_of
-from .text import any_match
+from .parsing import OPTION, lines
+from .text import any_match, stepped_clues
 
 # Wordings of the formats, in questions (Q), answers (A) and names of rounds (R).
 STEPPED_QA = [r"(?i)clue\s*[#]?\s*[123]", r"\+\s*20\s*/\s*-\s*15", r"\+\s*15\s*/\s*-\s*10", r"\+\s*10\s*/\s*-\s*5", r"(?i)\b(decreasing\s+value|progressive\s+clue|buzzer\s+round)\b", r"(?i)\b(portfolio\s+builder)\b"]
@@ -78,3 +79,17 @@ def audience(*texts: Column) -> Column:
     blob = F.concat_ws(" ", *texts)
     college = blob.rlike(COLLEGE)
     return F.when(blob.rlike(SCHOOL) & ~college, "School").when(blob.rlike(CORPORATE) & ~college, "Corporate").when(college, "College")
+
+
+def payload(format_: Column, question: Column, answer: Column, images: Column) -> Column:
+    """The parts of a question as JSON, by its format: its clues, its pictures or the items to arrange; else the answer alone."""
+    items = F.filter(lines(question), lambda x: x.rlike(OPTION))
+    clues = F.when(format_ == "STEPPED_CLUE", stepped_clues(question)).when(format_ == "CONNECT_4", images)
+    return F.to_json(F.struct(format_.alias("type"), answer.alias("answer"), clues.alias("clues"), F.when((format_ == "ARRANGE_ORDER") & (F.size(items) > 0), items).alias("items")))
+
+
+def merged_json(old: Column, new: Column) -> Column:
+    """Two flat JSON objects of texts in one: new values win, nulls change nothing; what is no object counts as empty."""
+    read = lambda c: F.map_filter(F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    a, b = read(old), read(new)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))

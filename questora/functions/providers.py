@@ -63,6 +63,16 @@ def answered(c: Column, call: Callable[[list[str]], list], size: int = 20) -> Co
     return run(c)
 
 
+def provider(config: dict, known: dict[str, Callable[[dict], Callable[[list[str]], list]]]) -> Callable[[list[str]], list]:
+    """The provider that a configuration names, made from it; the local stand-in where it names none or says offline."""
+    name = str(config.get("provider") or "local").lower()
+    if name == "local" or config.get("offline"):
+        return local_tag
+    if name not in known:
+        raise ValueError(f"no provider {name!r}; known are {', '.join(sorted(known))}")
+    return known[name](config)
+
+
 def once_per(df: DataFrame, column: str, call: Callable[[list[str]], list], name: str) -> DataFrame:
     """``df`` with ``name``: each distinct value is asked once, however many rows have it."""
     asked = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn(name, answered(F.col(column), call))

@@ -85,6 +85,34 @@ def by_tag_overlap(rows: DataFrame, key: str, tags: Column, wanted: list[str], r
     return rows.withColumns({"overlap": n, "relevance": relevance}).orderBy(F.desc("overlap"), F.desc("relevance"), key).limit(limit)
 
 
+def by_filters(rows: DataFrame, key: str, wanted: dict[str, str], tags: Column, wanted_tags: list[str], relevance: Column, limit: int) -> DataFrame:
+    """A set compiled by filters alone: rows whose attributes match, those with more of the wanted tags first. If no row has all attributes, all rows count."""
+    strict = tag_filter(wanted, None, [])
+    known = rows.withColumn("__strict", strict)
+    some = known.agg(F.max(F.col("__strict").cast("int")).alias("__some"))
+    fits = known.join(F.broadcast(some)).where((F.col("__some") == 0) | F.col("__strict")).drop("__some", "__strict")
+    return by_tag_overlap(fits, key, tags, wanted_tags, relevance, limit)
+
+
+def with_format(questions: DataFrame, meta: DataFrame, key: str, wanted: str | None) -> DataFrame:
+    """``questions`` of the wanted format; metadata is joined only where a format is asked for, and a question without any is STANDARD_QA."""
+    if not wanted:
+        return questions
+    m = meta.select(key, F.col("question_format").alias("__f"))
+    return questions.join(m, key, "left").where(F.coalesce("__f", F.lit("STANDARD_QA")) == wanted).drop("__f")
+
+
+def api_view(rows: DataFrame) -> DataFrame:
+    """Rows as a client sees them: texts never null, lists never null, a default difficulty and topic, and videos found among the raw media where none are listed."""
+    text = lambda c, d="": F.coalesce(F.col(c), F.lit(d)).alias(c)
+    many = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    by_name = F.filter(many("raw_media_refs"), lambda p: F.lower(p).rlike(r"\.(mp4|mov|avi|webm|mkv|m4v|wmv)$"))
+    return rows.select(
+        "id", text("question_text"), text("answer"), text("explanation"), text("topic", "General Knowledge"), text("difficulty", "Medium"), many("options").alias("options"), many("image_refs").alias("image_refs"),
+        F.when(F.size(many("video_refs")) > 0, many("video_refs")).otherwise(by_name).alias("video_refs"),
+    )
+
+
 def exemplars(questions: DataFrame, tags: DataFrame, key: str, at: str, limit: int = 8) -> DataFrame:
     """The newest questions that a person tagged and confirmed, newest first."""
     mine = tags.where("source = 'HUMAN' AND status = 'confirmed'").select(key, at, "topic_l1", "subtopic_l2").orderBy(F.desc(at), key).limit(limit)

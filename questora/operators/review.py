@@ -169,3 +169,29 @@ def batch_counters(results: DataFrame) -> DataFrame:
     """One row of a tagging job's results (status, error): processed, confirmed, draft, failed."""
     failed = F.col("error").isNotNull()
     return results.agg(F.count("*").alias("processed"), F.count_if(~failed & (F.col("status") == "confirmed")).alias("confirmed"), F.count_if(~failed & (F.col("status") == "draft")).alias("draft"), F.count_if(failed).alias("failed"))
+
+
+def replaced_paths(paths: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``paths`` with all paths of the questions in ``new`` replaced by those."""
+    return paths.join(new.select(key).distinct(), key, "left_anti").select(*paths.columns).unionByName(new.select(*paths.columns))
+
+
+def ensured_meta(meta: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``meta`` with a row for every question of ``fresh``, whose columns are filled in where they are null and refreshed where no person edited them.
+
+    A fresh null changes nothing. Rows of questions that ``fresh`` has not stay as they are; running it again changes nothing.
+    """
+    f = fresh.select(F.col(key), F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in columns])
+    both = meta.join(f, key, "full")
+    by_hand = lambda c: F.coalesce(F.array_contains("manual_fields", c), F.lit(False)) & F.col(c).isNotNull()
+    return both.select(*[F.when(by_hand(c), F.col(c)).otherwise(F.coalesce(f"__{c}", c)).alias(c) if c in columns else F.col(c) for c in meta.columns])
+
+
+def backfilled(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The rows of a backfill that are still to do; a second run over its own result has none."""
+    return rows.join(done.select(key).distinct(), key, "left_anti").select(*rows.columns)
+
+
+def rebuilt(table: DataFrame, fresh: DataFrame, document: str) -> DataFrame:
+    """``table`` with all rows of the documents in ``fresh`` replaced by those: a deck that was read again, or half of one."""
+    return table.join(fresh.select(document).distinct(), document, "left_anti").select(*table.columns).unionByName(fresh.select(*table.columns))

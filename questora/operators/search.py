@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,3 +110,11 @@ def prompt_context(items: DataFrame, at: str, title: str, text: str) -> DataFram
     """One row: numbered source blocks of the items in order."""
     block = F.format_string("[SRC-%d] %s\n%s", F.col(at), F.col(title), F.col(text))
     return items.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(at).alias("p"), block.alias("b")))), lambda s: s["b"]), "\n\n").alias("context"))
+
+
+def expanded_terms(query: str, expansions: dict[str, list[str]]) -> list[str]:
+    """The words of a query and of every expansion that it names, or whose name holds one of its words; sorted."""
+    low = query.lower()
+    words = set(re.sub(r"[^\w\s]", " ", low).split())
+    more = [names for term, names in expansions.items() if term in low or any(w in term for w in words)]
+    return sorted(words.union(*more))

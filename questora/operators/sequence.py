@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parsing
+
 # Kinds of a slide in order of precedence on equal scores.
 KINDS = ["TITLE", "SECTION_MARKER", "SCOREBOARD", "RULES", "AV_TEST", "TEAM_INTRO", "ANNOUNCEMENT", "ANSWER_TRANSITION", "QUESTION", "ANSWER", "CONTENT"]
 # Signs of each kind.
@@ -144,43 +145,108 @@ def adjacent_pairs(df: DataFrame, deck: str, at: str, kind: str, first: str, sec
     return nxt.where((F.col(kind) == first) & (F.col("__k") == second)).select(deck, F.col(at).alias("question_at"), F.col("__a").alias("answer_at"), F.col(text).alias("question"), F.col("__t").alias("answer"))
 
 
-#: Slide kinds of a question's parts, longest first: (name, kinds, place of the question, place of the answer).
-PATTERNS = [
-    ("STEPPED", ["QUESTION", "QUESTION", "QUESTION", "ANSWER_TRANSITION", "ANSWER"], 0, 4),
-    ("LONG", ["QUESTION", "QUESTION", "ANSWER_TRANSITION", "ANSWER"], 0, 3),
-    ("DIVIDED", ["QUESTION", "ANSWER_TRANSITION", "ANSWER"], 0, 2),
-    ("PLAIN", ["QUESTION", "ANSWER"], 0, 1),
-    ("ALONE", ["QUESTION"], 0, None),
-]
+# Kinds of slides that start no question, and wordings of rounds, bumpers and orders to arrange.
+NO_START = ["TITLE", "RULES", "AV_TEST", "TEAM_INTRO", "SCOREBOARD", "ANNOUNCEMENT", "QUESTION_PREVIEW", "ANSWER_TRANSITION"]
+BUFFER = ["buffer", "buffer question", "buffer questions"]
+ROUND = r"(?i)Round\s*(\d+)(?:\s*[:\-]?\s*(.*))?"
+BUMPER = r"(?i)^\s*Question\s*\d*\s*$"
+ARRANGE = r"(?i)lowest\s+to\s+highest|highest\s+to\s+lowest|earliest\s+to\s+latest|from\s+1st\s+to\s+last|chronological\s+order|ticker\s+tangle|arrange"
+MORE = r"(?i)explanation|trivia|did you know|context"
+NO_ANSWER = ["see explanation", "answer indicated on slide"]
+CONNECT_TEXT = "What connects all these clues and images?"
+
+
+def _headers(slides: DataFrame) -> DataFrame:
+    """``slides`` with ``__header`` and the round and subtopic that hold from each slide on: those of the last header before it."""
+    both = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("extracted_text", F.lit("")))
+    starts = ~F.coalesce(F.col("slide_type").isin(NO_START), F.lit(False))
+    audience = starts & F.lower(both).contains("audience question")
+    header = starts & ~audience & ((F.col("slide_type") == "SECTION_MARKER") | both.rlike(r"(?i)\bround\s*\d+"))
+    number = F.regexp_extract(both, ROUND, 1)
+    after, before = F.trim(F.regexp_extract(both, ROUND, 2)), F.regexp_extract(both, r"(?i)([A-Za-z\s–-]+?)\s*\n?\s*Round\s*\d+", 1)
+    before = F.trim(F.regexp_replace(before, r"^[–\-:\t ]+", ""))
+    raw = F.when(F.length(after) > 2, after).when((before != "") & ~F.lower(before).isin("structure of the quiz", "quiz", "structure"), before).otherwise(after)
+    first = F.trim(F.get(F.split(F.regexp_replace(raw, r"^[–\-:\t ]+", ""), r"(?i)\n|\d+\s*questions"), 0))
+    clean = F.regexp_replace(F.regexp_replace(first, r"(?i)^(?:Round\s*\d+\s*[-–—:]*\s*)+", ""), r"^[–—\-: \t]+|[–—\-: \t]+$", "")
+    named = header & (number != "")
+    subtopic = F.when(audience, "Audience Questions").when(named & (F.length(raw) > 2), F.when(clean != "", clean).otherwise(F.concat(F.lit("Round "), number)))
+    w = Window.partitionBy("document_id").orderBy("slide_number").rowsBetween(Window.unboundedPreceding, 0)
+    return slides.withColumns({
+        "__header": F.coalesce(header | audience | ~starts | F.lower(F.trim("extracted_text")).isin(BUFFER), F.lit(False)),
+        "__round": F.last(F.when(audience, 99).when(named, number.try_cast("int")), ignorenulls=True).over(w), "__topic": F.last(subtopic, ignorenulls=True).over(w),
+    })
 
 
 def extract_questions(slides: DataFrame) -> DataFrame:
-    """(document_id, pattern, question, answer, first_slide, last_slide): patterns matched in order, each slide used once.
-
-    A match moves on past its slides, so this too is a fold per deck. Answers that are a bare
-    URL do not count as answers and the next pattern is tried.
+    """(document_id, pattern, question, options, answer, explanation, round_number, subtopic, first_slide, last_slide).
+
+    Nine patterns are tried at a slide, in order: in rounds of stepped clues, of orders to arrange and of connections, and
+    after a bumper, an announcing slide is followed by clues or prompt, a transition and the reveal; else a question by
+    transition and reveal (and a slide that explains), by a clue, transition and reveal, by an answer, by a clue and an answer, or it has its
+    answer in its notes or text. Answers that are empty or a bare URL do not count, and the next pattern is tried. A
+    match moves on past its slides, each of which is used once; which matches hold is a fold over a deck's slides as one array, a deck being a bounded
+    group. Headers, previews and buffers start nothing. Missing columns for title or notes count as empty.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slide_number", kind="stable").reset_index(drop=True)
-        kinds, texts, nums = list(pdf["slide_type"]), list(pdf["extracted_text"]), list(pdf["slide_number"])
-        out, i = [], 0
-        while i < len(kinds):
-            step = 1
-            for name, want, q, a in PATTERNS:
-                if kinds[i: i + len(want)] != want:
-                    continue
-                answer = None if a is None else (texts[i + a] or "").strip()
-                if a is not None and (not answer or answer.lower().startswith(("http://", "https://"))):
-                    continue
-                question = "\n".join(texts[i + k] or "" for k in range(q, len(want)) if want[k] == "QUESTION")
-                out.append((pdf["document_id"][0], name, question, answer, nums[i], nums[i + len(want) - 1]))
-                step = len(want)
-                break
-            i += step
-        return pd.DataFrame(out, columns=["document_id", "pattern", "question", "answer", "first_slide", "last_slide"])
-
-    kind = slides.schema["document_id"].dataType.simpleString()
-    return slides.select("document_id", "slide_number", "slide_type", "extracted_text").groupBy("document_id").applyInPandas(fold, f"document_id {kind}, pattern string, question string, answer string, first_slide long, last_slide long")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in slides.columns else F.lit("")
+    src = _headers(slides.select("document_id", "slide_number", "slide_type", text("title").alias("title"), text("extracted_text").alias("extracted_text"), text("speaker_notes").alias("speaker_notes")))
+    body = F.trim("extracted_text")
+    here = F.struct(
+        F.col("slide_type").alias("kind"), F.col("extracted_text").alias("text"), "title", F.col("slide_number").alias("at"), parsing.answer_parts(F.col("extracted_text")).alias("said"),
+        parsing.answer_parts(F.col("speaker_notes")).alias("noted"), parsing.question_parts(F.col("extracted_text")).alias("asked"),
+        ((F.col("slide_type") == "ANSWER_TRANSITION") | body.rlike(r"(?i)^(answer|answers|ans)$")).alias("turns"),
+    )
+    deck = Window.partitionBy("document_id").orderBy("slide_number")
+    rows = src.withColumn("s0", here)
+    rows = rows.withColumns({f"s{k}": F.lead("s0", k).over(deck) for k in range(1, 6)})
+    s = [F.col(f"s{k}") for k in range(6)]
+    topic, number = F.lower(F.coalesce("__topic", F.lit(""))), F.coalesce("__round", F.lit(0))
+    no = F.lit(None).cast("array<string>")
+
+    def fits(answer: Column) -> Column:
+        return (answer != "") & ~F.lower(answer).rlike("^https?://") & ~F.lower(answer).isin(NO_ANSWER)
+
+    def match(name: str, cond: Column, question: Column, options: Column, answer: Column, more: Column, first: Column, last: Column, step: Column | int, default: str | None, badge: Column | None = None) -> Column:
+        made = F.struct(
+            F.lit(name).alias("pattern"), question.alias("question"), options.alias("options"), answer.alias("answer"), F.btrim(more, F.lit(" \t\r\n")).alias("explanation"), F.coalesce("__round", F.lit(None) if badge is None else badge["number"]).alias("round_number"),
+            F.coalesce("__topic", F.lit(default) if badge is None else badge["theme"]).alias("subtopic"), first["at"].cast("long").alias("first_slide"), last["at"].cast("long").alias("last_slide"), (F.lit(step) if isinstance(step, int) else step).alias("step"),
+        )
+        return F.when(F.coalesce(cond & fits(answer), F.lit(False)), made)
+
+    tell = lambda x: F.when(x["said"]["explanation"] != "", x["said"]["explanation"]).otherwise(x["text"])
+    clue = lambda n, points: F.concat(F.lit(f"Clue {n} ({points}): "), F.trim(s[n]["text"]))
+    stepped = match("STEPPED", ((number == 3) | topic.contains("portfolio builder")) & s[4]["turns"], F.concat_ws("\n\n", clue(1, "+20/-15"), clue(2, "+15/-10"), clue(3, "+10/-5")), no, s[5]["said"]["answer"], tell(s[5]), s[1], s[5], 6, "Portfolio Builder")
+    prompt = F.trim(s[1]["text"])
+    arrange = match("ARRANGE", ((number == 2) | topic.contains("ticker tangle") | s[1]["text"].rlike(ARRANGE)) & s[2]["turns"], prompt, no, s[3]["said"]["answer"], tell(s[3]), s[1], s[3], 4, "Ticker Tangle")
+    connect = match("CONNECT", ((number == 4) | topic.contains("market indicators")) & s[2]["turns"], F.when(F.length(prompt) > 25, prompt).otherwise(CONNECT_TEXT), no, s[3]["said"]["answer"], tell(s[3]), s[1], s[3], 4, "Market Indicators")
+    bumper = s[0]["text"].rlike(BUMPER) | ((F.length(body) <= 15) & F.lower(body).contains("question"))
+    announced = match("BUMPER", bumper & s[2]["turns"], s[1]["asked"]["question"], s[1]["asked"]["options"], s[3]["said"]["answer"], tell(s[3]), s[1], s[3], 4, None, s[1]["asked"])
+    asks, mine = s[0]["kind"] == "QUESTION", s[0]["asked"]
+    named = lambda x: F.when((x["title"] != "") & (x["title"] != "NO_TITLE"), x["title"])
+    some = lambda c: F.when(c != "", c)
+    revealed = F.coalesce(some(s[2]["said"]["answer"]), named(s[2]), some(s[2]["noted"]["answer"]), F.lit(""))
+    extra = F.coalesce(s[3]["title"].rlike(MORE) | s[3]["text"].rlike(MORE), F.lit(False))
+    divided = match("DIVIDED", asks & (s[1]["kind"] == "ANSWER_TRANSITION"), mine["question"], mine["options"], revealed, F.concat_ws("\n", s[2]["said"]["explanation"], F.when(extra, s[3]["text"])), s[0], s[2], F.when(extra, 4).otherwise(3), None, mine)
+    late = F.coalesce(some(s[3]["said"]["answer"]), named(s[3]), F.lit(""))
+    hint = lambda x: F.when((F.trim(x["text"]) != "") & ~F.lower(F.trim(x["text"])).isin("answer", "answers", "the answer", "solution", "solutions"), F.concat(F.lit("Clue: "), F.trim(x["text"])))
+    clued = match("CLUED", asks & (s[2]["kind"] == "ANSWER_TRANSITION"), mine["question"], mine["options"], late, F.concat_ws("\n", s[3]["said"]["explanation"], hint(s[1])), s[0], s[3], 4, None, mine)
+    plain = match("PLAIN", asks & (s[1]["kind"] == "ANSWER"), mine["question"], mine["options"], F.coalesce(some(s[1]["said"]["answer"]), s[1]["noted"]["answer"]), s[1]["said"]["explanation"], s[0], s[1], 2, None, mine)
+    middle = match("MIDDLE", asks & (s[2]["kind"] == "ANSWER"), mine["question"], mine["options"], F.coalesce(some(s[2]["said"]["answer"]), F.lit("")), F.concat_ws("\n", s[2]["said"]["explanation"], hint(s[1])), s[0], s[2], 3, None, mine)
+    own = F.coalesce(some(F.when(~F.lower(F.trim("speaker_notes")).rlike("^https?://"), s[0]["noted"]["answer"])), F.when(s[0]["text"].rlike(parsing.ANSWER_LINE), s[0]["said"]["answer"]), F.lit(""))
+    alone = match("ALONE", asks, mine["question"], mine["options"], own, F.lit(""), s[0], s[0], 1, None, mine)
+    found = F.when(~F.col("__header"), F.coalesce(stepped, arrange, connect, announced, divided, clued, plain, middle, alone))
+    decks = rows.select("document_id", F.struct("slide_number", found.alias("m")).alias("x")).groupBy("document_id").agg(F.sort_array(F.collect_list("x")).alias("deck"))
+
+    def walk(state: Column, i: Column) -> Column:
+        m = F.get("deck", i)["m"]
+        free = i >= state["next"]
+        return F.struct(
+            F.when(free, i + F.coalesce(m["step"], F.lit(1))).otherwise(state["next"]).alias("next"), F.when(free & m.isNotNull(), F.array_append(state["picks"], i)).otherwise(state["picks"]).alias("picks")
+        )
+
+    begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("picks"))
+    picks = F.aggregate(F.sequence(F.lit(0), F.size("deck") - 1), begin, walk, lambda state: state["picks"])
+    taken = decks.select("document_id", F.explode(F.transform(picks, lambda i: F.get("deck", i)["m"])).alias("m"))
+    return taken.select("document_id", "m.*").drop("step")
 
 
 def consolidated(questions: DataFrame, deck: str, text: Column, order: str, answer: str, media: str) -> DataFrame:

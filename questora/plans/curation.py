@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parsing, rules, text
+from ..functions import decks, disambiguate, parsing, rules, text
 from ..operators import bank, curate, review
 from .bank import TOKS
 from .registry import query, table
@@ -239,11 +239,33 @@ def ranked_pool(spark: SparkSession, sf: str) -> DataFrame:
     FROM part WHERE p_partkey % 3 < 2""")
 def deck_names(spark: SparkSession, sf: str) -> DataFrame:
     """File names made of parts' names, taken apart again."""
-    from ..functions import decks
-
     k = F.col("p_partkey")
     city = F.when(k % 3 == 0, "Bangalore").when(k % 3 == 1, "new delhi").otherwise("")
     day = F.when(k % 8 == 0, "15-03-2024 ").when(k % 4 == 0, "15th March, 2024 ").otherwise("")
     name = F.concat(F.lit("decks/Brand_"), F.col("p_size"), F.lit(" "), city, F.lit(" "), F.when(k % 2 == 0, "Prelims").otherwise("final"), F.lit(" - "), F.col("p_name"), F.lit(" "), day, F.lit("[Hindi] w answers (1).pptx"))
     p = table(spark, sf, "part").where(k % 3 < 2)
     return p.select("p_partkey", decks.deck_info(name).alias("d")).select("p_partkey", "d.*")
+
+
+#: Heads that bring signs of the rules into the invented texts.
+_SIGNS = ["printing of money ", "the CEO steps down, ", "a jingle and the share price rose ", "head and shoulders ", "why is the ticker so ", "net-zero ", "price rise of $ ", "platform of the metro ", ""]
+
+
+def _ruled_sql() -> str:
+    cases = []
+    for r in disambiguate.RULES:
+        known = ", ".join(f"'{m}'" for m in r.mistaken_for)
+        signs = " AND ".join(f"regexp_matches(t, '(?i){p}')" for p in [r.sign, *r.also])
+        cases.append(f"WHEN (p = '' OR p IN ({known})) AND {signs} THEN CASE WHEN p <> '{r.l2.lower()}' THEN '{r.l2}' END")
+    return "CASE " + " ".join(cases) + " END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 9 {' '.join(f"WHEN {n} THEN '{x}'" for n, x in enumerate(_SIGNS))} END || substr(coalesce(regexp_extract(text, '[a-z]+'), ''), 1, 20) || ' ' AS t,
+    CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'stock markets' WHEN 2 THEN 'banks and banking' ELSE 'consumer brands' END AS p FROM documents) SELECT doc_id, {_ruled_sql()} AS l2 FROM d""")
+def confused_subtopics(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules between subtopics over short questions made of a sign and a word."""
+    k = F.col("doc_id")
+    head = F.get(F.array(*[F.lit(x) for x in _SIGNS]), (k % 9).cast("int"))
+    said = F.get(F.array(F.lit(""), F.lit("Stock Markets"), F.lit("Banks and Banking"), F.lit("Consumer Brands")), (k % 4).cast("int"))
+    q = F.concat(head, F.coalesce(F.regexp_extract("text", "[a-z]+", 0), F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", disambiguate.ruled(q, F.lit(""), said)["l2"].alias("l2"))

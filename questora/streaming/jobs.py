@@ -50,6 +50,30 @@ def stale(jobs: DataFrame, now: Column, at: str = "updated_at", minutes: int = S
     return jobs.where(quiet).withColumn("next_status", F.when(F.col("retry_count") < F.col("max_retries"), "PENDING").otherwise("FAILED"))
 
 
+#: Steps of a deck's job, in order.
+STEPS = ["DOWNLOAD", "PARSE", "CLASSIFY", "EXTRACT", "DESCRIBE", "TAG", "EMBED", "FINISH"]
+
+
+def advanced(jobs: DataFrame, outcomes: DataFrame, steps: list[str] = STEPS) -> DataFrame:
+    """``jobs`` (id, step, status, retry_count, max_retries, cursor) after ``outcomes`` (id, outcome, cursor) of one micro-batch.
+
+    ok goes on to the next step, or completes the last; yield keeps the step and the cursor it got to; error tries the step
+    again, or fails the job once its retries are used up. Jobs without an outcome, and finished ones, stay. One outcome counts per job.
+    """
+    o = outcomes.groupBy("id").agg(F.max_by(F.struct("outcome", F.col("cursor").alias("at")), "outcome").alias("o"))
+    order = F.array(*[F.lit(x) for x in steps])
+    place = F.array_position(order, F.col("step")).cast("int")
+    live, said = ~F.col("status").isin("COMPLETED", "FAILED"), F.col("o.outcome")
+    spent = F.col("retry_count") >= F.col("max_retries")
+    nxt = {
+        "step": F.when(live & (said == "ok") & (place < len(steps)), F.get(order, place)).otherwise(F.col("step")),
+        "status": F.when(live & (said == "ok"), F.when(place >= len(steps), "COMPLETED").otherwise("PENDING")).when(live & (said == "yield"), "PENDING").when(live & (said == "error"), F.when(spent, "FAILED").otherwise("PENDING")).otherwise(F.col("status")),
+        "retry_count": F.when(live & (said == "error") & ~spent, F.col("retry_count") + 1).when(live & (said == "ok"), 0).otherwise(F.col("retry_count")),
+        "cursor": F.when(live & (said == "yield"), F.col("o.at")).when(live & (said == "ok"), F.lit(None)).otherwise(F.col("cursor")),
+    }
+    return jobs.join(o, "id", "left").select(*[nxt[c].cast(jobs.schema[c].dataType).alias(c) if c in nxt else F.col(c) for c in jobs.columns])
+
+
 def queue_positions(jobs: DataFrame) -> DataFrame:
     """(id, position): how many pending jobs were created before, counted through per-minute sums so no task sorts the queue."""
     from pyspark.sql import Window

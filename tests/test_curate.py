@@ -46,7 +46,7 @@ def test_requests_for_changes(spark):
     assert curate.refined([3, 4, 5], "replace question 2 with gold", pools) == [3, 0, 5] and asked == ["gold"]
     assert curate.refined([3, 4, 5], "remove question 1", pools) == [4, 5] and curate.refined([3], "0 questions", pools) == []
     assert curate.refined([3, 4], "add 2 more", pools) == [3, 4, 1, 0]
-    assert curate.refined([3, 4, 5], "make it harder", pools, locked={4}) == [0, 4, 1]
+    assert curate.refined([3, 4, 5], "make it harder", pools, locked={4}) == [1, 4, 0]
 
 
 def test_audience_changes_the_rank(spark):
@@ -78,3 +78,45 @@ def test_reviews_keep_their_rules(spark):
     assert rest.count() == 1 and {r.q: r.occurrence_count for r in counts.collect()} == {1: 2, 2: 1}
     done = spark.createDataFrame([("confirmed", None), ("draft", None), (None, "x")], "status string, error string")
     assert tuple(review.batch_counters(done).first()) == (3, 1, 1, 1)
+
+
+def test_sets_by_difficulty_and_replacements(spark):
+    assert curate.shares(10, {"Easy": 0.3, "Medium": 0.5, "Hard": 0.2}) == {"Easy": 3, "Medium": 5, "Hard": 2} and curate.shares(2, {"a": 1, "b": 1, "c": 1}) == {"a": 1, "b": 1, "c": 0}
+    df = spark.createDataFrame([(i, "ab"[i % 2], ["Easy", "Medium", "Hard"][min(2, i % 5)], 100 - i) for i in range(30)], "id int, topic_l1 string, difficulty string, score int")
+    got = curate.by_difficulty(df, 10, {"Easy": 0.4, "Medium": 0.4, "Hard": 0.2}, ["id"]).collect()
+    assert sorted(r.pos for r in got) == list(range(1, 11)) and sorted(r.difficulty for r in got) == ["Easy"] * 4 + ["Hard"] * 2 + ["Medium"] * 4
+    short = curate.by_difficulty(df.where("difficulty <> 'Easy' OR id = 0"), 6, {"Easy": 1.0}, ["id"]).collect()
+    assert len(short) == 6 and short[0].id == 0
+    assert curate.instead_of(df, 0, "harder", ["id"]).first().id == 6 and curate.instead_of(df, 0, "easier", ["id"]).first().id == 10 and curate.instead_of(df, 0, "similar", ["id"]).first().difficulty == "Easy"
+    assert curate.instead_of(df, 999, "harder", ["id"]).count() == 0
+    brief = curate.interpreted("x", lambda p: '{"query": "gold Gold silver", "count": 99, "topics": ["Finanse"], "filters": {"school_safe": true}}', ["Finance", "Sports"], [])
+    assert (brief.query, brief.count, brief.topics_l1, brief.filters) == ("gold silver", 50, ["Finance"], {"school_safe": True})
+    assert curate.interpreted("x", lambda p: "no json", [], []) is None and curate.interpreted("x", lambda p: 1 / 0 if False else None, [], []) is None
+
+
+def test_merges_run_twice_change_nothing_more(spark):
+    meta = spark.createDataFrame([(1, "A", None, ["city"]), (2, "B", "x", None)], "q int, city string, fmt string, manual_fields array<string>")
+    fresh = spark.createDataFrame([(1, "Z", "f"), (2, None, "g"), (3, "C", "h")], "q int, city string, fmt string")
+    once = review.ensured_meta(meta, fresh, "q", ["city", "fmt"])
+    assert sorted((r.q, r.city, r.fmt) for r in once.collect()) == [(1, "A", "f"), (2, "B", "g"), (3, "C", "h")]
+    assert sorted(map(str, review.ensured_meta(once, fresh, "q", ["city", "fmt"]).collect())) == sorted(map(str, once.collect()))
+    assert [r.q for r in review.backfilled(fresh, meta, "q").collect()] == [3] and review.backfilled(fresh, fresh, "q").count() == 0
+    slides = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "doc int, n int, t string")
+    assert sorted(r.t for r in review.rebuilt(slides, spark.createDataFrame([(1, 1, "new")], "doc int, n int, t string"), "doc").collect()) == ["c", "new"]
+    assert sorted(r.t for r in review.replaced_paths(slides, slides.where("n = 2"), "doc").collect()) == ["b", "c"]
+
+
+def test_views_and_filters_of_the_bank(spark):
+    from questora.operators import bank, search
+
+    rows = spark.createDataFrame([(1, None, "a", None, None, None, None, None, [], ["x.MP4", "y.png"]), (2, "q", None, "e", "T", "Hard", ["o"], ["i"], ["v.mov"], ["z.mp4"])], "id int, question_text string, answer string, explanation string, topic string, difficulty string, options array<string>, image_refs array<string>, video_refs array<string>, raw_media_refs array<string>")
+    got = {r.id: r for r in bank.api_view(rows).collect()}
+    assert (got[1].question_text, got[1].topic, got[1].difficulty, got[1].options, got[1].video_refs) == ("", "General Knowledge", "Medium", [], ["x.MP4"]) and got[2].video_refs == ["v.mov"]
+    meta = spark.createDataFrame([(2, "CONNECT_4")], "id int, question_format string")
+    assert [r.id for r in bank.with_format(rows, meta, "id", "CONNECT_4").collect()] == [2] and [r.id for r in bank.with_format(rows, meta, "id", "STANDARD_QA").collect()] == [1] and bank.with_format(rows, meta, "id", None) is rows
+    d = spark.createDataFrame([(1, "en", ["a", "b"], 1.0), (2, "en", ["B"], 9.0), (3, "fr", ["a", "b"], 5.0)], "id int, lang string, tags array<string>, r double")
+    pick = lambda want: [r.id for r in bank.by_filters(d, "id", want, F.col("tags"), ["A", "b"], F.col("r"), 2).collect()]
+    assert pick({"lang": "en"}) == [1, 2] and pick({"lang": "xx"}) == [3, 1]
+    images = spark.createDataFrame([("a.gif", 9000, 100, 100, False), ("b.png", 100, 100, 100, False), ("c.png", 9000, 79, 100, False), ("d.png", 9000, 80, 80, None), ("e.png", 9000, 80, 80, True)], "name string, bytes int, width int, height int, is_video_icon boolean")
+    assert [r.name for r in bank.valid_images(images).collect()] == ["d.png"]
+    assert search.expanded_terms("Gold loans!", {"gold": ["silver"], "loans and credit": ["emi"], "sport": ["ball"]}) == ["emi", "gold", "loans", "silver"]

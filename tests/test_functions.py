@@ -90,11 +90,34 @@ def test_decks_are_folded_as_a_loop_does(spark):
     assert sequence.classify_decks(slides.limit(0)).count() == 0
 
 
-def test_pairs_of_slides_become_questions(spark):
-    rows = [(1, 1, "QUESTION", "q1"), (1, 2, "ANSWER_TRANSITION", "ANSWER"), (1, 3, "ANSWER", "a1"), (1, 4, "QUESTION", "q2"), (1, 5, "ANSWER", "https://x"), (2, 1, "QUESTION", "q3"), (2, 2, "ANSWER", "a3")]
-    df = spark.createDataFrame(rows, "document_id int, slide_number int, slide_type string, extracted_text string")
-    got = sorted(((r.document_id, r.first_slide, r.pattern, r.question, r.answer) for r in sequence.extract_questions(df).collect()))
-    assert got == [(1, 1, "DIVIDED", "q1", "a1"), (1, 4, "ALONE", "q2", None), (2, 1, "PLAIN", "q3", "a3")]
+def test_nine_patterns_of_slides(spark):
+    q, a, t, c, m = "QUESTION", "ANSWER", "ANSWER_TRANSITION", "CONTENT", "SECTION_MARKER"
+    decks_ = {
+        1: [(m, "Round 3: Portfolio Builder"), (c, "Set one"), (c, "red"), (c, "green"), (c, "blue"), (t, "ANSWER"), (c, "Answer: Colours\nall of them")],
+        2: [(c, "Bumper"), (q, "Arrange from lowest to highest"), (c, "answer"), (c, "A B C")],
+        3: [(m, "Market Indicators\nRound 4"), (c, "go"), (c, "four pictures"), (t, "ANS"), (c, "Rivers")],
+        4: [(c, "Question 7"), (q, "Who is it?\n(A) Ann\n(B) Bob"), (t, "ANSWER"), (c, "Ann")],
+        5: [(q, "Q1. Which city?"), (t, "ANSWER"), (c, "Rome"), (c, "Did you know? It is old"), (q, "Next?"), (a, "Yes")],
+        6: [(q, "What river?"), (c, "a map"), (t, "ANSWER"), (c, "Nile")],
+        7: [(q, "Whose logo?"), (a, "https://x.y"), (q, "Why so?"), (a, "Because")],
+        8: [(q, "Name it?"), (c, "solution"), (a, "Gold\nshiny")],
+        9: [(q, "In notes?"), (q, "In text?\nAns: here"), (q, "Nowhere?"), ("QUESTION_PREVIEW", "Seen?"), (a, "x"), (c, "buffer")],
+        10: [(c, "Audience Question time"), (q, "From you?"), (a, "Me")],
+    }
+    rows = [(d, n, k, None, text, "Ans: noted" if text == "In notes?" else None) for d, deck in decks_.items() for n, (k, text) in enumerate(deck, 1)]
+    df = spark.createDataFrame(rows, "document_id int, slide_number int, slide_type string, title string, extracted_text string, speaker_notes string")
+    got = sorted((r.document_id, r.first_slide, r.last_slide, r.pattern, r.question, r.answer, r.round_number, r.subtopic) for r in sequence.extract_questions(df).collect())
+    assert [g[:6] for g in got] == [
+        (1, 3, 7, "STEPPED", "Clue 1 (+20/-15): red\n\nClue 2 (+15/-10): green\n\nClue 3 (+10/-5): blue", "Colours"), (2, 2, 4, "ARRANGE", "Arrange from lowest to highest", "A B C"),
+        (3, 3, 5, "CONNECT", sequence.CONNECT_TEXT, "Rivers"), (4, 2, 4, "BUMPER", "Who is it?", "Ann"), (5, 1, 3, "DIVIDED", "Which city?", "Rome"), (5, 5, 6, "PLAIN", "Next?", "Yes"),
+        (6, 1, 4, "CLUED", "What river?", "Nile"), (7, 3, 4, "PLAIN", "Why so?", "Because"), (8, 1, 3, "MIDDLE", "Name it?", "Gold"), (9, 1, 1, "ALONE", "In notes?", "noted"), (9, 2, 2, "ALONE", "In text? Ans: here", "here"),
+        (9, 3, 5, "MIDDLE", "Nowhere?", "x"),
+        (10, 2, 3, "PLAIN", "From you?", "Me"),
+    ]
+    assert [g[6:] for g in got][:3] == [(3, "Portfolio Builder"), (None, "Ticker Tangle"), (4, "Market Indicators")] and got[-1][6:] == (99, "Audience Questions")
+    more = {r.document_id: r.explanation for r in sequence.extract_questions(df).where("pattern IN ('DIVIDED', 'CLUED', 'MIDDLE', 'STEPPED')").collect()}
+    assert more == {1: "all of them", 5: "Did you know? It is old", 6: "Clue: a map", 8: "shiny", 9: "Clue: Seen?"}
+    assert sequence.extract_questions(df.limit(0)).count() == 0
 
 
 def test_hash_embedding_word_by_word(spark):
@@ -165,3 +188,16 @@ def test_first_theme_rule_wins(spark):
 
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", rules.taxonomy(F.col("t")).alias("x")).orderBy("i").collect()
     assert [tuple(r.x) for r in got] == [plain(t) for t in texts]
+
+
+def test_payloads_and_merged_json(spark):
+    from questora.functions import formats
+
+    df = spark.createDataFrame([
+        ("STEPPED_CLUE", "1st clue: a 2nd clue: b 3rd clue: c", "x", ["i"]), ("CONNECT_4", "What links these?", "Rivers", ["p", "q"]), ("ARRANGE_ORDER", "Arrange:\nA. one\nB. two", "B A", []), ("STANDARD_QA", None, "y", None),
+    ], "f string, q string, a string, i array<string>")
+    got = [r.p for r in df.select(formats.payload(F.col("f"), F.col("q"), F.col("a"), F.col("i")).alias("p")).collect()]
+    assert got[0] == '{"type":"STEPPED_CLUE","answer":"x","clues":["a","b","c"]}' and got[1] == '{"type":"CONNECT_4","answer":"Rivers","clues":["p","q"]}'
+    assert got[2] == '{"type":"ARRANGE_ORDER","answer":"B A","items":["A. one","B. two"]}' and got[3] == '{"type":"STANDARD_QA","answer":"y"}'
+    merged = spark.createDataFrame([('{"a":"1","b":"2"}', '{"b":"3","c":null}'), (None, '{"x":"1"}'), ("no json", None)], "o string, n string").select(formats.merged_json(F.col("o"), F.col("n")).alias("m")).collect()
+    assert [r.m for r in merged] == ['{"a":"1","b":"3"}', '{"x":"1"}', "{}"]

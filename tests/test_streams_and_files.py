@@ -82,6 +82,26 @@ def test_jobs_wait_retry_and_give_up(spark):
     assert {r.id: r.next_status for r in jobs.stale(df, now).collect()} == {3: "PENDING", 4: "FAILED"}
 
 
+def test_steps_of_a_job(spark):
+    rows = [(1, "DOWNLOAD", "RUNNING", 2, 3, "c"), (2, "FINISH", "RUNNING", 0, 3, None), (3, "TAG", "RUNNING", 1, 3, None), (4, "TAG", "RUNNING", 3, 3, None), (5, "EXTRACT", "RUNNING", 0, 3, "a"), (6, "TAG", "COMPLETED", 0, 3, None), (7, "TAG", "PENDING", 0, 3, None)]
+    df = spark.createDataFrame(rows, "id int, step string, status string, retry_count int, max_retries int, cursor string")
+    out = spark.createDataFrame([(1, "ok", None), (2, "ok", None), (3, "error", None), (4, "error", None), (5, "yield", "b"), (6, "error", None)], "id int, outcome string, cursor string")
+    got = {r.id: (r.step, r.status, r.retry_count, r.cursor) for r in jobs.advanced(df, out).collect()}
+    assert got == {1: ("PARSE", "PENDING", 0, None), 2: ("FINISH", "COMPLETED", 0, None), 3: ("TAG", "PENDING", 2, None), 4: ("TAG", "FAILED", 3, None), 5: ("EXTRACT", "PENDING", 0, "b"), 6: ("TAG", "COMPLETED", 0, None), 7: ("TAG", "PENDING", 0, None)}
+
+
+def test_reports_and_providers(spark, tmp_path):
+    from questora.operators import evaluate
+
+    rows = spark.createDataFrame([(1, "a", ["x"]), (2, "b", None)], "id int, gold string, alt array<string>")
+    evaluate.write_report(rows, spark.createDataFrame([("all", 2, 50.0)], "slice string, n int, pct double"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/raw")).count() == 2 and spark.read.csv(str(tmp_path / "r/per_question"), header=True).columns == ["id", "gold", "alt"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "r/report")).collect()] == ["| slice | n | pct |", "|---|---|---|", "| all | 2 | 50.0 |"]
+    assert providers.provider({}, {}) is providers.local_tag and providers.provider({"provider": "X", "size": 2}, {"x": lambda c: (lambda texts: [c["size"]] * len(texts))})(["a"]) == [2]
+    with pytest.raises(ValueError):
+        providers.provider({"provider": "nobody"}, {})
+
+
 def deck(*slides):
     a, out = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"', io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

@@ -48,8 +48,8 @@ def content_hash(question: Column, answer: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """ASCII words of two characters or more that are no stop words, repeats included."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
 def fingerprint(c: Column, n: int = 14) -> Column:

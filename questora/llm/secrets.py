@@ -15,6 +15,8 @@ parts costs its sorted length and never all pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,14 @@ WEAK = [
     ("blob", r"[A-Za-z0-9+/_=-]{32,}", "secret"),
     ("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]+""", "endpoint"),
 ]
+#: Literals of which any match of a kind holds one; a text without them is not searched for that kind.
+HOLDS = {"assign": (":", "="), "access": ("AKIA",), "ident": (":", "="), "endpoint": ("://",)}
 MIN_ASSIGN = 6
 SCOPE = 200
 
 
 def _matches(text: Column, number: int, name: str, pattern: str, part: str) -> Column:
-    """Array of (ord, kind, part, i, gap, len, ok), one per match of the pattern."""
+    """Array of (ord, kind, part, i, gap, len, ok), one per match of the pattern; null for a text that cannot have any."""
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
     def one(z: Column, i: Column) -> Column:
@@ -47,7 +51,8 @@ def _matches(text: Column, number: int, name: str, pattern: str, part: str) -> C
             F.length(z["g"]).cast("long").alias("gap"), F.length(z["m"]).cast("long").alias("len"), good.alias("ok"),
         )
 
-    return F.transform(F.filter(found, lambda z: z["m"].isNotNull()), one)
+    every = F.transform(F.filter(found, lambda z: z["m"].isNotNull()), one)
+    return F.when(reduce(lambda a, b: a | b, [text.contains(x) for x in HOLDS[name]]), every) if name in HOLDS else every
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,7 +63,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     kinds = [_matches(F.col("text"), n, *k) for n, k in enumerate(STRONG + WEAK)]
-    each = src.select("row", "doc_id", F.explode_outer(F.concat(*kinds)).alias("s")).select("row", "doc_id", "s.*")
+    each = src.select("row", "doc_id", F.explode_outer(F.flatten(F.array_compact(F.array(*kinds)))).alias("s")).select("row", "doc_id", "s.*")
     w = Window.partitionBy("row", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(w)
     return each.repartition("row").select("row", "doc_id", "ord", "kind", "part", "ok", (end - F.col("len")).alias("start"), end.alias("end"))

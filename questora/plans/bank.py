@@ -118,7 +118,25 @@ def near_dup_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.near_pairs(table(spark, sf, "documents"), "doc_id", text.fingerprint(F.col("text")), 0.7).withColumn("sim", F.round("sim", 6))
 
 
-@query(None)
+def _canon(c: str) -> str:
+    return CANON.replace("coalesce(text, '')", f"coalesce({c}, '')")
+
+
+_UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+_ANSWER_STOP = ", ".join(f"'{w}'" for w in vectors.ANSWER_STOP)
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, trim(coalesce(text, '')) AS q, trim(coalesce(lang, '')) AS a, {_UNIT} AS e FROM embeddings JOIN documents ON vec_id = doc_id WHERE embedding IS NOT NULL),
+    c AS (SELECT id, q, a, {_canon('q')} AS cq, {_canon('a')} AS ca, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e, length(q) < 15 OR len(regexp_extract_all(q, '[a-zA-Z]{{3,}}')) < 3 AS thin FROM v),
+    w AS (SELECT *, list_filter(string_split(ca, ' '), lambda x: x <> '' AND x NOT IN ({_ANSWER_STOP})) AS wa FROM c),
+    p AS (SELECT x.id, y.id AS other, y.id % 10 <> 0 AS kept, list_dot_product(x.e, y.e) AS sim, x.q AS xq, y.q AS yq, x.a AS xa, y.a AS ya, x.cq AS xcq, y.cq AS ycq, x.ca AS xca, y.ca AS yca, x.wa AS xw, y.wa AS yw, x.thin
+        FROM w x JOIN w y ON x.id % 10 = 0 AND x.id <> y.id AND (y.id % 10 <> 0 OR y.id < x.id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id, kept ORDER BY sim DESC, other) AS rank FROM p WHERE sim >= 0.3::DOUBLE),
+    ok AS (SELECT * FROM r WHERE (NOT kept OR rank <= 5) AND yq <> '' AND (NOT thin OR xcq = ycq)
+        AND (xa = '' OR ya = '' OR contains(yca, xca) OR contains(xca, yca) OR list_has_any(xw, yw) OR (xca <> '' AND contains(ycq, xca)) OR (yca <> '' AND contains(xcq, yca)) OR sim >= 0.97::DOUBLE)),
+    b AS (SELECT id, arg_min({{'o': other, 's': sim}}, rank + CASE WHEN kept THEN 0 ELSE 1000000 END) AS hit FROM ok GROUP BY id)
+    SELECT v.vec_id AS id, CASE WHEN b.id IS NULL THEN 'UNIQUE' ELSE 'POSSIBLE_DUPLICATE' END AS duplicate_status, hit.o AS duplicate_of_id, round(hit.s, 4) AS duplicate_similarity
+    FROM embeddings v JOIN documents ON vec_id = doc_id LEFT JOIN b ON b.id = v.vec_id WHERE v.vec_id % 10 = 0""")
 def vault_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Duplicate flags of a batch (every tenth vector) against the others, with plausibility guards, at a threshold the vectors reach."""
     vec = table(spark, sf, "embeddings").join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id"))

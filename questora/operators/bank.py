@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import rules
+from ..functions import rules, text
+from . import search
 from .lineage import cut
 
 
@@ -33,11 +34,11 @@ def bank_rows(questions: DataFrame, tags: DataFrame, meta: DataFrame, documents:
     )
 
 
-def tag_filter(wanted: dict[str, str], text: str | None, texts: list[Column]) -> Column:
-    """Rows whose tag attributes equal the wanted values and one of whose texts holds ``text``; an empty wish filters nothing."""
+def tag_filter(wanted: dict[str, str], needle: str | None, texts: list[Column]) -> Column:
+    """Rows whose tag attributes equal the wanted values and one of whose texts holds the needle; an empty wish filters nothing."""
     tests = [F.coalesce(F.col(c) == v, F.lit(False)) for c, v in wanted.items() if v]
-    if text and text.strip():
-        tests.append(reduce(lambda a, b: a | b, [F.coalesce(c.ilike(f"%{text.strip()}%"), F.lit(False)) for c in texts]))
+    if needle and needle.strip():
+        tests.append(reduce(lambda a, b: a | b, [F.coalesce(c.ilike(f"%{needle.strip()}%"), F.lit(False)) for c in texts]))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
@@ -72,6 +73,20 @@ def boosted(score: Column, bag: list[str], topic_tokens: Column, image_dependent
     return F.when(score > 0, s).otherwise(score)
 
 
+def searched(rows: DataFrame, key: str, query: dict[str, float], filters: dict, limit: int) -> DataFrame:
+    """(key, score) of the best rows for a weighted query bag: BM25 with the statistics of all rows, then gates and boosts; without words the broad order.
+
+    ``rows`` have question_text, topic_l1, subtopic_l2, image_dependent, tagged and the columns that the filters name.
+    """
+    passed = rows.where(gates(filters))
+    if not query:
+        return broad_order(passed, key, F.col("tagged"), limit).select(key, "score")
+    found = search.scores(rows, key, text.tokens(F.col("question_text")), query).withColumnRenamed("score", "__s")
+    topic = text.tokens(F.concat_ws(" ", "topic_l1", "subtopic_l2"))
+    score = boosted(F.col("__s"), list(query), topic, F.col("image_dependent"), bool(filters.get("exclude_image")))
+    return passed.join(found, key).select(key, F.round(score, 3).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+
+
 def broad_order(rows: DataFrame, key: str, tagged: Column, limit: int, seed: int = 7) -> DataFrame:
     """Rows for a request without words: 1, half more if tagged, and up to 0.3 drawn by a seeded hash of the key, best first."""
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), 1, 6), 16, 10).cast("double") / float(16**6)
@@ -104,11 +119,11 @@ def with_format(questions: DataFrame, meta: DataFrame, key: str, wanted: str | N
 
 def api_view(rows: DataFrame) -> DataFrame:
     """Rows as a client sees them: texts never null, lists never null, a default difficulty and topic, and videos found among the raw media where none are listed."""
-    text = lambda c, d="": F.coalesce(F.col(c), F.lit(d)).alias(c)
+    filled = lambda c, d="": F.coalesce(F.col(c), F.lit(d)).alias(c)
     many = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     by_name = F.filter(many("raw_media_refs"), lambda p: F.lower(p).rlike(r"\.(mp4|mov|avi|webm|mkv|m4v|wmv)$"))
     return rows.select(
-        "id", text("question_text"), text("answer"), text("explanation"), text("topic", "General Knowledge"), text("difficulty", "Medium"), many("options").alias("options"), many("image_refs").alias("image_refs"),
+        "id", filled("question_text"), filled("answer"), filled("explanation"), filled("topic", "General Knowledge"), filled("difficulty", "Medium"), many("options").alias("options"), many("image_refs").alias("image_refs"),
         F.when(F.size(many("video_refs")) > 0, many("video_refs")).otherwise(by_name).alias("video_refs"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .relational import relaxed
 
 K1, B = 1.5, 0.75
 
@@ -106,6 +107,11 @@ def hybrid(candidates: DataFrame, key: str, query_vector: list[float], lexical:
     return r.withColumn("score", vectors.rrf(F.col("rank_dense"), F.col("rank_sparse"), F.col("overlap"))).orderBy(F.desc("score"), key).limit(limit).drop("overlap")
 
 
+def hybrid_within(candidates: DataFrame, strict: Column, key: str, query_vector: list[float], lexical: Column, pool: int = 60, limit: int = 10) -> DataFrame:
+    """``hybrid`` over the candidates that meet a filter, or over all of them if none does."""
+    return hybrid(relaxed(candidates, strict), key, query_vector, lexical, pool, limit)
+
+
 def prompt_context(items: DataFrame, at: str, title: str, text: str) -> DataFrame:
     """One row: numbered source blocks of the items in order."""
     block = F.format_string("[SRC-%d] %s\n%s", F.col(at), F.col(title), F.col(text))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decks, disambiguate, parsing, rules, text
-from ..operators import bank, curate, review
-from .bank import TOKS
+from ..operators import bank, curate, review, search
+from .bank import _COS, _QV, TOKS
 from .registry import query, table
 
 
@@ -269,3 +269,32 @@ def confused_subtopics(spark: SparkSession, sf: str) -> DataFrame:
     said = F.get(F.array(F.lit(""), F.lit("Stock Markets"), F.lit("Banks and Banking"), F.lit("Consumer Brands")), (k % 4).cast("int"))
     q = F.concat(head, F.coalesce(F.regexp_extract("text", "[a-z]+", 0), F.lit("")))
     return table(spark, sf, "documents").select("doc_id", disambiguate.ruled(q, F.lit(""), said)["l2"].alias("l2"))
+
+
+_BAG = {"erandst": 1.0, "thtion": 1.0, "fr": 0.4}
+_BAG_SQL = "(VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in _BAG.items()) + ") q(term, w)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, {TOKS} AS bag FROM documents), st AS (SELECT count(*) AS n, avg(len(bag)) AS avgdl FROM d),
+    p AS (SELECT doc_id, len(bag) AS dl, unnest(bag) AS term FROM d), tf AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM p GROUP BY 1, 2),
+    idf AS (SELECT term, ln(1 + ((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
+    s AS (SELECT doc_id, sum(w * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))) AS score FROM tf JOIN idf USING (term) JOIN {_BAG_SQL} USING (term) GROUP BY doc_id)
+    SELECT doc_id, round((score + CASE WHEN lang = 'fr' THEN 0.5 ELSE 0 END) * CASE WHEN doc_id % 3 = 0 THEN 1.15::DOUBLE ELSE 1 END, 3) AS score FROM s JOIN d USING (doc_id) WHERE score > 0 AND coalesce(lang, '') <> 'de' ORDER BY 2 DESC, 1 LIMIT 60""")
+def gated_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Words, gates and boosts together: French names the topic, every third question needs its picture, German ones pass with time."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("question_text"), F.col("lang").alias("topic_l1"), F.col("source").alias("subtopic_l2"), (F.col("doc_id") % 3 == 0).alias("image_dependent"), F.lit(True).alias("tagged"),
+        F.when(F.col("lang") == "de", "TIME_SENSITIVE").alias("shelf_life"),
+    )
+    return bank.searched(d, "doc_id", _BAG, {"evergreen_only": True}, 60)
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_COS} AS sim, CAST(CASE WHEN contains(lower(text), 'ea') THEN 1 ELSE 0 END AS DOUBLE) AS lex FROM documents JOIN embeddings ON doc_id = vec_id, (SELECT {_QV} AS v) WHERE lang = 'fr'),
+    p AS (SELECT * FROM c ORDER BY sim DESC, doc_id LIMIT 60), r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, doc_id) AS rd, row_number() OVER (ORDER BY lex DESC, doc_id) AS rs FROM p)
+    SELECT doc_id, CAST(rd AS INTEGER) AS rank_dense, CAST(rs AS INTEGER) AS rank_sparse, round(1.0 / (60 + rd) + 1.0 / (60 + rs), 8) AS score FROM r ORDER BY round(1.0 / (60 + rd) + 1.0 / (60 + rs), 8) DESC, doc_id LIMIT 10""")
+def hybrid_within_filter(spark: SparkSession, sf: str) -> DataFrame:
+    vec = table(spark, sf, "embeddings")
+    v = vec.where("vec_id = 7").select("embedding").first()
+    rows = table(spark, sf, "documents").join(vec, F.col("doc_id") == F.col("vec_id"))
+    found = search.hybrid_within(rows, F.col("lang") == "fr", "doc_id", v[0] if v else [0.0], search.lexical_score(F.col("text"), ["ea"]))
+    return found.select("doc_id", "rank_dense", "rank_sparse", F.round("score", 8).alias("score"))

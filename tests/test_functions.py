@@ -29,8 +29,8 @@ def test_question_and_answer_slides(spark):
 
 def test_deck_names(spark):
     names = {
-        "uploads/RV College of Engineering Bengaluru Prelims Zerodha Varsity Quiz 15-03-2024 English.pptx":
-            ("Zerodha Varsity Quiz", "RV College of Engineering", "Bengaluru", "Prelims", "2024-03-15", 2024, "English", "College", True),
+        "uploads/Lake College of Engineering Bengaluru Prelims City Business Quiz 15-03-2024 English.pptx":
+            ("City Business Quiz", "Lake College of Engineering", "Bengaluru", "Prelims", "2024-03-15", 2024, "English", "College", False),
         "DPS School - Navi Mumbai - Finals - Junior Quiz (Hindi) 2023.pdf": ("Junior Quiz", "DPS School", "Navi Mumbai", "Finals", "None", 2023, "Hindi", "School", False),
         "ZVQ_bangalore_semis_2024-13-40.pptx": ("2024-13-40", None, "Bengaluru", "Semi-finals", "None", 2024, None, None, True),
         "just a name v2.pptx": ("just a name", None, None, None, "None", None, None, None, False),

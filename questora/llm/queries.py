@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, quality_rules, secrets, simhash, site_lines, topk, toxicity
+from . import codes, langid, mixing, packing, pieces, quality, quality_rules, secrets, simhash, site_lines, topk, toxicity, variants
 from .common import cut, fold_remainder, table
 
 
@@ -72,10 +75,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist() if books is not None else [])).encode()).hexdigest()
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        encoded = pieces.encode(table(spark, sf_dir, "documents"), f.read())
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_simhash, op2_secrets, op3_langid, op4_mixing, op5_topk, op6_packing, op7_line_dedup, op8_toxicity, op9_quality, op10_quality_rules)
+        for f in (
+            op1_simhash, op2_secrets, op3_langid, op4_mixing, op5_topk, op6_packing, op7_line_dedup, op8_toxicity, op9_quality, op10_quality_rules,
+            op11_variants, op12_vector_codes, op13_pieces,
+        )
     }
 
 
@@ -185,8 +209,36 @@ def _rules_sql() -> str:
     FROM s"""
 
 
+def _codes_sql() -> str:
+    """Every round spelt out: each part against every entry, then the floored means."""
+    n, size = codes.PARTS, codes.ENTRIES
+    steps, books = [], "b0"
+    for r in range(codes.ROUNDS + 1):
+        steps.append(f"""
+    a{r} AS (SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+        SELECT p.rid, p.part, b.entry, CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM p JOIN {books} b USING (part)) GROUP BY rid, part)""")
+        if r < codes.ROUNDS:
+            steps.append(f"""
+    s{r} AS (SELECT part, entry, i, sum(v) AS t, count(*) AS c FROM (
+        SELECT part, entry, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM a{r} JOIN p USING (rid, part)) GROUP BY part, entry, i),
+    m{r} AS (SELECT part, entry, list(CAST((t - ((t % c) + c) % c) // c AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY part, entry),
+    b{r + 1} AS (SELECT part, entry, coalesce(m{r}.x, {books}.x) AS x FROM {books} LEFT JOIN m{r} USING (part, entry))""")
+            books = f"b{r + 1}"
+    return f"""
+    WITH v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT rid, vec_id, part, x[1 + part * len(x) // {n}:(part + 1) * len(x) // {n}] AS x FROM v, (SELECT unnest(range({n})) AS part)),
+    b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {size}),
+    {",".join(s.replace(" AS (", " AS MATERIALIZED (", 1).strip() for s in steps)},
+    e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY rid),
+    h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM {books})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (rid), h"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_vector_codes": _codes_sql(),
         "op2_secrets": _secrets_sql(),
         "op4_mixing": "WITH " + _MIX_CTES.format(ws=_WS, docs="documents", cols="*").strip()
         + " SELECT doc_id, size, source_size, target, CAST(whole * size + floor(part * size + 0.5::DOUBLE) AS BIGINT) AS taken FROM mixed",

@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .lineage import cut
 
 
 def exact_repeats(batch: DataFrame, key: Column, order: str, vault: DataFrame | None = None) -> DataFrame:
     """``batch`` with ``key_hash``, ``first_id`` and ``is_repeat``: a repeat has an equal key before it or in the vault.
 
-    First ids are aggregated map-side. Keys of one in a thousand rows or more - a thousand at most - come back by
-    broadcast, so the rows of a hot key, such as all empty texts, stay where they are.
+    The key is hashed once: its hash and ``order`` alone are kept, in the shared folder, and the shared hashes come from these. First ids are aggregated
+    map-side. Keys of one in a thousand rows or more - a thousand at most - come back by broadcast, so the rows of a hot key, such as all empty texts, stay where they are.
     """
     h = batch.withColumn("key_hash", key)
-    firsts = h.groupBy("key_hash").agg(F.min(order).alias("first_id"), F.count("*").alias("__n"))
-    shared = firsts.where("__n > 1").join(F.broadcast(h.agg(F.count("*").alias("__all"))))
-    hot = shared.where("__n * 1000 >= __all").select("key_hash", F.col("first_id").alias("__hot"))
-    cold = shared.where("__n * 1000 < __all").select("key_hash", F.col("first_id").alias("__cold"))
+    slim = cut(h.select("key_hash", order))
+    h = slim if set(h.columns) == {"key_hash", order} else h
+    shared = cut(slim.groupBy("key_hash").agg(F.min(order).alias("first_id"), F.count("*").alias("__n")).where("__n > 1"))
+    total = slim.count()
+    hot = shared.where(F.col("__n") * 1000 >= total).select("key_hash", F.col("first_id").alias("__hot"))
+    cold = shared.where(F.col("__n") * 1000 < total).select("key_hash", F.col("first_id").alias("__cold"))
     out = h.join(F.broadcast(hot), "key_hash", "left").join(cold, "key_hash", "left")
     out = out.withColumn("first_id", F.coalesce("__hot", "__cold", F.col(order))).drop("__hot", "__cold")
     repeat = F.col("first_id") != F.col(order)

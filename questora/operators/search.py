@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,9 +117,12 @@ def prompt_context(items: DataFrame, at: str, title: str, text: str) -> DataFram
     return items.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(at).alias("p"), block.alias("b")))), lambda s: s["b"]), "\n\n").alias("context"))
 
 
-def expanded_terms(query: str, expansions: dict[str, list[str]]) -> list[str]:
-    """The words of a query and of every expansion that it names, or whose name holds one of its words; sorted."""
-    low = query.lower()
-    words = set(re.sub(r"[^\w\s]", " ", low).split())
-    more = [names for term, names in expansions.items() if term in low or any(w in term for w in words)]
-    return sorted(words.union(*more))
+def expanded_terms(query: Column, expansions: dict[str, list[str]]) -> Column:
+    """The words of a query and of every expansion that it names, or whose name holds one of its words; sorted. A null query has no words."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != "")
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(x) for x in v]).cast("array<string>").alias("v")) for k, v in expansions.items()]) if expansions else None
+    if known is None:
+        return F.array_sort(F.array_distinct(words))
+    named = F.filter(known, lambda e: F.contains(low, e["k"]) | F.exists(words, lambda w: F.contains(e["k"], w)))
+    return F.array_sort(F.array_distinct(F.concat(words, F.flatten(F.transform(named, lambda e: e["v"])))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, vectors
-from ..operators import curate, dedup, evaluate, relational, search
+from ..operators import curate, dedup, evaluate, relational, requests, search
 from ..sources import files
 from .registry import query, table
 
@@ -106,8 +106,8 @@ def knn_top5(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT doc_id, sha256(c) AS key_hash, min(doc_id) OVER (PARTITION BY c) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY c) AS is_repeat
     FROM (SELECT doc_id, """ + CANON + """ || '|||' AS c FROM documents)""")
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", text.content_hash(F.col("text"), F.lit("")).alias("k"))
-    return dedup.exact_repeats(d, F.col("k"), "doc_id").select("doc_id", "key_hash", "first_id", "is_repeat")
+    d = table(spark, sf, "documents").select("doc_id", text.content_hash(F.col("text"), F.lit("")).alias("key_hash"))
+    return dedup.exact_repeats(d, F.col("key_hash"), "doc_id").select("doc_id", "key_hash", "first_id", "is_repeat")
 
 
 @query(f"""WITH s AS (SELECT doc_id, list_sort(list_distinct(({TOKS})[:14])) AS t FROM documents), c AS (SELECT min(doc_id) AS doc_id, t FROM s WHERE len(t) > 0 GROUP BY t), e AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM c),
@@ -184,12 +184,12 @@ def rule_signals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", rules.shelf_life(t, YEAR).alias("shelf_life"), rules.sensitivity(t).alias("sensitivity"))
 
 
-def _taxonomy_sql(part: int) -> str:
+def taxonomy_sql(part: int) -> str:
     cases = " ".join(f"WHEN regexp_matches(lower(text), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{r[0]})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN '{r[part]}'" for r in rules.TAXONOMY_RULES)
     return f"CASE {cases} ELSE '{('General Knowledge', 'General Trivia')[part - 1]}' END"
 
 
-@query(f"SELECT doc_id, {_taxonomy_sql(1)} AS l1, {_taxonomy_sql(2)} AS l2 FROM documents")
+@query(f"SELECT doc_id, {taxonomy_sql(1)} AS l1, {taxonomy_sql(2)} AS l2 FROM documents")
 def taxonomy_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", rules.taxonomy(F.col("text")).alias("t")).select("doc_id", "t.*")
 
@@ -207,21 +207,25 @@ _WORDS = r"regexp_extract_all(q, '[^\t\n\x0B\f\r ]+')"
 _UNITS = r"\b(\d+(\.\d+)?\s*(km|miles|meters|percent|%|feet|years|light-years))\b"
 
 
-@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS q, lower(coalesce(text, '')) AS l, lower(trim(coalesce(source, ''))) AS a FROM documents),
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS q, lower(coalesce(text, '')) AS l, lower(trim(coalesce(source, ''))) AS a,
+        CASE doc_id % 3 WHEN 0 THEN 'Due to ' || lang WHEN 1 THEN 'overdue to' ELSE '' END AS e, CASE doc_id % 4 WHEN 0 THEN 'ask ' || source WHEN 1 THEN 'say it slowly' ELSE '' END AS nt FROM documents),
     t AS (SELECT *, regexp_extract_all(regexp_replace(a, '[^\\w\\s]', '', 'g'), '\\S+') AS toks, {_NAMES} AS names, {_WORDS} AS ws FROM d),
     o AS (SELECT *, len(list_filter(toks, lambda x: x IN ({', '.join(f"'{x}'" for x in rules.ANCHORS)}))) AS hits, len(regexp_extract_all(array_to_string(toks, ' '), '[aeiouy]+')) / greatest(len(toks), 1)::DOUBLE AS syl FROM t),
-    s AS (SELECT doc_id, CASE WHEN regexp_matches(l, '{_edged(rules.LATERAL)}') THEN 0.85 WHEN regexp_matches(l, '{_edged(rules.MULTI_STEP)}') AND names >= 2 THEN 0.80 WHEN regexp_matches(l, '{_edged(rules.INFERENCE)}') THEN 0.58 ELSE 0.25 END::DOUBLE AS cognitive,
+    s AS (SELECT doc_id, CASE WHEN regexp_matches(l, '{_edged(rules.LATERAL)}') THEN 0.85 WHEN regexp_matches(l, '{_edged(rules.MULTI_STEP)}') AND names >= 2 THEN 0.80 WHEN regexp_matches(l, '{_edged(rules.INFERENCE)}') THEN 0.58 WHEN regexp_matches(lower(coalesce(e, '')), '{_edged(rules.CAUSAL)}') THEN 0.50 ELSE 0.25 END::DOUBLE AS cognitive,
         CASE WHEN len(toks) = 0 THEN 0.40 WHEN hits > 0 THEN list_transform([CAST(CAST(greatest(0.12::DOUBLE, 0.35::DOUBLE - hits / len(toks)::DOUBLE * 0.20::DOUBLE) AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1]
             ELSE greatest(0.10::DOUBLE, least(0.95::DOUBLE, list_transform([CAST(CAST(0.45::DOUBLE + CASE WHEN syl >= 3 THEN 0.22::DOUBLE WHEN syl <= 1.5 THEN -0.12::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(a, '{_edged(rules.OBSCURE_ANSWER)}') THEN 0.18::DOUBLE ELSE 0 END AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1])) END::DOUBLE AS obscurity,
         least(1.0::DOUBLE, list_transform([CAST(CAST(0.28::DOUBLE + (regexp_matches(q, '{_edged(r"(1[0-9]{3}|20[0-9]{2})")}')::INT + (names >= 3)::INT + regexp_matches(q, '[''"][^''"]+[''"]')::INT + regexp_matches(q, '(?i){_UNITS}')::INT) * 0.18::DOUBLE AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1]) AS specificity,
         CASE WHEN len(ws) = 0 THEN 0.30 ELSE greatest(0.10::DOUBLE, least(1.0::DOUBLE, list_transform([CAST(CAST(least(len(ws), 40) / 40.0::DOUBLE * 0.5 + len(list_filter(ws, lambda w: length(w) > 7)) / len(ws)::DOUBLE * 0.5 AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1])) END::DOUBLE AS readability,
-        least(1.0::DOUBLE, list_transform([CAST(CAST(CASE WHEN regexp_matches(l, '{_edged("(clue|hint|note|tip)")}') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(l, '\\(also known as|famously called|popularly known|nickname\\)') THEN 0.3::DOUBLE ELSE 0 END AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1]) AS scaffolding FROM o),
+        least(1.0::DOUBLE, list_transform([CAST(CAST(CASE WHEN regexp_matches(l, '{_edged("(clue|hint|note|tip)")}') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN length(trim(coalesce(nt, ''))) > 10 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(l, '\\(also known as|famously called|popularly known|nickname\\)') THEN 0.3::DOUBLE ELSE 0 END AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1]) AS scaffolding FROM o),
     r AS (SELECT doc_id, greatest(0.08::DOUBLE, least(0.96::DOUBLE, list_transform([CAST(CAST(0.35::DOUBLE * cognitive + 0.25::DOUBLE * obscurity + 0.15::DOUBLE * specificity + 0.15::DOUBLE * readability + -0.10::DOUBLE * scaffolding AS VARCHAR) AS DECIMAL(20,17))], {_HALF_EVEN})[1])) AS score FROM s)
     SELECT doc_id, score, CASE WHEN score < 0.35::DOUBLE THEN 'Easy' WHEN score <= 0.65::DOUBLE THEN 'Medium' ELSE 'Hard' END AS band, CASE WHEN score < 0.35::DOUBLE THEN 1 WHEN score <= 0.65::DOUBLE THEN 5 ELSE 9 END AS grade_min,
     CASE WHEN score < 0.35::DOUBLE THEN 4 WHEN score <= 0.65::DOUBLE THEN 8 ELSE 12 END AS grade_max FROM r""")
 def difficulty_index(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", rules.difficulty(t, F.col("source"), F.lit(""), F.lit("")).alias("d")).select("doc_id", "d.*")
+    """The index over whole texts; explanations and notes come from the other columns."""
+    k = F.col("doc_id")
+    why = F.when(k % 3 == 0, F.concat(F.lit("Due to "), "lang")).when(k % 3 == 1, "overdue to").otherwise("")
+    notes = F.when(k % 4 == 0, F.concat(F.lit("ask "), "source")).when(k % 4 == 1, "say it slowly").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", rules.difficulty(F.col("text"), F.col("source"), why, notes).alias("d")).select("doc_id", "d.*")
 
 
 @query("""SELECT doc_id, CASE WHEN coalesce(quality, 0) = 0 THEN 'draft' WHEN toxic = 1 THEN 'draft' WHEN lang = 'en' THEN 'confirmed' ELSE 'draft' END AS status,
@@ -320,7 +324,8 @@ def group_cap_backfill(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def draft_quiz(spark: SparkSession, sf: str) -> DataFrame:
     """A request over the bank, end to end: BM25 pool, hard rules, rank, guard, editor."""
-    brief = curate.parse_prompt("ten hard questions about erandst thtion")
+    asked = spark.createDataFrame([("ten hard questions about erandst thtion",)], "prompt string")
+    brief = curate.brief_of(requests.parsed(asked, F.col("prompt")).first())
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     hits = search.scores(docs, "doc_id", text.tokens(F.col("text")), search.expand(brief.query.split(), {"thtion": ["rerer oren"]}))
     none = F.array().cast("array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decks, disambiguate, parsing, rules, text
 from ..operators import bank, curate, review, search
-from .bank import _COS, _QV, TOKS
+from .bank import _COS, _QV, TOKS, taxonomy_sql
 from .registry import query, table
 
 
@@ -147,9 +147,27 @@ def tag_to_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return review.tag_to_meta(meta, tags, "c_custkey", {"geography": "geo"}).select("c_custkey", "geography")
 
 
-@query("""SELECT doc_id, lang AS topic_l1, source AS subtopic_l2, 'confirmed' AS status, 0.95::DOUBLE AS confidence, 'RULE' AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+@query(f"SELECT doc_id, {taxonomy_sql(1)} AS topic_l1, {taxonomy_sql(2)} AS subtopic_l2, 'confirmed' AS status, 0.95::DOUBLE AS confidence, 'RULE' AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def rule_tags_for_untagged(spark: SparkSession, sf: str) -> DataFrame:
-    return review.missing_tags(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", F.col("lang"), F.col("source"))
+    d = table(spark, sf, "documents").withColumn("t", rules.taxonomy(F.coalesce("text", F.lit(""))))
+    return review.missing_tags(d, table(spark, sf, "labels"), "doc_id", F.col("t.l1"), F.col("t.l2"))
+
+
+#: Formats and names that the invented texts lack, in front of them.
+_HEADS = ["", "The Beatles, Apple and the RBI: ", "Tim Cook of apple sips Gold Loan ", "PAN card, zomato, Lays, monsoon and Crayola in "]
+_CODES = ["QA", "CONNECT", "THREE_CLUE", "ODD", None]
+
+
+@query(f"""WITH f AS (SELECT MAP {{{', '.join(f"'{k}': '{v}'" for k, v in rules.FORMAT_NAMES.items())}}} AS m, [{', '.join(f"'{e}'" for e in rules.ENTITIES)}] AS es),
+    d AS (SELECT doc_id, [{', '.join(f"'{h}'" for h in _HEADS)}][1 + doc_id % {len(_HEADS)}] || coalesce(text, '') AS text, coalesce(['QA', 'CONNECT', 'THREE_CLUE', 'ODD', NULL][1 + doc_id % {len(_CODES)}], 'QA') AS c FROM documents)
+    SELECT doc_id, {taxonomy_sql(1)} AS l1, {taxonomy_sql(2)} AS l2, array_to_string(list_concat([coalesce(m[c], c)], list_filter(es, lambda e: contains(lower(text), lower(e))))[:{rules.KEYWORDS}], '|') AS keywords FROM d, f""")
+def taxonomy_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """Theme, subtopic and keywords of a question by rules alone."""
+    k = F.col("doc_id")
+    head = F.get(F.array(*[F.lit(h) for h in _HEADS]), (k % len(_HEADS)).cast("int"))
+    code = F.get(F.array(*[F.lit(c) for c in _CODES]), (k % len(_CODES)).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("q"), code.alias("c"))
+    return d.select("doc_id", rules.taxonomy(F.col("q")).alias("t"), F.array_join(rules.keywords(F.col("q"), F.col("c")), "|").alias("keywords")).select("doc_id", "t.*", "keywords")
 
 
 @query("""SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'L' ELSE coalesce(nullif(trim(lang), ''), 'R1') END AS topic_l1, CASE WHEN d.doc_id % 3 = 0 THEN 'L2' WHEN coalesce(trim(lang), '') <> '' THEN source ELSE 'R2' END AS subtopic_l2,
@@ -205,13 +223,13 @@ def question_detail(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "c_name", F.col("deck.title").alias("deck"), F.array_join(F.transform("history", lambda h: h["o_orderkey"]), ",").alias("history"))
 
 
-@query("""WITH old AS (SELECT p_size AS q, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS pos, p_type AS l1, p_brand AS l2 FROM part WHERE p_size % 3 > 0), new AS (SELECT q, pos, l1, CASE WHEN q % 2 = 0 THEN upper(l2) ELSE l2 END AS l2 FROM old UNION ALL SELECT 999, 1, 'A', 'B'),
+@query("""WITH old AS (SELECT p_size AS q, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS pos, p_type AS l1, p_brand AS l2 FROM part), new AS (SELECT q, pos, l1, CASE WHEN q % 2 = 0 THEN upper(l2) ELSE l2 END AS l2 FROM old UNION ALL SELECT 999, 1, 'A', 'B'),
     o AS (SELECT q, string_agg(l1 || ' > ' || l2, '; ' ORDER BY pos) AS v FROM old GROUP BY q), n AS (SELECT q, string_agg(l1 || ' > ' || l2, '; ' ORDER BY pos) AS v FROM new GROUP BY q)
     SELECT n.q, 'topic_paths' AS field, o.v AS old_value, n.v AS new_value, 'EDIT' AS kind, 'ann' AS actor FROM n LEFT JOIN o ON n.q = o.q WHERE n.v IS DISTINCT FROM o.v""")
 def topic_path_history(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    p = table(spark, sf, "part").where("p_size % 3 > 0")
+    p = table(spark, sf, "part")
     old = p.select(F.col("p_size").alias("q"), F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("position"), F.col("p_type").alias("l1"), F.col("p_brand").alias("l2"))
     extra = spark.createDataFrame([(999, 1, "A", "B")], "q int, position int, l1 string, l2 string")
     new = old.withColumn("l2", F.when(F.col("q") % 2 == 0, F.upper("l2")).otherwise(F.col("l2"))).unionByName(extra)
@@ -219,10 +237,10 @@ def topic_path_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS id, round(n_chars / 10000.0::DOUBLE + CASE WHEN lang = 'en' THEN 0.5 WHEN lang = 'de' THEN 0.5 ELSE -0.4 END + CASE WHEN source = 'src1' THEN 1.2 WHEN source = 'src2' THEN -1.5 ELSE 0 END - 0.35 * CASE WHEN n_chars > 3000 THEN 1.0 ELSE 0.0 END, 6) AS rank_score,
-    CASE WHEN n_chars / 10000.0::DOUBLE >= 0.4 THEN 'on' ELSE 'adjacent' END AS pool FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL""")
+    CASE WHEN n_chars / 10000.0::DOUBLE >= 0.4 THEN 'on' ELSE 'adjacent' END AS pool FROM documents""")
 def ranked_pool(spark: SparkSession, sf: str) -> DataFrame:
     """Relevance, audience and difficulty in one rank: a school quiz about the country, easy."""
-    d = table(spark, sf, "documents").where("lang IS NOT NULL AND n_chars IS NOT NULL")
+    d = table(spark, sf, "documents")
     geo = F.when(F.col("lang") == "en", "IN").when(F.col("lang") == "de", "MIXED").otherwise("INTL")
     b = d.select(
         F.col("doc_id").alias("id"), F.col("text").alias("question_text"), F.lit("").alias("answer"), F.col("lang").alias("topic_l1"), F.col("source").alias("subtopic_l2"), F.lit("").alias("geo_region"), geo.alias("geography"),
@@ -236,15 +254,14 @@ def ranked_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_partkey, p_name AS quiz_name, 'Brand ' || p_size AS college, CASE p_partkey % 3 WHEN 0 THEN 'Bengaluru' WHEN 1 THEN 'New Delhi' END AS city, CASE WHEN p_partkey % 2 = 0 THEN 'Prelims' ELSE 'Finals' END AS round_stage,
     CASE WHEN p_partkey % 4 = 0 THEN DATE '2024-03-15' END AS deck_date, CASE WHEN p_partkey % 4 = 0 THEN 2024 END AS deck_year, 'Hindi' AS language, NULL::VARCHAR AS primary_audience, false AS is_varsity, true AS parsed_ok
-    FROM part WHERE p_partkey % 3 < 2""")
+    FROM part""")
 def deck_names(spark: SparkSession, sf: str) -> DataFrame:
     """File names made of parts' names, taken apart again."""
     k = F.col("p_partkey")
     city = F.when(k % 3 == 0, "Bangalore").when(k % 3 == 1, "new delhi").otherwise("")
     day = F.when(k % 8 == 0, "15-03-2024 ").when(k % 4 == 0, "15th March, 2024 ").otherwise("")
     name = F.concat(F.lit("decks/Brand_"), F.col("p_size"), F.lit(" "), city, F.lit(" "), F.when(k % 2 == 0, "Prelims").otherwise("final"), F.lit(" - "), F.col("p_name"), F.lit(" "), day, F.lit("[Hindi] w answers (1).pptx"))
-    p = table(spark, sf, "part").where(k % 3 < 2)
-    return p.select("p_partkey", decks.deck_info(name).alias("d")).select("p_partkey", "d.*")
+    return table(spark, sf, "part").select("p_partkey", decks.deck_info(name).alias("d")).select("p_partkey", "d.*")
 
 
 #: Heads that bring signs of the rules into the invented texts.
@@ -253,21 +270,21 @@ _SIGNS = ["printing of money ", "the CEO steps down, ", "a jingle and the share
 
 def _ruled_sql() -> str:
     cases = []
-    for r in disambiguate.RULES:
-        known = ", ".join(f"'{m}'" for m in r.mistaken_for)
-        signs = " AND ".join(f"regexp_matches(t, '(?i){p}')" for p in [r.sign, *r.also])
-        cases.append(f"WHEN (p = '' OR p IN ({known})) AND {signs} THEN CASE WHEN p <> '{r.l2.lower()}' THEN '{r.l2}' END")
+    for _, l2, _, taken_for, signs in disambiguate.RULES:
+        known = ", ".join(f"'{m}'" for m in taken_for)
+        here = " AND ".join(f"regexp_matches(t, '(?i){p}')" for p in signs)
+        cases.append(f"WHEN (p = '' OR p IN ({known})) AND {here} THEN CASE WHEN p <> '{l2.lower()}' THEN '{l2}' END")
     return "CASE " + " ".join(cases) + " END"
 
 
-@query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 9 {' '.join(f"WHEN {n} THEN '{x}'" for n, x in enumerate(_SIGNS))} END || substr(coalesce(regexp_extract(text, '[a-z]+'), ''), 1, 20) || ' ' AS t,
+@query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 9 {' '.join(f"WHEN {n} THEN '{x}'" for n, x in enumerate(_SIGNS))} END || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\P{{L}}]', 'q', 'g') || ' ' AS t,
     CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'stock markets' WHEN 2 THEN 'banks and banking' ELSE 'consumer brands' END AS p FROM documents) SELECT doc_id, {_ruled_sql()} AS l2 FROM d""")
 def confused_subtopics(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules between subtopics over short questions made of a sign and a word."""
+    """Rules between subtopics over whole texts with a sign in front. Word boundaries know the letters of all scripts; where the SQL engine's know ASCII alone, it reads other letters as one of these."""
     k = F.col("doc_id")
     head = F.get(F.array(*[F.lit(x) for x in _SIGNS]), (k % 9).cast("int"))
     said = F.get(F.array(F.lit(""), F.lit("Stock Markets"), F.lit("Banks and Banking"), F.lit("Consumer Brands")), (k % 4).cast("int"))
-    q = F.concat(head, F.coalesce(F.regexp_extract("text", "[a-z]+", 0), F.lit("")))
+    q = F.concat(head, F.coalesce("text", F.lit("")))
     return table(spark, sf, "documents").select("doc_id", disambiguate.ruled(q, F.lit(""), said)["l2"].alias("l2"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from questora.operators import curate, review
+from questora.operators import curate, requests, review
 
 
 def pool(spark, rows):
@@ -19,6 +19,8 @@ def test_a_whole_pool_is_read_as_a_list_would_be(spark):
     for count in (10, 14):
         want = [r["id"] for r in curate.edit(curate.guard(ranked), count)]
         assert [r["id"] for r in curate.compiled(df, count)] == want and 5 not in want
+    few = pool(spark, [(i, "s1", 0.5, 1000.0 - i, ["same", "words"], "on") for i in range(900)] + [(901, "s1", 0.5, 1.0, ["other"], "on")])
+    assert [r["id"] for r in curate.compiled(few, 3)] == [0, 901]  # alike rows are read past
     # Two subtopics of at most five: two places go to a subtopic that comes after a thousand rows.
     assert {2000, 2001} <= {r["id"] for r in curate.compiled(df, 14)}
 
@@ -34,19 +36,20 @@ def test_short_sets_are_padded_only_where_asked(spark):
 
 
 def test_requests_for_changes(spark):
-    assert curate.parse_add("Add 3 more questions about cricket!") == {"count": 3, "topic": "cricket"}
-    assert curate.parse_add("add two finance questions") == {"count": 2, "topic": "finance"} and curate.parse_add("give me another question") == {"count": 1, "topic": None}
-    assert curate.parse_add("replace one") is None and curate.parse_add("ten hard questions") is None
-    assert curate.parse_change("swap the 2nd question with opera", 3) == ("new", None, None)
-    assert curate.parse_change("swap 2nd question with opera", 3) == ("replace", 2, "opera") and curate.parse_change("delete slot 9", 3)[0] == "new"
-    assert curate.parse_change("zero questions", 3)[0] == "none" and curate.parse_change("drop card 1", 3) == ("remove", 1, None)
     df = pool(spark, [(i, f"s{i}", i / 10, 10.0 - i, [f"w{i}"], "on") for i in range(8)])
     asked = []
     pools = lambda topic: (asked.append(topic), df)[1]
-    assert curate.refined([3, 4, 5], "replace question 2 with gold", pools) == [3, 0, 5] and asked == ["gold"]
-    assert curate.refined([3, 4, 5], "remove question 1", pools) == [4, 5] and curate.refined([3], "0 questions", pools) == []
-    assert curate.refined([3, 4], "add 2 more", pools) == [3, 4, 1, 0]
-    assert curate.refined([3, 4, 5], "make it harder", pools, locked={4}) == [1, 4, 0]
+
+    def refined(current, prompt, **how):
+        row = requests.parsed(spark.createDataFrame([(prompt,)], "p string"), F.col("p")).first()
+        return curate.refined(current, row, pools, **how)
+
+    assert refined([3, 4, 5], "replace question 2 with gold") == [3, 0, 5] and asked == ["gold"]
+    assert refined([3, 4, 5], "remove question 1") == [4, 5] and refined([3], "0 questions") == []
+    assert refined([3, 4], "add 2 more") == [3, 4, 1, 0]
+    assert refined([3, 4, 5], "make it harder", locked={4}) == [1, 4, 0]
+    assert refined([3, 4, 5], "change 2 questions to opera and keep the rest", locked={4}) == [1, 4, 0] and asked[-1] == "opera"
+    assert refined([3, 4], "replace question 9 with gold") == [1, 0]
 
 
 def test_audience_changes_the_rank(spark):
@@ -89,9 +92,6 @@ def test_sets_by_difficulty_and_replacements(spark):
     assert len(short) == 6 and short[0].id == 0
     assert curate.instead_of(df, 0, "harder", ["id"]).first().id == 6 and curate.instead_of(df, 0, "easier", ["id"]).first().id == 10 and curate.instead_of(df, 0, "similar", ["id"]).first().difficulty == "Easy"
     assert curate.instead_of(df, 999, "harder", ["id"]).count() == 0
-    brief = curate.interpreted("x", lambda p: '{"query": "gold Gold silver", "count": 99, "topics": ["Finanse"], "filters": {"school_safe": true}}', ["Finance", "Sports"], [])
-    assert (brief.query, brief.count, brief.topics_l1, brief.filters) == ("gold silver", 50, ["Finance"], {"school_safe": True})
-    assert curate.interpreted("x", lambda p: "no json", [], []) is None and curate.interpreted("x", lambda p: 1 / 0 if False else None, [], []) is None
 
 
 def test_merges_run_twice_change_nothing_more(spark):
@@ -119,4 +119,7 @@ def test_views_and_filters_of_the_bank(spark):
     assert pick({"lang": "en"}) == [1, 2] and pick({"lang": "xx"}) == [3, 1]
     images = spark.createDataFrame([("a.gif", 9000, 100, 100, False), ("b.png", 100, 100, 100, False), ("c.png", 9000, 79, 100, False), ("d.png", 9000, 80, 80, None), ("e.png", 9000, 80, 80, True)], "name string, bytes int, width int, height int, is_video_icon boolean")
     assert [r.name for r in bank.valid_images(images).collect()] == ["d.png"]
-    assert search.expanded_terms("Gold loans!", {"gold": ["silver"], "loans and credit": ["emi"], "sport": ["ball"]}) == ["emi", "gold", "loans", "silver"]
+    asked = spark.createDataFrame([("Gold loans!",), (None,), ("",)], "q string")
+    known = {"gold": ["silver"], "loans and credit": ["emi"], "sport": ["ball"]}
+    assert [r.x for r in asked.select(search.expanded_terms(F.col("q"), known).alias("x")).collect()] == [["emi", "gold", "loans", "silver"], [], []]
+    assert asked.select(search.expanded_terms(F.col("q"), {}).alias("x")).first().x == ["gold", "loans"]

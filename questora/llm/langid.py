@@ -6,8 +6,8 @@ between neighbouring languages; forward-backward gives every word's chance of ea
 so text that switches language is labelled where it switches. A document's language is the
 one with the largest mean chance over its words.
 
-A run of letters of over ``PIECE`` characters, as in scripts written without spaces, counts as
-several words, so every character of a text has its say.
+A word is a run of letters and combining marks, so vowel signs and tone marks belong to it. A run of over ``PIECE``
+characters, as in scripts written without spaces, counts as several words, so every letter and mark of a text has its say.
 
 Training labels are those of whole documents. Chains are sewn together from stretches of
 different documents, so that the transitions learn what a switch costs.
@@ -26,24 +26,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_size, cut, fold_remainder
+from .letters import LETTERS
 
-FEATURES = 1 << 17
+#: Rows of the weight table; fewer where it would have over ``CELLS`` cells, but ``LEAST_FEATURES`` at any rate.
+FEATURES, CELLS, LEAST_FEATURES = 1 << 17, 1 << 24, 1 << 12
 #: Words of a chain; a text is a row of chains, none of it left out.
 CHAIN = 64
 #: Letters of a word; a longer run is cut into successive words.
 PIECE = 24
 #: Bound of the training sample: so many documents per language, fewer if there are so many languages that ``SAMPLE`` documents
-#: would not do, but ``LEAST`` at any rate; none longer than so many characters. Every language is learnt.
-PER_LANG, SAMPLE, LEAST = 300, 20_000, 20
+#: would not do, but ``LEAST`` at any rate; of each a stretch of at most ``MAX_CHARS`` characters, less where
+#: the sample would have over ``SAMPLE * MAX_CHARS``. The ``LANGS`` languages of most documents are learnt: a column with more values than that is not
+#: one of languages, and the model grows with their square.
+PER_LANG, SAMPLE, LEAST, LANGS = 300, 20_000, 20, 2_000
 MAX_CHARS = 6_000
 EPOCHS = 3
 #: A word is in the lexicon if so many training documents have it.
 LEXICON_DOCS = 5
-#: Languages up to which a table of their counts is broadcast.
-MANY = 10_000
 #: Numbers in a table of chances that is worked on at once.
 ROOM = 4_000_000
-_WORD = re.compile(r"[^\W\d_]{1,%d}" % PIECE)
+_WORD = re.compile("[%s]{1,%d}" % (LETTERS, PIECE))
 
 
 class Hashed(dict):
@@ -76,14 +78,14 @@ def word_features(w: str, lexicon: frozenset) -> list[int]:
 @dataclass
 class Crf:
     langs: list[str]
-    weights: np.ndarray  # (FEATURES, languages)
+    weights: np.ndarray  # (rows, languages); the rows are a power of two, and a feature's row its number modulo that
     moves: np.ndarray  # (languages, languages)
     lexicon: frozenset
 
     def emissions(self, words: list[str]) -> np.ndarray:
         feats = [word_features(w, self.lexicon) for w in words]
         sizes = np.array([len(f) for f in feats])
-        flat = np.concatenate([np.array(f) for f in feats])
+        flat = np.concatenate([np.array(f) for f in feats]) % len(self.weights)
         return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
 
 
@@ -109,8 +111,18 @@ def chances(e: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.nd
 
 def expected_moves(alpha: np.ndarray, beta: np.ndarray, x: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """How often full chains are expected to go from one language to the next."""
-    m = alpha[:, :-1, :, None] * np.exp(moves) * (x[:, 1:] * beta[:, 1:])[:, :, None, :]
-    return (m / m.sum((2, 3), keepdims=True)).sum((0, 1))
+    after, a = x[:, 1:] * beta[:, 1:], np.exp(moves)
+    before = alpha[:, :-1] / (((alpha[:, :-1] @ a) * after).sum(2, keepdims=True))
+    k = len(moves)
+    return a * (before.reshape(-1, k).T @ after.reshape(-1, k))
+
+
+def table_rows(langs: int) -> int:
+    """Rows of the weight table for so many languages."""
+    rows = FEATURES
+    while rows * langs > CELLS and rows > LEAST_FEATURES:
+        rows //= 2
+    return rows
 
 
 def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> Crf | None:
@@ -128,8 +140,9 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> C
     lexicon = frozenset(x for x, n in seen.items() if n >= LEXICON_DOCS)
     number: dict[str, int] = {}
     docs = [(np.array([number.setdefault(x, len(number)) for x in w]), langs.index(lang)) for w, lang in texts]
-    feats = [np.array(word_features(x, lexicon)) for x in number]
     k = len(langs)
+    n_rows = table_rows(k)
+    feats = [np.array(word_features(x, lexicon)) % n_rows for x in number]
     # Stretches of 4 to 40 words, in random order: neighbours are of the same language or of another.
     pieces = []
     for ids, lang in docs:
@@ -147,8 +160,8 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> C
     # The last chain is filled up from the front, so no word is left out.
     n_chains = -(-len(ids) // CHAIN)
     ids, gold = np.resize(ids, (n_chains, CHAIN)), np.resize(gold, (n_chains, CHAIN))
-    w, moves = np.zeros((FEATURES, k), np.float32), np.zeros((k, k))
-    w2, m2 = np.full((FEATURES, k), 1e-3, np.float32), np.full((k, k), 1e-2)
+    w, moves = np.zeros((n_rows, k), np.float32), np.zeros((k, k))
+    w2, m2 = np.full((n_rows, k), 1e-3, np.float32), np.full((k, k), 1e-2)
     for _ in range(epochs):
         for pick in np.array_split(rng.permutation(n_chains), max(1, n_chains // 32)):
             batch, y = ids[pick], gold[pick]
@@ -159,7 +172,8 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> C
             e = np.add.reduceat(w[flat], np.cumsum(sizes) - sizes, axis=0)[inv.reshape(batch.shape)]
             post, alpha, beta, x = chances(e, np.full(len(batch), batch.shape[1]), moves)
             pair = expected_moves(alpha, beta, x, moves)
-            g_tok = (post - np.eye(k)[y]).reshape(-1, k)
+            g_tok = post.reshape(-1, k).copy()
+            g_tok[np.arange(y.size), y.ravel()] -= 1
             g_word = np.zeros((len(words), k))
             np.add.at(g_word, inv.ravel(), g_tok)
             u, where = np.unique(flat, return_inverse=True)
@@ -168,9 +182,8 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> C
             g_f /= len(batch)
             w2[u] += g_f * g_f
             w[u] -= 0.3 * g_f / np.sqrt(w2[u])
-            true = np.zeros((k, k))
-            np.add.at(true, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-            g_m = (pair - true) / len(batch)
+            np.subtract.at(pair, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+            g_m = pair / len(batch)
             m2 += g_m * g_m
             moves -= 0.1 * g_m / np.sqrt(m2)
     return Crf(langs, w, moves, lexicon)
@@ -181,14 +194,14 @@ _cache: dict = {}
 
 def label_words(crf: Crf, texts: list[str | None], key: int = 0) -> list[np.ndarray]:
     """For each text the chances (words, languages) of its words, by forward-backward over its chains."""
-    if _cache.get("key") != key or len(_cache["number"]) > 400_000:
+    if _cache.get("key") != key or len(_cache["number"]) > max(20_000, min(400_000, 4 * ROOM // len(crf.langs))):
         _cache.update(key=key, number={}, table=np.zeros((0, len(crf.langs)), np.float32))
     number = _cache["number"]
     lists, fresh = [], []
     for text in texts:
         ids = []
         found = _WORD.findall((text or "").lower())
-        # Digits of other kinds, as in fractions, are word characters but no letters.
+        # Marks alone are no letters.
         if found and not found[0].isalpha() and not any(c.isalpha() for w in found for c in w):
             found = []
         for w in found:
@@ -225,24 +238,25 @@ def label_words(crf: Crf, texts: list[str | None], key: int = 0) -> list[np.ndar
 def fit(docs: DataFrame, folds: int = 3, held: int = 1) -> Crf | None:
     """A model from a bounded sample of the rows with a language outside the held-out fold.
 
-    At most ``PER_LANG`` documents of each language, those whose ids hash lowest; every language is learnt.
-    Rows that repeat a doc_id are one document.
+    At most ``PER_LANG`` documents of each language, those whose ids hash lowest, of whichever length: of a long text a stretch
+    from a place that its id's hash says. Rows that repeat a doc_id and a language are one document.
     """
-    known = docs.where(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= MAX_CHARS) & (fold_remainder(F.col("doc_id"), folds) != held)
-    ).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(17)).alias("h"))
-    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold_remainder(F.col("doc_id"), folds) != held))
+    known = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(17)).alias("h"))
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS))
     k = counts.count()
     if not k:
         return None
     most = max(LEAST, min(PER_LANG, SAMPLE // k))
+    chars = min(MAX_CHARS, SAMPLE * MAX_CHARS // (k * most))
     # Some four times as many as are wanted are let through by the hash alone, so that ranking a language, however large, sees few rows.
     among = F.col("n") * (F.col("h") / F.lit(float(2**64)) + 0.5)
-    few = known.join(F.broadcast(counts) if k <= MANY else counts, "lang")
+    few = known.join(F.broadcast(counts), "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     picked = few.where(among < 4 * most + 100).select("doc_id", "lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= most).select("doc_id", "lang").withColumnRenamed("lang", "__lang")
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS)).join(F.broadcast(picked), "doc_id").where("lang = __lang")
-    one = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(picked), "doc_id").where("lang = __lang")
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    one = rows.select("doc_id", "lang", F.substring(F.col("text"), begin, F.lit(chars)).alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sorted((r["doc_id"], r["lang"], r["text"]) for r in one.collect())
     return train([(t, lang) for _, lang, t in got])
 
@@ -262,7 +276,7 @@ def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score, n, switches = [], [], [], []
-            for part in by_size(b.column(1).to_pylist(), 500_000):
+            for part in by_size(b.column(1).to_pylist(), max(20_000, min(500_000, ROOM // len(crf.langs)))):
                 for p in label_words(crf, part, key):
                     if len(p):
                         mean, best = p.mean(0), p.argmax(1)

@@ -16,8 +16,8 @@ from .common import cut, word_count
 MAX_LEN = 2048
 BUCKETS = 8
 TOKEN_BUDGET = 16_384
-#: Shards of a bucket that are numbered side by side.
-SHARDS = 256
+#: Shards of a bucket that are numbered side by side, more where there would be over so many rows in each.
+SHARDS, SHARD_ROWS = 256, 100_000
 
 
 def boundaries(hist: dict[int, int], buckets: int) -> list[int]:
@@ -72,7 +72,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_
     ``bucket_len`` is the length a piece is padded to; a batch holds
     floor(token_budget / bucket_len) pieces, at least one, of one bucket, so only the last
     batch of a bucket can be short. Pieces are numbered in the order of a hash, in shards whose
-    offsets are sums of ``buckets * SHARDS`` counts. Rows of equal doc_id each get a slot. An
+    offsets are sums of one count each; there are ``SHARDS``, and more where a shard would have over ``SHARD_ROWS`` rows. Rows of equal doc_id each get a slot. An
     empty table gives no rows.
     """
     seqs = cut(sequences(docs, max_len, n_tokens))
@@ -81,7 +81,8 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_
     if not bounds:
         return seqs.select("*", F.lit(0).cast("long").alias("bucket_len"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"))
     bucket = F.array_min(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col("n_tokens")))
-    dealt = seqs.withColumn("bucket_len", bucket).withColumn("h", F.xxhash64("doc_id", "seq")).withColumn("shard", F.pmod(F.col("h"), F.lit(SHARDS)))
+    shards = max(SHARDS, sum(hist.values()) // SHARD_ROWS)
+    dealt = seqs.withColumn("bucket_len", bucket).withColumn("h", F.xxhash64("doc_id", "seq")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
     sums = dealt.groupBy("bucket_len", "shard").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("bucket_len").orderBy("shard")
     offsets = sums.select("bucket_len", "shard", (F.sum("n").over(upto) - F.col("n")).alias("before"))

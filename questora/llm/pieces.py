@@ -3,11 +3,12 @@
 A chunk is a run of white-space markers with what follows them up to the next marker. Where no piece of the vocabulary has a
 marker behind another character, no merge crosses from one chunk to the next, so a text's ids are those of its chunks,
 one after the other. The corpus's chunks are counted and the commonest are segmented once for all tasks; a task segments
-each other chunk once, when it meets it. Ids are then joined back by position.
+each other chunk once, when it meets it first. Ids are then joined back by position.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,10 +53,7 @@ def chunks(text: str | None) -> list[str]:
 
 
 class Table(dict):
-    """Ids of chunks, as the bytes of 32-bit integers; a chunk that is not there is segmented and kept.
-
-    ``odd`` has the chunks that decode to something else than themselves.
-    """
+    """Ids of chunks, as the bytes of 32-bit integers; ``odd`` has the chunks that decode to something else than themselves."""
 
     def __init__(self, model: bytes, known: dict[str, bytes] | None = None, odd: dict[str, str] | None = None) -> None:
         super().__init__(known or {})
@@ -63,21 +61,21 @@ class Table(dict):
         self.mark = self.of.piece_to_id(MARK)
         self.first_odd = dict(self.odd)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.of.encode(chunk, num_threads=1) if chunk else [self.mark]
-        back = self.of.decode(ids)
-        if back != chunk:
-            self.odd[chunk] = back
-        out = self[chunk] = np.array(ids, "<i4").tobytes()
-        self.chars += len(chunk) + 8
-        return out
-
-    def let_go(self) -> None:
-        """Forgets the task's own chunks once there are many; not between the ids and the text of one document."""
+    def learn(self, found: set[str]) -> None:
+        """Segments those of ``found`` that are not there, each once; forgets the task's own chunks before, where there are many."""
         if self.chars > KEPT:
             self.clear()
             self.update(self.first)
             self.odd, self.chars = dict(self.first_odd), 0
+        fresh = [c for c in found if c not in self]
+        ids = self.of.encode(fresh, num_threads=1) if fresh else []
+        if "" in fresh:
+            ids[fresh.index("")] = [self.mark]
+        for chunk, own, back in zip(fresh, ids, self.of.decode(ids, num_threads=1) if ids else []):
+            self[chunk] = array("i", own).tobytes()
+            self.chars += len(chunk) + 8
+            if back != chunk:
+                self.odd[chunk] = back
 
 
 def by_chunks(model: bytes) -> bool:
@@ -119,9 +117,9 @@ def chunk_table(docs: DataFrame, model: bytes, most: int = TABLE, text_col: str
         table = Table(model)
         for b in batches:
             names = b.column(0).to_pylist()
+            table.learn(set(names))
             ids = [table[c] for c in names]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([table.odd.get(c) for c in names], pa.string())], names=["chunk", "ids", "back"])
-            table.let_go()
 
     step = F.floor(F.log2("n") * STEPS).cast("int")
     counts = cut(chunk_counts(docs, text_col).where("n > 1").withColumn("step", step))
@@ -153,12 +151,10 @@ def encode(docs: DataFrame, model: bytes, most: int = TABLE, id_col: str = "doc_
         for b in batches:
             at = 0
             for texts in by_size(b.column(1).to_pylist(), AT_ONCE):
-                ids, back = [], []
-                for t in texts:
-                    parts = chunks(t)
-                    ids.append(b"".join(map(table.__getitem__, parts)))
-                    back.append(" ".join(map(table.odd.get, parts, parts) if table.odd else parts))
-                    table.let_go()
+                parts = [chunks(t) for t in texts]
+                table.learn(set().union(*parts))
+                ids = [b"".join(map(table.__getitem__, p)) for p in parts]
+                back = [" ".join(map(table.odd.get, p, p) if table.odd else p) for p in parts]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), lists, pa.array(back, pa.string())], names=["doc_id", "ids", "text"])

@@ -1,6 +1,6 @@
 """Quality classifier: hashed word n-gram logistic regression, trained follow-the-regularised-leader.
 
-Words and runs of symbols are tokens, in their own case. A text is the mean of its hashed
+Words, combining marks included, and runs of symbols are tokens, in their own case. A text is the mean of its hashed
 uni- and bigrams; its score is the sigmoid of a sparse dot product, taken for a whole batch at
 once from the batch's token numbers.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, training_rows
+from .letters import MARKS
 
 DIMS = 1 << 18
 #: Bound of the training sample: so many rows of each class, none longer than so many characters.
@@ -26,7 +27,7 @@ MAX_CHARS = 20_000
 EPOCHS = 3
 #: Features are counts over length times this, so that one text's features sum to it.
 SCALE = 20.0
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
+_TOKEN = re.compile(r"[\w%s]+|[^\w\s%s]+" % (MARKS, MARKS))
 _hash: dict[str, int] = {}
 
 

@@ -635,7 +635,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, least: floa
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = SIMILARITY, part: int = PART) -> DataFrame:
-    """(doc_id, component_id) of every row: groups that links of an exact similarity of ``least`` or more reach, named by the smallest doc_id.
+    """(doc_id, text_key, component_id, component_key) of every row: groups that links of an exact similarity of ``least`` or more reach, named by the
+    smallest doc_id, or null if none has one, and by the smallest hash of a text with that doc_id.
 
     Upper nodes of the index are shingles: of each set the first in one order of all shingles, so many that
     two sets that similar share one. Fingerprints below one node within ``WIDE_BITS`` bits make candidate
@@ -650,23 +651,29 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = SIMILARITY, p
     sets = cut(slim.groupBy("set_id", "node").agg(F.min(F.struct("doc_id", "text_key")).alias("f"), F.max("n").alias("size"), F.count("*").alias("n")).select("set_id", "node", "f.*", "size", "n").withColumnRenamed("doc_id", "first_id"))
     members = cut(sets.where("size > 0").join(near.hint("merge"), "node", "left").select("set_id", "first_id", "text_key", "size", F.coalesce("root", "node").alias("root")))
     roots = components(confirmed_links(docs, members, words, least, part))
-    # The smallest doc_id that is not null names a group; a struct's minimum may be that of a row without one.
-    smallest = slim.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    return named(slim.select("doc_id", "set_id"), smallest, roots, "set_id").select("doc_id", "component_id")
+    # The row that names a group, one with a doc_id before one without.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    smallest = slim.groupBy("set_id").agg(F.min(first).alias("first_id"), F.count("*").alias("n"))
+    return named(slim.select("doc_id", "text_key", "set_id"), smallest, roots, "set_id").select(
+        "doc_id", "text_key", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.text_key").alias("component_key")
+    )
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of smallest doc_id.
+    """``docs`` with one document of each near-duplicate group: the one of smallest doc_id, then of smallest hash of its text.
 
-    Documents link if the sets of their shingles are at least ``least`` similar. All columns stay as they are. Rows that repeat a doc_id are that
-    document again, so one of them stays. A row whose doc_id is null cannot be told apart and stays.
+    Documents link if the sets of their shingles are at least ``least`` similar. All columns stay as they are. A row goes only if its own text has a link
+    to one that stays, so rows of one doc_id with texts that are not alike all stay; of rows of one doc_id and text the
+    one whose columns are smallest stays. A row whose doc_id is null cannot be told apart and stays.
     """
-    groups = similar_groups(docs, words, least)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    groups = cut(similar_groups(docs, words, least).where("doc_id IS NOT NULL"))
+    own = ["doc_id", "text_key"]
+    other = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("component_key"))
+    gone = groups.where(other).select(*own).distinct().select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    kept = docs.withColumn("__text_key", F.xxhash64("text")).join(gone, same, "left_anti")
+    again = cut(groups.where(~other).groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
     if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
-        kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    )
+        return kept.select(docs.columns)
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", "__text_key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(again, same, "left_anti").select(docs.columns).unionByName(one)

@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, stored, training_rows
+from .letters import MARKS
 
 ROWS = 1 << 16
 DIM = 16
@@ -37,7 +38,7 @@ MIN_TEXTS = 3
 PARTS = 3
 #: Bins of calibration scores to one unit of the logit, which lies within 30 of 0.
 BINS = 50
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[\w%s]+" % MARKS)
 
 
 def _row(s: str, salt: int) -> int:
@@ -73,7 +74,6 @@ class Cnn:
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: float
-    thresholds: dict[str, float] = field(default_factory=dict)
 
     def pooled(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Largest response of each filter in each text; ``x`` are word vectors, each text followed by gaps."""
@@ -201,15 +201,6 @@ def score_batch(net: Cnn, texts: list[str | None], key: int = 0) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Cnn | None:
-    """A network from a bounded sample of the labelled rows outside the held-out fold, with
-    thresholds per language; None if no row is labelled."""
-    net, sample = learnt(docs, labels, folds, held)
-    if net is not None:
-        net.thresholds = calibrate(sample, score(docs.where("lang IS NOT NULL"), net, extra=("lang",)), labels, folds, held)
-    return net
-
-
 def learnt(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> tuple[Cnn | None, list[tuple]]:
     """A network without thresholds, and the sample (text, y, doc_id, lang) it learnt from; None if no row is labelled."""
     rows = training_rows(docs, labels, "toxic", folds, held, PER_CLASS, MAX_CHARS, ("doc_id", "lang"))
@@ -286,14 +277,7 @@ def score(docs: DataFrame, net: Cnn | None, extra: tuple[str, ...] = (), id_col:
     src = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *extra)
     if net is None:
         return src.select("doc_id", *extra, F.lit(0.0).alias("score"))
-    key, names = zlib.crc32(net.out.tobytes()), [*src.columns[1:], "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [score_batch(net, b.column(0).slice(i, 512).to_pylist(), key) for i in range(0, b.num_rows, 512)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(out) if out else np.empty(0))], names=names)
-
-    return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[1:]) + ", score double")
+    return with_score(src, net, "__text", "score", keep_text=False)
 
 
 def threshold(limits: dict[str, float], lang: Column) -> Column:
@@ -318,35 +302,15 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     return scored.where(F.col("__score") < threshold(limits, F.col("lang"))).drop("__score")
 
 
-def with_score(docs: DataFrame, net: Cnn) -> DataFrame:
-    """``docs`` with ``__score``, the chance of its ``text`` to be toxic; a null or empty text is one gap."""
+def with_score(docs: DataFrame, net: Cnn, text_col: str = "text", name: str = "__score", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the chance of its texts to be toxic, and with or without the texts; a null or empty text is one gap."""
     key = zlib.crc32(net.out.tobytes())
-    schema = docs.select("*", F.lit(0.0).alias("__score")).schema
+    stay = [c for c in docs.columns if keep_text or c != text_col]
+    schema = docs.select(*[F.col(f"`{c}`") for c in stay], F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [score_batch(net, b.column("text").slice(i, 512).to_pylist(), key) for i in range(0, b.num_rows, 512)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*b.schema.names, "__score"])
+            out = [score_batch(net, b.column(text_col).slice(i, 512).to_pylist(), key) for i in range(0, b.num_rows, 512)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(np.concatenate(out) if out else np.empty(0))], names=[*stay, name])
 
     return docs.mapInArrow(run, schema)
-
-
-def drop_toxic(docs: DataFrame, net: Cnn | None) -> DataFrame:
-    """``docs`` without the rows whose score reaches their language's threshold; columns stay.
-
-    A language without a threshold, or null, has 0.5. Without a model every row stays.
-    """
-    if net is None:
-        return docs
-    key, limits = zlib.crc32(net.out.tobytes()), dict(net.thresholds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep: list[bool] = []
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                p = score_batch(net, part.column("text").to_pylist(), key)
-                keep += [bool(s < limits.get(lang, 0.5)) for s, lang in zip(p, part.column("lang").to_pylist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)

@@ -46,6 +46,37 @@ def test_every_character_and_every_language_counts(spark):
     assert np.mean([got[10 + i].lang_pred == f"l{i % 70:02d}" for i in range(300)]) > 0.95
 
 
+def test_marks_belong_to_words(spark):
+    rng = np.random.default_rng(8)
+    assert [langid._WORD.findall(t) for t in ("हिन्दी की", "தமிழ்", "ภาษาไทยที่", "é")] == [["हिन्दी", "की"], ["தமிழ்"], ["ภาษาไทยที่"], ["é"]]
+    for pattern in (toxicity._WORD, quality._TOKEN):
+        assert pattern.findall("हिन्दी é1, ok") == ["हिन्दी", "é1", *([","] if pattern is quality._TOKEN else []), "ok"]
+    # Two languages of the same letters: one has one kind of vowel sign, the other another.
+    word = lambda signs: "".join(rng.choice(list("कखगघ")) + rng.choice(list(signs)) for _ in range(4))
+    rows = [(2 * i + n, " ".join(word(signs) for _ in range(12)), lang) for i in range(60) for n, (signs, lang) in enumerate((("ाि", "x"), ("ुू", "y")))]
+    rows += [(1000 + i, " ".join(rng.choice(["lang", "wort", "satz"], 4000)), "long") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = langid.fit(df)
+    assert crf.langs == ["long", "x", "y"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, crf).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+    marks = langid.predict(spark.createDataFrame([(1, "\u0301\u0308 ́")], "doc_id long, text string"), crf).first()
+    assert marks.lang_pred == "und"
+
+
+def test_five_hundred_languages_take_little_memory(spark):
+    import resource
+
+    rng = np.random.default_rng(9)
+    rows = [(10 * n + i, " ".join("".join(chr(0x4E00 + 20 * n + int(c)) for c in rng.integers(0, 20, 5)) for _ in range(6)), f"l{n:03d}") for n in range(500) for i in range(10)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    crf = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(crf.langs) == 500 and crf.weights.nbytes <= 4 * langid.CELLS
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    got = langid.label_words(crf, [t for _, t, _ in rows[::100]])
+    assert np.mean([crf.langs[int(p.mean(0).argmax())] == r[2] for p, r in zip(got, rows[::100])]) > 0.9
+
+
 def test_scores_of_words_do_not_depend_on_the_batch():
     rows = [("ab cd ef " * 5, "x"), ("gh ij kl " * 5, "y")] * 10
     crf = langid.train(rows)

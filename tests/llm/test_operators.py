@@ -121,15 +121,16 @@ def test_models_on_held_out_rows_and_edges(spark):
         auc = np.mean([[(p > n) + 0.5 * (p == n) for n in neg] for p in pos])
         assert auc > least, (name, auc)
     edges = spark.createDataFrame([(*e, 0.5, "z") for e in EDGES], "doc_id long, text string, lang string, source string, score double, y string")
-    net, w, crf = toxicity.fit(docs, labels), quality.fit(docs, labels), langid.fit(docs)
+    net, w, crf = toxicity.learnt(docs, labels)[0], quality.fit(docs, labels), langid.fit(docs)
     for got in (toxicity.score(edges, net), toxicity.score(edges, None), quality.score(edges, w), quality.score(edges, None)):
         assert got.count() == len(EDGES) and all(0 <= r.score <= 1 for r in got.collect())
     found = langid.predict(edges, crf).collect()
     assert sorted(r.lang_pred == "und" for r in found) == sorted([True, False, True, True, False, True, False])
     assert {r.lang_pred for r in langid.predict(edges, None).collect()} == {"und"}
-    assert toxicity.drop_toxic(edges, net).columns == edges.columns and toxicity.drop_toxic(edges, None).count() == len(EDGES)
+    kept = toxicity.clean(edges, labels)
+    assert kept.columns == edges.columns and kept.count() <= len(EDGES) and toxicity.clean(edges, labels.limit(0)).count() == len(EDGES)
     assert all(f.limit(0).count() == 0 for f in (toxicity.score(edges, net), quality.score(edges, w), langid.predict(edges, crf)))
-    assert toxicity.fit(docs.limit(0), labels) is None and quality.fit(docs, labels.limit(0)) is None and langid.fit(docs.limit(0)) is None
+    assert toxicity.learnt(docs.limit(0), labels)[0] is None and quality.fit(docs, labels.limit(0)) is None and langid.fit(docs.limit(0)) is None
 
 
 def test_pipeline_keeps_its_promises(spark):

@@ -99,6 +99,17 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "6", "None"]
 
 
+def test_rows_of_one_id_with_unlike_texts_all_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "z"), (1, b, "y"), (1, b, "x"), (1, b, "x"), (2, a + " more", "x"), (2, "quite another text of seven words", "x"), (0, b + " more", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(0, b + " more", "w"), (1, a, "z"), (2, "quite another text of seven words", "x")]
+    for n in (1, 7):
+        assert sorted(tuple(r) for r in simhash.keep_one(df.repartition(n)).collect()) == want
+    again = spark.createDataFrame(rows[:4], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in simhash.keep_one(again).collect()) == sorted([(1, a, "z"), (1, b, "x")])
+
+
 def test_bit_majorities_over_many_hashes():
     h = np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > 1000)

@@ -21,7 +21,9 @@ def test_thresholds_count_every_labelled_row_once_and_unseen(spark, monkeypatch)
     monkeypatch.setattr(toxicity, "best_threshold", lambda bins: seen.append(bins) or 0.5)
     monkeypatch.setattr(toxicity, "train", lambda r, **kw: learnt.append(r) or true_train(r, epochs=1))
     docs = spark.createDataFrame([*rows, (9000, "w1 w2", "a"), (9001, "w1 w2", None)], DOCS)
-    toxicity.fit(docs, spark.createDataFrame([*y, (9001, 1), (None, 1)], "doc_id long, toxic int"))
+    labels = spark.createDataFrame([*y, (9001, 1), (None, 1)], "doc_id long, toxic int")
+    net, sample = toxicity.learnt(docs, labels)
+    toxicity.calibrate(sample, toxicity.score(docs, net, extra=("lang",)), labels)
     used = [c for i, c in y if zlib.crc32(str(i).encode()) % 5]
     got = np.array([v for bins in seen for v in bins.values()]).sum(0).tolist()
     assert len(seen) == 2 and got == [used.count(0), used.count(1)]

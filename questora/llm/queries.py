@@ -236,8 +236,29 @@ def _codes_sql() -> str:
     SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (rid), h"""
 
 
+def _variants_sql() -> str:
+    """Near words by the words left when one code point goes; crc32 by its table of 256 bytes."""
+    return f"""
+    WITH RECURSIVE t AS MATERIALIZED (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k) AS v FROM (SELECT unnest(range(256)) AS k))),
+    runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), '{variants.UPPER}', '{variants.LOWER}'), '{variants.RUN}+')) AS run FROM documents),
+    each AS (SELECT i, run, count(*) AS c FROM runs WHERE length(run) >= {variants.MIN_CHARS} GROUP BY i, run),
+    hx AS (SELECT *, hex(encode(i || ':' || run)) AS x FROM each),
+    crc AS (SELECT run, c, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda k: CAST('0x' || x[2 * k + 1:2 * k + 2] AS BIGINT)), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295), 4294967295) AS h FROM hx, t),
+    w0 AS (SELECT CASE WHEN h % {variants.SLIP} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM crc),
+    w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w0 WHERE length(word) >= {variants.MIN_CHARS} GROUP BY word HAVING sum(c) >= {variants.MIN_COUNT}),
+    cut AS MATERIALIZED (SELECT word, k, word[:k] || word[k + 2:] AS v FROM (SELECT word, unnest(range(0, length(word))) AS k FROM w)),
+    pairs AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b USING (k, v) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+        UNION SELECT word, v FROM cut SEMI JOIN w ON w.word = cut.v UNION SELECT v, word FROM cut SEMI JOIN w ON w.word = cut.v),
+    near AS (SELECT p.word, CAST(count(*) AS BIGINT) AS n_near, min((-o.n, other)) AS b FROM pairs p JOIN w o ON o.word = p.other GROUP BY p.word),
+    f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= {variants.TIMES} * n THEN b[2] END AS form, CASE WHEN -b[1] >= {variants.TIMES} * n THEN -b[1] END AS form_n FROM w LEFT JOIN near USING (word)),
+    r AS (SELECT word, form AS goal FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.goal WHERE f.form IS NOT NULL),
+    ends AS (SELECT r.word, r.goal FROM r JOIN f ON f.word = r.goal WHERE f.form IS NULL)
+    SELECT f.word, form, coalesce(goal, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_variants": _variants_sql(),
         "op12_vector_codes": _codes_sql(),
         "op2_secrets": _secrets_sql(),
         "op4_mixing": "WITH " + _MIX_CTES.format(ws=_WS, docs="documents", cols="*").strip()

@@ -89,7 +89,8 @@ def payload(format_: Column, question: Column, answer: Column, images: Column) -
 
 
 def merged_json(old: Column, new: Column) -> Column:
-    """Two flat JSON objects of texts in one: new values win, nulls change nothing; what is no object counts as empty."""
-    read = lambda c: F.map_filter(F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    """Two JSON objects in one: new values win, of whatever kind and depth, and nulls change nothing; what is no object counts as empty."""
+    empty = F.from_json(F.lit("{}"), "map<string,variant>")
+    read = lambda c: F.map_filter(F.coalesce(F.from_json(c, "map<string,variant>"), empty), lambda k, v: v.isNotNull() & ~F.is_variant_null(v))
     a, b = read(old), read(new)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))

@@ -7,9 +7,13 @@ where a call failed. Without a network the deterministic local functions stand i
 from __future__ import annotations
 
 import json
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +67,103 @@ def answered(c: Column, call: Callable[[list[str]], list], size: int = 20) -> Co
     return run(c)
 
 
+#: Rows of one call, calls in flight for a task, times a row is asked, and seconds that a call may take.
+CHUNK, FLIGHTS, TRIES, TIMEOUT = 20, 8, 3, 90.0
+
+
+def waits(error: Exception, attempt: int) -> float:
+    """Seconds until the next try: what a refusal asks for in ``retry_after``, else longer each time."""
+    return float(getattr(error, "retry_after", None) or min(60.0, 1.5 * 2**attempt))
+
+
+def in_time(call: Callable, args: tuple, seconds: float):
+    """The result of a call, or TimeoutError once ``seconds`` are over; the call itself is left to end by itself."""
+    out: list = []
+
+    def run() -> None:
+        try:
+            out.append((call(*args), None))
+        except Exception as e:  # handed on to the caller
+            out.append((None, e))
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not out:
+        raise TimeoutError(f"no answer in {seconds:g} s")
+    value, error = out[0]
+    if error is not None:
+        raise error
+    return value
+
+
+def ask_chunk(call: Callable[[str, list[dict]], list[dict]], system: str, items: list[dict], tries: int, timeout: float, wait: Callable[[Exception, int], float]) -> tuple[dict[int, dict], str]:
+    """({n: result}, why the others have none): a chunk asked up to ``tries`` times, each time only for what is missing."""
+    got: dict[int, dict] = {}
+    note = "no answer"
+    for attempt in range(tries):
+        todo = [i for i in items if i["n"] not in got]
+        if not todo:
+            break
+        try:
+            asked = {i["n"] for i in todo}
+            for r in in_time(call, (system, todo), timeout) or []:
+                if isinstance(r, dict) and r.get("n") in asked:
+                    got[r["n"]] = {k: v for k, v in r.items() if k != "n"}
+        except Exception as e:  # the provider's failure, which a later try may mend
+            note = f"{type(e).__name__}: {e}"[:200]
+            if attempt + 1 < tries:
+                time.sleep(wait(e, attempt))
+    return got, note
+
+
+def asked(
+    df: DataFrame, key: str, text: Column, call: Callable[[str, list[dict]], list[dict]], system: str = "", size: int = CHUNK, flights: int = FLIGHTS, tries: int = TRIES,
+    timeout: float = TIMEOUT, wait: Callable[[Exception, int], float] = waits,
+) -> DataFrame:
+    """(key, answer, status, note) of every row: a model's JSON answer, or a draft that says why there is none.
+
+    Within an Arrow batch the texts go out in chunks of ``size``, ``flights`` of them at a time; the rows keep their order. ``call(system, items)`` gets items (n, text)
+    and returns results that name their n; what it leaves out is asked again, alone. A null or blank text is not asked. A call that fails, takes too
+    long or answers something else costs its rows nothing but the answer.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [{"n": n, "text": t} for n, t in enumerate(b.column(1).to_pylist()) if t and t.strip()]
+            chunks = [items[i: i + size] for i in range(0, len(items), size)]
+            with ThreadPoolExecutor(max_workers=flights) as pool:
+                done = list(pool.map(lambda c: ask_chunk(call, system, c, tries, timeout, wait), chunks))
+            answer, note = [None] * b.num_rows, ["nothing to ask"] * b.num_rows
+            for c, (got, why) in zip(chunks, done):
+                for i in c:
+                    n = i["n"]
+                    try:
+                        answer[n], note[n] = (json.dumps(got[n], sort_keys=True), None) if n in got else (None, why)
+                    except (TypeError, ValueError) as e:
+                        note[n] = f"{type(e).__name__}: {e}"[:200]
+            status = ["draft" if a is None else "answered" for a in answer]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in (answer, status, note))], names=[key, "answer", "status", "note"])
+
+    return df.select(F.col(key), text.alias("__text")).mapInArrow(run, f"`{key}` {kind}, answer string, status string, note string")
+
+
+#: Subtopics that a prompt may name.
+NAMED = 2_000
+
+
+def vocabulary_prompt(taxonomy: DataFrame, intro: str, most: int = NAMED) -> str:
+    """A system prompt with the live topics and their subtopics; more than ``most`` of these are an error, as no prompt holds them."""
+    rows = taxonomy.where("l1 IS NOT NULL AND l2 IS NOT NULL").select("l1", "l2").distinct().orderBy("l1", "l2").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} subtopics")
+    by: dict[str, list[str]] = {}
+    for r in rows:
+        by.setdefault(r.l1, []).append(r.l2)
+    return "\n".join([intro, *(f"{a}: {', '.join(b)}" for a, b in by.items())])
+
+
 def provider(config: dict, known: dict[str, Callable[[dict], Callable[[list[str]], list]]]) -> Callable[[list[str]], list]:
     """The provider that a configuration names, made from it; the local stand-in where it names none or says offline."""
     name = str(config.get("provider") or "local").lower()

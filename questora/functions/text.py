@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -153,10 +155,17 @@ def soft_match(expected: Column, primary: Column, secondary: Column) -> Column:
 
 
 def rewrite_urls(json_text: Column, old: str, new: str) -> tuple[Column, Column]:
-    """(text with ``old`` replaced, number of replacements), for JSON kept as text."""
-    changed = F.replace(json_text, F.lit(old), F.lit(new))
-    n = (F.length(json_text) - F.length(F.replace(json_text, F.lit(old), F.lit("")))) / len(old)
-    return changed, n.cast("long")
+    """(text with ``old`` replaced in values, number of replacements), for nested JSON kept as text.
+
+    Only texts that are values change, however deep; keys and everything else stay as they were written. A slash of ``old`` may be
+    escaped in the text; ``new`` is written as a JSON writer would. Null stays null.
+    """
+    old, new = old.rstrip("/"), new.rstrip("/")
+    literal = "".join(r"\\?/" if c == "/" else re.escape(c) for c in old)
+    # Behind the rest of the text it stands in there is no colon, so that text is no key.
+    found = literal + r'(?=(?:[^"\\]|\\.)*+"\s*+(?!:|\s))'
+    put = json.dumps(new)[1:-1].replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(json_text, found, put), F.regexp_count(json_text, F.lit(found)).cast("long")
 
 
 def clean_title(raw: Column, topic: Column) -> Column:

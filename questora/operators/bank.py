@@ -166,10 +166,15 @@ def detail(questions: DataFrame, meta: DataFrame, documents: DataFrame, many: di
     return out
 
 
+def valid_image(name: Column, size: Column, width: Column, height: Column) -> Column:
+    """No GIF, at least 2 KB, and at least 80 pixels either way as far as that is known."""
+    wide = lambda c: F.coalesce(c, F.lit(80)) >= 80
+    return ~F.lower(F.coalesce(name, F.lit(""))).endswith(".gif") & (size >= 2048) & wide(width) & wide(height)
+
+
 def valid_images(images: DataFrame) -> DataFrame:
-    """Pictures worth keeping: no GIF, at least 2 KB and 80 pixels either way, and no icon of a video player."""
-    name = F.lower(F.coalesce("name", F.lit("")))
-    return images.where(~name.endswith(".gif") & (F.col("bytes") >= 2048) & (F.col("width") >= 80) & (F.col("height") >= 80) & ~F.coalesce("is_video_icon", F.lit(False)))
+    """Pictures worth keeping, by ``valid_image``, that are no icon of a video player."""
+    return images.where(valid_image(F.col("name"), F.col("bytes"), F.col("width"), F.col("height")) & ~F.coalesce("is_video_icon", F.lit(False)))
 
 
 def _common(a: str, b: str) -> int:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, WORD_NUMBERS
+from . import fuzzy
 from .lineage import cut
 
 #: Words of a class; other words are ``w``, numbers ``N``, places in a row such as 3rd ``O``.
@@ -119,6 +120,28 @@ def parsed(requests: DataFrame, prompt: Column) -> DataFrame:
     }).drop("__low", "__w", "__c")
 
 
+#: What a model says about a request.
+SAID = "query string, count int, topics array<string>, subtopics array<string>, filters map<string,string>, difficulty string, audience string, locality string, tone array<string>"
+
+
+def interpreted(answers: DataFrame, key: str, said: str, taxonomy: DataFrame) -> DataFrame:
+    """(key, query, count, l1s, l2s, dropped, filters, bias, audience, city, tone): briefs from a model's JSON answers, one row each.
+
+    Words of the query count once whatever their case and the marks behind them; the count lies in 1 to ``LARGEST`` and is ``USUAL`` where none is said. Topics are known
+    names of ``taxonomy(l1, l2)``, as ``fuzzy.topics`` has them. Rows whose answer is null or no JSON object of these kinds have a null query and no topics.
+    """
+    r = answers.select(key, F.from_json(F.col(said), SAID).alias("r")).select(key, "r.*")
+    words = F.filter(F.split(F.coalesce("query", F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, r"[.,;:!?]", "") != "")
+    plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^[.,;:!?]+|[.,;:!?]+$", ""))
+    once = F.array_join(F.filter(words, lambda w, i: F.array_position(plain, F.get(plain, i)) == i + 1), " ")
+    names = fuzzy.topics(r, key, "topics", "subtopics", taxonomy)
+    out = r.select(
+        F.col(key).alias("__key"), F.when(F.col("query").isNotNull(), once).alias("query"), F.least(F.greatest(F.coalesce("count", F.lit(USUAL)), F.lit(1)), F.lit(LARGEST)).alias("count"), "filters",
+        F.col("difficulty").alias("bias"), "audience", F.col("locality").alias("city"), F.coalesce("tone", F.array().cast("array<string>")).alias("tone"),
+    )
+    return names.join(out, F.col(key) == F.col("__key")).drop("__key")
+
+
 COUNTS = np.arange(LARGEST + 1)
 
 

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLIDES = "path string, sha256 string, slide_number long, title string, extracted_text string, speaker_notes string, image_paths array<string>, audio_paths array<string>, video_paths array<string>, error string"
-# Media by extension.
-MEDIA = {"image_paths": ("png", "jpg", "jpeg", "bmp", "webp"), "audio_paths": ("mp3", "wav", "m4a", "ogg"), "video_paths": ("mp4", "mov", "avi", "webm", "mkv")}
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+from ..operators.bank import valid_image
+from . import packages
+
+SLIDES = (
+    "path string, sha256 string, slide_number long, title string, extracted_text string, speaker_notes string, has_timer boolean, timer_seconds int, has_star_shape boolean, "
+    f"shape_count int, media {packages.MEDIA_TYPE}, error string"
+)
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -23,42 +22,14 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
 
 
-def _paragraphs(xml: bytes) -> list[str]:
-    out = []
-    for p in ElementTree.fromstring(xml).iter(f"{_A}p"):
-        text = "".join(t.text or "" for t in p.iter(f"{_A}t")).strip()
-        if text:
-            out.append(text)
-    return list(dict.fromkeys(out))
-
-
-def _deck(content: bytes) -> list[dict]:
-    """Slides of a presentation, read part by part from the package so that media are never unpacked."""
-    rows = []
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        slides = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        for number, name in slides:
-            chunks = _paragraphs(z.read(name))
-            rels = f"ppt/slides/_rels/slide{number}.xml.rels"
-            targets = [r.get("Target", "") for r in ElementTree.fromstring(z.read(rels))] if rels in names else []
-            notes = next((f"ppt/notesSlides/{t.rsplit('/', 1)[-1]}" for t in targets if "notesSlide" in t), None)
-            media = [t.rsplit("/", 1)[-1] for t in targets if "/media/" in t]
-            rows.append({
-                "slide_number": number, "title": chunks[0] if chunks else None, "extracted_text": "\n\n".join(chunks), "speaker_notes": "\n".join(_paragraphs(z.read(notes))) if notes in names else None,
-                **{k: [m for m in media if m.rsplit(".", 1)[-1].lower() in exts] for k, exts in MEDIA.items()}, "error": None,
-            })
-    return rows
-
-
 def _rows(parse: Callable[[bytes], list[dict]]) -> Callable:
-    names = [c.strip().split(" ")[0] for c in SLIDES.split(",")]
+    names = ["path", "sha256", "slide_number", "title", "extracted_text", "speaker_notes", "has_timer", "timer_seconds", "has_star_shape", "shape_count", "media", "error"]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for path, sha, content in zip(pdf["path"], pdf["sha256"], pdf["content"]):
+            for path, sha, content, error in zip(pdf["path"], pdf["sha256"], pdf["content"], pdf["error"]):
                 try:
-                    found = parse(content)
+                    found = parse(content) if error is None else [{"slide_number": None, "error": error}]
                 except Exception as e:  # a broken file becomes a row that says so
                     found = [{"slide_number": None, "error": f"{type(e).__name__}: {e}"[:300]}]
                 made = [{**dict.fromkeys(names), "path": path, "sha256": sha, **r} for r in found]
@@ -67,10 +38,24 @@ def _rows(parse: Callable[[bytes], list[dict]]) -> Callable:
     return run
 
 
+def _contents(files_df: DataFrame) -> DataFrame:
+    """(path, sha256, content, error) of files or of members of archives, which are named behind their archive."""
+    has = files_df.columns
+    path = F.concat_ws("!/", "path", "member") if "member" in has else F.col("path")
+    return files_df.select(path.alias("path"), F.sha2("content", 256).alias("sha256"), "content", (F.col("error") if "error" in has else F.lit(None).cast("string")).alias("error"))
+
+
 def decks(files_df: DataFrame) -> DataFrame:
-    """Slide rows of .pptx files; files that are no package give one row with ``error``."""
-    src = files_df.select("path", F.sha2("content", 256).alias("sha256"), "content")
-    return src.mapInPandas(_rows(_deck), SLIDES)
+    """Slide rows of .pptx files, or of members of archives; what is no package gives one row with ``error``.
+
+    ``media`` has all that belongs to a slide; ``image_paths``, ``audio_paths`` and ``video_paths`` name what is worth keeping, pictures of one content once a slide.
+    """
+    rows = _contents(files_df).mapInPandas(_rows(packages.slides), SLIDES)
+    name = lambda kind: F.transform(F.filter("media", lambda m: m["kind"] == kind), lambda m: m["name"])
+    fine = F.filter("media", lambda m: (m["kind"] == "image") & valid_image(m["name"], m["bytes"], m["width"], m["height"]))
+    key = lambda m: F.struct(m["bytes"], m["crc"])
+    once = F.filter(fine, lambda m, i: F.array_position(F.transform(fine, key), key(m)) == i + 1)
+    return rows.withColumns({"image_paths": F.transform(once, lambda m: m["name"]), "audio_paths": name("audio"), "video_paths": name("video")})
 
 
 def pages(files_df: DataFrame, read_pages: Callable[[bytes], list[str]]) -> DataFrame:
@@ -82,8 +67,7 @@ def pages(files_df: DataFrame, read_pages: Callable[[bytes], list[str]]) -> Data
             out.append({"slide_number": n, "title": line, "extracted_text": text, "error": None})
         return out
 
-    src = files_df.select("path", F.sha2("content", 256).alias("sha256"), "content")
-    return src.mapInPandas(_rows(parse), SLIDES)
+    return _contents(files_df).mapInPandas(_rows(parse), SLIDES)
 
 
 def taxonomy(spark: SparkSession, path: str) -> DataFrame:

@@ -94,3 +94,77 @@ def merged_json(old: Column, new: Column) -> Column:
     read = lambda c: F.map_filter(F.coalesce(F.from_json(c, "map<string,variant>"), empty), lambda k, v: v.isNotNull() & ~F.is_variant_null(v))
     a, b = read(old), read(new)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+
+
+# Wordings of the special formats, rounds that stand for a format, badges, and points of the clues.
+STEPPED_WORDS = r"(?i)clue\s*1\s*:\s*\+?20\s*/\s*-?15|clue\s*2\s*:\s*\+?15\s*/\s*-?10|clue\s*3\s*:\s*\+?10\s*/\s*-?5|portfolio\s*builder|3\s*parts/clues?\s*to\s*each\s*question"
+ARRANGE_WORDS = (
+    r"(?i)\barrange\b|ticker\s*tangle|chronological(?:\s*order)?|lowest\s+to\s+highest|highest\s+to\s+lowest|earliest\s+to\s+latest|from\s+1st\s+to\s+last|correct\s+order|in\s+(?:the\s+)?order\s+of"
+)
+CONNECT_WORDS = r"(?i)\bmarket\s*indicators\b|\bconnect(?:ion|ions|s)?\b|what\s+connects|common\s*(?:theme|link|thread)|find\s+the\s+link|4\s*pics\s*1\s*word|four\s*images|connect\s*4"
+ROUNDS = {
+    "STEPPED_CLUE": ["STEPPED_CLUE", "THREE_CLUE", "PORTFOLIO_BUILDER"], "ARRANGE_ORDER": ["ARRANGE_ORDER", "TICKER_TANGLE"], "CONNECT_4": ["CONNECT_4", "CONNECT", "MARKET_INDICATORS"],
+    "BUZZER": ["BUZZER", "CLOSING_BELL", "RAPID_FIRE"], "POTPOURRI": ["POTPOURRI"], "IMAGE_REVEAL": ["IMAGE_REVEAL"], "LIST_IT": ["LIST_IT"],
+}
+BADGES = {
+    "STEPPED_CLUE": "Portfolio Builder • Stepped Clues", "ARRANGE_ORDER": "Ticker Tangle • Arrange Order", "CONNECT_4": "Connect 4 • Common Link", "BUZZER": "Buzzer / Rapid Fire",
+    "POTPOURRI": "Potpourri", "IMAGE_REVEAL": "Image Reveal", "LIST_IT": "List It",
+}
+POINTS = [(20, 15, "Hard Clue"), (15, 10, "Medium Clue"), (10, 5, "Giveaway Clue")]
+NO_CLUES = [None, "Additional context clue", "Direct giveaway clue"]
+CLUE_RULES = "All on buzzer • 1 attempt per clue • Clue 1: +20/-15, Clue 2: +15/-10, Clue 3: +10/-5"
+CONNECT_PROMPT = "What common thread or concept connects all four clues and images?"
+
+
+def structured(question: Column, answer: Column, options: Column, images: Column, audio: Column, videos: Column, context: Column, round_code: Column) -> Column:
+    """(format, payload): one of eleven formats, and its parts as JSON with nulls for what is not there.
+
+    Wording comes before the round, the round before the media. Null texts and lists are empty. A stepped clue has its three clues where the text
+    marks them, an arrangement its first four options, pictures or lines.
+    """
+    none = F.array().cast("array<string>")
+    given = F.struct(
+        *[F.coalesce(c, F.lit("")).alias(n) for n, c in (("q", question), ("x", context), ("r", round_code))], answer.alias("a"), *[F.coalesce(c, none).alias(n) for n, c in (("o", options), ("i", images), ("s", audio), ("v", videos))],
+        stepped_clues(F.coalesce(question, F.lit(""))).alias("c"),
+    )
+    write = lambda **parts: F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in parts.items()]), {"ignoreNullFields": "false"})
+
+    def made(g: Column) -> Column:
+        both = F.trim(F.concat_ws(" ", g["q"], g["x"], g["r"]))
+        low, image = F.lower(g["q"]), lambda n: F.get(g["i"], n)
+        said = F.size(F.coalesce(g["c"], none)) == 3
+        clues = []
+        for n, (plus, minus, hard) in enumerate(POINTS):
+            full = F.struct(
+                F.lit(n + 1).alias("step"), F.lit(f"+{plus}/-{minus}").alias("points"), F.when(said, plus).alias("points_correct"), F.when(said, minus).alias("points_wrong"), F.when(said, f"+{plus} / -{minus}").alias("points_label"),
+                F.when(said, hard).alias("difficulty_label"), F.when(said, F.get(g["c"], F.lit(n))).otherwise(g["q"] if n == 0 else F.lit(NO_CLUES[n])).alias("text"), image(n).alias("image"), image(n).alias("image_url"),
+            )
+            clues.append(full)
+        rows = F.transform(F.filter(F.split(g["q"], "\n"), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(x, r"^[ 1234.ABCD)\-]+|[ 1234.ABCD)\-]+$", ""))
+        by = F.when(F.size(g["o"]) >= 4, "o").when(F.size(g["i"]) >= 4, "i").when(F.size(rows) >= 4, "l").otherwise("e")
+        items = F.array(*[
+            F.struct(F.lit(k).alias("key"), F.when(by == "o", F.get(g["o"], F.lit(n))).when(by == "i", f"Item {k}").when(by == "l", F.get(rows, F.lit(n))).otherwise(f"Element {k}").alias("text"), image(n).alias("image"))
+            for n, k in enumerate("ABCD")
+        ])
+        elements = F.array(*[
+            F.struct(F.lit(n + 1).alias("index"), F.lit(f"Clue {n + 1}").alias("label"), F.lit(f"Clue {n + 1}").alias("text"), image(n).alias("image"), image(n).alias("image_url"), F.lit("").alias("explanation")) for n in range(4)
+        ])
+        scoring = F.struct(F.lit("+20").alias("all_correct"), F.lit("+10").alias("two_correct"), F.lit("+5").alias("one_correct"))
+        payloads = {
+            "STEPPED_CLUE": write(type="STEPPED_CLUE", badge=BADGES["STEPPED_CLUE"], clues=F.array(*clues), rules=CLUE_RULES, answer=g["a"]),
+            "ARRANGE_ORDER": write(type="ARRANGE_ORDER", badge=BADGES["ARRANGE_ORDER"], instruction=g["q"], items=items, scoring=scoring, time_limit_seconds=60),
+            "CONNECT_4": write(type="CONNECT_4", badge=BADGES["CONNECT_4"], prompt=F.when(g["q"] != "", g["q"]).otherwise(CONNECT_PROMPT), elements=elements, common_link=g["a"], connection_reveal=g["a"]),
+            **{f: write(type=f, badge=BADGES[f]) for f in ("BUZZER", "POTPOURRI", "IMAGE_REVEAL", "LIST_IT")},
+            "VIDEO_CLUE": write(type="VIDEO_CLUE", video_url=F.get(g["v"], F.lit(0))), "AUDIO_CLUE": write(type="AUDIO_CLUE", audio_url=F.get(g["s"], F.lit(0))),
+            "VISUAL_CLUE": write(type="VISUAL_CLUE", image_url=F.get(g["i"], F.lit(0))), "QA": write(type="QA"),
+        }
+        named = lambda f: g["r"].isin(ROUNDS[f])
+        tests = {
+            "STEPPED_CLUE": both.rlike(STEPPED_WORDS) | named("STEPPED_CLUE") | ((g["r"] == "BUZZER") & (F.contains(low, F.lit("clue")) | F.contains(F.lower(both), F.lit("clue 1")))),
+            "ARRANGE_ORDER": both.rlike(ARRANGE_WORDS) | named("ARRANGE_ORDER"), "CONNECT_4": both.rlike(CONNECT_WORDS) | named("CONNECT_4") | ((F.size(g["i"]) >= 4) & (F.size(g["o"]) == 0)),
+            **{f: named(f) for f in ("BUZZER", "POTPOURRI", "IMAGE_REVEAL", "LIST_IT")}, "VIDEO_CLUE": F.size(g["v"]) > 0, "AUDIO_CLUE": F.size(g["s"]) > 0, "VISUAL_CLUE": F.size(g["i"]) > 0,
+        }
+        pick = lambda f: F.struct(F.lit(f).alias("format"), payloads[f].alias("payload"))
+        return first_of([(cond, pick(f)) for f, cond in tests.items()], pick("QA"))
+
+    return F.transform(F.array(given), made)[0]

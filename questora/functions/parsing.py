@@ -29,7 +29,7 @@ FORMATS = [
 
 def lines(text: Column) -> Column:
     """The trimmed lines of a text that are not blank."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def format_in(text: Column) -> Column:

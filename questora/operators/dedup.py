@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,60 +36,140 @@ def exact_repeats(batch: DataFrame, key: Column, order: str, vault: DataFrame |
     return out.withColumn("is_repeat", repeat).drop("__seen")
 
 
-#: Rows of a block and queries of a chunk of a vector search, on average.
-BLOCK, CHUNK = 4096, 1024
+#: Rows of a block and queries of a chunk of a vector search, on average; clusters of either side at most.
+BLOCK, CHUNK, CLUSTERS = 4096, 1024, 1024
+#: What rounding may take from an angle.
+SLACK = 1e-6
+
+
+def _units(lists) -> np.ndarray:
+    x = np.stack(lists).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+#: Rings round a pivot at most; a row's cluster is its nearest pivot and the ring that its angle to it lies in.
+RINGS = 64
+
+
+def _clustered(df: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
+    """``df`` with ``k``, the nearest pivot and the ring of that ``width`` of each vector, and ``far``, the angle to the pivot."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                sim = _units(pdf["embedding"].to_numpy()) @ pivots.T
+                k = sim.argmax(1)
+                far = np.arccos(np.clip(sim[np.arange(len(k)), k], -1, 1))
+                yield pdf.assign(k=(k * RINGS + np.minimum(far // width, RINGS - 1)).astype(np.int32), far=far)
+
+    return df.mapInPandas(run, f"id {kind}, embedding array<double>, k int, far double")
+
+
+def _near_clusters(queries: DataFrame, base: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, dict[int, list[int]], dict[int, int], dict[int, int]]:
+    """Both sides with their clusters, the base clusters that a query cluster must meet, and the rows of the clusters of either side.
+
+    Pivots are rows of the base drawn by hash. The angles of two vectors to their pivots and that between the pivots bound their own angle from
+    below (triangle inequality), so rings that leave no pair at the threshold never meet.
+    """
+    n = base.count()
+    some = base.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(int(min(CLUSTERS, max(1, round(n / BLOCK)) if threshold <= -1 else max(1, round(n / 16)))))
+    picked = [r.embedding for r in some.select("embedding").collect()]
+    if not picked:
+        return queries.limit(0).withColumns({"k": F.lit(0), "far": F.lit(0.0)}), base.withColumns({"k": F.lit(0), "far": F.lit(0.0)}), {}, {}, {}
+    pivots = _units(picked)
+    most = np.pi if threshold <= -1 else float(np.arccos(min(1.0, threshold)))
+    width = max(most, np.pi / RINGS)
+    q, b = cut(_clustered(queries, pivots, width)), cut(_clustered(base, pivots, width))
+    of = lambda df: {r.k: (r.lo, r.hi, r.n) for r in df.groupBy("k").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("n")).collect()}
+    rq, rb = of(q), of(b)
+    angle = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    keys = np.array(sorted(rb), np.int64)
+    low, high = (np.array([rb[k][x] for k in keys.tolist()]) for x in (0, 1))
+    meets = {}
+    for i, (lo, hi, _) in rq.items():
+        between = angle[i // RINGS, keys // RINGS]
+        least = np.maximum(np.maximum(between - hi - high, lo - between - high), low - between - hi)
+        meets[i] = keys[least <= most + SLACK].tolist()
+    nq, nb = ({k: n for k, (_, _, n) in r.items()} for r in (rq, rb))
+    if sum(nq[i] * nb[j] for i, js in meets.items() for j in js) > 0.5 * sum(nq.values()) * sum(nb.values()):
+        return q.withColumn("k", F.lit(0)), b.withColumn("k", F.lit(0)), {0: [0]}, {0: sum(nq.values())}, {0: sum(nb.values())}  # little is pruned: one cluster, dealt out evenly
+    return q, b, meets, nq, nb
 
 
 def neighbours(queries: DataFrame, base: DataFrame, threshold: float, top: int | None, earlier_only: bool = False) -> DataFrame:
     """(id, other, sim, rank): the ``top`` nearest base vectors of each query, or all of them, at a cosine of ``threshold`` or more.
 
-    The query set is stated and meets all rows in blocks: each pair of a chunk of queries and a block of rows is one
-    unit of work, one matrix product, of which the ``top`` of each query go on. ``earlier_only`` compares a row
-    with those of smaller id. Vectors that are null, empty, zero or of another length take no part.
+    Both sides are clustered round pivots, large clusters are dealt into chunks of queries and blocks of rows, and each chunk meets the blocks of the clusters
+    that can hold a row near enough: one unit of work, one matrix product, of which the ``top`` of each query go on. ``earlier_only`` compares a row
+    with those of smaller id. Vectors that are null, empty, zero or of another length take no part. Without a threshold every chunk meets every block.
     """
-    usable = lambda df: df.where(F.col("embedding").isNotNull() & (vectors.norm(F.col("embedding")) > 0)).select("id", "embedding", F.size("embedding").alias("dims"))
-    q, r = usable(queries), usable(base)
-    blocks, chunks = max(1, round(r.count() / BLOCK)), max(1, round(q.count() / CHUNK))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    asks = q.select("*", F.lit(True).alias("asks"), deal(chunks).alias("c"), numbers(blocks).alias("b"))
-    rows = r.select("*", F.lit(False).alias("asks"), numbers(chunks).alias("c"), deal(blocks).alias("b"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "sim": []}).astype({"id": "int64", "other": "int64", "sim": "float64"})
-        x, y = (np.stack(s["embedding"].to_numpy()).astype(np.float64) for s in (a, b))
-        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-        sim, ids, others = x @ y.T, a["id"].to_numpy(), b["id"].to_numpy()
-        ok = (sim >= threshold) & ((others[None] < ids[:, None]) if earlier_only else (others[None] != ids[:, None]))
-        if top is not None and len(others) > top:
-            kth = np.partition(np.where(ok, sim, -np.inf), -top, axis=1)[:, -top]
-            ok &= sim >= kth[:, None]
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"id": ids[i], "other": others[j], "sim": sim[i, j]})
-
-    found = asks.unionByName(rows).groupBy("dims", "b", "c").applyInPandas(work, "id long, other long, sim double")
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & (vectors.norm(F.col("embedding")) > 0)).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    q_all, r_all, found = usable(queries), usable(base), None
+    sizes = [r[0] for r in q_all.select(F.size("embedding")).distinct().collect()]
+    for dims in sizes:
+        own = lambda df: df.where(F.size("embedding") == dims)  # noqa: B023, E731
+        q, r, meets, nq, nb = _near_clusters(own(q_all), own(r_all), threshold)
+        parts = lambda n, most: max(1, round(n / most))
+        # A cluster's blocks and chunks are numbered, and only pairs of clusters are listed.
+        pairs = [(k, j, parts(nq[k], CHUNK), parts(nb[j], BLOCK)) for k, js in meets.items() for j in js]
+        if not pairs:
+            continue
+        met = base.sparkSession.createDataFrame(pairs, "ck int, bk int, chunks int, blocks int")
+        listed = lambda by: F.broadcast(met.groupBy(by).agg(F.collect_list(F.struct("ck", "bk", "chunks", "blocks")).alias("m")))
+        deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        asks = q.join(listed("ck"), F.col("k") == F.col("ck")).select("id", "embedding", F.explode("m").alias("m")).select("id", "embedding", "m.*")
+        asks = asks.select("id", "embedding", F.lit(True).alias("asks"), "ck", "bk", deal(F.col("chunks")).alias("c"), numbers(F.col("blocks")).alias("b"))
+        rows = r.join(listed("bk"), F.col("k") == F.col("bk")).select("id", "embedding", F.explode("m").alias("m")).select("id", "embedding", "m.*")
+        rows = rows.select("id", "embedding", F.lit(False).alias("asks"), "ck", "bk", numbers(F.col("chunks")).alias("c"), deal(F.col("blocks")).alias("b"))
+        both = asks.unionByName(rows)
+        out = both.groupBy("ck", "bk", "c", "b").applyInPandas(lambda pdf: _block(pdf, threshold, top, earlier_only), "id long, other long, sim double")
+        found = out if found is None else found.unionByName(out)
+    if found is None:
+        found = base.sparkSession.createDataFrame([], "id long, other long, sim double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other")))
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
+def _block(pdf: pd.DataFrame, threshold: float, top: int | None, earlier_only: bool) -> pd.DataFrame:
+    a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    if not len(a) or not len(b):
+        return pd.DataFrame({"id": [], "other": [], "sim": []}).astype({"id": "int64", "other": "int64", "sim": "float64"})
+    sim, ids, others = _units(a["embedding"].to_numpy()) @ _units(b["embedding"].to_numpy()).T, a["id"].to_numpy(), b["id"].to_numpy()
+    ok = (sim >= threshold) & ((others[None] < ids[:, None]) if earlier_only else (others[None] != ids[:, None]))
+    if top is not None and len(others) > top:
+        kth = np.partition(np.where(ok, sim, -np.inf), -top, axis=1)[:, -top]
+        ok &= sim >= kth[:, None]
+    i, j = np.nonzero(ok)
+    return pd.DataFrame({"id": ids[i], "other": others[j], "sim": sim[i, j]})
+
+
 def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRESHOLD, top: int = 5) -> DataFrame:
     """(id, duplicate_status, duplicate_of_id, duplicate_similarity) of each row of ``batch``.
 
     A row meets its ``top`` nearest vault rows first, and only without a plausible one there
-    the earlier rows of its batch; the most similar plausible row counts. Flagged rows stay, and
-    stay comparable. Both sides have id, question, answer, embedding.
+    the earlier rows of its batch; the most similar plausible row counts. Of these it gets the nearest few, and more only
+    if all of them were implausible. Flagged rows stay, and stay comparable. Both sides have id, question, answer, embedding.
     """
-    def best(base: DataFrame, earlier: bool, name: str) -> DataFrame:
-        near = neighbours(batch, base, threshold, None if earlier else top, earlier)
+    def plausible(near: DataFrame, base: DataFrame) -> DataFrame:
         q = batch.select("id", F.col("question").alias("q"), F.col("answer").alias("a"))
         o = base.select(F.col("id").alias("other"), F.col("question").alias("oq"), F.col("answer").alias("oa"))
         ok = near.join(q, "id").join(o, "other").where(vectors.plausible(F.col("q"), F.col("a"), F.col("oq"), F.col("oa"), F.col("sim"), threshold))
-        return ok.groupBy("id").agg(F.min_by(F.struct("other", "sim"), "rank").alias(name))
-
-    out = batch.select("id").join(best(vault, False, "v"), "id", "left").join(best(batch, True, "b"), "id", "left")
-    hit = F.coalesce("v", "b")
+        return cut(ok.groupBy("id").agg(F.min_by(F.struct("other", "sim"), "rank").alias("hit")))
+
+    done = plausible(neighbours(batch, vault, threshold, top), vault)
+    open_, few = batch.join(done.select("id"), "id", "left_anti"), top
+    while True:
+        near = cut(neighbours(open_, batch, threshold, few, True))
+        hits = plausible(near, batch)
+        done = done.unionByName(hits)
+        more = cut(near.where(F.col("rank") == few).select("id").join(hits.select("id"), "id", "left_anti"))
+        if more.isEmpty():
+            break
+        open_, few = batch.join(more, "id", "left_semi"), 8 * few
+    out = batch.select("id").join(done, "id", "left")
+    hit = F.col("hit")
     return out.select("id", F.when(hit.isNotNull(), "POSSIBLE_DUPLICATE").otherwise("UNIQUE").alias("duplicate_status"), hit["other"].alias("duplicate_of_id"), F.round(hit["sim"], 4).alias("duplicate_similarity"))
 
 

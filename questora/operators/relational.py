@@ -83,6 +83,12 @@ def enriched(rows: DataFrame, key: str, one: DataFrame, many: dict[str, tuple[Da
     return out
 
 
+def with_original(rows: DataFrame, key: str, of: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``original``, a struct of some columns of the row that ``of`` points to; null where it points to none that is there."""
+    other = rows.select(F.col(key).alias("__k"), F.struct(*columns).alias("original"))
+    return rows.join(other, F.col(of) == F.col("__k"), "left").drop("__k")
+
+
 def between_join(left: DataFrame, right: DataFrame, key: str, at: str, low: str, high: str) -> DataFrame:
     """Rows of one document whose position lies in the other row's range; an equi-join with a bound."""
     return left.join(right, (left[key] == right[key]) & (left[at] >= right[low]) & (left[at] <= right[high])).drop(right[key])
@@ -161,6 +167,17 @@ def quotas(df: DataFrame, tier: str, order: list, wanted: dict[str, int]) -> Dat
     return df.where(F.col(tier).isin(list(wanted))).withColumn("pos", rank).where(F.col("pos") <= F.element_at(limit, F.col(tier)))
 
 
+def stratified_to(df: DataFrame, stratum: str, key: str, each: int, small: int, total: int, seed: int = 7) -> DataFrame:
+    """``stratified``, filled up to ``total`` rows with others by the same hash; ``first`` tells the two apart. More than ``total`` first rows all stay."""
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)))
+    first = stratified(df, stratum, key, each, small, seed).drop("pos")
+    counted = first.agg(F.greatest(F.lit(total) - F.count("*"), F.lit(0)).alias("__room"))
+    others = df.join(first.select(key), key, "left_anti").orderBy(h, key).limit(total)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(h, key))
+    fill = others.withColumn("__r", place).join(F.broadcast(counted)).where(F.col("__r") <= F.col("__room")).select(*df.columns)
+    return first.select(*df.columns, F.lit(True).alias("first")).unionByName(fill.withColumn("first", F.lit(False)))
+
+
 def stratified(df: DataFrame, stratum: str, key: str, each: int, small: int, seed: int = 7) -> DataFrame:
     """``each`` rows of a stratum by seeded hash, ``small`` of one that has fewer rows than ``each``."""
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)))

@@ -68,6 +68,34 @@ def tag_to_meta(meta: DataFrame, tags: DataFrame, key: str, columns: dict[str, s
     return out.select(*[taken(c) if c in columns else F.col(c) for c in meta.columns])
 
 
+# Fields that may be edited, of numbers and of truths among them, and the values of some.
+EDITABLE = [
+    "question_number", "round_number", "question_in_round", "question_format", "star_marked", "answer_type", "quiz_name", "college_institution", "city_name", "round_stage", "deck_year", "language",
+    "primary_audience", "secondary_audience", "is_varsity", "relevant_year", "geo_region", "india_international", "source_presentation",
+]
+NUMBERS, TRUTHS = ["question_number", "round_number", "question_in_round", "deck_year", "relevant_year"], ["star_marked", "is_varsity"]
+ENUMS = {"answer_type": ["TEXT", "TEXT_IMAGE", "IMAGE", "TEXT_VIDEO", "VIDEO", "TEXT_AUDIO", "AUDIO"], "india_international": ["IN", "INTL", "NA"]}
+
+
+def checked_edits(edits: DataFrame, formats: list[str]) -> DataFrame:
+    """(..., value, problem): ``edits(field, raw)`` as they may be written; ``problem`` says why one may not.
+
+    Blank is null, texts are trimmed, numbers are whole, truths are true or false, names of formats and answers are in capitals with underscores, and a language that is
+    taken away is English. Edits of other fields go.
+    """
+    plain = F.nullif(F.trim("raw"), F.lit(""))
+    code = F.replace(F.upper(plain), F.lit(" "), F.lit("_"))
+    field = F.col("field")
+    value = (
+        F.when(field.isin(NUMBERS), plain.try_cast("int").cast("string")).when(field.isin(TRUTHS) & plain.isNotNull(), F.lower(plain).isin("1", "true", "yes", "y").cast("string"))
+        .when(field.isin("question_format", "answer_type"), code).when(field == "india_international", F.upper(plain)).when(field == "language", F.coalesce(plain, F.lit("English"))).otherwise(plain)
+    )
+    known = {"question_format": formats, **ENUMS}
+    wrong = [F.when((field == f) & value.isNotNull() & ~value.isin(v), F.concat(F.lit(f"unknown {f.replace('_', ' ')}: "), "raw")) for f, v in known.items()]
+    number = F.when(field.isin(NUMBERS) & plain.isNotNull() & value.isNull(), F.concat(F.lit("no whole number: "), "raw"))
+    return edits.where(field.isin(EDITABLE)).withColumns({"problem": F.coalesce(number, *wrong), "value": value}).withColumn("value", F.when(F.col("problem").isNull(), F.col("value")))
+
+
 def normalised_paths(paths: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``paths`` with l1, l2 in the spelling of ``taxonomy(l1, l2)`` and ``is_custom``.
 

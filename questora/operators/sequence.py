@@ -106,17 +106,32 @@ def classify_decks(slides: DataFrame) -> DataFrame:
     return each.select(*[F.col("document_id") if c == "document_id" else F.col(f"s.deck.{c}").alias(c) for c in slides.columns], F.col("s.kinds").alias("slide_type"))
 
 
-def layout(slides: DataFrame, deck: str, at: str, kind: str, divider: Column) -> DataFrame:
-    """(deck, answers_start, layout): TWO_SECTION if a divider in the middle of the deck has questions before and after it."""
-    w = Window.partitionBy(deck)
-    n = F.count("*").over(w)
-    pos = F.row_number().over(w.orderBy(at)) - 1
-    mid = slides.withColumns({"__pos": pos, "__n": n}).withColumn("__div", divider & (F.col("__pos") >= 4) & (F.col("__pos") < 0.85 * F.col("__n")))
-    start = F.min(F.when(F.col("__div"), F.col("__pos"))).over(w)
-    q = F.col(kind) == "QUESTION"
-    g = mid.withColumn("__s", start).groupBy(deck).agg(F.max("__s").alias("answers_start"), F.count_if(q & (F.col("__pos") < F.col("__s"))).alias("pre"), F.count_if(q & (F.col("__pos") > F.col("__s"))).alias("post"))
-    two = F.col("answers_start").isNotNull() & (F.col("pre") >= 2) & (F.col("post") >= 2)
-    return g.select(deck, F.when(two, F.col("answers_start")).alias("answers_start"), F.when(two, "TWO_SECTION").otherwise("STANDARD").alias("layout"))
+#: A deck has a layout from so many slides on; its divider comes after the first few and before the last part.
+LAYOUT_SLIDES, FIRST_SLIDES, LAST_PART = 6, 4, 0.85
+# Signs of a question on a slide, and of an answer in its notes.
+NUMBERED_OR_ASKS, NOTES_ANSWER = r"^\s*\d+[.)]|\?", r"(?i)\b(ans|answer|correct|solution|http)\b"
+
+
+def layouts(slides: DataFrame) -> DataFrame:
+    """(document_id, layout, answers_start) of decks (document_id, slide_number, title, extracted_text, speaker_notes).
+
+    TWO_SECTION: a divider in the middle with two questions or more on either side, at the 0-based ``answers_start``. NOTES_BASED: answers in the notes of five slides
+    and of 35 percent of all. Otherwise, and for short decks, INTERLEAVED.
+    """
+    w = Window.partitionBy("document_id")
+    text, title, notes = (F.coalesce(c, F.lit("")) for c in ("extracted_text", "title", "speaker_notes"))
+    rows = slides.select(
+        "document_id", (F.row_number().over(w.orderBy("slide_number")) - 1).alias("at"), F.count("*").over(w).alias("n"), F.concat(text, title).rlike(NUMBERED_OR_ASKS).cast("int").alias("q"),
+        F.concat_ws(" ", F.lower(F.trim(title)), F.lower(F.trim(text))).rlike(DIVIDER).alias("d"), ((F.length(F.trim(notes)) > 10) & notes.rlike(NOTES_ANSWER)).cast("int").alias("a"),
+    )
+    inside = (F.col("at") >= FIRST_SLIDES) & (F.col("at") < F.least(F.col("n") - 2, F.floor(F.col("n") * F.lit(LAST_PART))))
+    placed = rows.withColumn("s", F.min(F.when(F.col("d") & inside, F.col("at"))).over(w))
+    before = F.sum(F.when(F.col("at") < F.col("s"), F.col("q")))
+    g = placed.groupBy("document_id").agg(F.max("n").alias("n"), F.max("s").alias("s"), before.alias("before"), F.sum("q").alias("q"), F.sum("a").alias("a"))
+    two = F.col("s").isNotNull() & (F.col("before") >= 2) & (F.col("q") - F.col("before") >= 2)
+    noted = F.col("a") >= F.greatest(F.lit(5), F.floor(F.col("n") * F.lit(0.35)))
+    kind = F.when(F.col("n") < LAYOUT_SLIDES, "INTERLEAVED").when(two, "TWO_SECTION").when(noted, "NOTES_BASED").otherwise("INTERLEAVED")
+    return g.select("document_id", kind.alias("layout"), F.when(kind == "TWO_SECTION", F.col("s")).alias("answers_start"))
 
 
 def carried(df: DataFrame, deck: str, at: str, header: Column, name: str) -> DataFrame:

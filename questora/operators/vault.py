@@ -115,6 +115,28 @@ def resolved(questions: DataFrame, decisions: DataFrame, key: str, original: str
     return q.where(~gone).withColumn("duplicate_status", status).select(*questions.columns)
 
 
+def resolved_vault(questions: DataFrame, decisions: DataFrame, key: str, original: str, deck: str, place: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, repeats) after review: ``resolved``, and what the confirmed copies leave with their originals.
+
+    An original's occurrence_count (1 where unknown) grows by each confirmed copy that is a repeat of its own: by a copy of its own deck always, by one of another
+    deck once for each deck and place. ``provenance`` gets each new deck once, after those that are there. ``repeats`` has (key, deck, place) of those of other decks.
+    """
+    o = questions.select(F.col(key).alias("__o"), F.col(deck).alias("__od"))
+    d = decisions.select(F.col(key).alias("__k"), F.upper("action").alias("__a")).where(F.col("__a").isin("CONFIRM_DUPLICATE", "MERGE")).distinct()
+    copies = questions.join(d, F.col(key) == F.col("__k")).join(o, F.col(original) == F.col("__o")).select(F.col("__o").alias("__q"), F.col(deck).alias("__d"), F.col(place).alias("__p"), (~F.col(deck).eqNullSafe(F.col("__od"))).alias("__far"))
+    repeats = copies.where("__far").select(F.col("__q").alias(key), F.col("__d").alias(deck), F.col("__p").alias(place)).distinct()
+    more = repeats.groupBy(F.col(key).alias("__q")).agg(F.count("*").alias("__n"), F.array_sort(F.collect_set(deck)).alias("__decks"))
+    own = copies.where("NOT __far").groupBy("__q").agg(F.count("*").alias("__m"))
+    left = resolved(questions, decisions, key, original, deck)
+    out = left.join(more.withColumnRenamed("__q", "__q1"), F.col(key) == F.col("__q1"), "left").join(own.withColumnRenamed("__q", "__q2"), F.col(key) == F.col("__q2"), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    none = F.array().cast(questions.schema["provenance"].dataType)
+    return out.withColumns({
+        "occurrence_count": F.when(zero("__n") + zero("__m") > 0, F.coalesce("occurrence_count", F.lit(1)) + zero("__n") + zero("__m")).otherwise(F.col("occurrence_count")),
+        "provenance": F.when(zero("__n") > 0, F.array_union(F.coalesce("provenance", none), F.coalesce("__decks", none))).otherwise(F.col("provenance")),
+    }).select(*questions.columns), repeats
+
+
 def reviewed_gold(gold: DataFrame, decisions: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Gold labels (key, gold_l1, gold_l2, alt_l2) after decisions (key, decision, predicted) that UPDATE_GOLD, ADD_ALT or KEEP_GOLD.
 
@@ -124,7 +146,7 @@ def reviewed_gold(gold: DataFrame, decisions: DataFrame, parents: DataFrame, key
     g = gold.join(d, key, "left").join(parents.select(F.col("l2").alias("__p"), F.col("l1").alias("__l1")), "__p", "left")
     known = F.coalesce(F.col("__d").isin("UPDATE_GOLD", "ADD_ALT", "KEEP_GOLD"), F.lit(False))
     update, add = F.coalesce(F.col("__d") == "UPDATE_GOLD", F.lit(False)), F.coalesce(F.col("__d") == "ADD_ALT", F.lit(False))
-    alts = F.filter(F.transform(F.split(F.coalesce("alt_l2", F.lit("")), r"\|"), F.trim), lambda a: a != "")
+    alts = F.filter(F.transform(F.split(F.coalesce("alt_l2", F.lit("")), r"\|"), lambda a: F.trim(a)), lambda a: a != "")
     return g.select(
         key, F.when(update, F.coalesce("__l1", "gold_l1")).otherwise(F.col("gold_l1")).alias("gold_l1"), F.when(update, F.col("__p")).otherwise(F.col("gold_l2")).alias("gold_l2"),
         F.when(add, F.array_join(F.when(F.array_contains(alts, F.col("__p")), alts).otherwise(F.array_append(alts, F.col("__p"))), "|")).otherwise(F.col("alt_l2")).alias("alt_l2"),

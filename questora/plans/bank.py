@@ -250,7 +250,21 @@ def contamination(spark: SparkSession, sf: str) -> DataFrame:
     by_word = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(keyed.where("w IS NOT NULL").select("w", "item_id"), "w").select("doc_id", "item_id")
     short = keyed.where("w IS NULL").select("item_id", "passage")
     found = d.join(by_word, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
-    return found.unionByName(d.join(short, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id"))
+    return found.unionByName(_with_short(d, short))
+
+
+#: Short passages up to which each text is searched for all of them.
+SHORT = 1000
+
+
+def _with_short(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Documents that hold a passage of at most two words: few passages are broadcast, many meet the texts that have their first three characters. Every text holds an empty passage."""
+    if short.limit(SHORT + 1).count() <= SHORT:
+        return docs.join(F.broadcast(short), F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col("text"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    keyed = docs.where("text IS NOT NULL").select("doc_id", F.explode(grams).alias("g")).join(short.select("item_id", F.substring("passage", 1, 3).alias("g")), "g").select("doc_id", "item_id")
+    return docs.join(keyed, "doc_id").join(short, "item_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, length(trim(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS n_text FROM pages""")

@@ -156,6 +156,29 @@ def test_nearest_vectors_and_flags(spark):
     assert flags[60].duplicate_status == "UNIQUE" and dedup.neighbours(df.limit(0), df, 0.0, 5).count() == 0
 
 
+def test_far_clusters_never_meet_and_no_near_pair_is_lost(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    homes = rng.normal(size=(20, 16))
+    vec = np.concatenate([h + rng.normal(size=(60, 16)) * s for h, s in zip(homes, np.linspace(0.02, 0.2, 20))] + [rng.normal(size=(200, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "id long, embedding array<double>")
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    want = {(i, j) for i, j in zip(*np.nonzero(sim >= 0.92)) if j < i}
+    monkeypatch.setattr(dedup, "BLOCK", 25)
+    monkeypatch.setattr(dedup, "CHUNK", 25)
+    assert {(r.id, r.other) for r in dedup.neighbours(df, df, 0.92, None, True).collect()} == want and len(want) > 10_000
+    _, _, meets, nq, nb = dedup._near_clusters(df, df, 0.92)
+    assert len(meets) > 5 and sum(nq[i] * nb[j] for i, js in meets.items() for j in js) < 0.5 * len(vec) ** 2
+    _, _, meets, nq, _ = dedup._near_clusters(df, df, -2.0)
+    assert meets == {0: [0]} and nq == {0: len(vec)}
+    # The nearest few are implausible, a further one is not: the row is widened until it is found.
+    turned = lambda t: [float(np.cos(t)), float(np.sin(t))]
+    rows = [(i, "some other question entirely", f"x{i}y", turned(0.5 + 0.001 * i)) for i in range(40)] + [(100, "question one about a thing", "gold", turned(0.6)), (101, "question one about a thing", "gold", turned(0.0))]
+    batch = spark.createDataFrame(rows, "id long, question string, answer string, embedding array<double>")
+    got = {r.id: r for r in dedup.flagged(batch, batch.limit(0), threshold=0.5, top=2).collect()}
+    assert got[101].duplicate_of_id == 100
+
+
 def test_likeness_of_word_sets(spark):
     pairs = [("the cat sat", "sat the CAT"), ("fuzzy was a bear", "fuzzy fuzzy was a bear"), ("abc", "xyz"), ("", "a"), ("new york mets", "new york meats now"), (None, "x")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", bank.token_set_ratio(F.col("a"), F.col("b")).alias("s")).orderBy("i")

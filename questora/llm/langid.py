@@ -15,7 +15,6 @@ different documents, so that the transitions learn what a switch costs.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_size, cut, fold_remainder
-from .letters import LETTERS
+from .letters import Words
 
 #: Rows of the weight table; fewer where it would have over ``CELLS`` cells, but ``LEAST_FEATURES`` at any rate.
 FEATURES, CELLS, LEAST_FEATURES = 1 << 17, 1 << 24, 1 << 12
@@ -45,7 +44,7 @@ EPOCHS = 3
 LEXICON_DOCS = 5
 #: Numbers in a table of chances that is worked on at once.
 ROOM = 4_000_000
-_WORD = re.compile("[%s]{1,%d}" % (LETTERS, PIECE))
+_WORD = Words("[{own}]{1,%d}" % PIECE, "LM")
 
 
 class Hashed(dict):

@@ -7,7 +7,6 @@ once from the batch's token numbers.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, training_rows
-from .letters import MARKS
+from .letters import Words
 
 DIMS = 1 << 18
 #: Bound of the training sample: so many rows of each class, none longer than so many characters.
@@ -27,7 +26,7 @@ MAX_CHARS = 20_000
 EPOCHS = 3
 #: Features are counts over length times this, so that one text's features sum to it.
 SCALE = 20.0
-_TOKEN = re.compile(r"[\w%s]+|[^\w\s%s]+" % (MARKS, MARKS))
+_TOKEN = Words(r"[\w{own}]+|[^\w\s{own}]+", "M")
 _hash: dict[str, int] = {}
 
 

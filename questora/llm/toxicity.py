@@ -10,7 +10,6 @@ each scored by a network that did not learn from it; scores never see the langua
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, stored, training_rows
-from .letters import MARKS
+from .letters import Words as Pattern
 
 ROWS = 1 << 16
 DIM = 16
@@ -38,7 +37,7 @@ MIN_TEXTS = 3
 PARTS = 3
 #: Bins of calibration scores to one unit of the logit, which lies within 30 of 0.
 BINS = 50
-_WORD = re.compile(r"[\w%s]+" % MARKS)
+_WORD = Pattern(r"[\w{own}]+", "M")
 
 
 def _row(s: str, salt: int) -> int:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,15 +54,24 @@ class Words:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.rows: list[tuple[int, int]] = [(0, 0)]
+        self.whole, self.stem = array("i", [0]), array("i", [0])
+
+    def __len__(self) -> int:
+        return len(self.whole)
+
+    def rows(self, begin: int = 0) -> np.ndarray:
+        """The two table rows of each word from number ``begin`` on."""
+        return np.stack([np.frombuffer(self.whole[begin:], np.int32), np.frombuffer(self.stem[begin:], np.int32)], 1).astype(np.int64)
 
     def __call__(self, text: str | None) -> list[int]:
         out, number = [], self.number
         for w in _WORD.findall((text or "").lower()):
             i = number.get(w)
             if i is None:
-                i = number[w] = len(self.rows)
-                self.rows.append(word_rows(w))
+                i = number[w] = len(self.whole)
+                a, b = word_rows(w)
+                self.whole.append(a)
+                self.stem.append(b)
             out.append(i)
         return out
 
@@ -107,7 +117,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 3) -> C
     words = Words()
     lists = [words(t) for t, _ in rows]
     y = np.array([c for _, c in rows], np.float32)
-    pairs = np.array(words.rows, np.int64)
+    pairs = words.rows()
     texts_with = np.zeros(ROWS, np.int64)
     for ids in lists:
         texts_with[np.unique(pairs[ids])] += 1 if ids else 0
@@ -170,20 +180,21 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 3) -> C
     return net
 
 
-#: Per worker process: word numbers and vectors of the model that was last used.
+#: Words that a task knows before it begins anew; per worker process, their numbers and vectors by the model that was last used.
+KNOWN = 200_000
 _cache: dict = {}
 
 
 def score_batch(net: Cnn, texts: list[str | None], key: int = 0) -> np.ndarray:
-    if _cache.get("key") != key or len(_cache["words"].rows) > 300_000:
+    if _cache.get("key") != key or len(_cache["words"]) > KNOWN:
         _cache.update(key=key, words=Words(), vectors=np.zeros((0, DIM), np.float32))
     words = _cache["words"]
     out, lists, size = [], [], 0
 
     def flush() -> None:
         done = len(_cache["vectors"])
-        if len(words.rows) > done:
-            two = np.array(words.rows[done:], np.int64)
+        if len(words) > done:
+            two = words.rows(done)
             _cache["vectors"] = np.concatenate([_cache["vectors"], net.emb[two[:, 0]] + net.emb[two[:, 1]]])
         flat, starts = _laid_out(lists)
         out.append(net.logits(_cache["vectors"][flat], starts))
@@ -311,5 +322,6 @@ def with_score(docs: DataFrame, net: Cnn, text_col: str = "text", name: str = "_
         for b in batches:
             out = [score_batch(net, b.column(text_col).slice(i, 512).to_pylist(), key) for i in range(0, b.num_rows, 512)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(np.concatenate(out) if out else np.empty(0))], names=[*stay, name])
+        _cache.clear()  # the worker process goes on to other work
 
     return docs.mapInArrow(run, schema)

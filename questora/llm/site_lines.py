@@ -28,7 +28,7 @@ def normal_lines(text: Column) -> Column:
 
     White space is normalised in the whole text at once, line ends apart.
     """
-    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[\x20\t\x0B\f\r]+", " "), "\n", -1), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[\x20\t\x0B\f\r]+", " "), "\n", -1), lambda x: F.trim(x))
 
 
 def line_keys(text: Column) -> Column:

@@ -84,3 +84,13 @@ def test_depleted_documents_go_and_others_stay(spark):
     got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(got[i].kept for i in range(30)) and not any(got[i].base_failed for i in range(30))
     assert all(got[i].kept and got[i].n_lines_removed == 1 for i in range(100, 105)) and all(got[i].kept and got[i].n_lines_removed == 0 for i in range(200, 203))
+
+
+def test_lines_are_trimmed_and_keep_their_digits(spark):
+    lines = ["  Alpha\tbeta ", "alpha beta", "1 item", "11 item", "3x3", "x3", "", " \x0b "]
+    df = spark.createDataFrame([("\n".join(lines),), (None,)], "t string")
+    got = [r.n for r in df.select(site_lines.normal_lines(F.col("t")).alias("n")).collect()]
+    assert got == [["alpha beta", "alpha beta", "1 item", "11 item", "3x3", "x3", "", ""], None]
+    pages = spark.createDataFrame([(i, "h", f"{'  ' * (i % 2)}Same line \nown {i}\n1 of {i}") for i in range(10)], "page_id long, host string, text string")
+    kept = site_lines.dedup_lines(pages, F.col("host"), ratio=0.5, min_pages=2).collect()
+    assert all(r.n_dropped == 1 for r in kept)

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import canonical
@@ -73,24 +69,25 @@ def plausible(question: Column, answer: Column, other_question: Column, other_an
     return (sim >= threshold) & (o != "") & (~thin | (cq == co)) & answers
 
 
-def _embed(text: str | None, dims: int) -> list[float]:
-    v = np.zeros(dims)
-    for tok in (text or "").lower().split():
-        h = hashlib.sha256(tok.encode()).digest()
-        v[int.from_bytes(h[:4], "big") % dims] += 1.0
-        v[int.from_bytes(h[4:8], "big") % dims] += 0.5
-        for i in range(len(tok) - 2):
-            g = hashlib.md5(tok[i: i + 3].encode()).digest()
-            v[int.from_bytes(g[:4], "big") % dims] += 0.25
-    n = np.linalg.norm(v)
-    return [round(float(x), 6) for x in (v / n if n else v)]
-
+#: What words, and a text that is all letters, are cut by.
+SPACE = r"[\s\x0B\x1C-\x1F\u0085\p{Z}]+"
+#: Weights of a word's first and second hash, and of each of its runs of three characters.
+WORD, AGAIN, RUN = 1.0, 0.5, 0.25
 
-def hash_embedding(c: Column, dims: int = 768) -> Column:
-    """Deterministic embedding of words and character trigrams, unit length; a stand-in for a model."""
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _embed(t, dims))
+def hash_embeddings(rows: DataFrame, key: str, text: Column, dims: int = 768) -> DataFrame:
+    """(key, embedding) of every row: its words and their runs of three characters, hashed into ``dims`` places, at unit length to six places; a stand-in for a model.
 
-    return run(c)
+    Words are counted before they are hashed, so each distinct word of a text is hashed once. A null or empty text is all zeros. ``key`` tells rows apart.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
+    each = rows.select(F.col(key), F.explode(words).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    place = lambda digest, at: F.pmod(F.conv(F.substring(digest, at, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
+    made = lambda at, weight: F.struct(at.alias("at"), F.lit(weight).alias("v"))
+    sha = F.sha2("w", 256)
+    runs = F.when(F.length("w") > 2, F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: made(place(F.md5(F.substring(F.col("w"), i, F.lit(3)).cast("binary")), 1), RUN))).otherwise(F.array().cast("array<struct<at:int,v:double>>"))
+    parts = each.select(key, "n", F.explode(F.concat(F.array(made(place(sha, 1), WORD), made(place(sha, 9), AGAIN)), runs)).alias("p"))
+    sums = parts.groupBy(key, F.col("p.at").alias("at")).agg(F.sum(F.col("p.v") * F.col("n")).alias("v"))
+    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.round(F.coalesce(F.try_element_at("m", i) / F.col("len"), F.lit(0.0)), 6))
+    return rows.select(F.col(key)).join(maps, key, "left").select(key, F.when(F.col("m").isNotNull(), filled).otherwise(F.array_repeat(F.lit(0.0), dims)).alias("embedding"))

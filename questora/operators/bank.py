@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -195,10 +195,14 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([200.0 * _common(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a.fillna(""), b.fillna(""))])
 
 
+def word_set(c: Column) -> Column:
+    """The distinct words of a text in lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0 to 100: the best likeness of two texts as sets of words - the shared words, and those with either text's own words."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")))
-    wa, wb = words(a), words(b)
+    wa, wb = word_set(a), word_set(b)
     both = F.array_sort(F.array_intersect(wa, wb))
     join = lambda *parts: F.trim(F.concat_ws(" ", *[F.array_join(p, " ") for p in parts]))
     shared, one, two = join(both), join(both, F.array_except(wa, wb)), join(both, F.array_except(wb, wa))
@@ -208,18 +212,60 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(best)
 
 
+def may_be_alike(a: DataFrame, b: DataFrame, limit: float = 90.0) -> DataFrame:
+    """(a, b): among the pairs of ``a(id, words)`` and ``b(id, words)`` all whose ``token_set_ratio`` is over ``limit``; others too, the more the shorter the words.
+
+    A ratio can come from shared words that make up most of one text, or from words that are nearly the same. In the first case the two share one of the rarest words of
+    that text, which hold the rest of its length. In the second, most pairs of neighbouring letters are left in both, and by the same argument they share one
+    of the rarest of these; texts of such short words that this says nothing share one of the rarest letters. Rare means in few of all texts.
+    """
+    m = limit / 200
+    tables = {"a": a.where(F.size("words") > 0), "b": b.where(F.size("words") > 0)}
+
+    def ordered(made: Column) -> dict[str, DataFrame]:
+        """(id, words, t, r, before): the tokens of each text, the rarest first, their place and the length of those before."""
+        each = {k: df.select("id", "words", F.explode(made).alias("t")) for k, df in tables.items()}
+        # The same token twice in a text is two tokens.
+        each = {k: df.groupBy("id", "words", "t").agg(F.count("*").alias("n")).select("id", "words", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "t") for k, df in each.items()}
+        each = {k: df.select("id", "words", F.concat_ws("\x00", "t", "k").alias("t"), (F.length("t") + 1).alias("w")) for k, df in each.items()}
+        df = each["a"].select("t").unionByName(each["b"].select("t")).groupBy("t").agg(F.count("*").alias("df"))
+        w = Window.partitionBy("id").orderBy("df", "t")
+        return {k: cut(x.join(df, "t").withColumns({"r": F.row_number().over(w), "before": F.sum("w").over(w) - F.col("w")}).drop("df")) for k, x in each.items()}
+
+    length = F.length(F.array_join("words", " "))
+
+    def met(x: DataFrame, y: DataFrame, near: bool = False) -> DataFrame:
+        """Texts that share a token; ``near`` ones are of like length."""
+        both = x.select(F.col("id").alias("a"), "t", length.alias("na")).join(y.select(F.col("id").alias("b"), "t", length.alias("nb")), "t")
+        like = (F.col("na") * (1 - m) >= F.col("nb") * m) & (F.col("nb") * (1 - m) >= F.col("na") * m)
+        return (both.where(like) if near else both).select("a", "b")
+
+    whole = ordered(F.col("words"))
+    firsts = {k: x.where(F.col("before") < (1 - m / (1 - m)) * (length + 1)) for k, x in whole.items()}
+    grams = F.flatten(F.transform(F.filter("words", lambda x: F.length(x) > 1), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))))
+    pairs, n_words = ordered(grams), F.size("words")
+    kept = F.floor((3 * m - 1) / (1 - m) * length - 2 * n_words + 1 + 1e-9) + 1  # pairs of neighbours that must be left
+    heads = {k: x.where((kept >= 1) & (F.col("r") <= length - 2 * n_words + 1 - kept + 1)) for k, x in pairs.items()}
+    out = met(firsts["a"], whole["b"]).unionByName(met(whole["a"], firsts["b"])).unionByName(met(heads["a"], heads["b"], near=True))
+    short = {k: df.where(kept < 1) for k, df in tables.items()}
+    if not (short["a"].isEmpty() and short["b"].isEmpty()):
+        letters = ordered(F.split(F.array_join("words", ""), ""))
+        left = F.ceil(m * length / (1 - m) - 1e-9) - (n_words - 1)  # letters that must be left
+        few = {k: x.where((kept < 1) & (F.col("r") <= F.length(F.array_join("words", "")) - F.greatest(left, F.lit(1)) + 1)) for k, x in letters.items()}
+        out = out.unionByName(met(few["a"], letters["b"], near=True)).unionByName(met(letters["a"], few["b"], near=True))
+    return out.distinct()
+
+
 def greedy_distinct(rows: DataFrame, gold: DataFrame, key: str, text: str, limit: float = 90.0) -> DataFrame:
     """``rows`` unlike all ``gold`` texts and unlike any row kept before them, in the order of ``key``.
 
-    Only texts that share a word are compared, as others cannot reach ``limit``. The rows that stay come from rounds: a row
-    with no undecided like row before it is kept, and rows like a kept one go.
+    Only texts that ``may_be_alike`` are compared, and that leaves out none that is. The rows that stay come from rounds: a row
+    with no undecided like row before it is kept, and rows like a kept one go. Texts without a word are like nothing.
     """
-    words = lambda df, k: df.select(F.col(k).alias("__k"), F.col(text).alias("__t"), F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "))).alias("__w")).where("__w <> ''")
-
     def alike(a: DataFrame, b: DataFrame, cond: Column) -> DataFrame:
-        left = words(a, key).select(F.col("__k").alias("a"), "__w").distinct()
-        right = words(b, key).select(F.col("__k").alias("b"), "__w").distinct()
-        pairs = left.join(right, "__w").where(cond).select("a", "b").distinct()
+        sets = lambda df: cut(df.select(F.col(key).alias("id"), word_set(F.col(text)).alias("words")))
+        one = sets(a)
+        pairs = may_be_alike(one, one if b is a else sets(b), limit).where(cond)
         both = pairs.join(a.select(F.col(key).alias("a"), F.col(text).alias("__ta")), "a").join(b.select(F.col(key).alias("b"), F.col(text).alias("__tb")), "b")
         return both.where(token_set_ratio(F.col("__ta"), F.col("__tb")) > limit).select("a", "b")
 

@@ -353,9 +353,13 @@ def draft_quiz(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r["id"], r["subtopic_l2"], float(r["rank_score"]), i) for i, r in enumerate(picked, 1)], "id long, subtopic_l2 string, rank_score double, position int")
 
 
-@query(None)
+@query(r"""WITH w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+')) AS w FROM documents) GROUP BY 1, 2),
+    p AS (SELECT doc_id, CAST('0x' || substr(sha256(w), 1, 8) AS BIGINT) % 64 AS pos, n * 1.0::DOUBLE AS v FROM w UNION ALL SELECT doc_id, CAST('0x' || substr(sha256(w), 9, 8) AS BIGINT) % 64, n * 0.5::DOUBLE FROM w
+      UNION ALL SELECT doc_id, CAST('0x' || substr(md5(w[k:k + 2]), 1, 8) AS BIGINT) % 64, n * 0.25::DOUBLE FROM (SELECT doc_id, w, n, unnest(range(1, length(w) - 1)) AS k FROM w)),
+    s AS (SELECT doc_id, pos, sum(v) AS v FROM p GROUP BY 1, 2), m AS (SELECT doc_id, map_from_entries(list((pos, v))) AS m, sqrt(sum(v * v)) AS l FROM s GROUP BY 1)
+    SELECT doc_id, list_transform(range(64), lambda i: CASE WHEN m IS NULL THEN 0 ELSE coalesce(round(m[i] / l, 6), 0) END::DOUBLE) AS embedding FROM documents LEFT JOIN m USING (doc_id)""")
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", vectors.hash_embedding(F.col("text"), 64).alias("embedding"))
+    return vectors.hash_embeddings(table(spark, sf, "documents"), "doc_id", F.col("text"), 64)
 
 
 @query("""SELECT doc_id, upper(lang) || ' ' || source AS label, CAST(len(regexp_extract_all(text, '[Tt]he')) AS BIGINT) AS n_hits FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20 OFFSET 20""")

@@ -80,7 +80,15 @@ def hook_and_curiosity(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "hook", keywords.curiosity(t, t, F.col("hook")).alias("curiosity"), keywords.temporal_nature(t, F.lit("")).alias("nature"))
 
 
-@query(None)
+_PHRASE = r"\b([A-Z][a-zA-Z]+(?:\s+(?:(?:of|the|and|de|von|la)\s+)?[A-Z][a-zA-Z]+)+)\b"
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\P{{L}}]', '_', 'g') AS a FROM documents),
+    f AS (SELECT doc_id, regexp_extract_all(a, '{_PHRASE}', 1) AS ph, list_filter(list_transform(regexp_extract_all(x, '[''"]([^''"]{{3,40}})[''"]', 1), lambda q: trim(q)), lambda q: NOT regexp_matches(lower(q), 'click here|read more')) AS qu,
+      regexp_extract_all(a, '\\b([A-Z][a-z]{{3,}})\\b', 1) AS si FROM t),
+    u AS (SELECT doc_id, list_distinct(list_concat(list_filter(ph, lambda p: length(p) > 4), qu, list_filter(si, lambda s: NOT list_contains([{', '.join(f"'{w}'" for w in keywords.NO_ENTITY)}], lower(s)) AND len(list_filter(ph, lambda p: contains(p, s))) = 0))) AS e FROM f),
+    w AS (SELECT doc_id, list_sort(list_transform(e, lambda x: {{'w': -len(regexp_split_to_array(trim(x), '\\s+')), 'l': -length(x), 'e': x}})) AS r FROM u)
+    SELECT doc_id, array_to_string(list_transform(list_filter(r, lambda x: x.w >= -5)[:6], lambda x: x.e), '|') AS entities FROM w""")
 def named_entities(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(keywords.entities(F.coalesce("text", F.lit(""))), "|").alias("entities"))
 

@@ -122,7 +122,8 @@ def test_nine_patterns_of_slides(spark):
 
 def test_hash_embedding_word_by_word(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(20).collect()] + ["", None, "Ab ab"]
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", vectors.hash_embedding(F.col("t"), 16).alias("v")).orderBy("i").collect()
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = vectors.hash_embeddings(got, "i", F.col("t"), 16).withColumnRenamed("embedding", "v").orderBy("i").collect()
     for r, t in zip(got, texts):
         v = [0.0] * 16
         for w in (t or "").lower().split():
@@ -179,6 +180,26 @@ def test_far_clusters_never_meet_and_no_near_pair_is_lost(spark, monkeypatch):
     assert got[101].duplicate_of_id == 100
 
 
+def test_no_like_pair_is_left_out(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdef")
+    word = lambda n: "".join(rng.choice(letters, n))
+    base = [" ".join(word(int(rng.integers(1, k))) for _ in range(int(rng.integers(1, 9)))) for k in (2, 3, 6, 12, 16) for _ in range(12)]
+    texts = list(base)
+    for t in base:
+        c = list(t)
+        for _ in range(int(rng.integers(1, 4))):
+            c[rng.integers(len(c))] = str(rng.choice(letters))
+        texts += ["".join(c), " ".join(rng.permutation(t.split())), t + " " + word(3), " ".join(t.split()[:-1])]
+    texts += ["abcdefghijklmnopqrst", "abcdefghijklmnopqrsu", "", None, "!!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    sets = df.select("id", bank.word_set(F.col("t")).alias("words"))
+    pairs = df.join(df.select(F.col("id").alias("id2"), F.col("t").alias("t2"))).where("id < id2")
+    want = {(r.id, r.id2) for r in pairs.where(bank.token_set_ratio(F.col("t"), F.col("t2")) > 90).collect()}
+    found = {(r.a, r.b) for r in bank.may_be_alike(sets, sets).collect()}
+    assert want <= found and len(want) > 150 and (texts.index("abcdefghijklmnopqrst"), texts.index("abcdefghijklmnopqrsu")) in want
+
+
 def test_likeness_of_word_sets(spark):
     pairs = [("the cat sat", "sat the CAT"), ("fuzzy was a bear", "fuzzy fuzzy was a bear"), ("abc", "xyz"), ("", "a"), ("new york mets", "new york meats now"), (None, "x")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", bank.token_set_ratio(F.col("a"), F.col("b")).alias("s")).orderBy("i")

@@ -116,15 +116,15 @@ def quiet_workers(beats: DataFrame, key: str, at: str, timeout: str = "8 minutes
     return beats.withWatermark(at, "1 minute").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, beats long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-#: Parts of a table of newest rows; a batch rewrites those that it touches.
-PARTS = 64
+#: Parts of a table of newest rows; a batch rewrites those that it touches. Versions of a part that stay: the last, and the one that its batch began from.
+PARTS, KEPT = 64, 2
 
 
 def latest_into(table_path: str, key: str, at: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the newest row per key; read it with ``newest_of``.
 
     Keys are dealt into ``parts``. A batch writes a new version of the parts that it touches and of no others. A batch
-    that runs again starts from the versions before it and writes the same one, so restarts change nothing.
+    that runs again starts from the versions before it and writes the same one, so restarts change nothing. Older versions of the parts that it touched go.
     """
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
@@ -138,10 +138,25 @@ def latest_into(table_path: str, key: str, at: str, parts: int = PARTS) -> Calla
         cols = [c for c in rows.columns if c not in (key, "part")]
         newest = rows.groupBy("part", key).agg(F.max_by(F.struct(*cols), at).alias("r")).select("part", key, "r.*")
         newest.write.mode("overwrite").partitionBy("part").parquet(f"{table_path}/v={n}")
+        _drop_old(spark, table_path, set(touched))
 
     return write
 
 
+def _drop_old(spark: SparkSession, path: str, parts: set[int], keep: int = KEPT) -> None:
+    """Deletes all but the last ``keep`` versions of some parts, wherever the table lies."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/part=*")
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    by: dict[int, list] = {}
+    for f in store.globStatus(pattern) or []:
+        v, part = (int(x.partition("=")[2]) for x in (f.getPath().getParent().getName(), f.getPath().getName()))
+        if part in parts:
+            by.setdefault(part, []).append((v, f.getPath()))
+    for own in by.values():
+        for _, old in sorted(own, key=lambda x: -x[0])[keep:]:
+            store.delete(old, True)
+
+
 def _versions(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.option("basePath", path).parquet(f"{path}/v=*")

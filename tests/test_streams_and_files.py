@@ -41,6 +41,14 @@ def test_newest_rows_survive_restarts_and_rewrite_only_what_they_touch(spark, tm
     # The last batch once more, as after a lost acknowledgement.
     jobs.latest_into(out, "id", "ts", parts=8)(spark.createDataFrame([(3, "b", T0 + dt.timedelta(minutes=1), 33.0)], SCHEMA), max(r.v for r in versions))
     assert {r.id: r.value for r in jobs.newest_of(spark, out).collect()}[3] == 33.0
+    # Of the parts that later batches touch, the last two versions stay.
+    before = jobs.newest_of(spark, out).count()
+    for n in range(10, 14):
+        jobs.latest_into(out, "id", "ts", parts=8)(spark.createDataFrame([(3, f"c{n}", T0 + dt.timedelta(minutes=n), float(n))], SCHEMA), n)
+    kept = spark.read.option("basePath", out).parquet(f"{out}/v=*").groupBy("part").agg(F.collect_set("v").alias("v")).collect()
+    assert max(len(r.v) for r in kept) == 2 and any(sorted(r.v) == [12, 13] for r in kept)
+    got = {r.id: r.value for r in jobs.newest_of(spark, out).collect()}
+    assert len(got) == before and got[3] == 13.0 and got[4] == 4.0
 
 
 def test_versions_once_and_windows_without_late_rows(spark, tmp_path):

@@ -106,9 +106,9 @@ def hybrid(candidates: DataFrame, key: str, query_vector: list[float], lexical:
     return r.withColumn("score", vectors.rrf(F.col("rank_dense"), F.col("rank_sparse"), F.col("overlap"))).orderBy(F.desc("score"), key).limit(limit).drop("overlap")
 
 
-def hybrid_within(candidates: DataFrame, strict: Column, key: str, query_vector: list[float], lexical: Column, pool: int = 60, limit: int = 10) -> DataFrame:
-    """``hybrid`` over the candidates that meet a filter, or over all of them if none does."""
-    return hybrid(relaxed(candidates, strict), key, query_vector, lexical, pool, limit)
+def hybrid_within(candidates: DataFrame, strict: Column, key: str, query_vector: list[float], lexical: Column, pool: int = 60, limit: int = 10, overlap: Column | None = None) -> DataFrame:
+    """``hybrid`` over the candidates that meet a filter, or over all of them if none does; ``overlap`` counts the wanted tags that a row has."""
+    return hybrid(relaxed(candidates, strict), key, query_vector, lexical, pool, limit, overlap)
 
 
 def prompt_context(items: DataFrame, at: str, title: str, text: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, rules
-from ..operators import evaluate, relational, review, sequence, vault
+from ..operators import evaluate, relational, review, search, sequence, vault
+from .bank import _COS, _QV
 from .registry import query, table
 
 
@@ -170,3 +171,17 @@ def predictions_scored(spark: SparkSession, sf: str) -> DataFrame:
 def confusion_accepted(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("gold"), F.substring("o_orderpriority", 1, 1).alias("pred"), (F.col("o_orderkey") % 3 == 0).alias("ok"))
     return evaluate.confusion(o, "gold", "pred", lenient="ok", at="o_orderkey")
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_COS} AS sim, (source IN ('src1', 'src2', 'src3'))::INT + (lang = 'fr')::INT AS ov,
+      CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'ea') AS INT) + CASE WHEN n_chars > 3000 THEN 0.5 ELSE 0 END::DOUBLE AS lex FROM documents JOIN embeddings ON doc_id = vec_id, (SELECT {_QV} AS v) WHERE lang <> 'en'),
+    p AS (SELECT *, lex + 5 * ov AS sp FROM c ORDER BY sim DESC, doc_id LIMIT 60), r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, doc_id) AS rd, row_number() OVER (ORDER BY sp DESC, doc_id) AS rs FROM p)
+    SELECT doc_id, CAST(rd AS INTEGER) AS rank_dense, CAST(rs AS INTEGER) AS rank_sparse, round((1.0 / (60 + rd) + 1.0 / (60 + rs)) * (1 + 0.5 * ov), 8) AS score FROM r ORDER BY round((1.0 / (60 + rd) + 1.0 / (60 + rs)) * (1 + 0.5 * ov), 8) DESC, doc_id LIMIT 15""")
+def tagged_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Fused search within a filter, with tags that lift a row, words, and a wanted difficulty."""
+    vec = table(spark, sf, "embeddings")
+    v = vec.where("vec_id = 7").select("embedding").first()
+    rows = table(spark, sf, "documents").join(vec, F.col("doc_id") == F.col("vec_id")).withColumn("ov", F.col("source").isin("src1", "src2", "src3").cast("int") + (F.col("lang") == "fr").cast("int"))
+    words = search.lexical_score(F.col("text"), ["license", "ea"], F.when(F.col("n_chars") > 3000, "Hard").otherwise("Easy"), "hard", F.col("ov"))
+    found = search.hybrid_within(rows, F.col("lang") != "en", "doc_id", v[0] if v else [0.0], words, limit=15, overlap=F.col("ov"))
+    return found.select("doc_id", "rank_dense", "rank_sparse", F.round("score", 8).alias("score"))

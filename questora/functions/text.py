@@ -124,23 +124,41 @@ def script_language(c: Column, default: str = "English", share: float = 0.3) ->
     return out.otherwise(default)
 
 
+# Forms of a full date in a title, and which of their groups are the year, the month and the day.
+DATES = [
+    (r"(?<!\d)(20\d{2})[-_./](\d{1,2})[-_./](\d{1,2})(?!\d)", (1, 2, 3)), (r"(?<!\d)(\d{1,2})[-_./](\d{1,2})[-_./](20\d{2}|\d{2})(?!\d)", (3, 2, 1)), (r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", (1, 2, 3)),
+    (r"(?<![\dA-Za-z])(\d{1,2})(?:st|nd|rd|th)?[\s\-]+([A-Za-z]{3,9})\.?,?[\s\-]*(20\d{2}|\d{2})(?!\d)", (3, 2, 1)), (r"(?<![A-Za-z])([A-Za-z]{3,9})\.?[\s\-]+(\d{1,2})(?:st|nd|rd|th)?,?[\s\-]+(20\d{2})(?!\d)", (3, 1, 2)),
+]
+MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec"
+
+
+def _month(m: Column) -> Column:
+    """1 to 12 of a number or of a name's first three letters; null for other words."""
+    at = F.instr(F.lit(f" {MONTH_NAMES} "), F.concat(F.lit(" "), F.lower(F.substring(m, 1, 3)), F.lit(" ")))
+    return F.when(m.rlike(r"^\d+$"), m.try_cast("int")).when(at > 0, ((at + 3) / 4).cast("int"))
+
+
+def title_date(c: Column) -> Column:
+    """(date, year) of a title: the first full date, of 2000 to 2100, by the forms in their order; else the year of a month with a year, or a bare year. A day comes before its month."""
+    def dates(text: Column, p: str, y: int, m: int, d: int) -> Column:
+        def made(x: Column) -> Column:
+            year = F.regexp_extract(x, p, y).try_cast("int")
+            return F.to_date(F.try_make_timestamp(F.when(year < 100, year + 2000).otherwise(year), _month(F.regexp_extract(x, p, m)), F.regexp_extract(x, p, d).try_cast("int"), F.lit(0), F.lit(0), F.lit(0.0)))
+
+        return F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), made), lambda x: x.isNotNull() & F.year(x).between(2000, 2100))
+
+    def first(text: Column) -> Column:
+        date = F.coalesce(*[F.get(dates(text, p, *groups), 0) for p, groups in DATES])
+        named = r"(?i)(?<![A-Za-z])(?:%s)[A-Za-z]{0,6}\.?[\s\-]+(20\d{2})(?!\d)" % MONTH_NAMES.replace(" ", "|")
+        bare = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("int")
+        return F.struct(date.alias("date"), F.coalesce(F.year(date), bare(named), bare(r"(?<!\d)(20\d{2})(?!\d)")).alias("year"))
+
+    return F.transform(F.array(F.coalesce(c, F.lit(""))), first)[0]
+
+
 def extract_date(c: Column) -> Column:
-    """A full date in a title: ISO, day first with any separator, eight digits, or with the month's name; 2000 to 2100."""
-    months = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-
-    def month(m: Column) -> Column:
-        return (F.position(F.lower(F.substring(m, 1, 3)), F.lit(months)) + 3) / 4
-
-    def made(y: Column, m: Column, d: Column) -> Column:
-        return F.to_date(F.try_make_timestamp(y.try_cast("int"), m.try_cast("int"), d.try_cast("int"), F.lit(0), F.lit(0), F.lit(0.0)))
-
-    part = lambda p, i: F.regexp_extract(c, p, i)
-    iso, dmy, eight = r"(20\d{2})[-_./ ](\d{1,2})[-_./ ](\d{1,2})(?!\d)", r"(?<!\d)(\d{1,2})[-_./ ](\d{1,2})[-_./ ](20\d{2})", r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)"
-    dmon, mond = rf"(?i)(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?[-_ ,]*({months})[a-z]*[-_ ,]*(20\d{{2}})", rf"(?i)({months})[a-z]*[-_ ,]*(\d{{1,2}})(?:st|nd|rd|th)?[-_ ,]+(20\d{{2}})"
-    return F.coalesce(
-        made(part(iso, 1), part(iso, 2), part(iso, 3)), made(part(dmy, 3), part(dmy, 2), part(dmy, 1)), made(part(eight, 1), part(eight, 2), part(eight, 3)),
-        made(part(dmon, 3), month(part(dmon, 2)).cast("int"), part(dmon, 1)), made(part(mond, 3), month(part(mond, 1)).cast("int"), part(mond, 2)),
-    )
+    """The full date of a title, as ``title_date`` finds it."""
+    return title_date(c)["date"]
 
 
 def clean_year(c: Column, this_year: int) -> Column:

@@ -28,6 +28,27 @@ def superseded(rows: DataFrame, key: str, status: str, at: str, tie: str) -> Dat
     return rows.withColumn(status, F.when(old, "superseded").otherwise(F.col(status)))
 
 
+def overridden(rows: DataFrame, decisions: DataFrame, key: str, at: str, tie: str, taxonomy: DataFrame, now: Column, actor: str) -> DataFrame:
+    """``rows`` after people's own tags ``decisions`` (key, subtopic_l2, and any other columns of ``rows``): one new row each, confirmed, of source HUMAN and confidence 1.
+
+    Its theme is the subtopic's in ``taxonomy(l1, l2)``, null for an unknown one. The newest confirmed row of its key is superseded, the others stay. A key that was decided
+    more than once gets a row for each. New rows have no ``tie`` yet.
+    """
+    asked = decisions.select(F.col(key).alias("__k")).distinct()
+    place = F.row_number().over(Window.partitionBy(key).orderBy((F.col("status") == "confirmed").desc(), F.desc(at), F.desc(tie)))
+    old = F.col("__k").isNotNull() & (F.col("status") == "confirmed") & (F.col("__r") == 1)
+    kept = rows.withColumn("__r", place).join(asked, F.col(key) == F.col("__k"), "left").withColumn("status", F.when(old, "superseded").otherwise(F.col("status"))).select(*rows.columns)
+    parents = taxonomy.groupBy(F.col("l2").alias("__l2")).agg(F.max("l1").alias("__l1"))
+    new = decisions.join(parents, F.col("subtopic_l2") == F.col("__l2"), "left")
+    fixed = {"status": F.lit("confirmed"), "source": F.lit("HUMAN"), "confidence": F.lit(1.0), "topic_l1": F.col("__l1"), "verified_by": F.lit(actor), "verified_at": now, at: now, tie: F.lit(None)}
+
+    def value(c: str) -> Column:
+        made = fixed.get(c, F.col(c) if c in decisions.columns else F.lit("good") if c == "fit" else F.lit(None))
+        return made.cast(rows.schema[c].dataType).alias(c)
+
+    return kept.unionByName(new.select(*[value(c) for c in rows.columns]))
+
+
 def changes(before: DataFrame, after: DataFrame, tie: str, status: str, actor: str) -> DataFrame:
     """Audit rows of what differs between two states of a history."""
     b = before.select(F.col(tie), F.col(status).alias("from_status"))

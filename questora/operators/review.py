@@ -138,6 +138,36 @@ def path_changes(old: DataFrame, new: DataFrame, key: str, source: str, actor: s
     return changed.select(key, F.lit("topic_paths").alias("field"), "old_value", "new_value", F.lit(kind).alias("kind"), F.lit(actor or ("system" if source != "HUMAN" else None)).cast("string").alias("actor"))
 
 
+def patched_questions(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """``rows`` after patches (key, and columns of the same names): a null changes nothing, texts are trimmed.
+
+    Tags lose a leading '#', tags and topics blanks and repeats whatever the case; the first topic becomes the question's where none is given. Blank visual clues go. Keys are patched once.
+    """
+    has = [c for c in patches.columns if c != key]
+    p = patches.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in has])
+
+    def once(c: Column) -> Column:
+        plain = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+        low = F.transform(plain, lambda x: F.lower(x))
+        return F.filter(plain, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+    lists = {c: once(F.transform(F.col(f"__{c}"), lambda x: F.regexp_replace(F.trim(x), "^#", "")) if c == "tags" else F.col(f"__{c}")) for c in ("tags", "topics") if c in has}
+
+    def value(c: str) -> Column:
+        if c not in has and not (c == "topic" and "topics" in has):
+            return F.col(c)
+        if c in lists:
+            return F.when(F.col(f"__{c}").isNotNull(), lists[c]).otherwise(F.col(c)).alias(c)
+        said = F.trim(F.col(f"__{c}")) if c in has else F.lit(None).cast("string")
+        if c == "topic" and "topics" in has:
+            said = F.coalesce(said, F.get(lists["topics"], F.lit(0)))
+        if c == "visual_clues":
+            return F.when(F.col(f"__{c}").isNotNull(), F.nullif(said, F.lit(""))).otherwise(F.col(c)).alias(c)
+        return F.coalesce(said, F.col(c)).alias(c)
+
+    return rows.join(p, F.col(key) == F.col("__k"), "left").select(*[value(c) for c in rows.columns])
+
+
 def patched_tags(tags: Column, add: list[str], remove: list[str]) -> Column:
     """Tags without those removed, then those added that are not there yet, whatever the case."""
     gone = [t.strip().lower() for t in remove]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formats, rules
-from ..operators import evaluate, relational, review, search, sequence, vault
+from ..functions import formats, rules, text
+from ..operators import evaluate, history, relational, review, search, sequence, vault
 from .bank import _COS, _QV
+from .curation import _EVENTS_SQL, _events
 from .registry import query, table
 
 
@@ -185,3 +186,55 @@ def tagged_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     words = search.lexical_score(F.col("text"), ["license", "ea"], F.when(F.col("n_chars") > 3000, "Hard").otherwise("Easy"), "hard", F.col("ov"))
     found = search.hybrid_within(rows, F.col("lang") != "en", "doc_id", v[0] if v else [0.0], words, limit=15, overlap=F.col("ov"))
     return found.select("doc_id", "rank_dense", "rank_sparse", F.round("score", 8).alias("score"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 8 AS m, 1 + p_partkey % 28 AS d, 1 + p_partkey % 12 AS mo, 2000 + p_partkey % 60 AS y FROM part)
+    SELECT p_partkey, CASE WHEN m < 4 THEN make_date(y, mo, d) END AS date, CASE WHEN m < 6 THEN y END AS year FROM p""")
+def titles_dated(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts' names as titles with dates in many forms."""
+    k = F.col("p_partkey")
+    d, m, y = 1 + k % 28, 1 + k % 12, 2000 + k % 60
+    month = F.get(F.split(F.lit("January Feb March Apr. May June Jul Aug. September Oct Nov December"), " "), (m - 1).cast("int"))
+    said = F.when(k % 8 == 0, F.concat_ws("-", y, m, d)).when(k % 8 == 1, F.concat_ws(".", d, m, y % 100 + 100)).when(k % 8 == 2, F.format_string("%dth %s, %d", d, month, y)).when(k % 8 == 3, F.format_string("%s %d %d", month, d, y))
+    said = F.when(k % 8 == 1, F.format_string("%d/%d/%02d", d, m, y % 100)).otherwise(said)
+    said = F.coalesce(said, F.when(k % 8 == 4, F.format_string("%s %d", month, y)).when(k % 8 == 5, F.format_string("the %d cup", y)).when(k % 8 == 6, F.lit("31-02-20x4 1999")).otherwise(""))
+    return table(spark, sf, "part").select("p_partkey", text.title_date(F.concat_ws(" ", "p_name", said, "p_type")).alias("t")).select("p_partkey", "t.*")
+
+
+@query(f"""WITH t AS ({_EVENTS_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY status = 'confirmed' DESC, ts DESC, event_id DESC) AS k FROM t), d AS (SELECT c_custkey AS user_id, c_mktsegment AS l2 FROM customer WHERE c_custkey % 4 = 0)
+    SELECT event_id, user_id, CASE WHEN k = 1 AND status = 'confirmed' AND user_id IN (SELECT user_id FROM d) THEN 'superseded' ELSE status END AS status, source, topic_l1, subtopic_l2, fit, confidence, NULL AS verified_by FROM r
+    UNION ALL SELECT NULL, user_id, 'confirmed', 'HUMAN', CASE WHEN l2 <> 'MACHINERY' THEN 'Seg ' || substr(l2, 1, 1) END, l2, 'good', 1.0, 'ann' FROM d""")
+def human_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as tags of users; every fourth customer is tagged anew by hand."""
+    c = table(spark, sf, "customer")
+    tax = c.where("c_mktsegment <> 'MACHINERY'").select(F.concat(F.lit("Seg "), F.substring("c_mktsegment", 1, 1)).alias("l1"), F.col("c_mktsegment").alias("l2")).distinct()
+    said = c.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("subtopic_l2"))
+    out = history.overridden(_events(spark, sf), said, "user_id", "ts", "event_id", tax, F.current_timestamp(), "ann")
+    return out.select("event_id", "user_id", "status", "source", "topic_l1", "subtopic_l2", "fit", "confidence", "verified_by")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN array_to_string(CASE WHEN p_type = p_brand THEN [p_type] ELSE [p_type, p_brand] END, ',') ELSE 'old' END AS tags, CASE WHEN p_partkey % 5 = 0 THEN p_type WHEN p_partkey % 4 = 0 THEN p_name ELSE 'was' END AS topic,
+    CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'seen' END AS visual_clues FROM part""")
+def questions_patched(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as questions: some get new tags, topics, or lose their clues."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part")
+    rows = p.select("p_partkey", F.array(F.lit("old")).alias("tags"), F.lit("was").alias("topic"), F.lit("seen").alias("visual_clues"))
+    patches = p.select(
+        "p_partkey", F.when(k % 3 == 0, F.array(F.concat(F.lit(" #"), "p_type"), F.lit(" "), F.lower("p_type"), F.col("p_brand"))).alias("tags"), F.when(k % 4 == 0, F.array(F.lit(""), F.concat(F.lit(" "), "p_name"), F.col("p_name"))).alias("topics"),
+        F.when(k % 5 == 0, F.concat("p_type", F.lit(" "))).alias("topic"), F.when(k % 2 == 0, " ").alias("visual_clues"),
+    )
+    return review.patched_questions(rows, patches, "p_partkey").select("p_partkey", F.array_join("tags", ",").alias("tags"), "topic", "visual_clues")
+
+
+_CITIES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(l, '(?:^|[^a-z0-9_])(?:{c})(?:$|[^a-z0-9_])') THEN '{c.title()}|{r}|{g}'" for t, g in ((rules.CITIES_IN, "IN"), (rules.CITIES_INTL, "INTL")) for c, r in t.items()) + " END"
+_THEMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(l, '(?:^|[^a-z0-9_])(?:{'|'.join(n)})(?:$|[^a-z0-9_])') THEN '{t}' END" for t, n in rules.BRAND_THEMES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""SELECT doc_id, {_CITIES_SQL} AS city, array_to_string({_THEMES_SQL}, ',') AS themes FROM (SELECT doc_id, lower(['', 'In New Delhi, RBI and the ipl; ', 'paris nseé Sebi, ', 'goan lic? san francisco '][1 + doc_id % 4] || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\P{{L}}]', 'q', 'g')) AS l FROM documents)""")
+def rule_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The first city that a text names, and the themes of the brands in it."""
+    head = F.get(F.array(*[F.lit(x) for x in ("", "In New Delhi, RBI and the ipl; ", "paris nseé Sebi, ", "goan lic? san francisco ")]), (F.col("doc_id") % 4).cast("int"))
+    t = F.concat(head, F.coalesce("text", F.lit("")))
+    d = table(spark, sf, "documents").select("doc_id", rules.city(t).alias("c"), rules.brand_themes(t).alias("b"))
+    return d.select("doc_id", F.when(F.col("c").isNotNull(), F.concat_ws("|", "c.city", "c.region", "c.geography")).alias("city"), F.array_join("b", ",").alias("themes"))

@@ -153,3 +153,15 @@ def test_sessions_inherit_what_came_before(spark):
     got = requests.briefs(one, "user_id", ["event_id"], F.col("prompt"), parts=6)
     assert pick(got) == sorted(x for test in (lambda r: r.user_id % 7 > 0, lambda r: r.user_id % 7 == 0) for x in plain_session([r for r in sorted(rows, key=lambda r: r.event_id) if test(r)]))
     assert got.select(F.spark_partition_id()).distinct().count() > 3 and requests.briefs(one.limit(0), "user_id", ["event_id"], F.col("prompt")).count() == 0
+
+
+def test_answers_of_a_model_become_briefs(spark):
+    tax = spark.createDataFrame([("Finance", "Stock Markets"), ("Sports", "Cricket"), (None, "Odd"), ("Empty", None)], "l1 string, l2 string")
+    said = [
+        (1, '{"query": "gold Gold, silver gold!", "count": 99, "topics": ["Finanse", "Nowhere"], "subtopics": ["criket"], "filters": {"school_safe": "true"}, "difficulty": "hard", "tone": ["dry"]}'), (2, '{"query": "", "count": -4}'), (3, "no json"), (4, None),
+        (5, '{"query": "x", "topics": null, "subtopics": ["Odd"]}'),
+    ]
+    got = {r.id: r for r in requests.interpreted(spark.createDataFrame(said, "id int, said string"), "id", "said", tax).collect()}
+    one = got[1]
+    assert (one.query, one["count"], one.l1s, one.l2s, one.dropped, one.filters, one.bias, one.tone) == ("gold silver", 50, ["Finance", "Sports"], ["Cricket"], ["Nowhere"], {"school_safe": "true"}, "hard", ["dry"])
+    assert (got[2].query, got[2]["count"]) == ("", 1) and got[3].query is got[4].query is None and got[4].l1s == [] and got[4]["count"] == 10 and (got[5].l1s, got[5].l2s) == ([], ["Odd"])

@@ -14,23 +14,39 @@ from . import search
 from .lineage import cut
 
 
+# Audiences for which a question without a tag counts as harmless.
+YOUNG = ["primary", "middle_school", "high_school", "general"]
+
+
 def bank_rows(questions: DataFrame, tags: DataFrame, meta: DataFrame, documents: DataFrame) -> DataFrame:
     """The bank: questions with their tag, metadata and deck; the tag's values come before the question's own.
 
     ``tags`` and ``meta`` have one row per question_id, ``documents`` one per id. Left out are confirmed duplicates and
-    rows of fewer than 8 characters without a picture. A sensitivity of NONE is assumed only for tagged rows.
+    rows of fewer than 8 characters without a picture. A sensitivity of NONE is assumed only for tagged rows and, where questions say whom they suit, for those of ``YOUNG``. Of the columns that
+    not every bank has, those that are there come along: keywords (the tag's, else the question's tags), difficulty (Medium, 0.5 where unknown), city and region (the tag's, else the metadata's), primary_audience; without
+    a shelf life a question whose ``temporal_nature`` passes is TIME_SENSITIVE, and any other EVERGREEN.
     """
+    some = lambda df, c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
     usable = (F.length(F.trim(F.coalesce("question_text", F.lit("")))) >= 8) | F.coalesce(F.size("question_images") > 0, F.lit(False))
     q = questions.where(usable & ~F.coalesce(F.col("duplicate_status") == "CONFIRMED_DUPLICATE", F.lit(False)))
-    t = tags.select(F.col("question_id").alias("id"), F.lit(True).alias("tagged"), *[F.col(c).alias(f"__{c}") for c in ("topic_l1", "subtopic_l2", "geography", "sensitivity", "shelf_life")])
-    m = meta.select(F.col("question_id").alias("id"), "year", "question_format")
+    t = tags.select(
+        F.col("question_id").alias("id"), F.lit(True).alias("tagged"), *[F.col(c).alias(f"__{c}") for c in ("topic_l1", "subtopic_l2", "geography", "sensitivity", "shelf_life")],
+        some(tags, "keywords", "array<string>").alias("__keywords"), some(tags, "city_name").alias("__city"), some(tags, "geo_region").alias("__region"),
+    )
+    m = meta.select(F.col("question_id").alias("id"), "year", "question_format", some(meta, "city_name").alias("__m_city"), some(meta, "geo_region").alias("__m_region"), some(meta, "primary_audience").alias("primary_audience"))
     d = documents.select(F.col("id").alias("document_id"), F.col("title").alias("deck"))
     joined = q.join(t, "id", "left").join(m, "id", "left").join(d, "document_id", "left")
     tagged = F.coalesce("tagged", F.lit(False))
+    young = F.coalesce(F.arrays_overlap(some(questions, "audience_suitability", "array<string>"), F.array(*[F.lit(a) for a in YOUNG])), F.lit(False))
+    passing = F.when(some(questions, "temporal_nature") == "TIME_SENSITIVE", "TIME_SENSITIVE").otherwise("EVERGREEN")
+    life = F.coalesce("__shelf_life", passing) if "temporal_nature" in questions.columns else F.col("__shelf_life")
     return joined.select(
         "id", "question_text", "answer", "deck", "year", F.coalesce("question_format", F.lit("STANDARD_QA")).alias("question_format"), tagged.alias("tagged"),
         F.coalesce("__topic_l1", "topic").alias("topic_l1"), F.coalesce("__subtopic_l2", "subtopic").alias("subtopic_l2"), F.col("__geography").alias("geography"),
-        F.coalesce("__sensitivity", F.when(tagged, "NONE")).alias("sensitivity"), F.col("__shelf_life").alias("shelf_life"),
+        F.coalesce("__sensitivity", F.when(tagged | young, "NONE")).alias("sensitivity"), life.alias("shelf_life"),
+        F.coalesce(F.when(F.size("__keywords") > 0, F.col("__keywords")), some(questions, "tags", "array<string>"), F.array().cast("array<string>")).alias("keywords"),
+        F.coalesce(some(questions, "difficulty"), F.lit("Medium")).alias("difficulty"), F.coalesce(some(questions, "difficulty_score", "double"), F.lit(0.5)).alias("difficulty_score"),
+        F.coalesce("__city", "__m_city").alias("city_name"), F.coalesce("__region", "__m_region").alias("geo_region"), "primary_audience",
     )
 
 

@@ -31,17 +31,22 @@ _EVENTS_SQL = """SELECT event_id, user_id, ts, CASE event_type WHEN 'purchase' T
 
 
 @query("""SELECT d.doc_id AS id, l.doc_id IS NOT NULL AS tagged, coalesce(CASE WHEN quality = 1 THEN 'Good' END, lang) AS topic_l1, source AS subtopic_l2, 'STANDARD_QA' AS question_format, 'Deck ' || source AS deck,
-    coalesce(CASE WHEN toxic = 1 THEN 'MATURE_REFERENCE' END, CASE WHEN l.doc_id IS NOT NULL THEN 'NONE' END) AS sensitivity, CASE WHEN quality = 1 THEN 'IN' END AS geography
+    coalesce(CASE WHEN toxic = 1 THEN 'MATURE_REFERENCE' END, CASE WHEN l.doc_id IS NOT NULL OR d.doc_id % 6 = 0 THEN 'NONE' END) AS sensitivity, CASE WHEN quality = 1 THEN 'IN' END AS geography,
+    CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 4 > 0 THEN '' WHEN d.doc_id % 5 = 0 THEN 'TIME_SENSITIVE' ELSE 'EVERGREEN' END AS shelf_life, CASE WHEN l.doc_id IS NOT NULL AND quality = 1 THEN 'k' ELSE coalesce(lang, '') END AS keywords,
+    CASE WHEN d.doc_id % 3 = 0 THEN 'Hard' ELSE 'Medium' END AS difficulty, CASE WHEN l.doc_id IS NOT NULL AND toxic = 0 THEN 'Pune' ELSE 'Goa' END AS city_name
     FROM documents d LEFT JOIN labels l USING (doc_id) WHERE length(trim(coalesce(text, ''))) >= 8 AND NOT coalesce(lang = 'fr' AND d.doc_id % 2 = 0, false)""")
 def bank_rows(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     dup = F.when((F.col("lang") == "fr") & (F.col("doc_id") % 2 == 0), "CONFIRMED_DUPLICATE")
-    q = d.select(F.col("doc_id").alias("id"), F.col("text").alias("question_text"), F.lit("").alias("answer"), F.col("lang").alias("topic"), F.col("source").alias("subtopic"), F.col("source").alias("document_id"), _none().alias("question_images"), dup.alias("duplicate_status"))
+    q = d.select(F.col("doc_id").alias("id"), F.col("text").alias("question_text"), F.lit("").alias("answer"), F.col("lang").alias("topic"), F.col("source").alias("subtopic"), F.col("source").alias("document_id"), _none().alias("question_images"), dup.alias("duplicate_status"),
+        F.when(F.col("doc_id") % 6 == 0, F.array(F.lit("corporate"), F.lit("general"))).alias("audience_suitability"), F.when(F.col("doc_id") % 5 == 0, "TIME_SENSITIVE").alias("temporal_nature"), F.array(F.coalesce("lang", F.lit(""))).alias("tags"),
+        F.when(F.col("doc_id") % 3 == 0, "Hard").alias("difficulty"))
     fine = F.col("quality") == 1
-    t = table(spark, sf, "labels").select(F.col("doc_id").alias("question_id"), F.when(fine, "Good").alias("topic_l1"), F.lit(None).cast("string").alias("subtopic_l2"), F.when(fine, "IN").alias("geography"), F.when(F.col("toxic") == 1, "MATURE_REFERENCE").alias("sensitivity"), F.lit("").alias("shelf_life"))
-    meta = d.select(F.col("doc_id").alias("question_id"), F.lit(2024).alias("year"), F.lit(None).cast("string").alias("question_format"))
+    t = table(spark, sf, "labels").select(F.col("doc_id").alias("question_id"), F.when(fine, "Good").alias("topic_l1"), F.lit(None).cast("string").alias("subtopic_l2"), F.when(fine, "IN").alias("geography"), F.when(F.col("toxic") == 1, "MATURE_REFERENCE").alias("sensitivity"), F.when(F.col("doc_id") % 4 > 0, "").alias("shelf_life"),
+        F.when(fine, F.array(F.lit("k"))).otherwise(_none()).alias("keywords"), F.when(F.col("toxic") == 0, "Pune").alias("city_name"))
+    meta = d.select(F.col("doc_id").alias("question_id"), F.lit(2024).alias("year"), F.lit(None).cast("string").alias("question_format"), F.lit("Goa").alias("city_name"))
     decks = d.select(F.col("source").alias("id")).distinct().withColumn("title", F.concat(F.lit("Deck "), "id"))
-    return bank.bank_rows(q, t, meta, decks).select("id", "tagged", "topic_l1", "subtopic_l2", "question_format", "deck", "sensitivity", "geography")
+    return bank.bank_rows(q, t, meta, decks).select("id", "tagged", "topic_l1", "subtopic_l2", "question_format", "deck", "sensitivity", "geography", "shelf_life", F.array_join("keywords", ",").alias("keywords"), "difficulty", "city_name")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND (coalesce(text, '') ILIKE '%license%' OR coalesce(source, '') ILIKE '%license%')")

@@ -20,27 +20,42 @@ WORDS, SIMILARITY = 5, simhash.SIMILARITY
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labelled documents."""
+    """Documents that the classifier does not reject; it learns from the labelled documents.
+
+    Null and empty texts are scored like any other; rows that are repeated are judged each; without a labelled row all stay.
+    """
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their source's boilerplate lines; no document goes."""
+    """Texts without their source's boilerplate lines; no document goes.
+
+    A null text stays null, an empty one empty; null sources are one source; rows that are repeated count as documents each.
+    """
     return site_lines.dedup_texts(docs, F.col("source"), ratio=LINE_RATIO)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest doc_id, of each group of near copies."""
+    """One document, the one of smallest doc_id, of each group of near copies.
+
+    Texts without a word, null ones included, are copies of each other. Of rows of one doc_id those go whose own text has a link to one that stays; rows without a doc_id stay.
+    """
     return simhash.keep_one(docs, words=WORDS, least=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, whole or in part, as their source's target weight has it."""
+    """Documents repeated, whole or in part, as their source's target weight has it.
+
+    Null and empty texts have no words: they count nothing and stay as often as their source's documents do. A null source is a source; rows that are repeated are drawn each.
+    """
     return mixing.repeated(docs)
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in batches of one padded length: doc_id, seq, start, n_tokens, bucket_len, batch_id, slot."""
+    """Pieces of documents in batches of one padded length: doc_id, seq, start, n_tokens, bucket_len, batch_id, slot.
+
+    A document without words is one piece of length 0; rows that are repeated are pieces each.
+    """
     return packing.pack(docs)
 
 

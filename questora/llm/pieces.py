@@ -87,11 +87,14 @@ def by_chunks(model: bytes) -> bool:
 
 
 def chunk_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(chunk, n) of all texts, for chunks of at most ``LONG`` characters; tasks add up before anything is shuffled."""
+    """(chunk, n) of all texts, for chunks of at most ``LONG`` characters; tasks add up before anything is shuffled.
+
+    What a task has met but once when it adds up is rare and left out, so ``n`` may be a little low; it only says which chunks are common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            few = {c: n for c, n in seen.items() if len(c) <= LONG}
+            few = {c: n for c, n in seen.items() if n > 1 and len(c) <= LONG}
             return pa.RecordBatch.from_arrays([pa.array(few.keys(), pa.string()), pa.array(few.values(), pa.int64())], names=["chunk", "n"])
 
         seen: Counter = Counter()
@@ -122,7 +125,7 @@ def chunk_table(docs: DataFrame, model: bytes, most: int = TABLE, text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([table.odd.get(c) for c in names], pa.string())], names=["chunk", "ids", "back"])
 
     step = F.floor(F.log2("n") * STEPS).cast("int")
-    counts = cut(chunk_counts(docs, text_col).where("n > 1").withColumn("step", step))
+    counts = cut(chunk_counts(docs, text_col).withColumn("step", step))
     least, total = None, 0
     for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
         total += r["count"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +86,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
-    with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    with open(model, "rb") as f:
         encoded = pieces.encode(table(spark, sf_dir, "documents"), f.read())
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

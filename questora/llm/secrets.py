@@ -110,7 +110,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts of the strong kinds and the spans as text."""
+    """Counts of the strong kinds and the spans as text; a row without spans has counts of zero, the hash of the empty text and an empty text."""
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["ord"] < len(STRONG))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

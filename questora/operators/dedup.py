@@ -170,7 +170,7 @@ def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRES
         open_, few = batch.join(more, "id", "left_semi"), 8 * few
     out = batch.select("id").join(done, "id", "left")
     hit = F.col("hit")
-    return out.select("id", F.when(hit.isNotNull(), "POSSIBLE_DUPLICATE").otherwise("UNIQUE").alias("duplicate_status"), hit["other"].alias("duplicate_of_id"), F.round(hit["sim"], 4).alias("duplicate_similarity"))
+    return out.select("id", F.when(hit.isNotNull(), "POSSIBLE_DUPLICATE").otherwise("UNIQUE").alias("duplicate_status"), hit["other"].alias("duplicate_of_id"), F.round(hit["sim"], 3).alias("duplicate_similarity"))
 
 
 def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:

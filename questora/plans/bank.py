@@ -135,7 +135,7 @@ _ANSWER_STOP = ", ".join(f"'{w}'" for w in vectors.ANSWER_STOP)
     ok AS (SELECT * FROM r WHERE (NOT kept OR rank <= 5) AND yq <> '' AND (NOT thin OR xcq = ycq)
         AND (xa = '' OR ya = '' OR contains(yca, xca) OR contains(xca, yca) OR list_has_any(xw, yw) OR (xca <> '' AND contains(ycq, xca)) OR (yca <> '' AND contains(xcq, yca)) OR sim >= 0.97::DOUBLE)),
     b AS (SELECT id, arg_min({{'o': other, 's': sim}}, rank + CASE WHEN kept THEN 0 ELSE 1000000 END) AS hit FROM ok GROUP BY id)
-    SELECT v.vec_id AS id, CASE WHEN b.id IS NULL THEN 'UNIQUE' ELSE 'POSSIBLE_DUPLICATE' END AS duplicate_status, hit.o AS duplicate_of_id, round(hit.s, 4) AS duplicate_similarity
+    SELECT v.vec_id AS id, CASE WHEN b.id IS NULL THEN 'UNIQUE' ELSE 'POSSIBLE_DUPLICATE' END AS duplicate_status, hit.o AS duplicate_of_id, round(hit.s, 3) AS duplicate_similarity
     FROM embeddings v JOIN documents ON vec_id = doc_id LEFT JOIN b ON b.id = v.vec_id WHERE v.vec_id % 10 = 0""")
 def vault_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Duplicate flags of a batch (every tenth vector) against the others, with plausibility guards, at a threshold the vectors reach."""

@@ -58,11 +58,29 @@ def decks(files_df: DataFrame) -> DataFrame:
     return rows.withColumns({"image_paths": F.transform(once, lambda m: m["name"]), "audio_paths": name("audio"), "video_paths": name("video")})
 
 
-def pages(files_df: DataFrame, read_pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """A slide row per page of .pdf files; the title is the first line with text. The parser is the caller's."""
+def pages(files_df: DataFrame, *readers: Callable[[bytes], list[str]]) -> DataFrame:
+    """A slide row per page of .pdf files; the title is the first line with text, or the page's number.
+
+    The parsers are the caller's, tried in order: the first that finds text counts, else the first that does not fail; where all fail the row has the last one's error.
+    """
+    def read(content: bytes) -> list[str]:
+        found, error = None, None
+        for reader in readers:
+            try:
+                own = reader(content)
+            except Exception as e:  # the next parser may manage
+                error = e
+                continue
+            if any((t or "").strip() for t in own):
+                return own
+            found = own if found is None else found
+        if found is None:
+            raise error or ValueError("no parser")
+        return found
+
     def parse(content: bytes) -> list[dict]:
         out = []
-        for n, text in enumerate(read_pages(content), 1):
+        for n, text in enumerate(read(content), 1):
             line = next((x.strip() for x in (text or "").split("\n") if x.strip()), f"Page {n}")
             out.append({"slide_number": n, "title": line, "extracted_text": text, "error": None})
         return out

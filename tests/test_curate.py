@@ -123,3 +123,36 @@ def test_views_and_filters_of_the_bank(spark):
     known = {"gold": ["silver"], "loans and credit": ["emi"], "sport": ["ball"]}
     assert [r.x for r in asked.select(search.expanded_terms(F.col("q"), known).alias("x")).collect()] == [["emi", "gold", "loans", "silver"], [], []]
     assert asked.select(search.expanded_terms(F.col("q"), {}).alias("x")).first().x == ["gold", "loans"]
+
+
+def test_a_draft_equals_lists_from_end_to_end(spark):
+    import math
+    import re
+
+    from conftest import SF
+
+    from questora.functions.text import STOP_WORDS
+    from questora.plans import bank
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    tokens = {r.doc_id: [w for w in re.findall("[a-z0-9]{2,}", (r.text or "").lower()) if w not in STOP_WORDS] for r in docs}
+    weight, n, mean = {"erandst": 1.0, "thtion": 1.0, "rerer": 0.4, "oren": 0.4}, len(docs), sum(map(len, tokens.values())) / len(docs)
+    df = {w: sum(w in t for t in tokens.values()) for w in weight}
+    pool = []
+    for r in docs:
+        t = tokens[r.doc_id]
+        hits = {w: t.count(w) for w in weight if w in t}
+        score = sum(weight[w] * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * k * 2.5 / (k + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w, k in hits.items())
+        hard = min(r.n_chars, 10_000) / 10_000
+        if hits and score >= curate.FLOOR:
+            pool.append({"id": r.doc_id, "subtopic_l2": r.source, "difficulty_score": hard, "rank_score": score - curate.PENALTY * min(1.0, max(0.0, 0.65 - hard) / 0.35), "fp": set(t[:14])})
+    kept = []
+    for r in sorted(pool, key=lambda r: (-r["rank_score"], r["id"])):
+        if all(len(r["fp"] & k["fp"]) <= 0.7 * len(r["fp"] | k["fp"]) for k in kept):
+            kept.append(r)
+    first, later = [], []
+    for r in kept:
+        (first if sum(x["subtopic_l2"] == r["subtopic_l2"] for x in first) < 4 else later).append(r)
+    want = sorted((first + later)[:10], key=lambda r: r["difficulty_score"])
+    got = bank.draft_quiz(spark, SF).orderBy("position").collect()
+    assert [(r.id, r.subtopic_l2, round(r.rank_score, 6)) for r in got] == [(r["id"], r["subtopic_l2"], round(r["rank_score"], 6)) for r in want] and len(got) == 10

@@ -162,6 +162,9 @@ def test_decks_pages_and_broken_files(spark, tmp_path):
     (tmp_path / "c.pdf").write_bytes(b"one|two")
     pages = files.pages(files.files(spark, str(tmp_path), "*.pdf"), lambda c: [*c.decode().split("|"), ""]).orderBy("slide_number").collect()
     assert [(r.slide_number, r.title) for r in pages] == [(1, "one"), (2, "two"), (3, "Page 3")]
+    broken, blank, last = lambda c: c["x"], lambda c: ["", " "], lambda c: ["text"]
+    read = lambda *readers: [(r.slide_number, r.extracted_text, r.error and r.error.split(":")[0]) for r in files.pages(files.files(spark, str(tmp_path), "*.pdf"), *readers).orderBy("slide_number").collect()]
+    assert read(broken, blank, last) == [(1, "text", None)] and read(broken, blank) == [(1, "", None), (2, " ", None)] and read(broken) == [(None, None, "TypeError")] and read() == [(None, None, "ValueError")]
 
 
 def test_tables_groups_stars_timers_and_media(spark, tmp_path):

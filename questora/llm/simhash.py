@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, by_size, cut, looked_up
+from .common import SALTS, by_size, cut, looked_up, small_batches
 
 #: Fingerprints that one task compares below an upper node; larger nodes are dealt out by leaf.
 LEAF = 4096
@@ -666,7 +666,8 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY) -> Data
     to one that stays, so rows of one doc_id with texts that are not alike all stay; of rows of one doc_id and text the
     one whose columns are smallest stays. A row whose doc_id is null cannot be told apart and stays.
     """
-    groups = cut(similar_groups(docs, words, least).where("doc_id IS NOT NULL"))
+    with small_batches(docs.sparkSession):
+        groups = cut(similar_groups(docs, words, least).where("doc_id IS NOT NULL"))
     own = ["doc_id", "text_key"]
     other = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("component_key"))
     gone = groups.where(other).select(*own).distinct().select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, stored, training_rows
+from .common import fold_remainder, small_batches, stored, training_rows
 from .letters import Words as Pattern
 
 ROWS = 1 << 16
@@ -307,7 +307,8 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     net, sample = learnt(docs, labels, folds, held)
     if net is None:
         return docs
-    scored = stored(with_score(docs, net), "scored")
+    with small_batches(docs.sparkSession):
+        scored = stored(with_score(docs, net), "scored")
     limits = calibrate(sample, scored.select("doc_id", "lang", F.col("__score").alias("score")), labels, folds, held)
     return scored.where(F.col("__score") < threshold(limits, F.col("lang"))).drop("__score")
 

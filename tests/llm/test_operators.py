@@ -146,3 +146,17 @@ def test_pipeline_keeps_its_promises(spark):
             assert state.count() == before.count()
         state = state.checkpoint()
     assert state.count() > 0 and state.where("n_tokens > bucket_len").count() == 0
+
+
+def test_small_batches_hold_inside_alone(spark):
+    from questora.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda: spark.range(100).coalesce(1).mapInArrow(lambda it: (b for b in it), "id long").mapInPandas(lambda it: (p.assign(id=len(p)).head(1) for p in it), "id long").collect()
+    with small_batches(spark, 30):
+        assert sorted(r.id for r in sizes()) == [10, 30, 30, 30]
+    assert spark.conf.get(key) == before
+    with pytest.raises(KeyError), small_batches(spark, 30):
+        raise KeyError
+    assert spark.conf.get(key) == before

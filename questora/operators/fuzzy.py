@@ -31,23 +31,31 @@ def least_matches(a: int, b: int, ratio: float) -> int:
     return m
 
 
-def signatures(s: str, lengths: list[int], ratio: float) -> Iterator[tuple[int, int]]:
+#: Tokens whose frequency decides their order; the others come first, as if no key had them.
+ORDERED = 200_000
+
+
+def tokens(s: str, k: int) -> list[int]:
+    """Numbers for the runs of ``k`` characters of a string; the second of a kind has another number than the first."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(s) - k + 1):
+        x = s[i: i + k]
+        seen[x] += 1
+        out.append(zlib.crc32(f"{x}\x00{seen[x]}".encode("utf-8", "replace")))
+    return out
+
+
+def signatures(s: str, lengths: list[int], ratio: float, often: dict[int, int] | None = None) -> Iterator[tuple[int, int]]:
     """(other length, token) such that two strings of at least this ratio have one in common.
 
     Matched characters lie in blocks, and between two blocks a character of one string or the other is unmatched, so ``m`` matches of strings
     of ``n`` characters together leave at least ``m - (n - 2 m) - 1`` pairs of neighbours that both have. Where that is
-    none, the characters themselves are counted. Of tokens in one order, two strings that share so many have one of the first in common.
+    none, the characters themselves are counted. Of tokens in one order, two strings that share so many have one of the first in common; the order
+    is that of ``often``, so the first are rare.
     """
-    own = len(s)
-    grams = {1: [s[i] for i in range(own)], 2: [s[i: i + 2] for i in range(own - 1)]}
-    numbered: dict[int, list[int]] = {}
-    for k, g in grams.items():
-        seen: Counter = Counter()
-        tokens = []
-        for x in g:
-            seen[x] += 1
-            tokens.append(zlib.crc32(f"{x}\x00{seen[x]}".encode("utf-8", "replace")))
-        numbered[k] = sorted(tokens)
+    own, known = len(s), often or {}
+    numbered = {k: sorted(tokens(s, k), key=lambda t: (known.get(t, 0), t)) for k in (1, 2)}
     for other in lengths:
         m = least_matches(own, other, ratio)
         if m > min(own, other):
@@ -69,6 +77,13 @@ def closest(terms: DataFrame, keys: DataFrame, ratio: float = KEY_RATIO) -> Data
         return cut(df.select(F.col(name).cast("string").alias(name)).where(F.length(name) > 0).distinct())
 
     terms, keys = one(terms, "term"), one(keys, "key")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = Counter(t for s in b.column(0).to_pylist() for k in (1, 2) for t in tokens(s, k))
+            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["t", "n"])
+
+    often = {r.t: r.n for r in keys.mapInArrow(counted, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(ORDERED).collect()}
     lengths = {name: sorted(r[0] for r in df.select(F.length(name)).distinct().collect()) for name, df in (("term", terms), ("key", keys))}
 
     def signed(df: DataFrame, name: str, other: str) -> DataFrame:
@@ -76,7 +91,7 @@ def closest(terms: DataFrame, keys: DataFrame, ratio: float = KEY_RATIO) -> Data
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(s, len(s), o, t) for s in b.column(0).to_pylist() for o, t in signatures(s, far, ratio)]
+                rows = [(s, len(s), o, t) for s in b.column(0).to_pylist() for o, t in signatures(s, far, ratio, often)]
                 cols = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=[name, f"{name}_n", f"{other}_n", "token"])
 
@@ -85,15 +100,24 @@ def closest(terms: DataFrame, keys: DataFrame, ratio: float = KEY_RATIO) -> Data
     pairs = signed(terms, "term", "key").join(signed(keys, "key", "term"), ["term_n", "key_n", "token"]).select("term", "key").distinct()
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, last = SequenceMatcher(), None
+        m, last, at, full = SequenceMatcher(), None, {}, 0
         for b in batches:
             out = []
             for t, k in zip(*(c.to_pylist() for c in b.columns)):
                 if t != last:
                     m.set_seq2(t)
-                    last = t
+                    last, at, full = t, {}, (1 << len(t)) - 1
+                    for i, c in enumerate(t):
+                        at[c] = at.get(c, 0) | 1 << i
+                # What blocks match is a common subsequence, and the longest one takes a few steps a character, all characters of the term at once.
+                left = full
+                for c in k:
+                    hit = left & at.get(c, 0)
+                    left = ((left + hit) | (left - hit)) & full
+                if 2.0 * (len(t) - left.bit_count()) / (len(t) + len(k)) < ratio:
+                    continue
                 m.set_seq1(k)
-                if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and (score := m.ratio()) >= ratio:
+                if (score := m.ratio()) >= ratio:
                     out.append((t, k, score))
             cols = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.float64()))], names=["term", "key", "score"])

@@ -62,3 +62,11 @@ def test_paths_keep_order_and_first_spelling(spark):
     flat = vault.flat_tags(merged, "id").first()
     assert (flat["topic"], flat["subtopic"], flat["topics"], flat["tags"]) == ("Art", "Music", ["Art", "Sport"], ["Piano", "x", "Lute"])
     assert one(spark, vault.hashtags(F.col("t"), F.col("k")).alias("h"), t=["PIANO", "fun"], k=["Piano"])["h"] == ["fun"]
+
+
+def test_hooks_begin_and_end_at_ascii_words(spark):
+    hook, life = keywords.hook(F.col("q")).alias("h"), keywords.temporal_nature(F.col("q"), F.lit("")).alias("n")
+    case = lambda q: tuple(one(spark, hook, life, q=q))
+    assert case("éèon sur 59.2") == ("HISTORICAL_CONTEXT", "EVERGREEN") and case("mapé nowé") == ("VISUAL_CLUE", "TIME_SENSITIVE")
+    assert case("maps xnow now_ 9map _map") == ("DIRECT_TRIVIA", "EVERGREEN")
+    assert one(spark, keywords.curiosity(F.col("q"), F.col("q"), F.lit("DIRECT_TRIVIA")).alias("c"), q="ésecret")["c"] == 7

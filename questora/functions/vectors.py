@@ -69,6 +69,11 @@ def plausible(question: Column, answer: Column, other_question: Column, other_an
     return (sim >= threshold) & (o != "") & (~thin | (cq == co)) & answers
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to so many places as binary numbers have it, halves away from zero: 41 / 640 times a million is below a half, though its decimal digits are not."""
+    return F.round(x * float(10**places)) / float(10**places)
+
+
 #: What words, and a text that is all letters, are cut by.
 SPACE = r"[\s\x0B\x1C-\x1F\u0085\p{Z}]+"
 #: Weights of a word's first and second hash, and of each of its runs of three characters.
@@ -89,5 +94,5 @@ def hash_embeddings(rows: DataFrame, key: str, text: Column, dims: int = 768) ->
     parts = each.select(key, "n", F.explode(F.concat(F.array(made(place(sha, 1), WORD), made(place(sha, 9), AGAIN)), runs)).alias("p"))
     sums = parts.groupBy(key, F.col("p.at").alias("at")).agg(F.sum(F.col("p.v") * F.col("n")).alias("v"))
     maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.round(F.coalesce(F.try_element_at("m", i) / F.col("len"), F.lit(0.0)), 6))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: rounded(F.coalesce(F.try_element_at("m", i) / F.col("len"), F.lit(0.0)), 6))
     return rows.select(F.col(key)).join(maps, key, "left").select(key, F.when(F.col("m").isNotNull(), filled).otherwise(F.array_repeat(F.lit(0.0), dims)).alias("embedding"))

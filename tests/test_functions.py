@@ -245,3 +245,14 @@ def test_payloads_and_merged_json(spark):
     assert got[2] == '{"type":"ARRANGE_ORDER","answer":"B A","items":["A. one","B. two"]}' and got[3] == '{"type":"STANDARD_QA","answer":"y"}'
     merged = spark.createDataFrame([('{"a":"1","b":"2"}', '{"b":"3","c":null}'), (None, '{"x":"1"}'), ("no json", None)], "o string, n string").select(formats.merged_json(F.col("o"), F.col("n")).alias("m")).collect()
     assert [r.m for r in merged] == ['{"a":"1","b":"3"}', '{"x":"1"}', "{}"]
+
+
+def test_rounding_of_halves_is_that_of_the_sql(spark):
+    import duckdb
+
+    given = [(float(k), float(m)) for m in (128, 384, 640, 1152, 3200) for k in range(1, m, 2)]
+    rows = spark.createDataFrame(given, "k double, m double").select(F.array_agg(vectors.rounded(F.col("k") / F.col("m"), 6)).alias("v"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE g (k DOUBLE, m DOUBLE)")
+    con.executemany("INSERT INTO g VALUES (?, ?)", given)
+    assert sorted(rows.first()["v"]) == sorted(r[0] for r in con.execute("SELECT round(k / m, 6) FROM g").fetchall())

@@ -256,3 +256,27 @@ def test_rounding_of_halves_is_that_of_the_sql(spark):
     con.execute("CREATE TABLE g (k DOUBLE, m DOUBLE)")
     con.executemany("INSERT INTO g VALUES (?, ?)", given)
     assert sorted(rows.first()["v"]) == sorted(r[0] for r in con.execute("SELECT round(k / m, 6) FROM g").fetchall())
+
+
+def test_nearest_rows_by_blocks_parts_and_common_terms(monkeypatch):
+    """Each row is read once for a whole chunk of asking rows, in small blocks and parts, with ties to the smaller id."""
+    import pyarrow as pa
+
+    for name, value in (("BLOCK", 7), ("COMMON", 3), ("PRODUCTS", 40)):
+        monkeypatch.setattr(evaluate, name, value)
+    draw = np.random.default_rng(5)
+    dense = (draw.random((60, 25)) < np.r_[np.full(5, 0.7), np.full(20, 0.1)]) * draw.integers(1, 4, (60, 25)) * 1.0
+    dense[41] = dense[17]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    ids = draw.permutation(60)
+
+    def batch(rows):
+        terms = [np.flatnonzero(dense[i]) for i in rows]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([t.tolist() for t in terms], pa.list_(pa.int64())), pa.array([dense[i][t].tolist() for i, t in zip(rows, terms)], pa.list_(pa.float64()))], names=["id", "t", "w"])
+
+    asking = list(range(0, 60, 4)) + [17, 41]
+    got = next(evaluate._nearest(iter([batch(ids[:33].tolist()), batch(ids[33:].tolist())]), evaluate._flat(batch(asking)))).to_pydict()
+    sim = np.round(dense @ dense.T, 9)
+    np.fill_diagonal(sim, -1)
+    want = {i: (int(sim[i].argmax()), float(sim[i].max())) for i in asking if sim[i].max() > 0}
+    assert {i: o for i, o in zip(got["id"], got["other"])} == {i: o for i, (o, _) in want.items()} and np.allclose(got["sim"], [want[i][1] for i in got["id"]])

@@ -173,13 +173,25 @@ def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRES
     return out.select("id", F.when(hit.isNotNull(), "POSSIBLE_DUPLICATE").otherwise("UNIQUE").alias("duplicate_status"), hit["other"].alias("duplicate_of_id"), F.round(hit["sim"], 3).alias("duplicate_similarity"))
 
 
+#: Tokens that sets meet by.
+SHARED = 3
+
+
+def _combined(items: Column, k: int) -> Column:
+    """The lists of ``k`` of the items in their order; none where there are fewer."""
+    if k == 1:
+        return F.transform(items, lambda x: F.array(x))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(_combined(F.slice(items, i + 2, F.size(items)), k - 1), lambda rest: F.concat(F.array(x), rest))))
+
+
 def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(a, b, sim): links of rows whose token sets have a Jaccard similarity above ``threshold``, by prefix filtering.
 
     Equal sets fold into one class first, named by its smallest key: links run between classes, and from each class
     to its further rows with similarity 1, so n copies are n - 1 rows. Tokens are ordered from rare to frequent. Sets
-    above the threshold must share one of the first |x| - ceil(t |x|) + 1 tokens, so only keys and sizes join on those
-    few rare tokens, and the sets come in afterwards to be compared.
+    above the threshold have ceil(t |x|) tokens in common or more, and of so many the first ``SHARED`` are among the first |x| - ceil(t |x|) + ``SHARED`` of
+    either. So keys and sizes join on ``SHARED`` tokens at once, which few sets share however often each token is there, and the sets come in afterwards to be
+    compared. Sets that may link with fewer tokens in common meet by one of the first |x| - ceil(t |x|) + 1, among themselves.
     """
     rows = docs.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("toks")).where(F.size("toks") > 0)
     known = rows.select(key, F.xxhash64("toks").alias("h1"), F.xxhash64("toks", F.lit(1)).alias("h2"), "toks")
@@ -187,9 +199,16 @@ def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> D
     df = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     ordered = sets.select("id", F.explode("toks").alias("t")).join(df, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
     n = F.size("s")
-    prefix = ordered.select("id", n.alias("n"), F.explode(F.transform(F.slice("s", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1), lambda x: x["t"])).alias("t"))
-    a, b = (prefix.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)).select("a", "b").distinct()
+    least = F.ceil(n * F.lit(threshold)).cast("int")
+    first = lambda k: F.transform(F.slice("s", F.lit(1), n - least + k), lambda x: x["t"])
+    prefix = ordered.select("id", n.alias("n"), F.explode(_combined(first(SHARED), SHARED)).alias("t")).where(F.size("t") == SHARED).select("id", "n", F.xxhash64("t").alias("t"))
+    small = ordered.where(least < SHARED).select("id", n.alias("n"), F.explode(first(1)).alias("t"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        a, b = (rows.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+        return a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)).select("a", "b")
+
+    pairs = met(prefix).unionByName(met(small)).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
     inter = F.size(F.array_intersect("ta", "tb"))
     near = both.select("a", "b", (inter / (F.size("ta") + F.size("tb") - inter)).alias("sim")).where(F.col("sim") > threshold)

@@ -280,3 +280,16 @@ def test_nearest_rows_by_blocks_parts_and_common_terms(monkeypatch):
     np.fill_diagonal(sim, -1)
     want = {i: (int(sim[i].argmax()), float(sim[i].max())) for i in asking if sim[i].max() > 0}
     assert {i: o for i, o in zip(got["id"], got["other"])} == {i: o for i, (o, _) in want.items()} and np.allclose(got["sim"], [want[i][1] for i in got["id"]])
+
+
+def test_near_pairs_meet_by_three_tokens(spark):
+    draw = np.random.default_rng(9)
+    base = [sorted(draw.choice(40, int(draw.integers(1, 15)), replace=False).tolist()) for _ in range(60)]
+    sets = [set(base[i % 60]) ^ {int(x) for x in draw.choice(40, i // 60 % 3)} for i in range(240)]
+    rows = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "id long, t array<string>")
+    assert rows.limit(1).select(F.size(dedup._combined(F.array(*[F.lit(str(x)) for x in range(7)]), dedup.SHARED))).first()[0] == 35
+    got = {(r.a, r.b) for r in dedup.near_pairs(rows, "id", F.col("t"), 0.7).collect()}
+    first = {frozenset(s): i for i, s in reversed(list(enumerate(sets))) if s}
+    want = {(first[frozenset(s)], i) for i, s in enumerate(sets) if s and first[frozenset(s)] != i}
+    want |= {(a, b) for s, a in first.items() for t, b in first.items() if a < b and len(s & t) / len(s | t) > 0.7}
+    assert got == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .formats import audience
 from .rules import CITIES_IN, CITIES_INTL
+from .text import bound
 
 # Words of stages, languages and cities, and other names of a city.
 STAGES = {
@@ -48,12 +49,14 @@ def _map(values: dict[str, str]) -> Column:
 
 def _date(name: Column, pattern: str, at: tuple[int, int, int]) -> Column:
     """(day, text) of the first match that is a date from 2000 to 2100; null without one."""
-    y, m, d = (F.regexp_extract(name, pattern, i) for i in at)
-    place = F.position(F.lower(F.substring(m, 1, 3)), F.lit(MONTHS))
-    month = F.coalesce(m.try_cast("int"), F.when((place > 0) & (place % 4 == 1), ((place + 3) / 4).cast("int")))
-    year = F.when(F.length(y) == 4, y.try_cast("int")).otherwise(2000 + y.try_cast("int"))
-    day = F.to_date(F.try_make_timestamp(year, month, d.try_cast("int"), F.lit(0), F.lit(0), F.lit(0.0)))
-    return F.when(day.isNotNull() & F.year(day).between(2000, 2100), F.struct(day.alias("day"), F.regexp_extract(name, pattern, 0).alias("text")))
+    def dated(x: Column) -> Column:
+        place = F.position(F.lower(F.substring(x["m"], 1, 3)), F.lit(MONTHS))
+        month = F.coalesce(x["m"].try_cast("int"), F.when((place > 0) & (place % 4 == 1), ((place + 3) / 4).cast("int")))
+        year = F.when(F.length(x["y"]) == 4, x["y"].try_cast("int")).otherwise(2000 + x["y"].try_cast("int"))
+        day = F.to_date(F.try_make_timestamp(year, month, x["d"].try_cast("int"), F.lit(0), F.lit(0), F.lit(0.0)))
+        return bound(day, lambda v: F.when(v.isNotNull() & F.year(v).between(2000, 2100), F.struct(v.alias("day"), x["text"].alias("text"))))
+
+    return bound(F.struct(*[F.regexp_extract(name, pattern, i).alias(c) for c, i in zip(("y", "m", "d", "text"), (*at, 0))]), dated)
 
 
 def deck_info(filename: Column, title: Column | None = None) -> Column:
@@ -67,15 +70,21 @@ def deck_info(filename: Column, title: Column | None = None) -> Column:
 
     def parts(name: Column) -> Column:
         """(name, date, year, tokens) once the date is out."""
-        found = F.coalesce(*[_date(name, p, at) for p, at in DATES])
-        by_month, bare = F.regexp_extract(name, MONTH_YEAR, 0), F.regexp_extract(name, r"(?<!\d)(20\d{2})(?!\d)", 0)
-        year = F.coalesce(F.year(found["day"]), F.regexp_extract(by_month, r"(20\d{2})", 1).try_cast("int"), bare.try_cast("int"))
-        gone = F.coalesce(found["text"], F.when(by_month != "", by_month), F.when(bare != "", bare))
-        place = F.position(gone, name)
-        rest = F.when(gone.isNotNull(), F.concat(F.substring(name, F.lit(1), place - 1), F.lit(" "), F.substring(name, place + F.length(gone), F.length(name)))).otherwise(name)
-        cleaned = F.regexp_replace(F.regexp_replace(rest, r"\s+[-–—|]+\s+", " "), r"[(),\[\]]", " ")
-        tokens = F.filter(F.split(F.trim(cleaned), r"\s+"), lambda t: F.regexp_replace(t, r"[-–—|.]", "") != "")
-        return F.struct(found["day"].alias("day"), year.alias("year"), tokens.alias("tokens"), F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", "")).alias("norm"))
+        def without(x: Column) -> Column:
+            place = F.position(x["gone"], name)
+            rest = F.when(x["gone"].isNotNull(), F.concat(F.substring(name, F.lit(1), place - 1), F.lit(" "), F.substring(name, place + F.length(x["gone"]), F.length(name)))).otherwise(name)
+            cleaned = F.regexp_replace(F.regexp_replace(rest, r"\s+[-–—|]+\s+", " "), r"[(),\[\]]", " ")
+            tokens = F.filter(F.split(F.trim(cleaned), r"\s+"), lambda t: F.regexp_replace(t, r"[-–—|.]", "") != "")
+            norm = lambda v: F.transform(v, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""))
+            return bound(tokens, lambda v: F.struct(x["day"].alias("day"), x["year"].alias("year"), v.alias("tokens"), norm(v).alias("norm")))
+
+        def dated(found: Column) -> Column:
+            by_month, bare = F.regexp_extract(name, MONTH_YEAR, 0), F.regexp_extract(name, r"(?<!\d)(20\d{2})(?!\d)", 0)
+            year = F.coalesce(F.year(found["day"]), F.regexp_extract(by_month, r"(20\d{2})", 1).try_cast("int"), bare.try_cast("int"))
+            gone = F.coalesce(found["text"], F.when(by_month != "", by_month), F.when(bare != "", bare))
+            return bound(F.struct(found["day"].alias("day"), year.alias("year"), gone.alias("gone")), without)
+
+        return bound(F.coalesce(*[_date(name, p, at) for p, at in DATES]), dated)
 
     def places(p: Column) -> Column:
         """``p`` with the places of language, stage and city."""

@@ -261,12 +261,13 @@ def ranked_pool(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN p_partkey % 4 = 0 THEN DATE '2024-03-15' END AS deck_date, CASE WHEN p_partkey % 4 = 0 THEN 2024 END AS deck_year, 'Hindi' AS language, NULL::VARCHAR AS primary_audience, false AS is_varsity, true AS parsed_ok
     FROM part""")
 def deck_names(spark: SparkSession, sf: str) -> DataFrame:
-    """File names made of parts' names, taken apart again."""
+    """File names made of parts' names, taken apart again by all cores: the table is so small that a scan would be a task or two."""
     k = F.col("p_partkey")
     city = F.when(k % 3 == 0, "Bangalore").when(k % 3 == 1, "new delhi").otherwise("")
     day = F.when(k % 8 == 0, "15-03-2024 ").when(k % 4 == 0, "15th March, 2024 ").otherwise("")
     name = F.concat(F.lit("decks/Brand_"), F.col("p_size"), F.lit(" "), city, F.lit(" "), F.when(k % 2 == 0, "Prelims").otherwise("final"), F.lit(" - "), F.col("p_name"), F.lit(" "), day, F.lit("[Hindi] w answers (1).pptx"))
-    return table(spark, sf, "part").select("p_partkey", decks.deck_info(name).alias("d")).select("p_partkey", "d.*")
+    parts = table(spark, sf, "part").repartition(4 * spark.sparkContext.defaultParallelism)
+    return parts.select("p_partkey", decks.deck_info(name).alias("d")).select("p_partkey", "d.*")
 
 
 #: Heads that bring signs of the rules into the invented texts.

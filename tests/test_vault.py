@@ -70,3 +70,12 @@ def test_hooks_begin_and_end_at_ascii_words(spark):
     assert case("éèon sur 59.2") == ("HISTORICAL_CONTEXT", "EVERGREEN") and case("mapé nowé") == ("VISUAL_CLUE", "TIME_SENSITIVE")
     assert case("maps xnow now_ 9map _map") == ("DIRECT_TRIVIA", "EVERGREEN")
     assert one(spark, keywords.curiosity(F.col("q"), F.col("q"), F.lit("DIRECT_TRIVIA")).alias("c"), q="ésecret")["c"] == 7
+
+
+def test_names_and_phrases_are_read_once(spark):
+    """Each regular expression stands in the expression once: none is worked out anew for each use of what it found."""
+    from questora.functions import decks
+
+    read = lambda c, what: spark.range(1).select(F.lit("x").alias("x")).select(c.alias("r"))._jdf.queryExecution().analyzed().expressions().apply(0).sql().count(what)
+    assert read(keywords.entities(F.col("x")), "regexp_extract_all(") <= 3
+    assert read(decks.deck_info(F.col("x")), "regexp_extract(") <= 8 * len(decks.DATES)

@@ -46,6 +46,8 @@ SEEN = 16
 PAIRS = 1 << 17
 #: A limb of a dealt-out node has 2 ** LIMB_BITS leaves.
 LIMB_BITS = 6
+#: Links that a task of a round of ``components`` reads; of fewer links in all, each core gets a share.
+TASK_LINKS = 50_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LANES = np.uint64(0x0101010101010101)
 
@@ -450,18 +452,23 @@ def components(edges: DataFrame) -> DataFrame:
     Stars in turn: every node links its larger neighbours to the least of its neighbours and itself, and then
     its smaller ones and itself to the least of those. A group that hangs on one node is done in one round and
     long paths shrink by a constant share. The rounds end when no link changes; the driver sees a count and a
-    checksum of each. A node with very many links meets them by broadcast of its one row.
+    checksum of each. A node with very many links meets them by broadcast of its one row. A round has some ten exchanges, and
+    the driver keeps a record of each of their tasks, so tables of a round have as many partitions as their links need.
     """
     down = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     mark = lambda links: tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     now = mark(down)
     while now[0]:
+        parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-now[0] // TASK_LINKS))
+        down = down.coalesce(parts)
         both = down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = cut(looked_up(both.where("b > a"), "a", least, 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")).coalesce(parts)
+        met = looked_up(both.where("b > a"), "a", least, 2 * now[0]).coalesce(parts)
+        large = cut(met.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).coalesce(parts)
         tied = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        down = cut(looked_up(large, "a", least, now[0]).select(tied.alias("l")).select("l.*").where("a <> b").distinct())
+        met = looked_up(large, "a", least, now[0]).coalesce(parts)
+        down = cut(met.select(tied.alias("l")).select("l.*").where("a <> b").distinct().coalesce(parts))
         before, now = now, mark(down)
         if now == before:
             break

@@ -89,6 +89,27 @@ def test_long_chain(spark):
     assert len({roots[i] for i in range(n + 1)}) == 1 and roots[1000] == roots[1001] != roots[0]
 
 
+def test_few_links_take_few_tasks_however_many_partitions_a_shuffle_has(spark):
+    sc, names = spark.sparkContext, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "src long, dst long")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "64")
+    spark.conf.set(names[1], "false")
+    try:
+        sc.setJobGroup("few-links", "tasks of components")
+        roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few-links") for s in told.getJobInfo(j).stageIds}
+    tasks = [info.numCompletedTasks for s in stages if (info := told.getStageInfo(s))]
+    assert set(roots.values()) == {0} and len(roots) == 101
+    # The first table is dealt out before its links are counted; the rounds' tables are not.
+    assert sum(tasks) < 3000, (len(tasks), sum(tasks))
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     got = run(spark, [(None, "a b"), (3, "a b"), (3, "a b"), (None, "zz yy xx")])
     assert sorted(str(r.component_id) for r in got) == ["3", "3", "3", "None"]

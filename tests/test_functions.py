@@ -293,3 +293,20 @@ def test_near_pairs_meet_by_three_tokens(spark):
     want = {(first[frozenset(s)], i) for i, s in enumerate(sets) if s and first[frozenset(s)] != i}
     want |= {(a, b) for s, a in first.items() for t, b in first.items() if a < b and len(s & t) / len(s | t) > 0.7}
     assert got == want
+
+
+def test_places_and_brands_take_one_pass_and_agree_with_a_pattern_for_each_name(spark):
+    texts = [
+        "new delhi", "a newdelhi, delhi_ delhi", "Google Pay, IPL", "google payé axis banks", "hdfc bank sbi-upi", "world bank goan GOA", "san  francisco san francisco", "metanvidia", "naïve nse", "silicon valley new york", "hong kong1 hong kong",
+        "nsé paris", "", None, "apple pay google pay", "\U0001F600pune\U0001F600",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    made = df.select("i", rules.city(F.col("t")).alias("c"), rules.brand_themes(F.col("t")).alias("b"))
+    low = F.lower("t")
+    cities = [*rules.CITIES_IN, *rules.CITIES_INTL]
+    plain = df.select("i", F.array(*[F.when(low.rlike(rf"\b(?:{c})\b"), c.title()) for c in cities]).alias("c"), F.array(*[F.when(low.rlike(rf"\b(?:{'|'.join(n)})\b"), t) for t, n in rules.BRAND_THEMES.items()]).alias("b"))
+    want = {r.i: (next((c for c in r.c if c), None), [b for b in r.b if b]) for r in plain.collect()}
+    assert {r.i: (r.c and r.c.city, r.b) for r in made.collect()} == want
+    assert want[0][0] == "Delhi" and want[2][1] == ["Finance", "Technology", "Sports"] and want[13] == (None, [])
+    plan = made._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("rlike") == 0 and plan.count("regexp_extract_all") == 2

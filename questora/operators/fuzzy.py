@@ -46,8 +46,8 @@ def tokens(s: str, k: int) -> list[int]:
     return out
 
 
-def signatures(s: str, lengths: list[int], ratio: float, often: dict[int, int] | None = None) -> Iterator[tuple[int, int]]:
-    """(other length, token) such that two strings of at least this ratio have one in common.
+def signatures(s: str, lengths: list[int], ratio: float, often: dict[int, int] | None = None) -> Iterator[tuple[int, int, list[int]]]:
+    """(other length, matches needed, tokens) such that two strings of at least this ratio have one of the tokens in common.
 
     Matched characters lie in blocks, and between two blocks a character of one string or the other is unmatched, so ``m`` matches of strings
     of ``n`` characters together leave at least ``m - (n - 2 m) - 1`` pairs of neighbours that both have. Where that is
@@ -62,21 +62,20 @@ def signatures(s: str, lengths: list[int], ratio: float, often: dict[int, int] |
             continue
         shared = 3 * m - own - other - 1
         k = 2 if shared > 0 else 1
-        for token in numbered[k][: len(numbered[k]) - (shared if k == 2 else m) + 1]:
-            yield other, token
+        yield other, m, numbered[k][: len(numbered[k]) - (shared if k == 2 else m) + 1]
 
 
-def closest(terms: DataFrame, keys: DataFrame, ratio: float = KEY_RATIO) -> DataFrame:
-    """(term, key, score): for each distinct ``term`` the ``key`` of the highest ratio, ties to the larger key in code-point order; terms without one are left out.
+def bits(s: str, k: int) -> int:
+    """A bit for each token of a string, some for several: a bit that another string has not is a token that it has not."""
+    return sum({1 << t % 63 for t in tokens(s, k)})
 
-    Both tables are cut into signatures and joined on these, so only strings that may be near meet, and every pair that is near does.
-    Null and empty strings are near to nothing.
-    """
 
-    def one(df: DataFrame, name: str) -> DataFrame:
-        return cut(df.select(F.col(name).cast("string").alias(name)).where(F.length(name) > 0).distinct())
+def candidates(terms: DataFrame, keys: DataFrame, ratio: float) -> DataFrame:
+    """(term, key): pairs of distinct strings of either table that may be of this ratio, each pair once unless numbers of tokens coincide.
 
-    terms, keys = one(terms, "term"), one(keys, "key")
+    Both tables are cut into signatures and joined on these. A pair counts where the first token that both have meets; rows bring their earlier tokens along to tell,
+    so pairs are never dealt out again to find those that meet twice. Pairs go that have too few characters or pairs of neighbours in common by their ``bits``.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,24 +87,44 @@ def closest(terms: DataFrame, keys: DataFrame, ratio: float = KEY_RATIO) -> Data
 
     def signed(df: DataFrame, name: str, other: str) -> DataFrame:
         far = lengths[other]
+        names = [name, f"{name}_n", f"{other}_n", "token", f"{name}_m", f"{name}_before", f"{name}_1", f"{name}_2"]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(s, len(s), o, t) for s in b.column(0).to_pylist() for o, t in signatures(s, far, ratio, often)]
-                cols = list(zip(*rows)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=[name, f"{name}_n", f"{other}_n", "token"])
+                rows = []
+                for s in b.column(0).to_pylist():
+                    ones, twos = bits(s, 1), bits(s, 2)
+                    rows += [(s, len(s), o, t, m, first[:i], ones, twos) for o, m, first in signatures(s, far, ratio, often) for i, t in enumerate(first)]
+                cols = list(zip(*rows)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+        return df.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, ["string", "int", "int", "long", "int", "array<long>", "long", "long"])))
+
+    met = signed(terms, "term", "key").join(signed(keys, "key", "term"), ["term_n", "key_n", "token"])
+    in_both = lambda a, b, k: F.col(f"{a}_n") - (k - 1) - F.bit_count(F.col(f"{a}_{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{k}"))))
+    ones, twos = (F.least(in_both("term", "key", k), in_both("key", "term", k)) for k in (1, 2))
+    enough = (ones >= F.col("term_m")) & (twos >= 3 * F.col("term_m") - F.col("term_n") - F.col("key_n") - 1)
+    return met.where(enough & ~F.arrays_overlap("term_before", "key_before")).select("term", "key")
+
 
-        return df.mapInArrow(run, f"{name} string, {name}_n int, {other}_n int, token long")
+def closest(terms: DataFrame, keys: DataFrame, ratio: float = KEY_RATIO) -> DataFrame:
+    """(term, key, score): for each distinct ``term`` the ``key`` of the highest ratio, ties to the larger key in code-point order; terms without one are left out.
 
-    pairs = signed(terms, "term", "key").join(signed(keys, "key", "term"), ["term_n", "key_n", "token"]).select("term", "key").distinct()
+    Only strings that may be near meet, and every pair that is near does. Null and empty strings are near to nothing.
+    """
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        return cut(df.select(F.col(name).cast("string").alias(name)).where(F.length(name) > 0).distinct())
+
+    pairs = candidates(one(terms, "term"), one(keys, "key"), ratio)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, last, at, full = SequenceMatcher(), None, {}, 0
+        m, last, at, full, whole = SequenceMatcher(), None, {}, 0, None
         for b in batches:
             out = []
             for t, k in zip(*(c.to_pylist() for c in b.columns)):
                 if t != last:
-                    m.set_seq2(t)
                     last, at, full = t, {}, (1 << len(t)) - 1
                     for i, c in enumerate(t):
                         at[c] = at.get(c, 0) | 1 << i
@@ -116,6 +135,9 @@ def closest(terms: DataFrame, keys: DataFrame, ratio: float = KEY_RATIO) -> Data
                     left = ((left + hit) | (left - hit)) & full
                 if 2.0 * (len(t) - left.bit_count()) / (len(t) + len(k)) < ratio:
                     continue
+                if t != whole:
+                    m.set_seq2(t)
+                    whole = t
                 m.set_seq1(k)
                 if (score := m.ratio()) >= ratio:
                     out.append((t, k, score))

@@ -36,8 +36,9 @@ def exact_repeats(batch: DataFrame, key: Column, order: str, vault: DataFrame |
     return out.withColumn("is_repeat", repeat).drop("__seen")
 
 
-#: Rows of a block and queries of a chunk of a vector search, on average; clusters of either side at most.
-BLOCK, CHUNK, CLUSTERS = 4096, 1024, 1024
+#: Rows of a block and queries of a chunk of a vector search, on average; clusters of either side at most. Every row goes to each chunk, so chunks are large;
+#: so many queries of one are compared at once.
+BLOCK, CHUNK, CLUSTERS, AT_ONCE = 4096, 16384, 1024, 1024
 #: What rounding may take from an angle.
 SLACK = 1e-6
 
@@ -53,7 +54,7 @@ RINGS = 64
 
 def _clustered(df: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
     """``df`` with ``k``, the nearest pivot and the ring of that ``width`` of each vector, and ``far``, the angle to the pivot."""
-    kind = df.schema["id"].dataType.simpleString()
+    kind, vector = (df.schema[c].dataType.simpleString() for c in ("id", "embedding"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -63,7 +64,7 @@ def _clustered(df: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
                 far = np.arccos(np.clip(sim[np.arange(len(k)), k], -1, 1))
                 yield pdf.assign(k=(k * RINGS + np.minimum(far // width, RINGS - 1)).astype(np.int32), far=far)
 
-    return df.mapInPandas(run, f"id {kind}, embedding array<double>, k int, far double")
+    return df.mapInPandas(run, f"id {kind}, embedding {vector}, k int, far double")
 
 
 def _near_clusters(queries: DataFrame, base: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, dict[int, list[int]], dict[int, int], dict[int, int]]:
@@ -104,7 +105,10 @@ def neighbours(queries: DataFrame, base: DataFrame, threshold: float, top: int |
     that can hold a row near enough: one unit of work, one matrix product, of which the ``top`` of each query go on. ``earlier_only`` compares a row
     with those of smaller id. Vectors that are null, empty, zero or of another length take no part. Without a threshold every chunk meets every block.
     """
-    usable = lambda df: df.where(F.col("embedding").isNotNull() & (vectors.norm(F.col("embedding")) > 0)).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    # Floats are dealt out as floats, in half the bytes, and compared as doubles.
+    single = all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (queries, base))
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>").alias("embedding")
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & (vectors.norm(F.col("embedding")) > 0)).select("id", vector)
     q_all, r_all, found = usable(queries), usable(base), None
     sizes = [r[0] for r in q_all.select(F.size("embedding")).distinct().collect()]
     for dims in sizes:
@@ -136,13 +140,17 @@ def _block(pdf: pd.DataFrame, threshold: float, top: int | None, earlier_only: b
     a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
     if not len(a) or not len(b):
         return pd.DataFrame({"id": [], "other": [], "sim": []}).astype({"id": "int64", "other": "int64", "sim": "float64"})
-    sim, ids, others = _units(a["embedding"].to_numpy()) @ _units(b["embedding"].to_numpy()).T, a["id"].to_numpy(), b["id"].to_numpy()
-    ok = (sim >= threshold) & ((others[None] < ids[:, None]) if earlier_only else (others[None] != ids[:, None]))
-    if top is not None and len(others) > top:
-        kth = np.partition(np.where(ok, sim, -np.inf), -top, axis=1)[:, -top]
-        ok &= sim >= kth[:, None]
-    i, j = np.nonzero(ok)
-    return pd.DataFrame({"id": ids[i], "other": others[j], "sim": sim[i, j]})
+    left, right, ids, others = _units(a["embedding"].to_numpy()), _units(b["embedding"].to_numpy()).T, a["id"].to_numpy(), b["id"].to_numpy()
+    out = []
+    for at in range(0, len(ids), AT_ONCE):
+        own, sim = ids[at: at + AT_ONCE], left[at: at + AT_ONCE] @ right
+        ok = (sim >= threshold) & ((others[None] < own[:, None]) if earlier_only else (others[None] != own[:, None]))
+        if top is not None and len(others) > top:
+            kth = np.partition(np.where(ok, sim, -np.inf), -top, axis=1)[:, -top]
+            ok &= sim >= kth[:, None]
+        i, j = np.nonzero(ok)
+        out.append(pd.DataFrame({"id": own[i], "other": others[j], "sim": sim[i, j]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRESHOLD, top: int = 5) -> DataFrame:

@@ -310,3 +310,22 @@ def test_places_and_brands_take_one_pass_and_agree_with_a_pattern_for_each_name(
     assert want[0][0] == "Delhi" and want[2][1] == ["Finance", "Technology", "Sports"] and want[13] == (None, [])
     plan = made._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("rlike") == 0 and plan.count("regexp_extract_all") == 2
+
+
+def test_vectors_are_dealt_out_as_they_are_and_a_chunk_is_compared_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    found = dedup.neighbours(df, df, 0.3, 4)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sim = unit @ unit.T
+    want = {(i, int(j)) for i in range(60) for j in sorted((j for j in range(60) if j != i and sim[i, j] >= 0.3), key=lambda j: -sim[i, j])[:4]}
+    assert {(r.id, r.other) for r in found.collect()} == want
+    leaves = found._jdf.queryExecution().analyzed().collectLeaves()
+    kinds = [leaves.apply(k).schema().catalogString() for k in range(leaves.size())]
+    assert any("array<float>" in k for k in kinds) and not any("array<double>" in k for k in kinds)
+    monkeypatch.setattr(dedup, "AT_ONCE", 7)
+    pdf = df.toPandas()
+    both = dedup.pd.concat([pdf.assign(asks=True), pdf.assign(asks=False)])
+    got = dedup._block(both, 0.3, 4, False)
+    assert {(int(a), int(b)) for a, b in zip(got["id"], got["other"])} == want and len(want) > 100

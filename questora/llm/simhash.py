@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, by_size, cut, looked_up, small_batches
+from .common import SALTS, by_size, cut, few, looked_up, small_batches
 
 #: Fingerprints that one task compares below an upper node; larger nodes are dealt out by leaf.
 LEAF = 4096
@@ -46,7 +46,7 @@ SEEN = 16
 PAIRS = 1 << 17
 #: A limb of a dealt-out node has 2 ** LIMB_BITS leaves.
 LIMB_BITS = 6
-#: Links that a task of a round of ``components`` reads; of fewer links in all, each core gets a share.
+#: Links that a task of a round of ``components`` reads; of no more links in all, one task makes the components.
 TASK_LINKS = 50_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LANES = np.uint64(0x0101010101010101)
@@ -375,6 +375,7 @@ def links_below(below: DataFrame, lanes: list[str], bits: int, leaf: int = LEAF)
     share = SEEN if leaf >= 64 * SEEN else 1
     some = below.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(share)) == 0)
     large = cut(some.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") * share > leaf).select("mask", "pattern"))
+    large = few(large)
     has_large = not large.isEmpty()
     small = below.join(large, ["mask", "pattern"], "left_anti") if has_large else below
     runs = small.repartition(F.col("mask"), F.col("pattern")).sortWithinPartitions("mask", "pattern", gray_rank(F.col("fp")))
@@ -453,12 +454,13 @@ def components(edges: DataFrame) -> DataFrame:
     its smaller ones and itself to the least of those. A group that hangs on one node is done in one round and
     long paths shrink by a constant share. The rounds end when no link changes; the driver sees a count and a
     checksum of each. A node with very many links meets them by broadcast of its one row. A round has some ten exchanges, and
-    the driver keeps a record of each of their tasks, so tables of a round have as many partitions as their links need.
+    the driver keeps a record of each of their tasks, so tables of a round have as many partitions as their links need;
+    and up to ``TASK_LINKS`` links, the share of one task, take no rounds at all.
     """
     down = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     mark = lambda links: tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    now = mark(down)
-    while now[0]:
+    now = mark(few(down))
+    while now[0] > TASK_LINKS:
         parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-now[0] // TASK_LINKS))
         down = down.coalesce(parts)
         both = down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -471,8 +473,19 @@ def components(edges: DataFrame) -> DataFrame:
         down = cut(met.select(tied.alias("l")).select("l.*").where("a <> b").distinct().coalesce(parts))
         before, now = now, mark(down)
         if now == before:
-            break
-    return down.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(down.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return down.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(down.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return down.coalesce(1).mapInArrow(_rooted, "node long, root long")
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (a, b), few enough for one task -> (node, root) of each of their nodes."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts))
+        ids, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+        lab = np.arange(len(ids))
+        _tie(lab, inv[: len(a)], inv[len(a):])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[lab])], names=["node", "root"])
 
 
 def near_duplicates(
@@ -503,11 +516,13 @@ def named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> Dat
     ``nodes(node, first_id, n)`` says how many rows a node has, ``roots(node, root)`` has the
     linked nodes alone. Neither the nodes of a giant group nor the rows of a giant node meet in one task.
     """
-    linked = cut(nodes.select(node, "first_id").join(roots.withColumnRenamed("node", node).hint("merge"), node))
-    group = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    of_node = looked_up(linked.select(node, "root"), "root", group, linked.count()).select(node, "component_id")
-    whole = nodes.select(node, "first_id", "n").join(of_node.hint("merge"), node, "left")
-    return looked_up(rows, node, whole.select(node, "n", F.coalesce("component_id", "first_id").alias("component_id")), rows.count())
+    total = rows.count()
+    linked = cut(few(nodes.select(node, "first_id").join(roots.withColumnRenamed("node", node).hint("merge"), node), total))
+    n = linked.count()
+    group = few(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), n)
+    of_node = few(looked_up(linked.select(node, "root"), "root", group, n).select(node, "component_id"), n)
+    whole = few(nodes.select(node, "first_id", "n").join(of_node.hint("merge"), node, "left"), total)
+    return few(looked_up(rows, node, whole.select(node, "n", F.coalesce("component_id", "first_id").alias("component_id")), total), total)
 
 
 #: Least similarity (Jaccard, of the sets of five-word shingles) of near copies.
@@ -622,7 +637,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, least: floa
 
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     total = members.count()
-    wanted = looked_up(members.drop("size"), "root", sizes.withColumnRenamed("shingles", "size"), total).select(F.col("first_id").alias("__id"), F.col("text_key").alias("__key"), "root", "size", "set_id")
+    wanted = few(looked_up(members.drop("size"), "root", few(sizes.withColumnRenamed("shingles", "size"), total), total), total).select(F.col("first_id").alias("__id"), F.col("text_key").alias("__key"), "root", "size", "set_id")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     mine_of = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["text_key"] == F.col("__key")))
     rows = mine_of.select("root", "size", "set_id", "text").mapInArrow(run, "root long, size long, set_id long, shingles binary")
@@ -652,11 +667,11 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = SIMILARITY, p
     """
     lanes = lane_names(WIDE_LANES)
     rows = cut(shingle_sets(docs, words, least, hot_shingles(docs, words)))
-    slim = rows.select("doc_id", "text_key", "set_id", "n", "node")
+    slim, total = rows.select("doc_id", "text_key", "set_id", "n", "node"), rows.count()
     below = rows.groupBy("set_id", *lanes).agg(F.first("prefix").alias("prefix")).select(F.lit(0).cast("short").alias("mask"), F.explode("prefix").alias("pattern"), *lanes)
     near = components(links_below(below, lanes, WIDE_BITS))
-    sets = cut(slim.groupBy("set_id", "node").agg(F.min(F.struct("doc_id", "text_key")).alias("f"), F.max("n").alias("size"), F.count("*").alias("n")).select("set_id", "node", "f.*", "size", "n").withColumnRenamed("doc_id", "first_id"))
-    members = cut(sets.where("size > 0").join(near.hint("merge"), "node", "left").select("set_id", "first_id", "text_key", "size", F.coalesce("root", "node").alias("root")))
+    sets = cut(few(slim.groupBy("set_id", "node").agg(F.min(F.struct("doc_id", "text_key")).alias("f"), F.max("n").alias("size"), F.count("*").alias("n")).select("set_id", "node", "f.*", "size", "n").withColumnRenamed("doc_id", "first_id"), total))
+    members = cut(few(sets.where("size > 0").join(near.hint("merge"), "node", "left").select("set_id", "first_id", "text_key", "size", F.coalesce("root", "node").alias("root")), total))
     roots = components(confirmed_links(docs, members, words, least, part))
     # The row that names a group, one with a doc_id before one without.
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
@@ -680,7 +695,8 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY) -> Data
     gone = groups.where(other).select(*own).distinct().select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     same = (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key"))
     kept = docs.withColumn("__text_key", F.xxhash64("text")).join(gone, same, "left_anti")
-    again = cut(groups.where(~other).groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    twice = groups.where(~other).groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    again = cut(few(twice, groups.count()))
     if again.isEmpty():
         return kept.select(docs.columns)
     one = kept.join(again, same, "left_semi").groupBy("doc_id", "__text_key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")

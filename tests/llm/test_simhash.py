@@ -110,6 +110,44 @@ def test_few_links_take_few_tasks_however_many_partitions_a_shuffle_has(spark):
     assert sum(tasks) < 3000, (len(tasks), sum(tasks))
 
 
+def counted(spark, name, work, partitions="64"):
+    """What ``work`` returns, and how many stages and tasks it took with so many shuffle partitions that nothing coalesces."""
+    sc, held = spark.sparkContext, {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in held}
+    for n, v in held.items():
+        spark.conf.set(n, v)
+    try:
+        sc.setJobGroup(name, name)
+        out = work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(name) for s in told.getJobInfo(j).stageIds}
+    tasks = [info.numCompletedTasks for s in stages if (info := told.getStageInfo(s)) and info.numCompletedTasks]
+    return out, len(tasks), sum(tasks)
+
+
+def test_links_of_one_task_take_no_rounds_and_more_take_rounds_with_the_same_roots(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, -3), (200, 201), (201, 200), (5, 5)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got, stages, _ = counted(spark, "no-rounds", lambda: sorted(map(tuple, simhash.components(edges).collect())))
+    assert got == sorted([(-3, -3), *[(i, -3) for i in range(61)], *[(100 + i, 100) for i in range(40)], (200, 200), (201, 200)])
+    assert stages < 12, stages
+    monkeypatch.setattr(simhash, "TASK_LINKS", 50)
+    assert sorted(map(tuple, simhash.components(edges).collect())) == got
+    assert simhash.components(edges.where("src > 900")).collect() == []
+
+
+def test_slim_tables_of_near_copies_take_few_tasks_however_many_partitions_a_shuffle_has(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{base} end{i}" if i < 30 else f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(60)], "doc_id long, text string")
+    kept, _, tasks = counted(spark, "slim", lambda: sorted(r.doc_id for r in simhash.keep_one(docs).collect()))
+    assert kept == [0, *range(30, 60)]
+    assert tasks < 1300, tasks
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     got = run(spark, [(None, "a b"), (3, "a b"), (3, "a b"), (None, "zz yy xx")])
     assert sorted(str(r.component_id) for r in got) == ["3", "3", "3", "None"]

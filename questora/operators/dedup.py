@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from . import sets
 from .lineage import cut
 
 
@@ -181,8 +182,8 @@ def flagged(batch: DataFrame, vault: DataFrame, threshold: float = vectors.THRES
     return out.select("id", F.when(hit.isNotNull(), "POSSIBLE_DUPLICATE").otherwise("UNIQUE").alias("duplicate_status"), hit["other"].alias("duplicate_of_id"), F.round(hit["sim"], 3).alias("duplicate_similarity"))
 
 
-#: Tokens that sets meet by.
-SHARED = 3
+#: Tokens that short sets meet by, and the tokens of a short set at most.
+SHARED, SHORT = 3, 14
 
 
 def _combined(items: Column, k: int) -> Column:
@@ -193,19 +194,21 @@ def _combined(items: Column, k: int) -> Column:
 
 
 def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
-    """(a, b, sim): links of rows whose token sets have a Jaccard similarity above ``threshold``, by prefix filtering.
+    """(a, b, sim): links of rows whose token sets have a Jaccard similarity above ``threshold``, by prefix filtering; ``key`` is an integer that tells rows apart.
 
     Equal sets fold into one class first, named by its smallest key: links run between classes, and from each class
-    to its further rows with similarity 1, so n copies are n - 1 rows. Tokens are ordered from rare to frequent. Sets
+    to its further rows with similarity 1, so n copies are n - 1 rows. Tokens are 64-bit hashes, ordered from rare to frequent. Sets
     above the threshold have ceil(t |x|) tokens in common or more, and of so many the first ``SHARED`` are among the first |x| - ceil(t |x|) + ``SHARED`` of
-    either. So keys and sizes join on ``SHARED`` tokens at once, which few sets share however often each token is there, and the sets come in afterwards to be
-    compared. Sets that may link with fewer tokens in common meet by one of the first |x| - ceil(t |x|) + 1, among themselves.
+    either. So short sets join on ``SHARED`` tokens at once, which few sets share however often each token is there; those that may link with fewer in common
+    meet by one of the first |x| - ceil(t |x|) + 1, among themselves. Pairs of larger sets come from ``sets.met``. The sets come in afterwards to be compared.
     """
-    rows = docs.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("toks")).where(F.size("toks") > 0)
-    known = rows.select(key, F.xxhash64("toks").alias("h1"), F.xxhash64("toks", F.lit(1)).alias("h2"), "toks")
-    sets = known.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("toks").alias("toks"), F.count("*").alias("n"))
-    df = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ordered = sets.select("id", F.explode("toks").alias("t")).join(df, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("toks")).where(F.size("toks") > 0)
+    rows = cut(rows.select("id", F.xxhash64("toks").alias("h1"), F.xxhash64("toks", F.lit(1)).alias("h2"), "toks"))
+    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(rows.select(F.col("id").alias("b"), "h1", "h2").join(classes, ["h1", "h2"]).where("a <> b").select("a", "b"))
+    short = rows.where(F.size("toks") <= int(SHORT / threshold)).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("toks").alias("toks"))
+    df = short.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ordered = short.select("id", F.explode("toks").alias("t")).join(df, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
     n = F.size("s")
     least = F.ceil(n * F.lit(threshold)).cast("int")
     first = lambda k: F.transform(F.slice("s", F.lit(1), n - least + k), lambda x: x["t"])
@@ -214,11 +217,11 @@ def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> D
 
     def met(rows: DataFrame) -> DataFrame:
         a, b = (rows.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-        return a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)).select("a", "b")
-
-    pairs = met(prefix).unionByName(met(small)).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    near = both.select("a", "b", (inter / (F.size("ta") + F.size("tb") - inter)).alias("sim")).where(F.col("sim") > threshold)
-    copies = known.select(F.col(key).alias("b"), "h1", "h2").join(sets.where("n > 1").select("h1", "h2", F.col("id").alias("a")), ["h1", "h2"]).where("a <> b")
-    return near.unionByName(copies.select("a", "b", F.lit(1.0).alias("sim")))
+        fits = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold) & (F.least("na", "nb") <= SHORT)
+        return a.join(b, "t").where((F.col("a") < F.col("b")) & fits).select("a", "b")
+
+    slim = rows.select("id", "toks")
+    pairs = met(prefix).unionByName(met(small)).distinct().unionByName(sets.met(slim, sets.sorted_ids(copies.select("b")), threshold, SHORT))
+    near = sets.compared(pairs, slim, threshold)
+    kind = docs.schema[key].dataType
+    return near.unionByName(copies.select("a", "b", F.lit(1.0).alias("sim"))).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "sim")

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5, sha256
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from .text import canonical
 
 THRESHOLD = 0.92
@@ -74,25 +83,110 @@ def rounded(x: Column, places: int) -> Column:
     return F.round(x * float(10**places)) / float(10**places)
 
 
-#: What words, and a text that is all letters, are cut by.
-SPACE = r"[\s\x0B\x1C-\x1F\u0085\p{Z}]+"
-#: Weights of a word's first and second hash, and of each of its runs of three characters.
-WORD, AGAIN, RUN = 1.0, 0.5, 0.25
+#: Weights of a word's first and second hash, and of each of its runs of three characters, in quarters; sums of these are exact in any order.
+WORD, AGAIN, RUN, QUARTER = 4, 2, 1, 0.25
+#: Words, and runs of three characters, whose places a task keeps; words that are summed at once.
+KNOWN, AT_ONCE = 500_000, 200_000
 
 
 def hash_embeddings(rows: DataFrame, key: str, text: Column, dims: int = 768) -> DataFrame:
     """(key, embedding) of every row: its words and their runs of three characters, hashed into ``dims`` places, at unit length to six places; a stand-in for a model.
 
-    Words are counted before they are hashed, so each distinct word of a text is hashed once. A null or empty text is all zeros. ``key`` tells rows apart.
+    A text becomes its vector where it lies, and a task hashes a word once for all its rows. A null or empty text is all zeros. Rows of one ``key`` have
+    the vector of all their words, and rows without a key, which no key joins, are all zeros; only the keys, and sums of rows whose key is repeated, are shuffled.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
-    each = rows.select(F.col(key), F.explode(words).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    place = lambda digest, at: F.pmod(F.conv(F.substring(digest, at, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
-    made = lambda at, weight: F.struct(at.alias("at"), F.lit(weight).alias("v"))
-    sha = F.sha2("w", 256)
-    runs = F.when(F.length("w") > 2, F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: made(place(F.md5(F.substring(F.col("w"), i, F.lit(3)).cast("binary")), 1), RUN))).otherwise(F.array().cast("array<struct<at:int,v:double>>"))
-    parts = each.select(key, "n", F.explode(F.concat(F.array(made(place(sha, 1), WORD), made(place(sha, 9), AGAIN)), runs)).alias("p"))
-    sums = parts.groupBy(key, F.col("p.at").alias("at")).agg(F.sum(F.col("p.v") * F.col("n")).alias("v"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: rounded(F.coalesce(F.try_element_at("m", i) / F.col("len"), F.lit(0.0)), 6))
-    return rows.select(F.col(key)).join(maps, key, "left").select(key, F.when(F.col("m").isNotNull(), filled).otherwise(F.array_repeat(F.lit(0.0), dims)).alias("embedding"))
+    kind = rows.schema[key].dataType.simpleString()
+    each = rows.select(F.col(key), F.when(F.col(key).isNotNull(), F.lower(F.coalesce(text, F.lit("")))).otherwise("").alias("t"))
+    summed, unit = (lambda batches: _summed(batches, dims, False)), (lambda batches: _summed(batches, dims, True))
+    repeated = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNotNull() & (F.col("n") > 1)).select(key))
+    if repeated.isEmpty():
+        return each.mapInArrow(unit, f"`{key}` {kind}, embedding array<double>")
+    sums = each.join(repeated, key, "left_semi").mapInArrow(summed, f"`{key}` {kind}, v array<double>")
+    sums = sums.select(key, F.posexplode("v").alias("at", "v")).groupBy(key, "at").agg(F.sum("v").alias("v"))
+    merged = sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("v"))
+    length = norm(F.col("v"))
+    merged = merged.select(key, F.transform("v", lambda x: F.when(length > 0, rounded(x / length, 6)).otherwise(0.0)).alias("embedding"))
+    alone = each.join(repeated, key, "left_anti").mapInArrow(unit, f"`{key}` {kind}, embedding array<double>")
+    return alone.unionByName(rows.select(key).join(merged, key))
+
+
+class _Runs(dict):
+    """Places of runs of three characters."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, run: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[run] = place = int.from_bytes(md5(run.encode()).digest()[:4], "big") % self.dims
+        return place
+
+
+class _Places(dict):
+    """Words by number, and the places and weights of each in two long lists."""
+
+    def __init__(self, dims: int):
+        self.dims, self.runs = dims, _Runs(dims)
+        self.ends, self.at, self.weight = array("q", [0]), array("i"), array("d")
+
+    def __missing__(self, w: str) -> int:
+        digest, runs = sha256(w.encode()).digest(), self.runs
+        at = [runs[w[k: k + 3]] for k in range(len(w) - 2)]
+        weight = [RUN] * len(at)
+        if len(at) > self.dims:
+            # A very long word has no more entries than there are places.
+            n = Counter(at)
+            at, weight = list(n), [RUN * x for x in n.values()]
+        self.at.extend(at)
+        self.at.extend((int.from_bytes(digest[:4], "big") % self.dims, int.from_bytes(digest[4:8], "big") % self.dims))
+        self.weight.extend(weight)
+        self.weight.extend((WORD, AGAIN))
+        self.ends.append(len(self.at))
+        self[w] = n = len(self)
+        return n
+
+    def sums(self, row: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """The sum of the words of each of ``n`` rows."""
+        ends, at, weight = np.frombuffer(self.ends, np.int64), np.frombuffer(self.at, np.int32), np.frombuffer(self.weight)
+        k = ends[word + 1] - ends[word]
+        entry = np.repeat(ends[word + 1] - np.cumsum(k), k) + np.arange(k.sum())
+        return np.bincount(np.repeat(row * self.dims, k) + at[entry], weight[entry], n * self.dims)
+
+
+def _summed(batches: Iterator[pa.RecordBatch], dims: int, unit: bool) -> Iterator[pa.RecordBatch]:
+    """(key, vector) of rows (key, text): sums of weights, or these at unit length to six places."""
+    places = _Places(dims)
+    for b in batches:
+        total = np.zeros(b.num_rows * dims)
+        first, rows, words = 0, [], []
+
+        def added(upto: int) -> None:
+            """Adds the words so far, of rows ``first`` to ``upto``."""
+            nonlocal places, first, rows, words
+            if words:
+                row = np.repeat(np.array(rows) - first, [len(w) for w in words])
+                total[first * dims: (upto + 1) * dims] += places.sums(row, np.fromiter(chain.from_iterable(words), np.int64, len(row)), upto + 1 - first)  # noqa: B023
+            first, rows, words = upto, [], []
+            if len(places) > KNOWN:
+                places = _Places(dims)
+
+        held = 0
+        for i, t in enumerate(b.column(1)):
+            each = t.as_py().split()
+            for at in range(0, len(each), AT_ONCE):
+                rows.append(i)
+                words.append(list(map(places.__getitem__, each[at: at + AT_ONCE])))
+                held += len(words[-1])
+                if held >= AT_ONCE:
+                    added(i)
+                    held = 0
+        added(b.num_rows - 1)
+        v = total.reshape(-1, dims) * QUARTER
+        if unit:
+            length = np.sqrt((v * v).sum(1, keepdims=True))
+            x = v / np.where(length > 0, length, 1.0) * 1e6
+            whole = np.floor(x)
+            v = (whole + (x - whole >= 0.5)) / 1e6
+        ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dims)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=[b.schema.names[0], "embedding" if unit else "v"])

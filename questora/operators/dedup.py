@@ -202,8 +202,8 @@ def near_pairs(docs: DataFrame, key: str, tokens: Column, threshold: float) -> D
     either. So short sets join on ``SHARED`` tokens at once, which few sets share however often each token is there; those that may link with fewer in common
     meet by one of the first |x| - ceil(t |x|) + 1, among themselves. Pairs of larger sets come from ``sets.met``. The sets come in afterwards to be compared.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("toks")).where(F.size("toks") > 0)
-    rows = cut(rows.select("id", F.xxhash64("toks").alias("h1"), F.xxhash64("toks", F.lit(1)).alias("h2"), "toks"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("toks"))
+    rows = cut(rows.select("id", F.xxhash64("toks").alias("h1"), F.xxhash64("toks", F.lit(1)).alias("h2"), "toks")).where(F.size("toks") > 0)  # below it, the tokens would be made twice
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(rows.select(F.col("id").alias("b"), "h1", "h2").join(classes, ["h1", "h2"]).where("a <> b").select("a", "b"))
     short = rows.where(F.size("toks") <= int(SHORT / threshold)).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("toks").alias("toks"))
